@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .packing import pack_documents
 from .simhash import simhash_components
+from .substring import substring_dedup
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
 
@@ -26,7 +31,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op9_simhash": op9_simhash}
+    return {"op4_substring": op4_substring, "op6_packing": op6_packing, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
