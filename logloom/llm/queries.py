@@ -10,6 +10,7 @@ from .common import table
 from .packing import pack_documents
 from .simhash import simhash_components
 from .substring import substring_dedup
+from .toxicity import toxicity_scores
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,8 +31,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), distance=4, shingle=4)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_substring": op4_substring, "op6_packing": op6_packing, "op9_simhash": op9_simhash}
+    return {"op4_substring": op4_substring, "op6_packing": op6_packing, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
