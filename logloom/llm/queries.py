@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .pivots import embedding_components
 from .simhash import simhash_components
 from .substring import substring_dedup
 from .toxicity import toxicity_scores
@@ -27,6 +28,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
 
 
+def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), distance=4, shingle=4)
 
@@ -36,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_substring": op4_substring, "op6_packing": op6_packing, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op4_substring": op4_substring, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
