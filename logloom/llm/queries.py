@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .lines import line_runs
 from .packing import pack_documents
 from .pivots import embedding_components
 from .quality import quality_rules
@@ -37,6 +38,10 @@ def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs(table(spark, sf_dir, "documents"), min_lines=2)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), distance=4, shingle=4)
 
@@ -46,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
