@@ -15,7 +15,9 @@ extra columns are ignored. A lost task re-reads its split and packs it in the sa
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +35,57 @@ MERGE_TASKS = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, open boolean, ids array<int>"
 
 
+#: Stands between words that are tokenized together; a word with a character of its kind is tokenized alone.
+_BETWEEN = "\ue000"
+_LIKE_BETWEEN = re.compile(b"\xee")
+#: A full stop or comma after an ASCII letter and before white space is a token of its own.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\n]|$)")
+
+
 class WordIds:
     """Ids of words, kept per worker up to `most` words."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.path, self.most, self.longest = path, most, longest
+        self.path, self.most = path, most
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self._ids(_BETWEEN)
         self.clear()
 
     def clear(self):
         self.known: dict[bytes, int] = {}
         self.ids, self.first, self.size, self.n_ids = np.empty(1 << 20, np.int32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _tokenize(self, words: list[bytes]) -> list:
+        """The ids of each word; many words at once, told apart by what stands between them."""
+        alone = [i for i, w in enumerate(words) if _LIKE_BETWEEN.search(w)]
+        if alone:
+            out = [None] * len(words)
+            odd = set(alone)
+            rest = [i for i in range(len(words)) if i not in odd]
+            for i, x in zip(rest, self._tokenize([words[i] for i in rest])):
+                out[i] = x
+            for i in alone:
+                out[i] = np.array(self._ids(words[i].decode()), np.int32)
+            return out
+        if not words:
+            return []
+        ids = np.array(self._ids((b" \xee\x80\x80 ".join(words) + b" \xee\x80\x80").decode()), np.int32)
+        ends = np.flatnonzero(ids == self.between[0])
+        if len(ends) != len(words):
+            return [np.array(self._ids(w.decode()), np.int32) for w in words]
+        return [ids[a:b] for a, b in zip(np.concatenate(([0], ends[:-1] + len(self.between))).tolist(), ends.tolist())]
+
     def _add(self, new: list[bytes]):
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)]
+        for i in range(0, len(new), 10_000):
+            some = new[i : i + 10_000]
+            got = self._tokenize(some)
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for g in got for x in g), np.int32, int(sizes.sum()))
+            flat = np.concatenate(got)
             while self.n_ids + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
             while len(self.known) + len(some) > len(self.first):
@@ -66,17 +99,20 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, each followed by the end id."""
-        split = [t.split() for t in texts]
+        # the tokenizer lowers letters itself, but its special strings are only known as they are written
+        split = [(t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts]
         if len(self.known) > self.most:
             self.clear()
-        new = set().union(*split).difference(self.known) if split else set()
-        if new:
-            self._add(list(new))
         words = [w for ws in split for w in ws]
-        idx = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        idx = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(idx < 0).tolist()
+        if unknown:
+            self._add(list({words[i] for i in unknown}))
+            idx[unknown] = [self.known[words[i]] for i in unknown]
         sizes = self.size[idx]
-        flat = self.ids[np.repeat(self.first[idx] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, split)])]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.first[idx] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
         end = np.array([END_ID], np.int32)
         return [np.concatenate((flat[a:b], end)) for a, b in zip(ends[:-1], ends[1:])]
 
