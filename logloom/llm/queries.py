@@ -12,6 +12,7 @@ from .mixing import domain_labels, mixing_rates
 from .packing import pack_documents
 from .pivots import embedding_components
 from .quality import quality_rules
+from .secrets import secret_spans
 from .simhash import simhash_components
 from .substring import substring_dedup
 from .toxicity import toxicity_scores
@@ -31,6 +32,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")), MIX)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=20)
 
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
