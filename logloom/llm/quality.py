@@ -24,7 +24,7 @@ from .common import SPACE_PATTERN, let
 
 BUCKETS = 1 << 14
 #: Mean log ratio, in nats an n-gram, under which a document is rejected.
-THRESHOLD = -0.3
+THRESHOLD = -0.09
 TRUSTED = 20_000
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -112,3 +112,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     out = base_rules(src).withColumn("llr", total / grams)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", *[c for c in keep if c != "doc_id"])
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns."""
+    src = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
+    kept = quality_rules(src, labels, keep=("row", "text"), **options).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

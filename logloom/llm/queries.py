@@ -12,6 +12,7 @@ from .mixing import domain_labels, mixing_rates
 from .packing import pack_documents
 from .pivots import embedding_components
 from .quality import quality_rules
+from .revisits import header_lines, page_captures, resolve_revisits
 from .secrets import secret_spans
 from .simhash import simhash_components
 from .substring import substring_dedup
@@ -36,6 +37,44 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", header_lines(found["headers"]))
+
+
+OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages
+), urls AS (
+  SELECT page_id, html,
+    lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:]+)', 1)) AS host,
+    regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?[^/?:]+:([0-9]+)', 1) AS port,
+    regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]+([^?]*)', 1) AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))), '&') AS query
+  FROM parts
+), canon AS (
+  SELECT page_id, html, CASE WHEN host <> '' THEN regexp_replace(host, '^www[0-9]*\.', '')
+    || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END
+    || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical_url
+  FROM urls
+), first AS (
+  SELECT 2 * page_id AS record_id, canonical_url, 10 * page_id AS ts, md5(html) AS tag, length(html) AS size FROM canon
+), again AS (
+  SELECT 2 * page_id + 1 AS record_id, canonical_url, 10 * page_id + 5005 AS ts, md5(html) AS tag, page_id % 97 AS day FROM canon
+), joined AS (
+  SELECT a.*, f.record_id AS rid, f.ts AS rts, f.tag AS rtag, f.size AS size
+  FROM again a ASOF LEFT JOIN first f ON a.canonical_url = f.canonical_url AND a.ts > f.ts
+)
+SELECT record_id, canonical_url, ts,
+  CASE WHEN rid IS NULL THEN 'unmatched' WHEN tag = rtag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  CASE WHEN tag = rtag THEN rid END AS response_id, CASE WHEN tag = rtag THEN rts END AS response_ts,
+  CAST(CASE WHEN tag = rtag THEN 200 END AS INTEGER) AS status,
+  CASE WHEN tag = rtag THEN 'content-length: ' || size || ',content-type: text/html,date: now,etag: "' || tag || '",last-modified: day ' || day END AS headers
+FROM joined
+"""
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=20)
 
@@ -65,8 +104,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_revisits": OP3_SQL}

@@ -259,3 +259,15 @@ def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4, low
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_fp = placed.join(smallest, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Ids to drop up to this number are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def keep_one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of docs whose id is the smallest of their group; rows with a null id stay, columns too."""
+    placed = simhash_components(docs.select("doc_id", "text"), distance, shingle)
+    gone = materialize(placed.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
