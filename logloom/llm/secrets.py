@@ -95,7 +95,8 @@ def code_identifiers(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 def identifier_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """(token, label 0): tokens of at most `most` documents, the same for the same documents, outside base matches."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     bare = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for p in (ASSIGN, ACCESS, HEX):
         bare = F.regexp_replace(bare, p, " ")
