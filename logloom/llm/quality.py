@@ -117,5 +117,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
     src = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
-    kept = quality_rules(src, labels, keep=("row", "text"), **options).where("kept")
+    judged = quality_rules(src, labels, keep=("row", "text"), **options)
+    # a number that isn't deterministic keeps the filter above the projection: pushed below it, the
+    # words would be split again wherever the rules mention them
+    kept = judged.withColumn("_stay", F.monotonically_increasing_id()).where("kept and _stay >= 0")
     return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
