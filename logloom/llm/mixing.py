@@ -27,7 +27,7 @@ from .common import materialize
 from .texthash import Joined, text_batches
 
 BUCKETS = 1 << 12
-SAMPLE = 1500
+SAMPLE = 1000
 PASSES = 40
 TOLERANCE = 1e-5
 
@@ -70,47 +70,48 @@ def train(rows: list[tuple[str | None, int]], domains: int, buckets: int = BUCKE
     return w
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs (row, text): row, n_tokens and p, the posterior of each domain; row is carried along."""
+def posteriors(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """docs (row, text): row, n_tokens and p, the posterior of each domain; row is carried along, and text if asked."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w = held.value
         buckets = len(w) - 1
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            n, z = np.zeros(len(texts), np.int64), np.tile(w[-1], (len(texts), 1))
             at = 0
-            while at < len(texts):
-                some, held_ = [], 0
-                while at + len(some) < len(texts) and (not some or held_ < 1 << 20):
-                    some.append(texts[at + len(some)].as_py() or b"")
-                    held_ += len(some[-1])
-                j = Joined(some)
+            while at < b.num_rows:
+                texts, size_ = [], 0
+                column = b.column(1).slice(at, 1000).cast(pa.binary())
+                while len(texts) < len(column) and (not texts or size_ < 1 << 20):
+                    texts.append(column[len(texts)].as_py() or b"")
+                    size_ += len(texts[-1])
+                j = Joined(texts)
                 size = np.diff(j.doc_ends, prepend=0)
                 full = np.flatnonzero(size)
+                z = np.tile(w[-1], (len(texts), 1))
                 if len(full):
                     own = w[(j.word_hashes() % np.uint64(buckets)).astype(np.int64)]
-                    sums = np.add.reduceat(own, (j.doc_ends - size)[full], axis=0)
-                    z[at + full] += sums / size[full][:, None]
-                n[at : at + len(some)] = size
-                at += len(some)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["row", "n_tokens", "p"])
-
-    schema = T.StructType([docs.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+                    z[full] += np.add.reduceat(own, (j.doc_ends - size)[full], axis=0) / size[full][:, None]
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                part = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep_text else []), pa.array(size, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["row", *(["text"] if keep_text else []), "n_tokens", "p"])
+                at += len(texts)
+            pa.default_memory_pool().release_unused()
+
+    text = [T.StructField("text", T.StringType())] if keep_text else []
+    schema = T.StructType([docs.schema["row"], *text, T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
     return docs.select("row", "text").mapInArrow(run, schema)
 
 
-def _rates(p: np.ndarray, gradients: list[np.ndarray]) -> np.ndarray:
+def _rates(p: np.ndarray, gradients: list[np.ndarray], least: float = 0.0) -> np.ndarray:
     r = np.ones(len(p))
     for g in gradients:
-        r = np.maximum(0.0, r - p @ g)
+        r = np.maximum(least, r - p @ g)
     return r
 
 
-def _sums(table: DataFrame, gradients: list[np.ndarray], domains: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(table: DataFrame, gradients: list[np.ndarray], domains: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Expected tokens of each domain at the rates so far, and the posteriors' Gram matrix over unclipped tokens."""
 
     def run(batches):
@@ -118,9 +119,9 @@ def _sums(table: DataFrame, gradients: list[np.ndarray], domains: int) -> tuple[
         for b in batches:
             n = b.column(0).to_numpy().astype(np.float64)
             p = np.asarray(b.column(1).flatten()).reshape(len(n), domains)
-            r = _rates(p, gradients)
+            r = _rates(p, gradients, least)
             s += (r * n) @ p
-            g += (p * (n * (r > 0))[:, None]).T @ p
+            g += (p * (n * (r > least))[:, None]).T @ p
         flat = np.concatenate((s, g.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "x"])
 
@@ -131,12 +132,12 @@ def _sums(table: DataFrame, gradients: list[np.ndarray], domains: int) -> tuple[
     return flat[:domains], flat[domains:].reshape(domains, domains)
 
 
-def fit(table: DataFrame, targets: list[float], budget: float, passes: int = PASSES, tolerance: float = TOLERANCE) -> list[np.ndarray]:
+def fit(table: DataFrame, targets: list[float], budget: float, least: float = 0.0, passes: int = PASSES, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """The gradients whose clipped sum gives every document's rate."""
     k = len(targets)
     share = np.array(targets, float) / max(sum(targets), 1e-300)
     gradients: list[np.ndarray] = []
-    s, gram = _sums(table, gradients, k)
+    s, gram = _sums(table, gradients, k, least)
     total, step = s.sum(), 1.0
     if total == 0:
         return gradients
@@ -147,7 +148,7 @@ def fit(table: DataFrame, targets: list[float], budget: float, passes: int = PAS
         # the Gram matrix of documents whose rate isn't clipped: those that the gradient moves
         scaled = np.linalg.solve(gram / total + 1e-6 * np.eye(k), off)
         tried = [*gradients, step * scaled]
-        s, gram_then = _sums(table, tried, k)
+        s, gram_then = _sums(table, tried, k, least)
         then = s / total - budget * share
         if then @ then < off @ off:
             gradients, off, gram, step = tried, then, gram_then, min(1.0, 2 * step)
@@ -163,8 +164,16 @@ def classifier(docs: DataFrame, labels: DataFrame, names: list[str], sample: int
         some = labels.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
     by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = [(r.text, names.index(r.domain)) for r in by_id.join(F.broadcast(picked), "doc_id").select("text", "domain").collect()]
-    return train(sorted(rows, key=lambda r: (r[1], r[0] or "")), len(names))
+    # rows with the same id are one sample, so what is collected stays bounded
+    found = by_id.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    rows = [(r.text, names.index(r.domain)) for r in found.collect()]
+    weights = train(sorted(rows, key=lambda r: (r[1], r[0] or "")), len(names))
+    # the sample has as many documents of each domain; posteriors are for the shares that all labels have
+    count = {r.domain: r["count"] for r in labels.where(F.col("domain").isin(*names)).groupBy("domain").count().collect()}
+    if rows:
+        share = np.array([count.get(d, 0) + 0.5 for d in names])
+        weights[-1] += np.log(share / share.sum())
+    return weights
 
 
 def _source(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -176,32 +185,35 @@ def _copies(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(F.lit("mix"), doc_id), F.lit(1 << 32)) / float(1 << 32)).cast("long")
 
 
-def _rate(gradients: list[np.ndarray], domains: int) -> Column:
-    """The rate from column p: the gradients applied one after another, clipped at zero."""
+def _rate(gradients: list[np.ndarray], domains: int, least: float) -> Column:
+    """The rate from column p: the gradients applied one after another, clipped at the least rate."""
     r = F.lit(1.0)
     for g in gradients:
-        r = F.greatest(F.lit(0.0), r - sum(F.col("p")[i] * float(g[i]) for i in range(domains)))
+        r = F.greatest(F.lit(float(least)), r - sum(F.col("p")[i] * float(g[i]) for i in range(domains)))
     return r
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, p_<domain> of each target, rate, copies.
 
-    targets: weight of each domain's tokens, scaled to sum to one; budget: expected tokens, as a multiple of those there are."""
+    targets: weight of each domain's tokens, scaled to sum to one; budget: expected tokens, as a multiple of those there are;
+    least: no rate is under it (one keeps every document)."""
     names = sorted(targets)
     src = _source(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     table = materialize(posteriors(src, classifier(docs, labels, names, sample)), "mixing-posteriors")
-    gradients = fit(table, [targets[d] for d in names], budget)
-    out = table.withColumn("rate", _rate(gradients, len(names)))
+    gradients = fit(table, [targets[d] for d in names], budget, least)
+    out = table.withColumn("rate", _rate(gradients, len(names), least))
     return out.select("row.doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)], "rate", _copies(F.col("rate"), F.col("row.doc_id")).alias("copies"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """docs with each row repeated as often as its rate says (rows of rate zero go); columns stay."""
     names = sorted(targets)
     weights = classifier(docs, labels, names, sample)
     table = materialize(posteriors(_source(docs.select("text"), ["text"]).select(F.struct(F.lit(0).alias("x")).alias("row"), "text"), weights), "mixing-posteriors")
-    gradients = fit(table, [targets[d] for d in names], budget)
-    again = posteriors(_source(docs, docs.columns), weights).withColumn("rate", _rate(gradients, len(names)))
-    counted = again.select("row", _copies(F.col("rate"), F.col("row.doc_id").cast("long")).alias("copies")).where("copies > 0")
-    return counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    gradients = fit(table, [targets[d] for d in names], budget, least)
+    rest = [c for c in docs.columns if c != "text"]
+    again = posteriors(_source(docs, rest), weights, keep_text=True).withColumn("rate", _rate(gradients, len(names), least))
+    counted = again.select("row", "text", _copies(F.col("rate"), F.col("row.doc_id").cast("long")).alias("copies")).where("copies > 0")
+    each = counted.select("row", "text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -251,7 +251,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
         some = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return [(r.text, r.toxic) for r in src.join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()]
+    # rows with the same id are one sample, so what is collected stays bounded
+    found = src.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(r.text, r.toxic) for r in found.collect()]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
