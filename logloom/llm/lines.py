@@ -91,6 +91,14 @@ def _kept(text: bytes | None, starts, k: int):
     return len(worded), len(gone), runs, longest, b"\n".join(x for i, x in enumerate(lines) if i not in drop)
 
 
+def _slices(batches, rows: int = 1000):
+    """Batches in pieces, so that a worker holds few texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def _with_windows(docs: DataFrame, min_lines: int) -> DataFrame:
     """row (a struct of the columns of docs but text), text, and `starts`: where later copies start in it."""
     rest = [F.col(c) for c in docs.columns if c != "text"]
@@ -106,7 +114,7 @@ def line_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Per row of docs: doc_id, n_lines (with a word), n_removed, n_runs, longest_run, kept_sha256."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for t, s in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 *counts, kept = _kept(t.as_py(), s, min_lines)
@@ -124,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     schema = T.StructType([src.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             texts = [t.as_py() for t in b.column(1).cast(pa.binary())]
             kept = [_kept(t, s, min_lines)[4] if s else t for t, s in zip(texts, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if k is None else k.decode() for k in kept], pa.string())], names=["row", "text"])
