@@ -94,7 +94,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def format_duration(ns: Column) -> Column:
     """Microseconds, milliseconds or seconds with up to two places."""
     return (
-        F.when(ns < 1_000_000, F.format_string("%.0fµs", ns / 1000.0))
+        F.when(ns.isNull(), F.lit(None).cast("string"))
+        .when(ns < 1_000_000, F.format_string("%.0fµs", ns / 1000.0))
         .when(ns < 1_000_000_000, F.format_string("%.2fms", ns / 1e6))
         .otherwise(F.format_string("%.2fs", ns / 1e9))
     )

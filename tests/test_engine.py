@@ -80,7 +80,8 @@ def test_loop_log_issues(parsed):
     _, summary = analyze(parsed)
     by_log = {r.log_id: r for r in summary.collect()}
     assert by_log["loop"].health == 80 and by_log["loop"].one_liner == "Mostly healthy - 1 critical/high priority issue - primary: performance"
-    assert by_log["loop"].n_found == 0 and by_log["limits"].health == 86 and by_log["empty"].health == 100
+    assert by_log["loop"].n_found == 1 and by_log["loop"].truncation_severity == "CRITICAL"  # its last line has no end
+    assert by_log["limits"].health == 86 and by_log["empty"].health == 100
 
 
 def test_limits(parsed):
