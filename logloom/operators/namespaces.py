@@ -99,7 +99,7 @@ def attribute_issues(issues: DataFrame, events: DataFrame, near: int = 5) -> Dat
     e = ids.join(events.select("log_id", "id", "type", "class_name", "method_name", shown_namespace().alias("ns")), ["log_id", "id"])
     cross = crossings(events).select("log_id", F.col("id").alias("cross_id"))
     close = ids.join(cross, "log_id").where(F.abs(F.col("id") - F.col("cross_id")) <= near).select("log_id", "det_seq").distinct().withColumn("close", F.lit(1.0))
-    per = e.groupBy("log_id", "det_seq").agg(F.max(F.when(F.col("ns").isNotNull(), 0.9).otherwise(F.when(obfuscated_name(F.col("method_name")), 0.7).otherwise(0.0))).alias("managed"), F.max(F.when(F.col("ns").isNull(), 0.5).otherwise(0.0)).alias("user"))
+    per = e.groupBy("log_id", "det_seq").agg(F.max(F.when(F.col("ns").isNotNull(), 0.9).otherwise(F.when(obfuscated_name(F.col("class_name")), 0.7).otherwise(0.0))).alias("managed"), F.max(F.when(F.col("ns").isNull(), 0.5).otherwise(0.0)).alias("user"))
     out = per.join(close, ["log_id", "det_seq"], "left").withColumn("boundary", F.coalesce(F.col("close") * 0.85, F.lit(0.0))).drop("close")
     return out.withColumn("attribution", attribution(F.col("managed"), F.col("user"), F.col("boundary")))
 

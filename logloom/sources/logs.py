@@ -12,10 +12,10 @@ MAX_FILE_BYTES = 50 << 20
 
 def read_logs(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(log_id, content, size): one row a file, named like the file without its ending; larger files are left out."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path).select(F.col("value").alias("content"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"))
+    df = reader.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"))
     return df.where(F.col("size") <= max_bytes).select(F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1).alias("log_id"), "content", "size")
 
 

@@ -31,8 +31,10 @@ def running_counts(events: DataFrame, keys: list[str], time: str | None = None,
     return events.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n"))
 
 
-def call_depths(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """(log_id, id, depth) of streamed events (log_id, id, step): each log's open calls are kept as state until it is idle."""
+def call_depths(events: DataFrame, idle: str | None = "1 hour") -> DataFrame:
+    """(log_id, id, depth) of streamed events (log_id, id, step): each log's open calls are kept as state until it is idle.
+
+    A stream that ends by itself (availableNow) needs idle=None: it would wait for its timers."""
     import pandas as pd
 
     def run(key, frames, state):
@@ -46,10 +48,11 @@ def call_depths(events: DataFrame, idle: str = "1 hour") -> DataFrame:
                 rows.append((key[0], i, depth))
                 depth = max(0, depth + step)
         state.update((depth,))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle is not None:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame(rows, columns=["log_id", "id", "depth"])
 
-    return events.select("log_id", "id", "step").groupBy("log_id").applyInPandasWithState(run, "log_id string, id long, depth int", "depth int", "append", "ProcessingTimeTimeout")
+    return events.select("log_id", "id", "step").groupBy("log_id").applyInPandasWithState(run, "log_id string, id long, depth int", "depth int", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
