@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import give_back, materialize
 
 MIN_LINES = 2
 BROADCAST_BYTES = 48 << 20
@@ -96,7 +96,7 @@ def _slices(batches, rows: int = 1000):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _with_windows(docs: DataFrame, min_lines: int) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-from .texthash import Joined, text_batches
+from .common import give_back, materialize
+from .texthash import Joined, release, text_batches
 
 BUCKETS = 1 << 12
 SAMPLE = 1000
@@ -97,7 +97,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) ->
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep_text else []), pa.array(size, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["row", *(["text"] if keep_text else []), "n_tokens", "p"])
                 at += len(texts)
-            pa.default_memory_pool().release_unused()
+        release()
+        give_back()
 
     text = [T.StructField("text", T.StringType())] if keep_text else []
     schema = T.StructType([docs.schema["row"], *text, T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
@@ -121,7 +122,8 @@ def _sums(table: DataFrame, gradients: list[np.ndarray], domains: int, least: fl
             p = np.asarray(b.column(1).flatten()).reshape(len(n), domains)
             r = _rates(p, gradients, least)
             s += (r * n) @ p
-            g += (p * (n * (r > least))[:, None]).T @ p
+            free = r > least if gradients else np.ones(len(r), bool)
+            g += (p * (n * free)[:, None]).T @ p
         flat = np.concatenate((s, g.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "x"])
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 WINDOW = 2048
 END_ID = 1
@@ -38,14 +38,14 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Stands between words that are tokenized together; a word with a character of its kind is tokenized alone.
 _BETWEEN = "\ue000"
 _LIKE_BETWEEN = re.compile(b"\xee")
-#: A full stop or comma after an ASCII letter and before white space is a token of its own.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\n]|$)")
+#: A full stop or comma after a letter (ASCII or Latin-1) and before white space is a token of its own.
+_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[\x20\n]|$)")
 
 
 class WordIds:
-    """Ids of words, kept per worker up to `most` words."""
+    """Ids of words, kept per worker up to about `most` words: when they are more, those seen once go."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.path, self.most = path, most
@@ -56,6 +56,16 @@ class WordIds:
     def clear(self):
         self.known: dict[bytes, int] = {}
         self.ids, self.first, self.size, self.n_ids = np.empty(1 << 20, np.int32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
+        self.hits = np.zeros(1 << 18, np.int32)
+
+    def _forget(self):
+        """Keeps the words seen most often, at most half of `most`, none seen once."""
+        old, words = (self.ids, self.first, self.size, self.hits), list(self.known)
+        often = np.flatnonzero(old[3][: len(words)] > 1)
+        often = often[np.argsort(-old[3][often], kind="stable")[: self.most // 2]]
+        self.clear()
+        if len(often):
+            self._store([words[i] for i in often.tolist()], [old[0][a : a + n] for a, n in zip(old[1][often].tolist(), old[2][often].tolist())])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -83,32 +93,36 @@ class WordIds:
     def _add(self, new: list[bytes]):
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
-            got = self._tokenize(some)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.concatenate(got)
-            while self.n_ids + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            while len(self.known) + len(some) > len(self.first):
-                self.first, self.size = np.concatenate((self.first, np.empty_like(self.first))), np.concatenate((self.size, np.empty_like(self.size)))
-            n = len(self.known)
-            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-            self.first[n : n + len(some)] = self.n_ids + np.cumsum(sizes) - sizes
-            self.size[n : n + len(some)] = sizes
-            self.n_ids += len(flat)
-            self.known.update(zip(some, range(n, n + len(some))))
+            self._store(some, self._tokenize(some))
+
+    def _store(self, words: list[bytes], got: list):
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.concatenate(got)
+        while self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while len(self.known) + len(words) > len(self.first):
+            self.first, self.size = np.concatenate((self.first, np.empty_like(self.first))), np.concatenate((self.size, np.empty_like(self.size)))
+            self.hits = np.concatenate((self.hits, np.zeros_like(self.hits)))
+        n = len(self.known)
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.first[n : n + len(words)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[n : n + len(words)] = sizes
+        self.n_ids += len(flat)
+        self.known.update(zip(words, range(n, n + len(words))))
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, each followed by the end id."""
         # the tokenizer lowers letters itself, but its special strings are only known as they are written
         split = [(t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts]
         if len(self.known) > self.most:
-            self.clear()
+            self._forget()
         words = [w for ws in split for w in ws]
         idx = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(idx < 0).tolist()
         if unknown:
             self._add(list({words[i] for i in unknown}))
             idx[unknown] = [self.known[words[i]] for i in unknown]
+        self.hits[: len(self.known)] += np.bincount(idx, minlength=len(self.known)).astype(np.int32)
         sizes = self.size[idx]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.first[idx] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
@@ -197,7 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
             at = 0
             while at < len(texts):
                 some, held = [], 0
-                while at + len(some) < len(texts) and len(some) < 256 and held < 2_000_000:
+                while at + len(some) < len(texts) and len(some) < 256 and held < 1_000_000:
                     t = texts[at + len(some)].as_py() or b""
                     some.append(t)
                     held += len(t)
@@ -213,6 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
             out.window(left, True)
         if out.rows:
             yield _table(out.rows)
+        give_back()
 
     def merge(key, group):
         left: dict[int, list] = {}

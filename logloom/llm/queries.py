@@ -103,9 +103,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 19))) AS s FROM d)
+), first AS (
+  SELECT k, min((doc_id, s)) AS f FROM win GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, s + o AS p FROM (SELECT win.doc_id, win.s, unnest(range(0, 20)) AS o FROM win JOIN first USING (k) WHERE (win.doc_id, win.s) <> f)
+), each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d
+), marked AS (
+  SELECT each.doc_id, word, each.p, gone.p IS NOT NULL AS removed FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.p = each.p
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN per_doc USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents WHERE text <> ''
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS p FROM l WHERE regexp_matches(line, '[^ \t\n\v\f\r]')
+), win AS (
+  SELECT a.doc_id, a.p, a.line AS l1, b.line AS l2 FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.p = a.p + 1
+), first AS (
+  SELECT l1, l2, min((doc_id, p)) AS f FROM win GROUP BY 1, 2
+), gone AS (
+  SELECT DISTINCT doc_id, p + o AS p FROM (SELECT win.doc_id, win.p, unnest([0, 1]) AS o FROM win JOIN first USING (l1, l2) WHERE (win.doc_id, win.p) <> f)
+), islands AS (
+  SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone
+), runs AS (
+  SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run, sum(n)::BIGINT AS n_removed FROM (SELECT doc_id, g, count(*) AS n FROM islands GROUP BY 1, 2) GROUP BY 1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.place) AS t FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.place = l.place LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p WHERE gone.p IS NULL GROUP BY 1
+), counts AS (
+  SELECT doc_id, count(*) AS n_lines FROM w GROUP BY 1
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": OP3_SQL}
+    return {"op3_revisits": OP3_SQL, "op4_substring": OP4_SQL, "op8_lines": OP8_SQL}

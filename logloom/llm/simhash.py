@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .components import connected_components
 
 SEED = 42
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lower: bool = True, id_col:
             fps = [fingerprint_texts(texts.slice(i, step).to_pylist(), shingle, lower) for i in range(0, len(texts), step)]
             fp = np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
-            pa.default_memory_pool().release_unused()
+        give_back()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, fp long")

@@ -29,9 +29,19 @@ class _Powers:
         return self.up, self.down
 
 
+    def release(self):
+        self.__init__(self.base)
+
+
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_STEP)
 
 
+def release() -> None:
+    """Forget the powers: a worker may go on to other work."""
+    _BYTES.release()
+    _WORDS.release()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)

@@ -24,6 +24,16 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert g.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_forgetting_words_changes_no_ids(tokenizer):
+    rng = random.Random(2)
+    store = packing.WordIds(tokenizer_path(), most=40)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randint(0, 200)}x" for _ in range(30)) for _ in range(3)]
+        for t, g in zip(texts, store.of([t.encode() for t in texts])):
+            assert g.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert len(store.known) <= 40 + 90
+
+
 def check(rows, want_ids, window, with_ids):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
