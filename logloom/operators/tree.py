@@ -45,14 +45,24 @@ def call_tree(events: DataFrame, entries=ENTRY_TYPES, exits=EXIT_TYPES, root: in
     return out.withColumn("duration", F.when(F.col("_end") > F.col(time), F.col("_end") - F.col(time))).drop("_end")
 
 
+#: Rows of a log in one bucket of the interval join.
+_BUCKET = 256
+
+
 def with_ancestors(tree: DataFrame, pick: Column, name: str = "ancestor") -> DataFrame:
     """(log_id, id, <name>_id) for every event and every picked entry around it.
 
-    An entry is an ancestor of the events between it and its exit (or the log's end); no recursion."""
-    a = tree.where(pick).select("log_id", F.col("id").alias(f"{name}_id"), F.col("close_id").alias("_close"))
-    e = tree.select("log_id", "id")
-    inside = (F.col("id") > F.col(f"{name}_id")) & (F.col("_close").isNull() | (F.col("id") <= F.col("_close")))
-    return e.join(a, "log_id").where(inside).drop("_close")
+    An entry is an ancestor of the events between it and its exit (or the log's end); no recursion. Entries are
+    dealt to the row buckets that they span, so a long log is many small equality joins and not one of all pairs."""
+    log = Window.partitionBy("log_id")
+    rows = tree.select("log_id", "id", "close_id", pick.alias("_pick"), F.row_number().over(log.orderBy("id")).alias("_row"), F.count("*").over(log).alias("_last"))
+    ends = rows.select("log_id", F.col("id").alias("close_id"), F.col("_row").alias("_end"))
+    entries = rows.where("_pick").join(ends, ["log_id", "close_id"], "left")
+    entries = entries.select("log_id", F.col("id").alias(f"{name}_id"), F.col("_row").alias("_start"), F.coalesce("_end", "_last").alias("_stop")).where("_stop > _start")
+    bucket = lambda row: F.floor(row / _BUCKET)
+    a = entries.withColumn("_b", F.explode(F.sequence(bucket(F.col("_start") + 1), bucket(F.col("_stop")))))
+    e = rows.select("log_id", "id", "_row", bucket(F.col("_row")).alias("_b"))
+    return e.join(a, ["log_id", "_b"]).where("_row > _start and _row <= _stop").select("log_id", "id", f"{name}_id")
 
 
 def ancestors(tree: DataFrame, of: Column) -> DataFrame:

@@ -113,15 +113,16 @@ def infer_levels(events: DataFrame, mapping: DataFrame, key: str = "log_id") ->
     return counted.join(F.broadcast(mapping), "type").groupBy(key, "category").agg(F.max_by("level", "level_rank").alias("level"), F.max("level_rank").alias("level_rank"), F.sum("n").alias("evidence"))
 
 
-def missing_types(events: DataFrame, needs: DataFrame, key: str = "log_id") -> DataFrame:
-    """(key, detector, type) of every type that a detector needs and a log lacks."""
-    logs = events.select(key).distinct()
-    wanted = logs.join(F.broadcast(needs), F.lit(True))  # needs is the fixed list of a dozen pairs
-    return wanted.join(events.select(key, "type").distinct(), [key, "type"], "left_anti")
+def detector_needs() -> list[tuple[str, str]]:
+    """(detector, type) of every event type that a detector needs."""
+    return [(d, t) for d, (_, types) in DETECTOR_NEEDS.items() for t in types]
 
 
-def detector_needs(spark) -> DataFrame:
-    return spark.createDataFrame([(d, t) for d, (_, types) in DETECTOR_NEEDS.items() for t in types], "detector string, type string")
+def missing_types(events: DataFrame, needs: list[tuple[str, str]], key: str = "log_id") -> DataFrame:
+    """(key, detector, type) of every type that a detector needs and a log lacks."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), F.lit(t).alias("type")) for d, t in needs])).alias("n")
+    wanted = events.select(key).distinct().select(key, each).select(key, "n.detector", "n.type")
+    return wanted.join(events.select(key, "type").distinct(), [key, "type"], "left_anti")
 
 
 def capabilities(levels: DataFrame, key: str = "log_id") -> DataFrame:

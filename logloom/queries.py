@@ -785,7 +785,7 @@ def infer_levels(spark, sf):
 
 @register("SELECT u.log_id, n.detector, n.type FROM (SELECT DISTINCT user_id AS log_id FROM events WHERE value > 80) u, (VALUES ('d1', 'error'), ('d1', 'signup'), ('d2', 'purchase')) AS n(detector, type) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.log_id AND e.event_type = n.type AND e.value > 80)")
 def missing_event_types(spark, sf):
-    needs = spark.createDataFrame([("d1", "error"), ("d1", "signup"), ("d2", "purchase")], "detector string, type string")
+    needs = [("d1", "error"), ("d1", "signup"), ("d2", "purchase")]
     return truncation.missing_types(events(spark, sf).where("duration > 80"), needs)
 
 
