@@ -38,91 +38,116 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Stands between words that are tokenized together; a word with a character of its kind is tokenized alone.
 _BETWEEN = "\ue000"
 _LIKE_BETWEEN = re.compile(b"\xee")
-#: A full stop or comma after a letter (ASCII or Latin-1) and before white space is a token of its own.
-_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[\x20\n]|$)")
+def split_words(texts: list[bytes]) -> list[list[bytes]]:
+    """The words of each text, in small letters; a full stop or comma after a letter (ASCII, or Latin-1 in UTF-8) and before white
+    space is a word of its own, as the tokenizer has it: words repeat more often without it."""
+    # the tokenizer lowers letters itself, but its special strings are only known as they are written
+    low = [t if b"<|" in t else t.lower() for t in texts]
+    a = np.frombuffer(b"\n".join(low) + b"\n", np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in low])
+    stop = np.flatnonzero((a == 46) | (a == 44))
+    stop = stop[stop > 1]
+    after, before, lead = a[stop + 1], a[stop - 1], a[stop - 2]
+    letter = ((before >= 97) & (before <= 122)) | ((lead == 0xC3) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7))
+    stop = stop[letter & ((after == 32) | (after == 10))]
+    data = np.insert(a, stop, 32).tobytes()
+    cuts = [0, *(ends + np.searchsorted(stop, ends)).tolist()]
+    return [data[x:y].split() for x, y in zip(cuts, cuts[1:])]
+
+
+#: Words of such letters alone have exactly one id that ends a word, their last.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 class WordIds:
-    """Ids of words, kept per worker up to about `most` words: when they are more, those seen once go."""
+    """Ids of words. A word is kept per worker from the second time on (most are seen once); when about `most`
+    are kept, all are forgotten."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.path, self.most = path, most
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self._ids(_BETWEEN)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
         self.known: dict[bytes, int] = {}
         self.ids, self.first, self.size, self.n_ids = np.empty(1 << 20, np.int32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
-        self.hits = np.zeros(1 << 18, np.int32)
-
-    def _forget(self):
-        """Keeps the words seen most often, at most half of `most`, none seen once."""
-        old, words = (self.ids, self.first, self.size, self.hits), list(self.known)
-        often = np.flatnonzero(old[3][: len(words)] > 1)
-        often = often[np.argsort(-old[3][often], kind="stable")[: self.most // 2]]
-        self.clear()
-        if len(often):
-            self._store([words[i] for i in often.tolist()], [old[0][a : a + n] for a, n in zip(old[1][often].tolist(), old[2][often].tolist())])
+        self.met = bytearray(1 << 22)  # marks by hash; a collision keeps a word one time early
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _tokenize(self, words: list[bytes]) -> list:
-        """The ids of each word; many words at once, told apart by what stands between them."""
-        alone = [i for i, w in enumerate(words) if _LIKE_BETWEEN.search(w)]
-        if alone:
-            out = [None] * len(words)
-            odd = set(alone)
-            rest = [i for i in range(len(words)) if i not in odd]
-            for i, x in zip(rest, self._tokenize([words[i] for i in rest])):
-                out[i] = x
-            for i in alone:
-                out[i] = np.array(self._ids(words[i].decode()), np.int32)
-            return out
+        """The ids of each word; words of letters at once, others at once with something between them."""
+        plain = [i for i, w in enumerate(words) if _LETTERS(w)]
+        out = [None] * len(words)
+        if plain:
+            ids = np.array(self._ids(b" ".join([words[i] for i in plain]).decode()), np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain):
+                for i, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist()):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._tokenize_apart([words[i] for i in rest])):
+            out[i] = x
+        return out
+
+    def _tokenize_apart(self, words: list[bytes]) -> list:
         if not words:
             return []
-        ids = np.array(self._ids((b" \xee\x80\x80 ".join(words) + b" \xee\x80\x80").decode()), np.int32)
-        ends = np.flatnonzero(ids == self.between[0])
-        if len(ends) != len(words):
-            return [np.array(self._ids(w.decode()), np.int32) for w in words]
-        return [ids[a:b] for a, b in zip(np.concatenate(([0], ends[:-1] + len(self.between))).tolist(), ends.tolist())]
-
-    def _add(self, new: list[bytes]):
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            self._store(some, self._tokenize(some))
-
-    def _store(self, words: list[bytes], got: list):
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate(got)
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while len(self.known) + len(words) > len(self.first):
-            self.first, self.size = np.concatenate((self.first, np.empty_like(self.first))), np.concatenate((self.size, np.empty_like(self.size)))
-            self.hits = np.concatenate((self.hits, np.zeros_like(self.hits)))
-        n = len(self.known)
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.first[n : n + len(words)] = self.n_ids + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.n_ids += len(flat)
-        self.known.update(zip(words, range(n, n + len(words))))
+        alone = {i for i, w in enumerate(words) if _LIKE_BETWEEN.search(w)}
+        together = [i for i in range(len(words)) if i not in alone]
+        out = [None] * len(words)
+        if together:
+            ids = np.array(self._ids((b" \xee\x80\x80 ".join([words[i] for i in together]) + b" \xee\x80\x80").decode()), np.int32)
+            ends = np.flatnonzero(ids == self.between[0])
+            if len(ends) == len(together):
+                for i, a, b in zip(together, [0, *(ends[:-1] + len(self.between)).tolist()], ends.tolist()):
+                    out[i] = ids[a:b]
+        return [np.array(self._ids(w.decode()), np.int32) if x is None else x for w, x in zip(words, out)]
+
+    def _place(self, words: list[bytes]) -> dict[bytes, int]:
+        """Tokenizes words behind those that are kept; the ones met before are kept from now on."""
+        met, mask = self.met, len(self.met) - 1
+        again = [w for w in words if met[hash(w) & mask]]
+        new = [w for w in words if not met[hash(w) & mask]]
+        for w in new:
+            met[hash(w) & mask] = 1
+        words, n, n_ids = again + new, len(self.known), self.n_ids
+        places = dict(zip(words, range(n, n + len(words))))
+        for i in range(0, len(words), 10_000):
+            got = self._tokenize(words[i : i + 10_000])
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.concatenate(got)
+            while n_ids + len(flat) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+            while n + i + len(got) > len(self.first):
+                self.first, self.size = np.concatenate((self.first, np.empty_like(self.first))), np.concatenate((self.size, np.empty_like(self.size)))
+            self.ids[n_ids : n_ids + len(flat)] = flat
+            self.first[n + i : n + i + len(got)] = n_ids + np.cumsum(sizes) - sizes
+            self.size[n + i : n + i + len(got)] = sizes
+            n_ids += len(flat)
+        self.known.update(zip(again, range(n, n + len(again))))
+        if again:
+            self.n_ids = int(self.first[n + len(again) - 1] + self.size[n + len(again) - 1])
+        return places
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, each followed by the end id."""
-        # the tokenizer lowers letters itself, but its special strings are only known as they are written
-        split = [(t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts]
+        split = split_words(texts)
         if len(self.known) > self.most:
-            self._forget()
+            self.clear()
         words = [w for ws in split for w in ws]
         idx = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(idx < 0).tolist()
         if unknown:
-            self._add(list({words[i] for i in unknown}))
-            idx[unknown] = [self.known[words[i]] for i in unknown]
-        self.hits[: len(self.known)] += np.bincount(idx, minlength=len(self.known)).astype(np.int32)
+            places = self._place(list({words[i] for i in unknown}))
+            idx[unknown] = [places[words[i]] for i in unknown]
         sizes = self.size[idx]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.first[idx] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]

@@ -18,7 +18,7 @@ def tokenizer():
 
 
 def test_ids_are_the_tokenizers(tokenizer):
-    texts = ["Hello wOrld's 12 naïve café \t\r\n x", "", "é ́a <|endoftext|> it'll", "Σίσυφος ΣΑΣ   don't", "A" * 5000]
+    texts = ["Hello wOrld's 12 naïve café \t\r\n x", "", "é ́a <|endoftext|> it'll", "Σίσυφος ΣΑΣ   don't", "A" * 5000, "Élan vital, naïve. straße… x.. ÷ × µ ª", "a\ue000b c", "İstanbul ŉ don't. it's, e\u0301t", "...,. a.b a,b c.,"]
     got = packing.WordIds(tokenizer_path()).of([t.encode() for t in texts])
     for t, g in zip(texts, got):
         assert g.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
@@ -32,6 +32,7 @@ def test_forgetting_words_changes_no_ids(tokenizer):
         for t, g in zip(texts, store.of([t.encode() for t in texts])):
             assert g.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
         assert len(store.known) <= 40 + 90
+    assert store.known
 
 
 def check(rows, want_ids, window, with_ids):
