@@ -127,7 +127,10 @@ def pivot_index(vectors: DataFrame, depth: int, max_pivots: int, vectors_per_piv
     valid = vectors.where(ok)
     n = valid.count()
     most = int(min(max_pivots, max(4 * depth, n // vectors_per_pivot)))
-    sample = [r.embedding for r in valid.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * most).select("embedding").collect()]
+    # the vectors with the smallest hashes; a bound on the hash leaves each task a few of them and not its own first 2 * most
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31))
+    few = valid.select("vec_id", "embedding", place.alias("place")).where(F.col("place") < int(min(1.0, 8 * most / max(n, 1)) * (1 << 31)))
+    sample = [r.embedding for r in few.orderBy("place", "vec_id").limit(2 * most).select("embedding").collect()]
     pivots = _choose(sample, most)
     if not len(pivots):
         return valid.select("vec_id", F.lit(b"").alias("v"), F.array().cast("array<int>").alias("pivots")).limit(0)
