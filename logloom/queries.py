@@ -864,11 +864,11 @@ def tree_lines(spark, sf):
     return render.tree_lines(t, F.col("type"))
 
 
-@register("""SELECT o_custkey AS log_id, det_seq, string_agg(type || ' @' || line_number, ' -> ' ORDER BY id) AS timeline FROM (SELECT o_custkey, l_orderkey AS det_seq, l_linenumber AS id, l_returnflag AS type, l_suppkey AS line_number,
-row_number() OVER (PARTITION BY o_custkey, l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE rn <= 5 GROUP BY 1, 2""")
+@register("""WITH u AS (SELECT o_custkey AS log_id, l_orderkey AS det_seq, l_linenumber AS id, min(l_returnflag) AS type, min(l_suppkey) AS line_number FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3)
+SELECT log_id, det_seq, string_agg(type || ' @' || line_number, ' -> ' ORDER BY id) AS timeline FROM (SELECT *, row_number() OVER (PARTITION BY log_id, det_seq ORDER BY id) AS rn FROM u) WHERE rn <= 5 GROUP BY 1, 2""")
 def problem_context(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    e = li.select(F.col("o_custkey").alias("log_id"), F.col("o_orderkey").alias("det_seq"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("line_number"))
+    e = li.groupBy(F.col("o_custkey").alias("log_id"), F.col("o_orderkey").alias("det_seq"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("type"), F.min("l_suppkey").alias("line_number"))
     ids = e.withColumn("id", F.col("det_seq") * 10 + F.col("n"))
     issues = ids.groupBy("log_id", "det_seq").agg(F.sort_array(F.collect_list("id")).alias("event_ids"))
     return render.problem_context(issues, ids)
