@@ -3,8 +3,8 @@
 Pivots are reference vectors from a bounded sample, thinned so that no two are close (else a
 dense cluster would split its members among its own pivots). Every vector is described by its `depth`
 nearest pivots in order and filed in their inverted lists. A pair is retrieved when it shares at
-least `min_shared` pivots and is looked at in the list of its smallest shared pivot only, so each
-pair counts once; retrieved pairs are verified by cosine in double precision.
+least `min_shared` pivots (all of them, where thinning leaves fewer) and is looked at in the list of its
+smallest shared pivot only, so each pair counts once; retrieved pairs are verified by cosine in double precision.
 
 A list longer than `chunk` is dealt out as tiles of chunk against chunk, so no task ever
 holds more than two chunks; a tile returns link counts per vector and links that span its components, never all
@@ -93,6 +93,7 @@ def _tile(pivot: int, same: bool, left: pa.Table, right: pa.Table, cosine: float
 
     ids, x, p = load(left)
     ids2, y, q = (ids, x, p) if same else load(right)
+    min_shared = min(min_shared, p.shape[1])  # fewer pivots than asked for: all vectors share them all
     a, b = np.nonzero(x @ y.T >= cosine)
     if same:
         a, b = a[a < b], b[a < b]

@@ -54,3 +54,13 @@ def test_invalid_vectors_and_repeats(spark):
 
 def test_empty(spark):
     assert pivots.embedding_components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("spread,chunk", [(0.0, 1024), (0.05, 1024), (0.05, 40)])
+def test_one_cluster_with_the_defaults(spark, spread, chunk):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=16) + rng.normal(size=(150, 16)) * spread
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0, "", "") for i, r in enumerate(x)], SCHEMA).repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.embedding_components(df, chunk=chunk).collect()}
+    want = brute(np.arange(150), x, 0.95).sum(1)
+    assert want.min() > 0 and got == {i: (want[i], 0, i == 0) for i in range(150)}
