@@ -359,7 +359,7 @@ def recursive_trigger_indirect(spark, sf):
     st = events(spark, sf).where("type = 'signup'").select("log_id", "id", F.floor(F.col("duration") / 20).alias("object"))
     w = Window.partitionBy("log_id", "object").orderBy("id")
     steps = st.withColumn("next_id", F.lead("id").over(w)).where("next_id is not null").select("log_id", "id", "next_id")
-    return detect.trigger_chains(st, steps, longest=4).select("log_id", "id", F.size("chain").alias("n"))
+    return detect.trigger_chains(st, steps).select("log_id", "id", F.size("chain").alias("n"))
 
 
 _SQLTEXT = "'SELECT a, b FROM ' || source || CASE WHEN doc_id % 2 = 0 THEN ' WHERE lang = ''' || lang || '''' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' LIMIT 5' ELSE '' END"
