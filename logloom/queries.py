@@ -662,7 +662,7 @@ def extract_keywords(spark, sf):
 
 @register("SELECT doc_id, CAST(len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), ['the', 'license', 'apache', 'token'])) AS INTEGER) AS hits FROM documents WHERE lang = 'en' AND len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), ['the', 'license', 'apache', 'token'])) > 0")
 def keyword_search(spark, sf):
-    return memory.keyword_search(table(spark, sf, "documents").where("lang = 'en'"), ["the", "license", "apache", "token"], "doc_id", F.col("text"))
+    return memory.keyword_search(table(spark, sf, "documents"), ["the", "license", "apache", "token"], "doc_id", F.col("text"))
 
 
 @register("""WITH s AS (SELECT user_id, list_distinct(list(event_type)) AS types, list_distinct(list(json_extract_string(props, '$.k'))) AS ks FROM events GROUP BY 1)

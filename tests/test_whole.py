@@ -17,3 +17,9 @@ def test_recursive_trigger_indirect_follows_eleven(spark, tmp_path):
     df.selectExpr("*", "timestamp_seconds(event_id) AS ts", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
     want = {(1, i): min(11, 14 - i // 2) for i in range(28)} | {(2, 90): 2, (2, 92): 1}
     assert {(r.log_id, r.id): r.n for r in queries.recursive_trigger_indirect(spark, str(tmp_path)).collect()} == want
+
+
+def test_keyword_search_reads_all_languages(spark, tmp_path):
+    rows = [(1, "the token", "en"), (2, "Apache et the", "fr"), (3, "nada", "es"), (4, "License", None), (5, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.hits for r in queries.keyword_search(spark, str(tmp_path)).collect()} == {1: 2, 2: 2, 4: 1}
