@@ -8,7 +8,8 @@ the window's length. Only windows whose class has two members stay in the table:
 so neither has anything longer that starts there. Rounds end at windows of `min_lines` lines
 (the last may overlap its halves); a maximal repeated run of at least that length is a chain of such windows. Every
 line of a window whose sequence also starts earlier (smaller id; in one document, earlier line) is
-deleted, so first copies stay whole.
+deleted, so first copies stay whole. With `single_words`, later copies of single lines of more words are deleted too,
+whatever their neighbours are.
 
 Classes are counted with partial aggregation and joined back with skew handling; a line in a third of
 all documents is one row of the class table. Texts are shuffled only if the answers are too many to broadcast.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, materialize
+from .common import give_back, materialize, words
 
 MIN_LINES = 2
 BROADCAST_BYTES = 48 << 20
@@ -49,19 +50,22 @@ def _ranked(classes: DataFrame, by: list[str], name: str) -> DataFrame:
     return materialize(classes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def _round(items: DataFrame, by: list[str], name: str) -> DataFrame:
+def _round(items: DataFrame, by: list[str], name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Items with equal `by` get one rank; items without an equal are dropped. `later`: not the first of its class."""
     classes = items.groupBy(*by).agg(F.count("*").alias("n"), F.min(_order()).alias("first")).where("n > 1")
     ranked = _ranked(classes, by, f"{name}-classes").select(*by, "rank", "first")
-    return items.join(ranked, by).select("doc_id", *_ROW, "pos", "rank", (F.col("first") != _order()).alias("later"))
+    return items.join(ranked, by).select("doc_id", *_ROW, "pos", "rank", (F.col("first") != _order()).alias("later"), *keep)
 
 
-def repeated_windows(docs: DataFrame, min_lines: int) -> DataFrame:
-    """rk, rk2, pos of every window of min_lines lines whose sequence also starts earlier."""
+def repeated_windows(docs: DataFrame, min_lines: int, single_words: int | None = None) -> DataFrame:
+    """rk, rk2, pos of every window of min_lines lines whose sequence also starts earlier; -1 - pos of every line
+    of more than single_words words that also stands earlier."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2")))
-    items = _key(docs).select("doc_id", *_ROW, F.posexplode(hashes)).select("doc_id", *_ROW, "pos", "col.h1", "col.h2")
-    active = materialize(_round(items, ["h1", "h2"], "lines-0").dropDuplicates([*_ROW, "pos"]), "lines-0")
+    # a line of so many words has twice as many characters, less one
+    long = lambda x: F.lit(False) if single_words is None else F.when(F.length(x) > 2 * single_words, F.size(words(x)) > single_words).otherwise(False)
+    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), long(x).alias("long")))
+    items = _key(docs).select("doc_id", *_ROW, F.posexplode(hashes)).select("doc_id", *_ROW, "pos", "col.h1", "col.h2", "col.long")
+    active = singles = materialize(_round(items, ["h1", "h2"], "lines-0", ("long",)).dropDuplicates([*_ROW, "pos"]), "lines-0")
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
@@ -69,7 +73,10 @@ def repeated_windows(docs: DataFrame, min_lines: int) -> DataFrame:
         pairs = active.select("doc_id", *_ROW, "pos", F.col("rank").alias("r1")).join(right, [*_ROW, "pos"])
         length += step
         active = materialize(_round(pairs, ["r1", "r2"], f"lines-{length}"), f"lines-{length}")
-    return active.where("later").select(*_ROW, "pos")
+    found = active.where("later").select(*_ROW, "pos")
+    if single_words is None:
+        return found
+    return found.unionByName(singles.where("later and long").select(*_ROW, (-1 - F.col("pos")).alias("pos")))
 
 
 def _kept(text: bytes | None, starts, k: int):
@@ -80,7 +87,7 @@ def _kept(text: bytes | None, starts, k: int):
     worded = [i for i, x in enumerate(lines) if x.split()]
     if starts is None or not len(starts):
         return len(worded), 0, 0, 0, text
-    gone = sorted({p for s in starts for p in range(s, s + k)})
+    gone = sorted({p for s in starts for p in (range(s, s + k) if s >= 0 else (-1 - s,))})
     runs = longest = size = 0
     before = None
     for p in gone:
@@ -99,11 +106,11 @@ def _slices(batches, rows: int = 1000):
     give_back()
 
 
-def _with_windows(docs: DataFrame, min_lines: int) -> DataFrame:
+def _with_windows(docs: DataFrame, min_lines: int, single_words: int | None = None) -> DataFrame:
     """row (a struct of the columns of docs but text), text, and `starts`: where later copies start in it."""
     rest = [F.col(c) for c in docs.columns if c != "text"]
     src = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated_windows(src.select("doc_id", "text"), min_lines)
+    found = repeated_windows(src.select("doc_id", "text"), min_lines, single_words)
     per_row = materialize(found.groupBy(*_ROW).agg(F.collect_list("pos").alias("starts")), "lines-starts")
     size = per_row.agg(F.sum(F.size("starts") * 4 + 48)).first()[0] or 0
     out = _key(src).join(F.broadcast(per_row) if size <= BROADCAST_BYTES else per_row, _ROW, "left")
@@ -126,9 +133,9 @@ def line_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, longest_run long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, single_words: int | None = None) -> DataFrame:
     """docs with later copies of line runs deleted from text; n_chars, if there, follows."""
-    src = _with_windows(docs, min_lines)
+    src = _with_windows(docs, min_lines, single_words)
     schema = T.StructType([src.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches):

@@ -65,3 +65,12 @@ def test_texts_columns_and_shuffled_answers(spark, monkeypatch):
 
 def test_empty(spark):
     assert lines.line_runs(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_single_lines_go_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    long, edge = " ".join(f"w{j}" for j in range(51)), " ".join(f"v{j}" for j in range(50))
+    rows = [(i, f"own {i}\n{long}\nown too {i}\n{edge}\nend {i}", 1, "", 1) for i in range(6)] + [(9, f" {edge} \nq", 1, "", 1), (10, f" {edge} \nr", 1, "", 1)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert got == {r[0]: r[1].replace(f"\n{long}", "") if 0 < r[0] < 9 else r[1] for r in rows}
