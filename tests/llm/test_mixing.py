@@ -75,3 +75,55 @@ def test_empty_and_unlabelled(spark):
     assert mixing.mixing_rates(empty, none, {"good": 1.0}).collect() == []
     one = mixing.mixing_rates(spark.createDataFrame([(1, "a b", "", 0, "", 0)], SCHEMA), none, {"good": 1.0, "poor": 1.0}).collect()
     assert one[0].p_good == one[0].p_poor == 0.5 and abs(one[0].rate - 1) < 1e-6
+
+
+def instance(rng):
+    k = int(rng.integers(2, 5))
+    p = rng.dirichlet(rng.uniform(0.1, 1.0, k), 40)
+    return p, rng.integers(0, 60, 40), rng.uniform(0.5, 2.0) * rng.dirichlet(rng.uniform(0.1, 1.0, k))  # many targets can't be met
+
+
+def sums(p, n, shift, least):
+    u = 1 - p @ shift
+    r, free = np.maximum(least, u), u >= least
+    return (r * n) @ p, (p * (n * free)[:, None]).T @ p, (n * np.where(free, u * u / 2, u * least - least * least / 2)).sum()
+
+
+def optimum(p, n, t, least):
+    """Accelerated projected gradient with restarts."""
+    best, prior, i = np.ones(len(n)), np.ones(len(n)), 0
+    for _ in range(20_000):
+        ahead = best + i / (i + 3) * (best - prior)
+        new = np.maximum(least, ahead - p @ ((ahead * n) @ p / n.sum() - t))
+        i = 0 if ((ahead - new) * (new - best) * n).sum() > 0 else i + 1
+        prior, best = best, new
+    return best
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_random_instances_reach_the_optimum_with_and_without_a_least_rate(spark, monkeypatch, least):
+    rng = np.random.default_rng(7 + int(least))
+    for case in range(41):
+        p, n, t = instance(rng)
+        table = spark.createDataFrame([(int(a), [float(v) for v in q]) for a, q in zip(n, p)], "n_tokens long, p array<double>")
+        if case == 0:  # one instance by Spark's sums, the others by the same sums in numpy
+            for a, b in zip(mixing._sums(table, np.arange(p.shape[1]) / 2.0, least), sums(p, n, np.arange(p.shape[1]) / 2.0, least)):
+                assert np.allclose(a, b)
+            found = mixing.solve(table, list(t), t.sum(), least)
+            monkeypatch.setattr(mixing, "_sums", lambda table, shift, least: sums(*table, shift, least))
+            monkeypatch.setattr(mixing, "_tokens", lambda table: float(table[1].sum()))
+        else:
+            found = mixing.solve((p, n), list(t), t.sum(), least)
+        r = mixing._rates(p, [found.shift], least)
+        off = lambda r: (r * n) @ p / n.sum() - t
+        assert (r >= least).all() and found.converged
+        assert np.square(off(r)).sum() <= np.square(off(optimum(p, n, t, least))).sum() + 1e-5, case
+        assert np.allclose(found.reached, (r * n) @ p / n.sum()) and found.residual == pytest.approx(np.abs(off(r)).max())
+
+
+def test_resample_with_clashing_names(spark):
+    rows, labels = corpus(2, 60)
+    df, lab = frames(spark, rows, labels)
+    df = df.toDF("doc_id", "text", "_n", "_p", "_copies", "_score")
+    out = mixing.resample(df, lab, {"good": 0.8, "poor": 0.1, "toxic": 0.1})
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows)
