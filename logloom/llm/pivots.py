@@ -68,7 +68,7 @@ def _describe(batches, pivots: np.ndarray, depth: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "pivots"])
 
 
-def _span(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position each of n positions reaches through links a-b."""
     label = np.arange(n)
     while True:
@@ -109,7 +109,7 @@ def _tile(pivot: int, same: bool, left: pa.Table, right: pa.Table, cosine: float
     every = ids if same else np.concatenate((ids, ids2))
     b = b if same else b + len(ids)
     links = np.bincount(a, minlength=len(every)) + np.bincount(b, minlength=len(every))
-    label = _span(len(every), a, b)
+    label = spanning(len(every), a, b)
     counted, spanning = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(every)))
     return pa.Table.from_arrays([
         pa.array(np.concatenate((every[counted], every[spanning])), pa.int64()),

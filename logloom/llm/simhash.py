@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, materialize
@@ -80,8 +80,13 @@ def fingerprint_texts(texts, k: int = 4, lower: bool = True) -> np.ndarray:
     return np.concatenate(out)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart; null is like empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint as a signed long."""
+    """(doc_id, h, fp): h is a hash of the text, fp the unsigned fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
@@ -89,11 +94,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lower: bool = True, id_col:
             step = 512
             fps = [fingerprint_texts(texts.slice(i, step).to_pylist(), shingle, lower) for i in range(0, len(texts), step)]
             fp = np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(fp, pa.int64())], names=["doc_id", "h", "fp"])
         give_back()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.select("doc_id", "text", text_hash(F.col("text")).alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def pivot_references(n: int = PIVOTS) -> np.ndarray:
@@ -251,24 +256,55 @@ def links(distinct_fps: DataFrame, distance: int = 4) -> DataFrame:
     return direct.unionByName(materialize(_ball_links(hot, distance), "simhash-hot"))
 
 
-def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; see the module text."""
+def _placed(docs: DataFrame, distance: int, shingle: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, fp, component, component_id) for every row of docs: component is never null."""
     fps = materialize(fingerprints(docs, shingle, lower, id_col, text_col), "simhash-fp")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     labels = connected_components(links(classes.select("fp"), distance))
     placed = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(smallest, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(placed.join(smallest, "component").select("fp", "component", "component_id"), "fp")
+
+
+def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs; see the module text."""
+    placed = _placed(docs, distance, shingle, lower, id_col, text_col)
+    return placed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Rows to drop up to this number are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def keep_firsts(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row of docs for each component of placed (doc_id, h, component): that of the smallest id, then the smallest hash of its
+    text; a repeat of that row goes too. Rows with a null id stay."""
+    named = placed.where("doc_id is not null")
+    rows = materialize(named.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")), "kept-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    judged = rows.join(first, "component").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("first")).alias("is_first"))
+    changed = materialize(judged.where("not is_first or n > 1").select(F.col("doc_id").alias("_k"), F.col("h").alias("_h"), "is_first"), "kept-changed")
+    few = changed.count() <= BROADCAST_ROWS
+
+    def of(is_first: bool | None, how: str) -> DataFrame:
+        keys = (changed if is_first is None else changed.where("is_first")).select("_k", "_h")
+        return docs.join(F.broadcast(keys) if few else keys, (docs["doc_id"].cast("long") == keys["_k"]) & (text_hash(docs["text"]) == keys["_h"]), how)
+
+    out = of(None, "left_anti")
+    if not changed.where("is_first").isEmpty():
+        key = _free(docs.columns, "_key")
+        again = of(True, "left_semi").withColumn(key, text_hash(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
+        out = out.unionByName(again)
+    return out
 
 
-#: Ids to drop up to this number are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+def _free(columns: list[str], name: str) -> str:
+    while name in columns:
+        name = "_" + name
+    return name
 
 
 def keep_one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs whose id is the smallest of their group; rows with a null id stay, columns too."""
-    placed = simhash_components(docs.select("doc_id", "text"), distance, shingle)
-    gone = materialize(placed.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group, see `keep_firsts`; columns stay."""
+    placed = materialize(_placed(docs.select("doc_id", "text"), distance, shingle, True, "doc_id", "text").select("doc_id", "h", "component"), "simhash-placed")
+    return keep_firsts(docs, placed)

@@ -103,3 +103,13 @@ def test_runs_and_overfull_detection():
     got = {(a, b) for t in simhash._verify_files(batches, 4) for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist())}
     want = {(int(fp[i]), int(fp[j])) for i in range(60) for j in range(i + 1, 60) if key[i] == key[j] and bin(int(fp[i] ^ fp[j]) & (2**64 - 1)).count("1") <= 4}
     assert {frozenset(x) for x in got} == {frozenset(x) for x in want}
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = ("one two three four five", "six seven eight nine ten eleven", "red green blue white black grey", "up down left right here there")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, d), (9, d), (None, a), (None, a), (11, None), (12, "")]
+    df = spark.createDataFrame([(i, t, 0, 0, "k") for i, t in rows], "doc_id long, text string, _key int, h int, component string").repartition(3)
+    want = [(3, a), (5, b), (7, c), (8, d), (11, None), (None, a), (None, a)]
+    got = simhash.keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
