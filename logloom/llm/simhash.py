@@ -50,6 +50,10 @@ def _doc_hashes(text: bytes | None, k: int, lower: bool) -> np.ndarray:
     return np.array(got, np.uint64)
 
 
+#: Hashes that are unpacked into bits at once.
+_AT_ONCE = 1 << 15
+
+
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
     """Per document: bit i is set where more than half of its hashes set it."""
     sizes = np.array([len(x) for x in hashes], np.int64)
@@ -58,9 +62,14 @@ def _majority(hashes: list[np.ndarray]) -> np.ndarray:
     if not len(full):
         return out
     flat = np.concatenate([hashes[i] for i in full])
-    starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-    bits = np.unpackbits(flat.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    ends = np.cumsum(sizes[full])
+    ones = np.zeros((len(full), 64), np.int64)
+    for at in range(0, len(flat), _AT_ONCE):
+        part = flat[at : at + _AT_ONCE]
+        first, last = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
+        starts = np.maximum(ends[first : last + 1] - sizes[full][first : last + 1] - at, 0)
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        ones[first : last + 1] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     maj = (2 * ones > sizes[full][:, None]).astype(np.uint8)
     out[full] = np.packbits(maj, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
@@ -281,8 +290,10 @@ def keep_firsts(docs: DataFrame, placed: DataFrame) -> DataFrame:
     text; a repeat of that row goes too. Rows with a null id stay."""
     named = placed.where("doc_id is not null")
     rows = materialize(named.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")), "kept-rows")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    judged = rows.join(first, "component").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("first")).alias("is_first"))
+    # a component may hold a third of all rows: its first row is pre-aggregated, and goes to the others without dealing them by component
+    first = materialize(rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sum("n").alias("m")).where("m > 1").drop("m"), "kept-firsts")
+    few = first.count() <= BROADCAST_ROWS
+    judged = rows.join(F.broadcast(first) if few else first, "component").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("first")).alias("is_first"))
     changed = materialize(judged.where("not is_first or n > 1").select(F.col("doc_id").alias("_k"), F.col("h").alias("_h"), "is_first"), "kept-changed")
     few = changed.count() <= BROADCAST_ROWS
 

@@ -113,3 +113,10 @@ def test_one_row_of_each_group_stays(spark):
     got = simhash.keep_one_of_each(df)
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_majority_in_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "_AT_ONCE", 7)
+    rng = np.random.default_rng(1)
+    hashes = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (0, 1, 3, 20, 5, 0, 7, 2, 40)]
+    assert simhash._majority(hashes).tolist() == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in x) > len(x)) for x in hashes]
