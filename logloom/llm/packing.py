@@ -2,8 +2,8 @@
 
 Each task keeps a fixed number of open windows. A document is cut into full windows and one rest; the
 rest goes into the open window that it fills best; when it fits none and no more may be opened, the fullest
-window is emitted. When input ends, windows still open are written as leftovers, and the leftovers of a fixed number of tasks are
-merged the same way, so the last step is distributed too and no group grows with the input.
+window is emitted; a full window is written at once. When input ends, windows still open are written as leftovers, and the leftovers of a fixed
+number of tasks are merged by best fit, largest first, over as many windows as those tasks left: the last step is distributed too and no group grows with the input.
 
 Words are tokenized once per worker: the tokenizer never joins text across white space, so the ids
 of a text are those of its words in order.
@@ -173,6 +173,8 @@ class OpenWindows:
 
     def place(self, size: int, pieces: list):
         """Windows that had to be emitted, as lists of pieces."""
+        if size == self.window:
+            return [pieces]
         out = []
         fits = [(f, i) for i, f in enumerate(self.free) if f >= size]
         if fits:
@@ -258,7 +260,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
         left: dict[int, list] = {}
         for r in sorted(group.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"])):
             left.setdefault(r["sequence_id"], []).append((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], r["ids"]))
-        windows, out = OpenWindows(open_windows, window), _Writer((1 << 30) + key[0].as_py(), key[0].as_py())
+        # every leftover of the group fits in as many windows as there were, so none is emitted before all are placed
+        windows, out = OpenWindows(max(1, len(left)), window), _Writer((1 << 30) + key[0].as_py(), key[0].as_py())
         pieces = sorted((p for w in left.values() for p in w), key=lambda p: -p[2])
         for p in pieces:
             for full in windows.place(p[2], [p]):

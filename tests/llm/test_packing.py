@@ -84,3 +84,17 @@ def test_bounded_space():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), tokenizer_path()).collect() == []
+
+
+def test_merging_many_tasks_leaves_little_padding(spark, tokenizer):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "12"]) for _ in range(int(rng.lognormvariate(4.5, 0.8)))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(20)
+    got = packing.pack_documents(df, tokenizer_path(), window=1024).collect()
+    assert check(got, {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}, 1024, False) < 0.01
+
+
+def test_a_full_piece_displaces_no_open_window():
+    windows = packing.OpenWindows(2, 10)
+    assert windows.place(9, ["a"]) == [] and windows.place(8, ["b"]) == []
+    assert windows.place(10, ["c"]) == [["c"]] and windows.place(1, ["d"]) == [["a", "d"]]
