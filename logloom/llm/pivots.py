@@ -2,70 +2,92 @@
 
 Pivots are reference vectors from a bounded sample, thinned so that no two are close (else a
 dense cluster would split its members among its own pivots). Every vector is described by its `depth`
-nearest pivots in order and filed in their inverted lists. A pair is retrieved when it shares at
-least `min_shared` pivots (all of them, where thinning leaves fewer) and is looked at in the list of its
-smallest shared pivot only, so each pair counts once; retrieved pairs are verified by cosine in double precision.
-
-A list longer than `chunk` is dealt out as tiles of chunk against chunk, so no task ever
-holds more than two chunks; a tile returns link counts per vector and links that span its components, never all
-pairs. The number of pivots grows with the number of vectors (up to `max_pivots`), so lists keep their length.
-
-Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, or has
-another length than the pivots (the smallest common length of the sample), links with nothing; rows with
-the same id are one vector (the smallest array counts); rows with a null id are returned with no links, a
-null component and kept false; an empty table gives no rows; extra columns are ignored.
+nearest pivots in order. A pair is retrieved when it shares at least `min_shared` of them, by inverted lists: a vector is filed under every two of
+its pivots (under each, where `min_shared` is one), so only vectors that share two meet in a list, shared pivots are counted first, and cosines are
+taken, in double precision, of the pairs with enough of them. A pair counts only in the list of its two smallest shared pivots. Lists
+of two pivots are about as many as neighbouring pivots, so they stay short when the table outgrows the number of pivots.
+
+Equal vectors are one node with a count, so copies are never compared. A list longer than `chunk` is dealt out as tiles of chunk against
+chunk, so no task ever holds more than two chunks; a tile returns link counts and links that span its components, never all pairs.
+Each length of vectors has pivots of its own; vectors of a length that the sample lacks are all in one list, compared exactly.
+
+Defined cases: a vector that is null, empty, zero, or holds null or non-finite components links with nothing; vectors of different lengths
+don't link; a vector is an id with an array: equal rows are one, one id with several arrays is returned once for each; rows with a null id are
+returned with no links, a null component and kept false; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 
 VECTORS_PER_PIVOT = 40
-MAX_PIVOTS = 1 << 15
+MAX_PIVOTS = 1 << 13
 APART = 0.5
-CHUNK = 1024
-
-
-def _choose(sample: list, most: int) -> np.ndarray:
-    """Unit pivots of one length, none closer than APART to one before it."""
-    if not sample:
-        return np.empty((0, 0))
-    dims = Counter(map(len, sample))
-    dim = min(d for d, c in dims.items() if c == max(dims.values()))
-    x = np.array([v for v in sample if len(v) == dim], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    kept = np.empty((min(most, len(x)), dim))
-    n = 0
-    for v in x:
-        if n < len(kept) and (n == 0 or (kept[:n] @ v).max() < APART):
-            kept[n] = v
-            n += 1
-    return kept[:n]
-
-
-def _describe(batches, pivots: np.ndarray, depth: int):
-    for b in batches:
-        ids, raw = b.column(0).to_pylist(), b.column(1)
-        flat = np.asarray(raw.flatten().cast(pa.float32()))
-        x = flat.reshape(len(ids), -1).astype(np.float64)
+CHUNK = 512
+#: Rows of a table of lists that are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def _choose(sample: list, most: int) -> dict[int, np.ndarray]:
+    """Unit pivots of each length, none closer than APART to one before it; `most` over all lengths, shared by their numbers."""
+    out = {}
+    for dim in sorted({len(v) for v in sample}):
+        x = np.array([v for v in sample if len(v) == dim], np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = []
-        for i in range(0, len(x), 512):
-            s = x[i : i + 512] @ pivots.T
-            top = np.argpartition(-s, depth - 1, axis=1)[:, :depth]
-            order = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
-            near.append(order.astype(np.int32))
-        near = np.concatenate(near) if near else np.empty((0, depth), np.int32)
-        rows = flat.reshape(len(ids), -1)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "pivots"])
+        kept, n = np.empty((max(1, min(most * len(x) // len(sample), len(x))), dim)), 0
+        for v in x:
+            if n < len(kept) and (n == 0 or (kept[:n] @ v).max() < APART):
+                kept[n] = v
+                n += 1
+        out[dim] = kept[:n]
+    return out
+
+
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of large or tiny components stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
+    depth, near = min(depth, len(pivots)), []
+    for i in range(0, len(x), 512):
+        s = x[i : i + 512] @ pivots.T
+        top = np.argpartition(-s, depth - 1, axis=1)[:, :depth]
+        near.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(near).astype(np.int32)
+
+
+def _describe(batches, pivots: dict[int, np.ndarray], depth: int, min_shared: int):
+    """(node, m, dim, v, pivots, lists) of batches (node, m, embedding)."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            part = b.slice(at, 2048)
+            vectors = [np.array(v, np.float64) for v in part.column(2).to_pylist()]
+            near, lists = [None] * len(vectors), [None] * len(vectors)
+            for dim in {len(v) for v in vectors}:
+                rows = [i for i, v in enumerate(vectors) if len(v) == dim]
+                if dim not in pivots:
+                    for i in rows:
+                        near[i], lists[i] = [], [-1]
+                    continue
+                found = _nearest(_units([vectors[i].tobytes() for i in rows], dim), pivots[dim], depth)
+                up = np.sort(found, axis=1).astype(np.int64)
+                one = min(min_shared, up.shape[1]) < 2
+                keys = up if one else np.stack([up[:, i] << 32 | up[:, j] for i, j in combinations(range(up.shape[1]), 2)], axis=1)
+                for i, n, k in zip(rows, found.tolist(), keys.tolist()):
+                    near[i], lists[i] = n, k
+            columns = [part.column(0), part.column(1), pa.array(map(len, vectors), pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(near, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "m", "dim", "v", "pivots", "lists"])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,95 +105,112 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _TILE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_NONE = np.iinfo(np.int64).max
+
+
+def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Numbers of shared pivots of all rows of p with all of q."""
+    known, place = np.unique(np.concatenate((p.ravel(), q.ravel())), return_inverse=True)
+    rows = np.zeros((len(p) + len(q), len(known)), np.float32)
+    rows[np.repeat(np.arange(len(rows)), p.shape[1]), place.ravel()] = 1
+    return rows[: len(p)] @ rows[len(p) :].T
+
 
+def _owned(key: int, p: np.ndarray, q: np.ndarray, one: bool) -> np.ndarray:
+    """Per pair of rows: whether key is the list of their smallest shared pivot, or two pivots."""
+    shared = np.sort(np.where((p[:, :, None] == q[:, None, :]).any(axis=2), p.astype(np.int64), _NONE), axis=1)
+    return (shared[:, 0] if one else shared[:, 0] << 32 | shared[:, 1]) == key
 
-def _tile(pivot: int, same: bool, left: pa.Table, right: pa.Table, cosine: float, min_shared: int) -> pa.Table:
+
+def _tile(key: int, dim: int, same: bool, left: pa.Table, right: pa.Table, cosine: float, min_shared: int) -> pa.Table:
     def load(t):
-        x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(t.num_rows, -1).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return t.column("vec_id").to_numpy(), x, np.array(t.column("pivots").to_pylist(), np.int32).reshape(t.num_rows, -1)
+        return t.column("node").to_numpy(), t.column("m").to_numpy(), _units(t.column("v").to_pylist(), dim), np.array(t.column("pivots").to_pylist(), np.int32).reshape(t.num_rows, -1)
 
-    ids, x, p = load(left)
-    ids2, y, q = (ids, x, p) if same else load(right)
+    ids, m, x, p = load(left)
+    ids2, m2, y, q = (ids, m, x, p) if same else load(right)
     min_shared = min(min_shared, p.shape[1])  # fewer pivots than asked for: all vectors share them all
-    a, b = np.nonzero(x @ y.T >= cosine)
+    found = np.ones((len(ids), len(ids2)), bool) if key < 0 else _shared(p, q) >= min_shared
     if same:
-        a, b = a[a < b], b[a < b]
-    ok = []
-    for i in range(0, len(a), 100_000):
-        pa_, qb = p[a[i : i + 100_000]], q[b[i : i + 100_000]]
-        shared = (pa_[:, :, None] == qb[:, None, :]).any(axis=2)
-        smallest = np.where(shared, pa_, np.iinfo(np.int32).max).min(axis=1)
-        ok.append((shared.sum(axis=1) >= min_shared) & (smallest == pivot))
-    if ok:
-        ok = np.concatenate(ok)
-        a, b = a[ok], b[ok]
+        found &= np.arange(len(ids))[:, None] < np.arange(len(ids))[None, :]
+    if 8 * found.sum() > found.size:
+        a, b = np.nonzero(found & (x @ y.T >= cosine))
+    else:
+        a, b = np.nonzero(found)
+        ok = [np.einsum("ij,ij->i", x[a[i : i + 50_000]], y[b[i : i + 50_000]]) >= cosine for i in range(0, len(a), 50_000)]
+        a, b = (a[k], b[k]) if ok and len(k := np.concatenate(ok)) else (a, b)
+    if key >= 0:
+        ok = [_owned(key, p[a[i : i + 50_000]], q[b[i : i + 50_000]], min_shared < 2) for i in range(0, len(a), 50_000)]
+        a, b = (a[k], b[k]) if ok and len(k := np.concatenate(ok)) else (a, b)
     every = ids if same else np.concatenate((ids, ids2))
+    links = np.bincount(a, m2[b], minlength=len(every)).astype(np.int64)
     b = b if same else b + len(ids)
-    links = np.bincount(a, minlength=len(every)) + np.bincount(b, minlength=len(every))
+    links += np.bincount(b, m[a], minlength=len(every)).astype(np.int64)
     label = spanning(len(every), a, b)
-    counted, spanning = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(every)))
+    counted, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(every)))
     return pa.Table.from_arrays([
-        pa.array(np.concatenate((every[counted], every[spanning])), pa.int64()),
-        pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(every[label[spanning]], pa.int64())]),
-        pa.array(np.concatenate((links[counted], np.zeros(len(spanning), np.int64))), pa.int64()),
+        pa.array(np.concatenate((every[counted], every[moved])), pa.int64()),
+        pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(every[label[moved]], pa.int64())]),
+        pa.array(np.concatenate((links[counted], np.zeros(len(moved), np.int64))), pa.int64()),
     ], schema=_TILE)
 
 
-def pivot_index(vectors: DataFrame, depth: int, max_pivots: int, vectors_per_pivot: int) -> DataFrame:
-    """(vec_id, v, pivots) of valid vectors; v holds the float components."""
-    ok = (
-        F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-        & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-        & F.exists("embedding", lambda c: c != 0)
-    )
-    valid = vectors.where(ok)
-    n = valid.count()
+def pivot_index(nodes: DataFrame, depth: int, min_shared: int, max_pivots: int, vectors_per_pivot: int) -> DataFrame:
+    """(node, m, dim, v, pivots, lists) of nodes (node, m, embedding); v holds the components as doubles."""
+    n = nodes.count()
     most = int(min(max_pivots, max(4 * depth, n // vectors_per_pivot)))
     # the vectors with the smallest hashes; a bound on the hash leaves each task a few of them and not its own first 2 * most
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31))
-    few = valid.select("vec_id", "embedding", place.alias("place")).where(F.col("place") < int(min(1.0, 8 * most / max(n, 1)) * (1 << 31)))
-    sample = [r.embedding for r in few.orderBy("place", "vec_id").limit(2 * most).select("embedding").collect()]
-    pivots = _choose(sample, most)
-    if not len(pivots):
-        return valid.select("vec_id", F.lit(b"").alias("v"), F.array().cast("array<int>").alias("pivots")).limit(0)
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)
-    depth = min(depth, len(pivots))
-    return valid.where(F.size("embedding") == pivots.shape[1]).select("vec_id", "embedding").mapInArrow(lambda it: _describe(it, held.value, depth), "vec_id long, v binary, pivots array<int>")
+    place = F.pmod(F.xxhash64("embedding"), F.lit(1 << 31))
+    few = nodes.select("embedding", place.alias("place")).where(F.col("place") < int(min(1.0, 8 * most / max(n, 1)) * (1 << 31)))
+    sample = [r.embedding for r in few.orderBy("place", "embedding").limit(2 * most).select("embedding").collect()]
+    held = nodes.sparkSession.sparkContext.broadcast(_choose(sample, most))
+    return nodes.select("node", "m", "embedding").mapInArrow(lambda it: _describe(it, held.value, depth, min_shared), "node long, m long, dim int, v binary, pivots array<int>, lists array<long>")
 
 
 def links(index: DataFrame, cosine: float, min_shared: int, chunk: int) -> DataFrame:
-    """(a, null, n): n links of a; (a, b, 0): spanning links. Counts of one vector add up over rows."""
-    filed = index.select(F.explode("pivots").alias("pivot"))
-    sizes = {r.pivot: r["count"] for r in filed.groupBy("pivot").count().where(F.col("count") > chunk).collect()}  # a row for each overlong list: at most one a pivot
-    parts = F.lit(1)
-    if sizes:
-        table = F.create_map(*[F.lit(x) for p, c in sizes.items() for x in (p, -(-c // chunk))])
-        parts = F.coalesce(F.element_at(table, F.col("pivot")), F.lit(1))
-    dealt = index.select("vec_id", "v", "pivots", F.explode("pivots").alias("pivot")).withColumn("parts", parts)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id", "pivot"), F.col("parts")).cast("int"))
+    """(a, null, n): n links of a; (a, b, 0): spanning links. Counts of one node add up over rows."""
+    filed = index.select("node", "dim", F.explode("lists").alias("list"))
+    sizes = materialize(filed.groupBy("dim", "list").count().where("count > 1").select("dim", "list", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "pivot-lists")
+    # a list with one vector has no pair: vectors travel only to the others
+    few = sizes.count() <= BROADCAST_ROWS
+    dealt = index.select("node", "m", "dim", "v", "pivots", F.explode("lists").alias("list")).join(F.broadcast(sizes) if few else sizes, ["dim", "list"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "list"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = dealt.select("vec_id", "v", "pivots", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    tiles = dealt.select("node", "m", "dim", "v", "pivots", "list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def run(key, group):
-        pivot, i, j = (k.as_py() for k in key)
+        dim, at, i, j = (k.as_py() for k in key)
         own = group.column("own").to_numpy()
         left = group if i == j else group.filter(pa.array(own == i))
         right = group if i == j else group.filter(pa.array(own == j))
-        return _tile(pivot, i == j, left, right, cosine, min_shared)
+        return _tile(at, dim, i == j, left, right, cosine, min_shared)
 
-    return tiles.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long, n long")
+    return tiles.groupBy("dim", "list", "i", "j").applyInArrow(run, "a long, b long, n long")
 
 
 def embedding_components(embeddings: DataFrame, cosine: float = 0.95, depth: int = 6, min_shared: int = 2, max_pivots: int = MAX_PIVOTS, vectors_per_pivot: int = VECTORS_PER_PIVOT, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    src = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
-    vectors = materialize(src.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "pivot-vectors")
-    index = materialize(pivot_index(vectors, depth, max_pivots, vectors_per_pivot), "pivot-index")
+    src = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    vectors = src.where("vec_id is not null").distinct()
+    ok = (
+        F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+        & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+        & F.exists("embedding", lambda c: c != 0)
+    )
+    vectors = materialize(vectors.withColumn("valid", F.coalesce(ok, F.lit(False))), "pivot-vectors")
+    classes = vectors.where("valid").groupBy("embedding").agg(F.count("*").alias("m"), F.min("vec_id").alias("rep"))
+    nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "pivot-nodes")  # numbers are fixed by the written table
+    index = materialize(pivot_index(nodes, depth, min_shared, max_pivots, vectors_per_pivot), "pivot-index")
     found = materialize(links(index, cosine, min_shared, chunk), "pivot-links")
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "vec_id")
-    labels = connected_components(found.where("b is not null")).withColumnRenamed("node", "vec_id")
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("other")).withColumnRenamed("a", "node")
+    labels = connected_components(found.where("b is not null"))
+    placed = nodes.select("node", "embedding", "m", "rep").join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed.withColumn("n_links", F.col("m") - 1 + F.coalesce("other", F.lit(0))), "pivot-placed")
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+    few = materialize(least, "pivot-least")
+    joined = placed.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "component", "left").select("embedding", "n_links", F.coalesce("component_id", "rep").alias("component_id"))
+    out = vectors.where("valid").join(joined, "embedding").select("vec_id", "n_links", "component_id")
+    alone = vectors.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     nameless = src.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone).unionByName(nameless)
+    discard(index)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
