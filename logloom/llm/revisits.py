@@ -7,9 +7,9 @@ payload digest if both have one, else the entity tag (weak comparison), else the
 If they agree, the revisit takes the response's headers, replaced by its own where a not-modified
 response may do so; headers that describe the stored body or one connection never are.
 
-The as-of join is a running maximum over (URL, time bucket), seeded by a running maximum over the
-buckets' last responses: a URL with a third of all captures is spread over the buckets, and what is gathered
-per URL is at most one row a bucket.
+The as-of join is a running maximum over (URL, time bucket), seeded, in buckets that ask, by a running maximum over the
+buckets' last responses: a URL with a third of all captures is spread over the buckets, whose number follows that of the captures, and what is gathered
+per URL is at most two rows a bucket. Captures of one URL at one time share a bucket.
 
 Defined cases: a revisit without an earlier response is `unmatched`; one whose validators differ is
 `mismatch`, one that shares no kind of validator with the response is `unverified`; neither takes headers. Null or empty URLs match
@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Captures of a time bucket, about, and the most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 500_000, 512
 #: Headers that a not-modified response never replaces.
 STORED_ONLY = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that don't change what a URL shows.
@@ -33,8 +34,8 @@ def canonical_url(url: Column) -> Column:
     """Host in lower case without www and default port, path without final slashes, query without tracking parameters
     in order; scheme, user and fragment are dropped. Null if there is no host."""
     bare = F.regexp_replace(F.btrim(url), r"#.*$", "")
-    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:]+)", 1))
-    port = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?[^/?:]+:([0-9]+)", 1)
+    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?:]+)", 1))  # in brackets: an IPv6 address
+    port = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[^/?:]+):([0-9]+)", 1)
     path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]+([^?]*)", 1)
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
@@ -60,26 +61,27 @@ def _match(own: Column, past: Column) -> Column:
     return F.when(past.isNull(), "unmatched").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
 
 
-def _bounds(captures: DataFrame, buckets: int) -> list[int]:
+def _bounds(captures: DataFrame, buckets: int | None) -> list[int]:
+    buckets = buckets or int(min(MOST_BUCKETS, max(16, captures.count() // BUCKET_ROWS)))
     found = captures.agg(F.percentile_approx("ts", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()
     return sorted(set(found.q or []))
 
 
-def resolve_revisits(captures: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def resolve_revisits(captures: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per revisit: record_id, canonical_url, ts, outcome, response_id, response_ts, status and the merged headers."""
     src = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", "status", _lower_names(F.col("headers")).alias("headers"), "digest")
-    cuts = _bounds(src, buckets)
+    cuts = _bounds(captures.select(F.col("ts").cast("long").alias("ts")), buckets)
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
     known = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
     src = src.withColumn("bucket", bucket)
     full = F.when(known & (F.col("kind") == "response") & (F.col("status") == 200), F.struct("record_id", "ts", "status", "headers", "digest"))
     marked = src.where(known).withColumns({"full": full, "order": F.when(full.isNotNull(), F.struct("ts", "record_id"))})
     last = marked.where("full is not null").groupBy("canonical_url", "bucket").agg(F.max_by("full", "order").alias("full"), F.max("order").alias("order"))
-    before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = last.select("canonical_url", "bucket", F.max_by("full", "order").over(before).alias("carried"))
-    # what a bucket starts with: the running maximum up to the latest earlier bucket that has a response
-    spans = carried.withColumn("until", F.lead("bucket").over(Window.partitionBy("canonical_url").orderBy("bucket")))
-    seeds = spans.select("canonical_url", "carried", F.explode(F.sequence(F.col("bucket") + 1, F.coalesce("until", F.lit(len(cuts) + 1)))).alias("bucket"))
+    # what a bucket that asks starts with: the running maximum of the buckets before it
+    asked = marked.where("kind = 'revisit'").groupBy("canonical_url", "bucket").agg(F.lit(True).alias("asked"))
+    steps = last.withColumn("asked", F.lit(None).cast("boolean")).unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy("canonical_url").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    seeds = steps.withColumn("carried", F.max_by("full", "order").over(before)).where("asked and carried is not null").select("canonical_url", "bucket", "carried")
     inside = Window.partitionBy("canonical_url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     here = marked.withColumn("here", F.max_by("full", "order").over(inside)).where("kind = 'revisit'")
     matched = here.join(seeds, ["canonical_url", "bucket"], "left").withColumn("past", F.coalesce("here", "carried"))

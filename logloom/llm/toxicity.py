@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import fingerprint_texts
+
 SAMPLE = 1500
 FOLDS = 5
 CHUNK = 64
@@ -150,17 +152,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _unlike(rows: list[tuple[str, int]], bits: int = 4) -> list[tuple[str, int]]:
+    """rows without blank texts, and of those with one label whose fingerprints differ in at most `bits` bits only the first in
+    order: a text that was copied teaches once. The sample is bounded, so are the pairs."""
+    rows = sorted({(t, y) for t, y in rows if t.strip()})
+    fps = fingerprint_texts([t.encode() for t, _ in rows])
+    kept: list[tuple[str, int]] = []
+    held = {0: np.empty(len(rows), np.uint64), 1: np.empty(len(rows), np.uint64)}
+    n = {0: 0, 1: 0}
+    for (t, y), f in zip(rows, fps):
+        if not n[y] or np.bitwise_count(held[y][: n[y]] ^ f).min() > bits:
+            held[y][n[y]] = f
+            n[y] += 1
+            kept.append((t, y))
+    return kept
+
+
 def train(rows: list[tuple[str | None, int]], steps: int = 30, l2: float = 1e-3) -> Field:
-    """rows: (text, toxic). Copies that share a beginning or an end with a text seen before are left out."""
+    """rows: (text, toxic). Near copies with one label teach once."""
     rows = [(t or "", int(y)) for t, y in rows if y is not None]
     prior = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
     model = Field(layer=np.array([math.log(prior / (1 - prior)), 0.0, 0.0]))
-    seen, kept = set(), []
-    for t, y in sorted(rows):
-        ends = {(0, t[:48]), (1, t[-48:])}
-        if t.strip() and not ends & seen:
-            kept.append((t, y))
-        seen |= ends
+    kept = _unlike(rows)
     if len({y for _, y in kept}) < 2:
         return model
     docs = [(t.encode().split(), y) for t, y in kept]

@@ -66,3 +66,16 @@ def test_empty_and_repeats(spark):
     assert revisits.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, "http://a.com/x", 1, "response", 200, {"ETag": "1"}, None, 0, "", ""), *[(2, "http://a.com/x", 2, "revisit", 304, {"etag": "1"}, None, 0, "", "")] * 2]
     assert [r.response_id for r in revisits.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()] == [1, 1]
+
+
+def test_addresses_in_brackets_are_hosts(spark):
+    urls = {"http://[2001:db8::1]/a": "[2001:db8::1]/a", "http://[2001:DB8::2]:80/a/": "[2001:db8::2]/a", "https://u@[::1]:8080/x?b=1&a=2#f": "[::1]:8080/x?a=2&b=1", "http://www.a.org:443/": "a.org"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", revisits.canonical_url(F.col("url")).alias("c"))
+    assert {r.url: r.c for r in df.collect()} == urls
+
+
+def test_a_hot_url_in_many_buckets(spark):
+    rows = [(i, "http://a.org/x", i, "response" if i % 3 == 0 else "revisit", 200 if i % 3 == 0 else 304, {"etag": "t"}, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string")
+    got = {r.record_id: r.response_id for r in revisits.resolve_revisits(df, 40).collect()}
+    assert got == {i: i - i % 3 for i in range(3000) if i % 3}
