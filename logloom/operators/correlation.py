@@ -10,6 +10,8 @@ from ..functions.text import found
 BEFORE_MS, WINDOW_MS, LEAST, MOST = 5_000, 60_000, 0.5, 10
 # fixed values: weight of each kind of evidence
 EVIDENCE_WEIGHTS = {"JOB_ID": 0.95, "CLASS_NAME": 0.70, "TIMING": 0.60, "USER": 0.40, "METHOD_NAME": 0.80, "BATCH": 0.65, "OPERATION": 0.75}
+# fixed values: event types that are asynchronous boundaries
+BOUNDARY_TYPES = ("ASYNC_JOB_ENQUEUED", "FUTURE_CALL", "QUEUEABLE_JOB", "BATCH_APEX_START")
 # fixed values: calls that start a job
 JOB_CALLS = {"QUEUEABLE": r"(?i)System\.enqueueJob", "BATCH": r"(?i)Database\.executeBatch", "SCHEDULABLE": r"(?i)System\.schedule", "FUTURE": r"(?i)@future"}
 
@@ -34,11 +36,13 @@ def extract_jobs(events: DataFrame, w_rows: int = 10) -> DataFrame:
     return told.where("job_type is not null").select("log_id", "id", "job_type", F.col("job_class").alias("class_name"), F.col("timestamp").alias("enqueued_at"), "line_number", "job_id")
 
 
-def dedupe_near(rows: DataFrame, keys: list[str], time: str, within: Column | float, order: str = "id") -> DataFrame:
-    """Rows that come more than `within` after the row before them with the same keys."""
-    w = Window.partitionBy(*keys).orderBy(time, order)
-    gap = F.col(time) - F.lag(time).over(w)
-    return rows.withColumn("_g", gap).where(F.col("_g").isNull() | (F.col("_g") > within)).drop("_g")
+def dedupe_near(rows: DataFrame, keys: list[str], time: str, within: float, order: str = "id") -> DataFrame:
+    """Rows that come `within` or more after the last kept row with the same keys (in order of time, then order).
+
+    Which row is kept depends on which was kept before it, so a key's rows are folded in order; keys belong to one log, which bounds them."""
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("_t"), F.col(order).alias("_o"), F.struct(*rows.columns).alias("_row")))).alias("_all"))
+    kept = F.aggregate("_all", F.filter("_all", lambda r: F.lit(False)), lambda k, r: F.when((F.size(k) == 0) | (r["_t"] - F.element_at(k, -1)["_t"] >= within), F.concat(k, F.array(r))).otherwise(k))
+    return listed.select(F.explode(kept).alias("_r")).select("_r._row.*")
 
 
 def context_first(events: DataFrame, value: Column, before: int = 10, after: int = 9, log: str = "log_id", order: str = "id") -> Column:
@@ -76,19 +80,89 @@ def combined_confidence(evidence: DataFrame, keys: list[str], reason: str = "rea
     return evidence.groupBy(*keys).agg(n.alias("n_reasons"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence"), F.bool_or(F.col(reason) == "JOB_ID").alias("has_job_id"))
 
 
-def correlate(jobs: DataFrame, catalog: DataFrame, window_ms: int = WINDOW_MS, least: float = LEAST, most: int = MOST) -> DataFrame:
-    """Logs of a job: (job_key, class_name, enqueued_ms) with (child_id, start_ms, operation, user). Jobs without one get a row of confidence 0.3."""
-    pairs = interval_join(jobs.withColumn("_k", F.lit(1)), catalog.withColumn("_k", F.lit(1)), ["_k"], "enqueued_ms", "start_ms", BEFORE_MS, window_ms)
-    named = F.contains(F.lower("operation"), F.lower("class_name"))
-    reasons = F.array_compact(F.array(F.struct(F.lit("TIMING").alias("reason"), timing_confidence(F.col("gap_ms"), window_ms).alias("confidence")), F.when(named, F.struct(F.lit("CLASS_NAME").alias("reason"), F.lit(0.7).alias("confidence")))))
-    evidence = pairs.where(named).select("job_key", "child_id", "gap_ms", F.explode(reasons).alias("r")).select("job_key", "child_id", "gap_ms", "r.*")
+def names_class(operation: Column, class_name: Column) -> Column:
+    """Whether a log's operation names a class, with dots or slashes; the name Unknown names none."""
+    op, name = F.lower(F.coalesce(operation, F.lit(""))), F.lower(class_name)
+    return F.coalesce((class_name != "Unknown") & (F.contains(op, name) | F.contains(op, F.replace(name, F.lit("."), F.lit("/")))), F.lit(False))
+
+
+def likely_child(enqueued_ms: Column, started_ms: Column, class_name: Column, operation: Column) -> Column:
+    """A quick test: the class is named within an hour, or the log starts within a minute."""
+    gap = started_ms - enqueued_ms
+    named = (class_name != "Unknown") & F.contains(F.lower(operation), F.lower(class_name))
+    return gap.between(-BEFORE_MS, 3_600_000) & (named | ((gap >= 0) & (gap < WINDOW_MS)))
+
+
+def with_records(jobs: DataFrame, records: DataFrame | None) -> DataFrame:
+    """jobs with record_id, created_ms and completed_ms of their record: that of their id, else the latest of their class.
+
+    records: (record_id, record_class, created_ms, completed_ms); a job still running counts as one of an hour."""
+    if records is None:
+        return jobs.withColumns({"record_id": F.lit(None).cast("string"), "created_ms": F.lit(None).cast("long"), "completed_ms": F.lit(None).cast("long")})
+    r = records.withColumn("completed_ms", F.coalesce("completed_ms", F.col("created_ms") + 3_600_000))
+    whole = F.struct("record_id", "created_ms", "completed_ms")
+    by_id = r.groupBy(F.col("record_id").alias("job_id")).agg(F.max_by(whole, "created_ms").alias("_i"))
+    by_class = r.groupBy(F.lower("record_class").alias("_class")).agg(F.max_by(whole, F.struct("created_ms", "record_id")).alias("_c"))
+    out = jobs.join(by_id, "job_id", "left").withColumn("_class", F.lower("class_name")).join(by_class, "_class", "left").withColumn("_r", F.coalesce("_i", "_c"))
+    return out.select(*jobs.columns, "_r.record_id", "_r.created_ms", "_r.completed_ms")
+
+
+def correlate(jobs: DataFrame, catalog: DataFrame, window_ms: int = WINDOW_MS, least: float = LEAST, most: int = MOST, records: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Logs of a job: (job_key, class_name, enqueued_ms[, job_id]) with (child_id, start_ms, operation); jobs without one get a row of confidence 0.3.
+
+    A log matches in the job's time window if its operation names the class or it starts while the job's record runs; what
+    both tables are dealt by is the window's time bucket and `keys` that they share (as an organisation or user)."""
+    jobs = jobs if "job_id" in jobs.columns else jobs.withColumn("job_id", F.lit(None).cast("string"))
+    asked = with_records(jobs, records).withColumn("_k", F.lit(1))
+    pairs = interval_join(asked, catalog.withColumn("_k", F.lit(1)), [*keys, "_k"], "enqueued_ms", "start_ms", BEFORE_MS, window_ms)
+    named = names_class(F.col("operation"), F.col("class_name"))
+    running = F.coalesce(F.col("start_ms").between(F.col("created_ms") - BEFORE_MS, F.col("completed_ms") + BEFORE_MS), F.lit(False))
+    proof = lambda when, reason, score: F.when(when, F.struct(F.lit(reason).alias("reason"), score.cast("double").alias("confidence")))
+    reasons = F.array_compact(F.array(proof(named, "CLASS_NAME", F.lit(0.7)), proof(F.col("gap_ms") <= WINDOW_MS, "TIMING", timing_confidence(F.col("gap_ms"))), proof(F.col("job_id") == F.col("record_id"), "JOB_ID", F.lit(0.95))))
+    evidence = pairs.where(named | running).select("job_key", "child_id", "gap_ms", F.explode(reasons).alias("r")).select("job_key", "child_id", "gap_ms", "r.*")
     scored = combined_confidence(evidence, ["job_key", "child_id", "gap_ms"]).where(F.col("confidence") >= least)
-    place = F.row_number().over(Window.partitionBy("job_key").orderBy(F.desc("confidence"), F.desc("n_reasons"), "child_id"))
+    place = F.row_number().over(Window.partitionBy("job_key").orderBy(F.desc("confidence"), F.desc("n_reasons"), F.desc("has_job_id"), "child_id"))
     kept = scored.withColumn("place", place).where(F.col("place") <= most)
     lone = jobs.select("job_key").join(kept.select("job_key"), "job_key", "left_anti").select("job_key", F.lit(None).cast("string").alias("child_id"), F.lit(0.3).alias("confidence"), F.lit(1).alias("place"))
     return kept.select("job_key", F.col("child_id").cast("string").alias("child_id"), "confidence", "place").unionByName(lone)
 
 
+def score_candidate(job: dict[str, Column], log: dict[str, Column], record: dict[str, Column]) -> Column:
+    """array<struct(reason, confidence)> of all that ties a job (class_name, method_name, job_type, job_id, enqueued_ms) to a log (operation, start_ms), with
+    the job's record (id, class_name, created_ms, kind; null ids for none)."""
+    op, name, method = F.lower(F.coalesce(log["operation"], F.lit(""))), F.lower(job["class_name"]), F.lower(job["method_name"])
+    has = record["id"].isNotNull()
+    gap, since = log["start_ms"] - job["enqueued_ms"], log["start_ms"] - record["created_ms"]
+    by_class = F.when(F.contains(op, name), 0.8).when(F.contains(op, F.element_at(F.split(name, r"\."), -1)), 0.65).when(has & (F.lower(record["class_name"]) == name), 0.85)
+    by_time = F.when(gap.between(-BEFORE_MS, WINDOW_MS), F.when(gap < 10_000, 0.8).when(gap < 30_000, 0.6).otherwise(0.4)).when(has & since.between(-BEFORE_MS, 120_000), F.when(since < 30_000, 0.7).otherwise(0.5))
+    batch = op.rlike(r"batch|start\(\)|execute\(\)|finish\(\)")
+    found_ = (
+        ("JOB_ID", F.when(has & (job["job_id"] == record["id"]), 0.95)),
+        ("CLASS_NAME", F.when(job["class_name"] != "Unknown", by_class)),
+        ("TIMING", F.when(gap >= -BEFORE_MS, by_time)),
+        ("METHOD_NAME", F.when((job["job_type"] == "FUTURE") & (method != "") & F.contains(op, method), 0.85)),
+        ("BATCH", F.when((job["job_type"] == "BATCH") & has & record["kind"].isin("BatchApex", "BatchApexWorker") & batch, 0.75)),
+    )
+    return F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("reason"), c.cast("double").alias("confidence"))) for n, c in found_]))
+
+
+def extraction_confidence(jobs: Column, unknown: Column, without_id: Column, events: Column) -> Column:
+    """From the numbers of jobs, of those without a class or an id, and of events."""
+    n = F.greatest(jobs, F.lit(1))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - 0.3 * unknown / n - 0.2 * without_id / n - F.when(events < 50, 0.1).otherwise(0.0)))
+
+
+def starts_job() -> Column:
+    """Whether an event is an asynchronous boundary: its type, or a method whose name starts a job."""
+    calls = F.coalesce(F.col("method_name"), F.lit("")).rlike("|".join(JOB_CALLS[k] for k in ("QUEUEABLE", "BATCH", "SCHEDULABLE")))
+    return F.col("type").isin(*BOUNDARY_TYPES) | ((F.col("type") == "METHOD_ENTRY") & calls)
+
+
+def count_jobs(events: DataFrame) -> DataFrame:
+    """(log_id, n_jobs, has_jobs) of every log, without extracting the jobs."""
+    return events.groupBy("log_id").agg(F.count_if(starts_job()).alias("n_jobs")).withColumn("has_jobs", F.col("n_jobs") > 0)
+
+
 def segments(events: DataFrame, boundary: Column, log: str = "log_id", order: str = "id") -> DataFrame:
     """events with segment: how many boundary events come up to each."""
     w = Window.partitionBy(log).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -30,8 +30,22 @@ LIMITS = {
 }
 # fixed values: pairs of parent and child objects that are often read one by one
 KNOWN_PAIRS = (("Account", "Contact"), ("Account", "Opportunity"), ("Opportunity", "OpportunityLineItem"), ("Order", "OrderItem"), ("Case", "CaseComment"))
-# fixed values: fields with an index
-INDEXED_FIELDS = (r"\bId\b", r"\bName\b", r"\bOwnerId\b", r"\bCreatedDate\b", r"\bLastModifiedDate\b", r"\bSystemModstamp\b", r"\bRecordTypeId\b", r"\bEmail\b", r"\w+__r\b", r"\w+Id\b", r"\w+__c\b")
+# fixed values: filters that use an index (letters in either case)
+INDEXED_FIELDS = (
+    r"\bID\s*=",
+    r"\bNAME\s*=",
+    r"\bOWNERID\s*=",
+    r"\bCREATEDBYID\s*=",
+    r"\bLASTMODIFIEDBYID\s*=",
+    r"\bCREATEDDATE\s*[<>=]",
+    r"\bLASTMODIFIEDDATE\s*[<>=]",
+    r"\bSYSTEMMODSTAMP\s*[<>=]",
+    r"\bRECORDTYPEID\s*=",
+    r"\bIN\s*:",
+    r"\b\w+__C\s*=\s*:",
+)
+# fixed values: shapes of trigger names (letters in either case) and the group that holds the object
+TRIGGER_NAMES = ((r"^(\w+?)_?Trigger\z", 1), (r"^(\w+?)_?Before", 1), (r"^(\w+?)_?After", 1), (r"^([\w_]+)__(\w+?)Trigger\z", 2))
 
 
 def issue(df: DataFrame, detector: str, **cols) -> DataFrame:
@@ -172,13 +186,14 @@ def repeated(events: DataFrame, pattern: Column, time: Column, log: str = "log_i
 
 
 def method_loop_queries(tree: DataFrame) -> DataFrame:
-    """Methods entered three times or more with a query under some entry: calls, queries, score."""
+    """Methods entered three times or more with a query under some entry: calls, queries, events, score and severity by calls."""
     name = F.concat_ws(".", "class_name", "method_name")
     entries = tree.where("type = 'METHOD_ENTRY'").select("log_id", "id", name.alias("method"))
-    often = entries.groupBy("log_id", "method").agg(F.count("*").alias("n_calls")).where("n_calls >= 3")
+    often = entries.groupBy("log_id", "method").agg(F.count("*").alias("n_calls"), F.sort_array(F.collect_list("id")).alias("calls")).where("n_calls >= 3")
     over = with_ancestors(tree, F.col("type") == "METHOD_ENTRY").join(tree.where("type = 'SOQL_EXECUTE_BEGIN'").select("log_id", "id"), ["log_id", "id"], "left_semi")
-    hits = over.join(entries.withColumnRenamed("id", "ancestor_id"), ["log_id", "ancestor_id"]).groupBy("log_id", "method").agg(F.sort_array(F.collect_set("id")).alias("event_ids"))
-    return often.join(hits, ["log_id", "method"]).withColumns({"n_queries": F.size("event_ids"), "confidence": F.least(F.lit(0.95), 0.5 + F.size("event_ids") / 20)})
+    hits = over.join(entries.withColumnRenamed("id", "ancestor_id"), ["log_id", "ancestor_id"]).groupBy("log_id", "method").agg(F.sort_array(F.collect_set("id")).alias("queries"))
+    scored = {"n_queries": F.size("queries"), "event_ids": F.concat("calls", "queries"), "confidence": F.least(F.lit(0.95), 0.5 + F.col("n_calls") / 20)}
+    return often.join(hits, ["log_id", "method"]).withColumns({**scored, "severity": ladder(F.col("n_calls"), (20, "CRITICAL"), (10, "HIGH"), other="MEDIUM")}).drop("calls", "queries")
 
 
 def dedupe_issues(issues: DataFrame, ids: str = "event_ids", key: str = "log_id", order: str = "det_seq") -> DataFrame:
@@ -194,7 +209,7 @@ def query_loop_issues(tree: DataFrame) -> DataFrame:
     found_ = repeated(begins, normalize_query(F.col("query")), F.col("timestamp") / 1e6).where("score >= 0.6")
     loops = issue(found_, "query_in_loop", type="SOQL_IN_LOOP", severity=ladder(F.col("n"), (20, "CRITICAL"), (10, "HIGH"), other="MEDIUM"), title=F.substring("pattern", 1, 200), confidence=F.col("score"), occurrences=F.col("n"), event_ids=F.col("event_ids")).withColumn("det_seq", F.lit(0))
     methods = method_loop_queries(tree)
-    more = issue(methods, "query_in_loop", type="SOQL_IN_LOOP", severity=ladder(F.col("n_queries"), (20, "CRITICAL"), (10, "HIGH"), other="MEDIUM"), title=F.col("method"), confidence=F.col("confidence"), occurrences=F.col("n_queries"), event_ids=F.col("event_ids")).withColumn("det_seq", F.lit(1))
+    more = issue(methods, "query_in_loop", type="SOQL_IN_LOOP", severity=F.col("severity"), title=F.col("method"), confidence=F.col("confidence"), occurrences=F.col("n_calls"), event_ids=F.col("event_ids")).withColumn("det_seq", F.lit(1))
     return dedupe_issues(loops.unionByName(more)).drop("det_seq")
 
 
@@ -240,8 +255,8 @@ def direct_recursion(starts: DataFrame, log: str = "log_id", name: str = "unit_n
 
 
 def trigger_object(name: Column) -> Column:
-    """The object that a trigger's name tells."""
-    return F.coalesce(found(name, r"(?i)\bon\s+(\w+)"), found(name, r"(?i)^(\w+?)_?Trigger"), found(name, r"(?i)Trigger_?(\w+)$"), found(name, r"^(\w+?)(?:Handler)$"))
+    """The object that a trigger's name tells, else the name."""
+    return F.coalesce(*[found(name, f"(?i){p}", g) for p, g in TRIGGER_NAMES], name)
 
 
 def next_triggers(starts: DataFrame, writes: DataFrame, closes: DataFrame) -> DataFrame:
@@ -288,18 +303,37 @@ def plan_selectivity(cost: Column, rows: Column, operation: Column) -> tuple[Col
     return n, severity
 
 
-def query_heuristics(query: Column) -> Column:
-    """Score of what makes a query unselective, at most 0.85."""
+def _heuristics(query: Column) -> list[tuple[Column, float]]:
+    """(finding, weight) of what a query's text shows; what is said of filters is sought in the WHERE clause alone."""
     q = F.upper(query)
     where = q.contains("WHERE")
-    clause = F.regexp_extract(query, r"(?is)WHERE\s+(.*?)(?:ORDER\s+BY|GROUP\s+BY|LIMIT|$)", 1)
-    indexed = reduce(lambda a, b: a | b, [clause.rlike(p) for p in INDEXED_FIELDS])
-    columns = F.size(F.split(F.regexp_extract(query, r"(?is)SELECT\s+(.*?)\s+FROM", 1), ","))
-    score = (
-        F.when(~where, 0.3).otherwise(0) + F.when(q.rlike(r"LIKE\s+'%"), 0.25).otherwise(0) + F.when(q.rlike(r"NOT\s+IN|!=|<>"), 0.15).otherwise(0) + F.when(q.rlike(r"\sOR\s"), 0.1).otherwise(0)
-        + F.when(where & ~indexed, 0.2).otherwise(0) + F.when(columns >= 5, 0.1).otherwise(0) + F.when(~where & ~q.contains("LIMIT"), 0.2).otherwise(0)
-    )
-    return F.round(F.least(F.lit(0.85), score), 4)
+    clause = F.trim(F.regexp_extract(q, r"WHERE\s+(.+?)(?:ORDER BY|GROUP BY|LIMIT|\z)", 1))
+    filters = where & (clause != "")
+    indexed = clause.rlike("|".join(f"(?:{p})" for p in INDEXED_FIELDS))
+    return [
+        (~where, 0.3),
+        (filters & clause.rlike(r"%\w|LIKE\s+'%"), 0.25),
+        (filters & clause.rlike(r"NOT\s+IN|!=|<>"), 0.15),
+        (filters & clause.rlike(r"\sOR\s"), 0.1),
+        (filters & ~indexed, 0.2),
+        (q.rlike(r"SELECT\s+\*|SELECT.*,.*,.*,.*,"), 0.1),
+        (~where & ~q.contains("LIMIT"), 0.2),
+    ]
+
+
+def heuristic_total(query: Column) -> Column:
+    """Sum of the findings' weights, null without a query."""
+    return F.when(query != "", F.round(reduce(lambda a, b: a + b, [F.when(f, w).otherwise(0.0) for f, w in _heuristics(query)]), 4))
+
+
+def heuristic_severity(total: Column) -> Column:
+    """Null where nothing was found."""
+    return F.when(total >= 0.4, "HIGH").when(total >= 0.25, "MEDIUM").when(total > 0, "LOW")
+
+
+def query_heuristics(query: Column) -> Column:
+    """Score of what makes a query unselective, at most 0.85; 0 without a query."""
+    return F.least(F.lit(0.85), F.coalesce(heuristic_total(query), F.lit(0.0)))
 
 
 def likely_non_selective(query: Column) -> Column:
@@ -315,8 +349,8 @@ def selectivity_issues(tree: DataFrame) -> DataFrame:
     """Plans, else the query's text, else the number of rows: the first that finds something."""
     e = tree.where(F.col("type").isin(*S.QUERY_TYPES))
     n, by_plan = plan_selectivity(F.col("query_plan.relative_cost"), F.col("query_plan.cardinality"), F.col("query_plan.leading_operation_type"))
-    score = F.coalesce(query_heuristics(F.col("query")), F.lit(0.0))
-    by_text = F.when(score >= 0.4, "HIGH").when(score >= 0.25, "MEDIUM")
+    score = query_heuristics(F.col("query"))
+    by_text = heuristic_severity(heuristic_total(F.col("query")))
     by_rows = F.when((F.col("type") == "SOQL_EXECUTE_END") & (F.col("row_count") >= 1000), row_count_severity(F.col("row_count"), F.col("duration") / 1e6))
-    e = e.withColumns({"_sev": F.coalesce(by_plan, by_text, by_rows), "_conf": F.when(by_plan.isNotNull(), F.least(F.lit(0.95), 0.6 + 0.1 * n)).when(by_text.isNotNull(), score).otherwise(0.7)}).where("_sev is not null")
+    e = e.withColumns({"_sev": F.coalesce(by_plan, by_text, by_rows), "_conf": F.when(by_plan.isNotNull(), F.least(F.lit(0.95), 0.6 + 0.1 * n)).when(by_text.isNotNull(), score).otherwise(F.when(F.col("row_count") >= 10_000, 0.85).otherwise(0.65))}).where("_sev is not null")
     return issue(e, "non_selective", type=F.when(F.col("_sev") == "HIGH", "NON_SELECTIVE_QUERY").otherwise("SLOW_QUERY"), severity=F.col("_sev"), title=F.coalesce(F.substring("query", 1, 200), F.lit("query plan")), confidence=F.col("_conf"), occurrences=F.lit(1), event_ids=F.array("id"))

@@ -12,10 +12,10 @@ WEIGHTS = {"issue_type": 0.25, "error": 0.15, "objects": 0.15, "namespaces": 0.1
 
 
 def keyword_search(entries: DataFrame, query_words: list[str], id_col: str, text: Column) -> DataFrame:
-    """(id, hits) of entries that hold any of the words, most first."""
+    """(id, hits) of entries that hold any of the words, most first, then by id."""
     words = F.array(*map(F.lit, query_words))
     hits = F.size(F.array_intersect(keywords(text), words))
-    return entries.select(id_col, hits.alias("hits")).where("hits > 0")
+    return entries.select(id_col, hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), id_col)
 
 
 def error_signature(text: Column) -> Column:
@@ -51,11 +51,25 @@ def signature_similarity(a: str, b: str) -> Column:
     return similarity([(WEIGHTS["issue_type"], F.when(f(a, "issue_type") == f(b, "issue_type"), 1.0).otherwise(0.0), None), (WEIGHTS["error"], F.when(f(a, "error_signature") == f(b, "error_signature"), 1.0).otherwise(0.0), both_errors), *sets])
 
 
+#: Queries without a candidate that are held against all entries at once.
+BLOCK = 10_000
+
+
 def candidates(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, entry_id) with the same issue type or a shared object: equality joins, never all pairs."""
+    """(query_id, entry_id) with the same issue type or a shared object: equality joins. A query that shares neither with any entry gets
+    every entry: such queries go to the entries in blocks of BLOCK."""
     same = queries.select("query_id", F.col("signature.issue_type").alias("k")).join(entries.select("entry_id", F.col("signature.issue_type").alias("k")), "k").select("query_id", "entry_id")
-    shared = queries.select("query_id", F.explode("signature.objects").alias("k")).join(entries.select("entry_id", F.explode("signature.objects").alias("k")), "k").select("query_id", "entry_id")
-    return same.unionByName(shared).distinct()
+    objects = lambda df, i: df.select(i, F.explode("signature.objects").alias("k")).select(i, F.lower("k").alias("k"))
+    shared = objects(queries, "query_id").join(objects(entries, "entry_id"), "k").select("query_id", "entry_id")
+    found_ = same.unionByName(shared).distinct()
+    types, names = entries.select(F.col("signature.issue_type").alias("k")).distinct(), objects(entries, "entry_id").select("k").distinct()
+    met = queries.select("query_id", F.col("signature.issue_type").alias("k")).join(types, "k", "left_semi").unionByName(objects(queries, "query_id").join(names, "k", "left_semi").select("query_id", "k"))
+    lone = queries.select("query_id").join(met.select("query_id"), "query_id", "left_anti")
+    n = lone.count()
+    for block in range(-(-n // BLOCK)):
+        part = lone.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
+        found_ = found_.unionByName(entries.select("entry_id").join(F.broadcast(part)).select("query_id", "entry_id"))
+    return found_
 
 
 def find_similar(queries: DataFrame, entries: DataFrame, least: float = 0.3, top: int = 10) -> DataFrame:
@@ -132,3 +146,20 @@ def derive_key(phrase: str, salt: bytes, rounds: int = 100_000) -> bytes:
     import hashlib
 
     return hashlib.pbkdf2_hmac("sha256", phrase.encode(), salt, rounds, 32)
+
+
+def matching_patterns(rows: DataFrame, patterns: dict[str, str], text: Column, *keep: str) -> DataFrame:
+    """(keep, name): every known error pattern that a row's text matches."""
+    hits = F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in patterns.items()]))
+    return rows.select(*keep, F.explode(hits).alias("name"))
+
+
+def outcomes(episodes: DataFrame, outcome: str, value: str) -> DataFrame:
+    """(outcome, n, mean) of all episodes."""
+    return episodes.groupBy(F.col(outcome).alias("outcome")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def similar_episodes(episodes: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """(id, first_id, n): each episode's group of equal keys, by its first member and size: pairs are not spelled out."""
+    groups = episodes.groupBy(*keys).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))
+    return episodes.select(*keys, id_col).join(groups, keys).select(id_col, "first_id", "n")

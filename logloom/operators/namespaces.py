@@ -22,6 +22,11 @@ VENDORS = {
     "sflabs": ("platform labs", "Labs Components", "PLATFORM_INTERNAL"),
     "vlocity_cmt": ("platform", "Industries", "PLATFORM_INTERNAL"),
 }
+# fixed values: visibility of the code of known namespaces
+KNOWN_VISIBILITY = {
+    "SBQQ": "PRIVATE", "blng": "PRIVATE", "fferpcore": "PRIVATE", "c2g": "PRIVATE", "pse": "PRIVATE", "nFORCE": "PRIVATE", "APXT": "PRIVATE", "dsfs": "PRIVATE",
+    "fflib_apex_mocks": "PUBLIC", "sflabs": "PUBLIC", "vlocity_cmt": "PRIVATE",
+}
 # fixed values: names of the platform that are no namespaces
 PLATFORM = ("System", "Schema", "Database", "ApexPages", "Test", "Auth", "Cache", "Canvas", "ConnectApi", "Dom", "Flow", "Http", "Messaging", "Reports", "Site", "UserInfo", "Limits", "Math", "JSON", "String", "List", "Map", "Set", "Trigger", "Batch")
 
@@ -86,25 +91,88 @@ def namespace_stats(events: DataFrame, keys: tuple[str, ...] = ("log_id",), name
 
 
 def attribution(managed: Column, user: Column, boundary: Column) -> Column:
-    """Whose an issue is, from three scores."""
-    top = F.greatest(managed, user, boundary)
-    return F.when(top == 0, "UNKNOWN").when(boundary == top, "BOUNDARY").when(managed == top, "MANAGED_PACKAGE").otherwise("USER_CODE")
+    """Whose an issue is, from three sums of evidence."""
+    return F.when((boundary > 0.5) & (user > 0) & (managed > 0), "BOUNDARY").when((managed > user) & (managed > 0.3), "MANAGED_PACKAGE").when(user > managed, "USER_CODE").otherwise("UNKNOWN")
+
+
+def attribution_confidence(managed: Column, user: Column, boundary: Column) -> Column:
+    source, most = attribution(managed, user, boundary), F.lit(0.9)
+    return F.when(source == "BOUNDARY", F.least(most, boundary)).when(source == "MANAGED_PACKAGE", F.least(most, 0.5 + managed)).when(source == "USER_CODE", F.least(most, 0.5 + user)).otherwise(0.5)
+
+
+# fixed values: errors that tell of a package
+PACKAGE_ERRORS = (r"(?i)UNABLE_TO_LOCK_ROW.*managed", r"FIELD_CUSTOM_VALIDATION_EXCEPTION.*\w{2,15}__", r"Apex script unhandled.*\w{2,15}\.")
 
 
 def attribute_issues(issues: DataFrame, events: DataFrame, near: int = 5) -> DataFrame:
-    """(log_id, det_seq, managed, user, boundary, attribution) of issues with event ids.
-
-    Evidence: events in a package, classes with a namespace, crossings within five ids, triggers, obfuscated names."""
-    ids = issues.select("log_id", "det_seq", F.explode("event_ids").alias("id"))
-    e = ids.join(events.select("log_id", "id", "type", "class_name", "method_name", shown_namespace().alias("ns")), ["log_id", "id"])
-    cross = crossings(events).select("log_id", F.col("id").alias("cross_id"))
-    close = ids.join(cross, "log_id").where(F.abs(F.col("id") - F.col("cross_id")) <= near).select("log_id", "det_seq").distinct().withColumn("close", F.lit(1.0))
-    per = e.groupBy("log_id", "det_seq").agg(F.max(F.when(F.col("ns").isNotNull(), 0.9).otherwise(F.when(obfuscated_name(F.col("class_name")), 0.7).otherwise(0.0))).alias("managed"), F.max(F.when(F.col("ns").isNull(), 0.5).otherwise(0.0)).alias("user"))
-    out = per.join(close, ["log_id", "det_seq"], "left").withColumn("boundary", F.coalesce(F.col("close") * 0.85, F.lit(0.0))).drop("close")
-    return out.withColumn("attribution", attribution(F.col("managed"), F.col("user"), F.col("boundary")))
-
-
-def visibility(calls: DataFrame, key: str = "namespace", name: str = "method_name") -> DataFrame:
-    """(key, n, ratio, visibility): many different readable names speak for open code."""
-    out = calls.groupBy(key).agg(F.count("*").alias("n"), (F.count_distinct(name) / F.count("*")).alias("ratio"), F.avg(F.length(name)).alias("name_length"))
-    return out.withColumn("visibility", F.when((F.col("ratio") > 0.5) & (F.col("name_length") > 5), "PUBLIC").when(F.col("name_length") <= 3, "PRIVATE").otherwise("UNKNOWN"))
+    """(log_id, det_seq, managed, user, boundary, attribution, attribution_confidence) of issues with event ids; a column code_snippet is read if there.
+
+    Evidence adds up: entering a package, other namespaces that events show, class prefixes, trigger and handler names, obfuscated methods,
+    namespaces and errors in the snippet, and each crossing within `near` ids. Crossings are found by buckets of ids, not by comparing with a log's all."""
+    key = ["log_id", "det_seq"]
+    ids = issues.select(*key, F.explode("event_ids").alias("id")).distinct()
+    e = ids.join(events.select("log_id", "id", "type", "class_name", "method_name", "namespace"), ["log_id", "id"])
+    enters, named = F.col("type") == "ENTERING_MANAGED_PKG", F.coalesce(F.col("namespace"), F.lit("")) != ""
+    spaces = e.where(named).groupBy(*key, "namespace").agg(F.count_if(enters).alias("n"), F.min(F.when(enters, F.col("id"))).alias("e"), F.min(F.when(~enters, F.col("id"))).alias("p"))
+    # a namespace counts of its own only where no event before it has entered the package
+    markers = spaces.groupBy(*key).agg(F.sum(0.9 * F.col("n") + F.when(F.col("p").isNotNull() & (F.col("e").isNull() | (F.col("p") < F.col("e"))), 0.8).otherwise(0.0)).alias("markers"))
+    method = F.col("type").isin("METHOD_ENTRY", "METHOD_EXIT")
+    prefix, trigger = method & F.col("class_name").rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*__"), method & F.col("class_name").rlike("Trigger|Handler")
+    odd = method & (F.length("method_name") > 0) & obfuscated_name(F.col("method_name"))
+    code = e.groupBy(*key).agg((0.75 * F.count_if(prefix) + 0.25 * F.count_if(trigger) + 0.7 * F.count_if(odd)).alias("code"), (0.25 * F.count_if(trigger)).alias("handlers"))
+    width = 2 * near + 1
+    cross = crossings(events).select("log_id", F.col("id").alias("cross_id"), F.explode(F.array_distinct(F.array(F.floor((F.col("id") - near) / width), F.floor((F.col("id") + near) / width)))).alias("_b"))
+    close = ids.withColumn("_b", F.floor(F.col("id") / width)).join(cross, ["log_id", "_b"]).where(F.abs(F.col("id") - F.col("cross_id")) <= near)
+    bounds = close.groupBy(*key).agg((0.85 * F.count_distinct("cross_id")).alias("boundary"))
+    text = F.col("code_snippet") if "code_snippet" in issues.columns else F.lit(None).cast("string")
+    told = 0.65 * F.size(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Z][a-zA-Z0-9_]{1,14})__\w+"), 1)))
+    error = F.coalesce(text.rlike("|".join(f"(?:{p})" for p in PACKAGE_ERRORS)), F.lit(False))
+    out = issues.select(*key, (told + F.when(error, 0.6).otherwise(0.0)).alias("told")).distinct()
+    for part in (markers, code, bounds):
+        out = out.join(part, key, "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    out = out.select(*key, (z("markers") + z("code") + z("told")).alias("managed"), (F.when(F.col("markers").isNull(), 0.7).otherwise(0.0) + z("handlers")).alias("user"), z("boundary").alias("boundary"))
+    scores = (F.round("managed", 9), F.round("user", 9), F.round("boundary", 9))
+    return out.withColumns({"attribution": attribution(*scores), "attribution_confidence": attribution_confidence(*scores)})
+
+
+# fixed values: names of methods that are short but not obfuscated, shapes of obfuscated and of readable names
+FRAMEWORK_METHODS = ("execute", "run", "invoke", "handle", "process")
+OBFUSCATED_SHAPES = (r"(?i)^[a-z]\z", r"(?i)^[a-z][0-9a-z]+\z", r"^(.)\1{2,}\z", r"(?i)^__[a-z]+\z", r"(?i)^[a-z]+_\d+\z")
+READABLE_SHAPES = (r"^[a-z][a-zA-Z0-9]*\z", r"^(get|set|handle|process|create|update|delete|validate|calculate)[A-Z]", r"^(on|handle|before|after)[A-Z]", r"^test[A-Z]")
+
+
+def obfuscated_method(name: Column) -> Column:
+    shaped = name.rlike("|".join(f"(?:{p})" for p in OBFUSCATED_SHAPES[:2])) | name.rlike(OBFUSCATED_SHAPES[2]) | name.rlike("|".join(f"(?:{p})" for p in OBFUSCATED_SHAPES[3:]))
+    return ~F.lower(name).isin(*FRAMEWORK_METHODS) & (shaped | ((F.length(name) <= 2) & ~name.rlike(r"(?i)^(do|go|is|on)\z")))
+
+
+def readable_method(name: Column) -> Column:
+    return name.rlike("|".join(f"(?:{p})" for p in READABLE_SHAPES)) | (F.length(name).between(5, 50) & name.rlike(r"^[a-z][a-zA-Z0-9_]*\z"))
+
+
+def visibility(events: DataFrame, key: str = "namespace", name: str = "method_name", stack: str | None = None, order: str = "id") -> DataFrame:
+    """(key, n, obfuscated, readable, private, public, visibility, confidence) of each namespace.
+
+    Known packages have what the table says. Else evidence adds up: the share of obfuscated or readable names among the distinct ones, the
+    first exception whose frames (column `stack`, an array) tell, and the namespace's length."""
+    names = events.where(F.col(key).isNotNull()).select(key, F.when(F.col(name) != "", F.col(name)).alias("_n")).distinct()
+    odd = obfuscated_method(F.col("_n"))
+    out = names.groupBy(key).agg(F.count("_n").alias("n"), F.count_if(odd).alias("obfuscated"), F.count_if(~odd & readable_method(F.col("_n"))).alias("readable"))
+    if stack:
+        hidden, clear = F.exists(stack, lambda f: f.rlike(r"\(\d+\)\z|Class\.[A-Z]+\.\d+")), F.exists(stack, lambda f: f.rlike(r"\w+\.\w+\.(\w{5,})"))
+        kind = F.when(hidden, "hidden").when(clear, "clear")
+        out = out.join(events.select(key, order, kind.alias("_kind")).where("_kind is not null").groupBy(key).agg(F.min_by("_kind", order).alias("_kind")), key, "left")
+    else:
+        out = out.withColumn("_kind", F.lit(None).cast("string"))
+    many = lambda c: F.col("n") < 2 * F.col(c)
+    long = F.length(key)
+    step = lambda when, x: F.when(when, x).otherwise(0.0)
+    private = step(many("obfuscated"), 0.8) + step(F.col("_kind") == "hidden", 0.6) + F.when(long.between(2, 4), 0.4).when(long < 2, 0.3).otherwise(0.0)
+    public = step(many("readable") & ~many("obfuscated"), 0.7) + step(F.col("_kind") == "clear", 0.5) + F.when(long > 8, 0.15).when(long > 4, 0.1).otherwise(0.0)
+    out = out.withColumns({"private": F.round(private, 4), "public": F.round(public, 4)}).drop("_kind")
+    known = F.create_map(*[F.lit(x) for n, v in KNOWN_VISIBILITY.items() for x in (n, v)])
+    own = F.when((F.col("private") > F.col("public")) & (F.col("private") > 0.5), "PRIVATE").when((F.col("public") > F.col("private")) & (F.col("public") > 0.5), "PUBLIC").otherwise("UNKNOWN")
+    sure = F.when(own == "UNKNOWN", 0.5).otherwise(F.least(F.lit(0.9), 0.5 + F.greatest("private", "public")))
+    told = F.element_at(known, F.col(key))
+    return out.withColumns({"visibility": F.coalesce(told, own), "confidence": F.when(told.isNotNull(), 0.95).otherwise(F.round(sure, 4))})

@@ -23,11 +23,22 @@ PATTERNS = {
     "api_key": ("CRITICAL", "API_KEY", r"""(?i)\b(?:api[_-]?key|apikey|access[_-]?token|bearer)[=:\s]+['"]?[\w-]{20,}['"]?""", r"(?i)api|key|bearer|access"),
     "password": ("CRITICAL", "PASSWORD", r"""(?i)\b(?:password|passwd|pwd|secret)[=:\s]+['"]?[^\s'"]{4,}['"]?""", r"(?i)password|passwd|pwd|secret"),
 }
-# fixed values: field names by sensitivity, the first that fits decides
+# fixed values: field names (letters in either case) by sensitivity and what they tell, the first that fits decides
 FIELD_RULES = (
-    ("CRITICAL", r"(?i)password|passwd|pwd"), ("CRITICAL", r"(?i)secret"), ("CRITICAL", r"(?i)token"), ("CRITICAL", r"(?i)api[_-]?key"), ("CRITICAL", r"(?i)ssn|social"), ("CRITICAL", r"(?i)credit|card"),
-    ("HIGH", r"(?i)e?mail"), ("HIGH", r"(?i)phone|mobile|fax"), ("HIGH", r"(?i)birth|dob"), ("MEDIUM", r"(?i)address|street|city|zip|postal"), ("MEDIUM", r"(?i)name"), ("LOW", r"(?i)ip"), ("LOW", r"(?i)id$"),
-)
+    (r"password|passwd|pwd|secret", "CRITICAL", "Password field"),
+    (r"ssn|social.?security", "CRITICAL", "SSN field"),
+    (r"credit.?card|card.?number|ccn", "CRITICAL", "Credit card field"),
+    (r"api.?key|access.?token|bearer", "CRITICAL", "API key/token field"),
+    (r"session.?id|session.?token", "CRITICAL", "Session field"),
+    (r"email|e-mail", "HIGH", "Email field"),
+    (r"phone|mobile|cell|fax", "HIGH", "Phone field"),
+    (r"address|street|city|zip|postal", "HIGH", "Address field"),
+    (r"birth.?date|dob|date.?of.?birth", "HIGH", "Date of birth field"),
+    (r"name|first.?name|last.?name|full.?name", "MEDIUM", "Name field"),
+    (r"user.?name|username", "MEDIUM", "Username field"),
+    (r"ip.?address|client.?ip", "MEDIUM", "IP address field"),
+    (r"id$|_id$|Id$", "LOW", "ID field"),
+)
 
 
 @dataclass
@@ -73,12 +84,25 @@ def text_sensitivity(text: Column) -> Column:
     return out.otherwise("NONE")
 
 
+def _first_rule(name: Column, part: int, other: str) -> Column:
+    out = F.lit(other)
+    for rule in reversed(FIELD_RULES):
+        out = F.when(name.rlike(f"(?i){rule[0]}"), rule[part]).otherwise(out)
+    return out
+
+
 def field_sensitivity(name: Column) -> Column:
-    out = None
-    for level, pattern in FIELD_RULES:
-        hit = name.rlike(pattern)
-        out = F.when(hit, level) if out is None else out.when(hit, level)
-    return out.otherwise("NONE")
+    return _first_rule(name, 1, "NONE")
+
+
+def field_reason(name: Column) -> Column:
+    return _first_rule(name, 2, "No sensitive pattern detected in name")
+
+
+def classify_field(name: Column, value: Column) -> Column:
+    """struct(inferred, actual, combined): by the field's name, by its value, and the higher one."""
+    inferred, actual = field_sensitivity(name), text_sensitivity(value)
+    return F.struct(inferred.alias("inferred"), actual.alias("actual"), max_sensitivity(inferred, actual).alias("combined"))
 
 
 def max_sensitivity(a: Column, b: Column) -> Column:
@@ -86,7 +110,8 @@ def max_sensitivity(a: Column, b: Column) -> Column:
 
 
 def likely_pii(text: Column) -> Column:
-    return F.contains(text, F.lit("@")) | text.rlike(r"\d{3}[-.\s]\d{3,4}") | text.rlike(r"\d{4}[-\s]?\d{4}") | text.rlike(r"(?i)password|token|secret")
+    """A cheap test: an address, a number grouped like a phone's or a card's, or a word for credentials."""
+    return (F.contains(text, F.lit("@")) & text.rlike(r"\.\w{2,}")) | text.rlike(r"\d{3}[-.\s]?\d{3}[-.\s]?\d{4}|\d{4}[-\s]?\d{4}|(?i:password|secret|token|api.?key)")
 
 
 def redact(text: Column, policy: Policy = MODERATE) -> Column:

@@ -163,3 +163,18 @@ def queries_under_looping_methods(tree: DataFrame) -> DataFrame:
     queries = tree.where("type = 'SOQL_EXECUTE_BEGIN'")
     hit = with_ancestors(tree, F.col("type") == "METHOD_ENTRY").join(loops, ["log_id", "ancestor_id"], "left_semi").select("log_id", "id")
     return queries.join(hit, ["log_id", "id"], "left_semi")
+
+
+def debug_messages(events: DataFrame, pattern: str, types: tuple[str, ...] = ("USER_DEBUG", "SYSTEM_DEBUG"), message: str = "message") -> DataFrame:
+    """Debug events whose message matches the pattern, letters in either case."""
+    return events.where(F.col("type").isin(*types) & F.col(message).rlike(f"(?i){pattern}"))
+
+
+def catalogue(logs: DataFrame, order: list[Column], limit: int | None = None, **filters) -> DataFrame:
+    """Logs by column, in an order: name=value, name__min, name__max (both included), name__has (a part of it, letters in either case)."""
+    for name, value in filters.items():
+        column, _, how = name.partition("__")
+        c = F.col(column)
+        logs = logs.where(c >= value if how == "min" else c <= value if how == "max" else F.contains(F.lower(c), F.lit(str(value).lower())) if how == "has" else c == value)
+    out = logs.orderBy(*order)
+    return out if limit is None else out.limit(limit)

@@ -75,3 +75,38 @@ def overall_confidence(parsing: Column, detection: Column, attribution: Column,
 
 def confidence_level(score: Column) -> Column:
     return F.when(score >= 0.8, "HIGH").when(score >= 0.6, "MEDIUM").when(score >= 0.4, "LOW").otherwise("VERY_LOW")
+
+
+def parsing_confidence(score: Column, parsed: Column, failed: Column, total: Column, n_types: Column) -> Column:
+    """The parser's own score, less for lines that gave nothing and for few kinds of events."""
+    rate = parsed / total
+    s = score * F.when(rate >= 0.95, 1.0).when(rate >= 0.9, 0.9).otherwise(0.7)
+    s = s * F.when(failed > 0, F.greatest(F.lit(0.5), 1 - 2 * failed / total)).otherwise(1.0) * F.when(n_types < 3, 0.8).otherwise(1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
+
+
+def _by_mean(mean: Column) -> Column:
+    return F.when(mean.isNull() | (mean >= 0.8), 1.0).when(mean >= 0.6, 0.9).otherwise(0.7)
+
+
+def detection_confidence(mean_confidence: Column, n_events: Column) -> Column:
+    """From the issues' mean confidence (null without issues) and the number of events."""
+    return _by_mean(mean_confidence) * F.when(n_events < 10, 0.6).when(n_events < 100, 0.9).otherwise(1.0)
+
+
+def attributed_confidence(n_issues: Column, n_unknown: Column, mean_confidence: Column) -> Column:
+    """From the share of issues of unknown origin and the mean confidence of their attribution."""
+    share = F.when(n_unknown > 0, F.greatest(F.lit(0.5), 1 - 0.5 * n_unknown / n_issues)).otherwise(1.0)
+    return F.when(n_issues > 0, share * _by_mean(mean_confidence)).otherwise(1.0)
+
+
+# fixed values: what is left of the confidence by kind of truncation; other kinds are like the last
+TRUNCATION_FACTORS = {"SIZE_LIMIT": 0.5, "TIMEOUT": 0.6, "LINE_LIMIT": 0.7}
+
+
+def completeness_confidence(truncated: Column, kind: Column, lost: Column, total: Column, started: Column, finished: Column) -> Column:
+    """From how a log was cut, the lines lost (null where unknown), and whether what started has finished."""
+    percent = F.floor(100 * lost / (total + lost) + 0.5)
+    cut = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in TRUNCATION_FACTORS.items() for x in p]), kind), F.lit(0.7))
+    cut = cut * F.when(lost > 0, F.greatest(F.lit(0.3), 1 - 0.7 * percent / 100)).otherwise(1.0)
+    return F.when(truncated, cut).otherwise(1.0) * F.when(started & ~finished, 0.7).otherwise(1.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -38,7 +38,7 @@ DETECTOR_NEEDS = {
 }
 # fixed values: capability -> required levels
 CAPABILITIES = {
-    "Basic Errors": {"Apex_code": "ERROR", "System": "INFO"}, "SOQL Analysis": {"Database": "INFO"}, "DML Analysis": {"Database": "INFO"}, "Query Performance": {"Database": "FINE"},
+    "Basic Issue Detection": {"Apex_code": "ERROR", "System": "INFO"}, "SOQL Analysis": {"Database": "INFO"}, "DML Analysis": {"Database": "INFO"}, "Query Performance": {"Database": "FINE"},
     "CPU Profiling": {"Apex_code": "FINE", "Apex_profiling": "FINE"}, "Execution Flow": {"Apex_code": "DEBUG"}, "Variable Tracking": {"Apex_code": "FINER"}, "Statement Level": {"Apex_code": "FINEST"},
     "Heap Analysis": {"System": "FINER"}, "Flow Analysis": {"Workflow": "INFO"}, "Callout Tracking": {"Callout": "INFO"}, "Managed Package Attribution": {"Apex_profiling": "INFO"},
 }
@@ -52,6 +52,10 @@ PRESETS = {
     "cpu_hotspots": ("FINER", "FINEST", "INFO", "DEBUG", "DEBUG", "INFO", "INFO", "INFO", "NONE", "NONE"),
     "exceptions": ("FINER", "DEBUG", "DEBUG", "DEBUG", "FINE", "DEBUG", "DEBUG", "DEBUG", "ERROR", "ERROR"),
     "callouts": ("DEBUG", "DEBUG", "FINEST", "INFO", "DEBUG", "ERROR", "ERROR", "ERROR", "NONE", "NONE"),
+    "visualforce": ("DEBUG", "FINE", "INFO", "DEBUG", "DEBUG", "DEBUG", "FINEST", "INFO", "NONE", "NONE"),
+    "workflow": ("DEBUG", "INFO", "INFO", "DEBUG", "DEBUG", "DEBUG", "ERROR", "FINEST", "NONE", "NONE"),
+    "full_diagnostic": ("FINEST", "FINEST", "FINEST", "FINEST", "FINEST", "FINEST", "FINEST", "FINEST", "FINE", "FINE"),
+    "ai_optimized": ("FINE", "FINE", "DEBUG", "FINE", "DEBUG", "DEBUG", "INFO", "DEBUG", "NONE", "NONE"),
 }
 
 
@@ -157,3 +161,69 @@ def preset_size(rows: DataFrame) -> DataFrame:
     weight = F.when(F.col("category") == "Apex_code", 3).when(F.col("category").isin("Database", "Apex_profiling"), 2).otherwise(1)
     points = F.sum(F.col("level_rank") * weight) / 98 * 100
     return rows.groupBy("preset").agg(points.alias("points")).withColumn("size", F.when(F.col("points") < 30, "small").when(F.col("points") < 60, "medium").otherwise("large"))
+
+
+# fixed values: presets that help with each type of issue, the best first
+ISSUE_PRESETS = {
+    "soql_in_loop": ("soql_analysis", "ai_optimized"),
+    "n_plus_one": ("soql_analysis", "ai_optimized"),
+    "non_selective_query": ("soql_analysis", "governor_limits"),
+    "soql_without_where": ("soql_analysis",),
+    "soql_without_limit": ("soql_analysis",),
+    "cpu_time_limit": ("cpu_hotspots", "governor_limits"),
+    "cpu_hotspot": ("cpu_hotspots",),
+    "slow_method": ("cpu_hotspots", "ai_optimized"),
+    "recursive_trigger": ("triggers", "ai_optimized"),
+    "trigger_performance": ("triggers", "cpu_hotspots"),
+    "bulkification": ("triggers", "soql_analysis"),
+    "null_pointer": ("exceptions", "ai_optimized"),
+    "dml_exception": ("exceptions", "triggers"),
+    "query_exception": ("exceptions", "soql_analysis"),
+    "limit_exception": ("governor_limits", "exceptions"),
+    "soql_limit": ("governor_limits", "soql_analysis"),
+    "dml_limit": ("governor_limits", "triggers"),
+    "cpu_limit": ("governor_limits", "cpu_hotspots"),
+    "heap_limit": ("governor_limits", "ai_optimized"),
+    "callout_limit": ("callouts", "governor_limits"),
+    "callout_timeout": ("callouts",),
+    "callout_error": ("callouts", "exceptions"),
+    "workflow": ("workflow",),
+    "visualforce": ("visualforce",),
+    "general": ("ai_optimized", "minimal"),
+}
+
+
+def best_preset(issues: DataFrame, key: str = "log_id", kind: str = "type", order: str = "det_seq") -> DataFrame:
+    """(key, preset, votes): the preset that most of a log's issues ask for, of equal ones that asked for first."""
+    names = F.create_map(*[x for t, ps in ISSUE_PRESETS.items() for x in (F.lit(t), F.array(*map(F.lit, ps)))])
+    asked = F.coalesce(F.element_at(names, F.lower(kind)), F.array(F.lit("ai_optimized")))
+    votes = issues.select(key, order, F.posexplode(asked).alias("_p", "preset")).groupBy(key, "preset").agg(F.count("*").alias("votes"), F.min(F.struct(order, "_p")).alias("_first"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "_first"))
+    return votes.withColumn("_r", first).where("_r = 1").select(key, "preset", "votes")
+
+
+def validate_levels(levels: DataFrame, events: DataFrame, key: str = "log_id") -> DataFrame:
+    """(key, detector, n_warnings, n_errors, penalty) of each detector that a log's levels (key, category, level_rank) or event types don't suffice for.
+
+    A warning for every required level that is too low, or unknown with none of the detector's event types there; an error if none is there."""
+    rows = F.array(*[
+        F.struct(F.lit(d).alias("detector"), F.array(*[F.struct(F.lit(c).alias("c"), F.lit(S.DEBUG_LEVELS.index(v)).alias("r")) for c, v in req.items()]).alias("req"), F.array(*map(F.lit, types)).alias("types"))
+        for d, (req, types) in DETECTOR_NEEDS.items()
+    ])
+    logs = events.groupBy(key).agg(F.collect_set("type").alias("seen"))
+    have = levels.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("category", "level_rank"))).alias("have"))
+    each = logs.join(have, key, "left").withColumn("have", F.coalesce("have", F.create_map().cast("map<string,int>"))).select(key, "seen", "have", F.explode(rows).alias("x"))
+    none = ~F.arrays_overlap("x.types", "seen")
+    short = F.filter("x.req", lambda r: F.coalesce(F.element_at("have", r["c"]) < r["r"], none))
+    out = each.select(key, F.col("x.detector").alias("detector"), F.size(short).alias("n_warnings"), none.cast("int").alias("n_errors")).where("n_warnings + n_errors > 0")
+    return out.withColumn("penalty", F.round(0.1 * F.col("n_warnings") + 0.2 * F.col("n_errors"), 4))
+
+
+def level_adjustment(validation: DataFrame, key: str = "log_id") -> DataFrame:
+    """(key, adjustment): what the confidence of a log's analysis loses, a half at most."""
+    return validation.groupBy(key).agg(F.greatest(F.lit(-0.5), -F.round(F.sum("penalty"), 4)).alias("adjustment"))
+
+
+def light(tree: DataFrame, finish: tuple[str, ...] = ("EXECUTION_FINISHED",)) -> DataFrame:
+    """(log_id, last_complete, ended): a log's last event with a duration, and whether an event that finishes it is there."""
+    return tree.groupBy("log_id").agg(F.max(F.when(F.col("duration").isNotNull(), F.col("id"))).alias("last_complete"), F.bool_or(F.col("type").isin(*finish)).alias("ended"))

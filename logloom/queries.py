@@ -353,7 +353,7 @@ def recursive_trigger_direct(spark, sf):
 
 @register(f"""WITH RECURSIVE {_E}, st AS (SELECT log_id, id, t, duration FROM e WHERE type = 'signup'),
 nx AS (SELECT a.log_id, a.id, min(b.id) AS next_id FROM st a JOIN st b ON a.log_id = b.log_id AND b.id > a.id AND floor(b.duration / 20) = floor(a.duration / 20) GROUP BY 1, 2),
-ch AS (SELECT log_id, id, id AS at, 1 AS n FROM st UNION ALL SELECT c.log_id, c.id, nx.next_id, c.n + 1 FROM ch c JOIN nx ON nx.log_id = c.log_id AND nx.id = c.at WHERE c.n < 4)
+ch AS (SELECT log_id, id, id AS at, 1 AS n FROM st UNION ALL SELECT c.log_id, c.id, nx.next_id, c.n + 1 FROM ch c JOIN nx ON nx.log_id = c.log_id AND nx.id = c.at WHERE c.n < 11)
 SELECT log_id, id, max(n)::INTEGER AS n FROM ch GROUP BY 1, 2""")
 def recursive_trigger_indirect(spark, sf):
     st = events(spark, sf).where("type = 'signup'").select("log_id", "id", F.floor(F.col("duration") / 20).alias("object"))
@@ -408,10 +408,10 @@ def _as_methods(spark, sf) -> DataFrame:
 
 @register(f"""WITH {_TREE}, m AS (SELECT t.log_id, t.id, t.close_id, 'A.' || json_extract_string(e.props, '$.k') AS method FROM tree t JOIN e ON e.log_id = t.log_id AND e.id = t.id WHERE t.type = 'signup'),
 o AS (SELECT log_id, method, count(*) AS n_calls FROM m GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT o.log_id, o.method, o.n_calls, CAST(count(DISTINCT q.id) AS INTEGER) AS n_queries, round(least(0.95, 0.5 + count(DISTINCT q.id) / 20.0), 4)::DOUBLE AS confidence
+SELECT o.log_id, o.method, o.n_calls, CAST(count(DISTINCT q.id) AS INTEGER) AS n_queries, round(least(0.95, 0.5 + n_calls / 20.0), 4)::DOUBLE AS confidence, CASE WHEN n_calls >= 20 THEN 'CRITICAL' WHEN n_calls >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
 FROM o JOIN m USING (log_id, method) JOIN tree q ON q.log_id = m.log_id AND q.type = 'error' AND q.id > m.id AND (m.close_id IS NULL OR q.id <= m.close_id) GROUP BY 1, 2, 3""")
 def method_loop_soql(spark, sf):
-    return detect.method_loop_queries(_as_methods(spark, sf)).select("log_id", "method", "n_calls", "n_queries", rounded(F.col("confidence")).alias("confidence"))
+    return detect.method_loop_queries(_as_methods(spark, sf)).select("log_id", "method", "n_calls", "n_queries", rounded(F.col("confidence")).alias("confidence"), "severity")
 
 
 @register("SELECT l_suppkey, ids, min(o) AS det_seq FROM (SELECT l_suppkey, l_partkey AS o, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS ids FROM lineitem GROUP BY 1, 2) GROUP BY 1, 2")
@@ -546,7 +546,11 @@ def context_window_first(spark, sf):
     return e.select("log_id", "id", correlation.context_first(e, F.when(F.col("type") == "error", F.col("id"))).alias("nearby"))
 
 
-@register("""SELECT event_id AS id FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 3600000000""")
+@register("""WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS k, epoch_us(ts) AS t, event_id AS id FROM events), kept AS (
+SELECT u, k, min((t, id)) AS x FROM e GROUP BY 1, 2
+UNION ALL
+SELECT e.u, e.k, min((e.t, e.id)) FROM kept JOIN e ON e.u = kept.u AND e.k = kept.k AND e.t - kept.x[1] >= 3600000000 GROUP BY 1, 2)
+SELECT x[2] AS id FROM kept""")
 def dedupe_within_1ms(spark, sf):
     return correlation.dedupe_near(events(spark, sf), ["log_id", "type"], "timestamp", 3_600_000_000.0).select("id")
 
@@ -592,7 +596,7 @@ def namespace_stats(spark, sf):
     return namespaces.namespace_stats(events(spark, sf), namespace="type").select("log_id", F.col("type").alias("namespace"), "n_events", rounded(F.col("time"), 2).alias("time"), rounded(F.col("pct")).alias("pct"))
 
 
-@register("""SELECT log_id, CASE WHEN greatest(m, u, b) = 0 THEN 'UNKNOWN' WHEN b >= m AND b >= u THEN 'BOUNDARY' WHEN m >= u THEN 'MANAGED_PACKAGE' ELSE 'USER_CODE' END AS attribution
+@register("""SELECT log_id, CASE WHEN b > 0.5 AND u > 0 AND m > 0 THEN 'BOUNDARY' WHEN m > u AND m > 0.3 THEN 'MANAGED_PACKAGE' WHEN u > m THEN 'USER_CODE' ELSE 'UNKNOWN' END AS attribution
 FROM (SELECT user_id AS log_id, sum(CASE WHEN event_type = 'error' THEN 0.9 ELSE 0 END) AS m, sum(CASE WHEN event_type = 'click' THEN 0.5 ELSE 0 END) AS u, sum(CASE WHEN event_type = 'signup' THEN 0.85 ELSE 0 END) AS b FROM events GROUP BY 1)""")
 def issue_attribution(spark, sf):
     part = lambda t, w: F.sum(F.when(F.col("type") == t, F.lit(w).cast("decimal(4,2)")).otherwise(F.lit(0).cast("decimal(4,2)")))
@@ -605,11 +609,14 @@ def obfuscated_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", namespaces.obfuscated_name(F.col("p_brand")).alias("obfuscated"))
 
 
-@register("""SELECT namespace, n, round(ratio, 4) AS ratio, CASE WHEN ratio > 0.5 AND name_length > 5 THEN 'PUBLIC' WHEN name_length <= 3 THEN 'PRIVATE' ELSE 'UNKNOWN' END AS visibility
-FROM (SELECT p_brand AS namespace, count(*) AS n, count(DISTINCT p_type) / count(*)::DOUBLE AS ratio, avg(length(p_type)) AS name_length FROM part GROUP BY 1)""")
+@register(r"""WITH n AS (SELECT DISTINCT p_brand AS ns, split_part(p_type, ' ', 1) AS m FROM part),
+c AS (SELECT ns, count(*) AS n, count(*) FILTER (odd) AS obfuscated, count(*) FILTER (NOT odd AND clear) AS readable FROM (SELECT ns, lower(m) NOT IN ('execute', 'run', 'invoke', 'handle', 'process') AND (regexp_matches(m, '^([A-Za-z]|[A-Za-z][0-9A-Za-z]+|__[A-Za-z]+|[A-Za-z]+_\d+)$')
+  OR (length(m) <= 2 AND lower(m) NOT IN ('do', 'go', 'is', 'on'))) AS odd, regexp_matches(m, '^[a-z][a-zA-Z0-9]*$') AS clear FROM n) GROUP BY 1),
+p AS (SELECT *, CASE WHEN obfuscated * 2 > n THEN 0.8 ELSE 0 END + CASE WHEN length(ns) <= 4 THEN 0.4 ELSE 0 END AS pr, CASE WHEN readable * 2 > n AND obfuscated * 2 <= n THEN 0.7 ELSE 0 END + CASE WHEN length(ns) > 8 THEN 0.15 WHEN length(ns) > 4 THEN 0.1 ELSE 0 END AS pu FROM c)
+SELECT ns AS namespace, n, obfuscated, readable, CASE WHEN pr > pu AND pr > 0.5 THEN 'PRIVATE' WHEN pu > pr AND pu > 0.5 THEN 'PUBLIC' ELSE 'UNKNOWN' END AS visibility FROM p""")
 def visibility(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("method_name"))
-    return namespaces.visibility(p).select("namespace", "n", rounded(F.col("ratio")).alias("ratio"), "visibility")
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("namespace"), F.split("p_type", " ")[0].alias("method_name"))
+    return namespaces.visibility(p, order="p_partkey").select("namespace", "n", "obfuscated", "readable", "visibility")
 
 
 # ---- privacy -----------------------------------------------------------------------------------------------------
@@ -635,13 +642,14 @@ def redact_all(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", privacy.redact(F.col("text"), policy).alias("text"))
 
 
-@register(r"SELECT doc_id, contains(text, '@') OR regexp_matches(text, '\d{3}[-.\s]\d{3,4}') OR regexp_matches(text, '\d{4}[-\s]?\d{4}') OR regexp_matches(text, '(?i)password|token|secret') AS likely FROM documents")
+@register(r"SELECT doc_id, (contains(text, '@') AND regexp_matches(text, '\.\w{2,}')) OR regexp_matches(text, '\d{3}[-.\s]?\d{3}[-.\s]?\d{4}') OR regexp_matches(text, '\d{4}[-\s]?\d{4}') OR regexp_matches(text, '(?i)password|secret|token|api.?key') AS likely FROM documents")
 def likely_pii(spark, sf):
     return table(spark, sf, "documents").select("doc_id", privacy.likely_pii(F.col("text")).alias("likely"))
 
 
-@register("""SELECT name, CASE WHEN regexp_matches(name, '(?i)password|passwd|pwd|secret|token|api[_-]?key|ssn|social|credit|card') THEN 'CRITICAL' WHEN regexp_matches(name, '(?i)e?mail|phone|mobile|fax|birth|dob') THEN 'HIGH'
-WHEN regexp_matches(name, '(?i)address|street|city|zip|postal|name') THEN 'MEDIUM' WHEN regexp_matches(name, '(?i)ip|id$') THEN 'LOW' ELSE 'NONE' END AS sensitivity FROM (SELECT c_name || '_' || lower(c_mktsegment) AS name FROM customer UNION ALL SELECT p_type || '_id' FROM part)""")
+@register("""SELECT name, CASE WHEN regexp_matches(name, '(?i)password|passwd|pwd|secret|ssn|social.?security|credit.?card|card.?number|ccn|api.?key|access.?token|bearer|session.?id|session.?token') THEN 'CRITICAL'
+WHEN regexp_matches(name, '(?i)email|e-mail|phone|mobile|cell|fax|address|street|city|zip|postal|birth.?date|dob|date.?of.?birth') THEN 'HIGH'
+WHEN regexp_matches(name, '(?i)name|ip.?address|client.?ip') THEN 'MEDIUM' WHEN regexp_matches(name, '(?i)id$') THEN 'LOW' ELSE 'NONE' END AS sensitivity FROM (SELECT c_name || '_' || lower(c_mktsegment) AS name FROM customer UNION ALL SELECT p_type || '_id' FROM part)""")
 def field_sensitivity(spark, sf):
     names = table(spark, sf, "customer").select(F.concat_ws("_", "c_name", F.lower("c_mktsegment")).alias("name")).unionByName(table(spark, sf, "part").select(F.concat(F.col("p_type"), F.lit("_id")).alias("name")))
     return names.select("name", privacy.field_sensitivity(F.col("name")).alias("sensitivity"))
@@ -660,7 +668,7 @@ def extract_keywords(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(T.keywords(F.col("p_name"))), " ").alias("words"))
 
 
-@register("SELECT doc_id, CAST(len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), ['the', 'license', 'apache', 'token'])) AS INTEGER) AS hits FROM documents WHERE lang = 'en' AND len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), ['the', 'license', 'apache', 'token'])) > 0")
+@register("SELECT doc_id, CAST(len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), ['the', 'license', 'apache', 'token'])) AS INTEGER) AS hits FROM documents WHERE len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), ['the', 'license', 'apache', 'token'])) > 0")
 def keyword_search(spark, sf):
     return memory.keyword_search(table(spark, sf, "documents"), ["the", "license", "apache", "token"], "doc_id", F.col("text"))
 
@@ -677,7 +685,7 @@ _SIG = "sg AS (SELECT p_partkey AS id, p_brand AS kind, p_type AS ptype, p_size
 
 
 @register(f"""WITH {_SIG}, c AS (SELECT q.id AS query_id, s.id AS entry_id, round((0.25 * (q.kind = s.kind)::INT + 0.15 * (q.ptype = s.ptype)::INT + 0.10 * (q.size = s.size)::INT + 0.35) / 0.85, 6)::DOUBLE AS score
-FROM sg q JOIN sg s ON (q.kind = s.kind OR q.ptype = s.ptype) AND q.id <= 40)
+FROM sg q JOIN sg s ON (q.kind = s.kind OR q.ptype = s.ptype) AND q.id % 20 = 0)
 SELECT query_id, entry_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place FROM c WHERE score >= 0.3) WHERE place <= 10""")
 def semantic_topk(spark, sf):
     none = F.array().cast("array<string>")
@@ -699,12 +707,9 @@ def top_solutions(spark, sf):
     return memory.solution_ranking(s).select("id", "uses", rounded(F.col("success_rate")).alias("success_rate"))
 
 
-@register("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey")
+@register("SELECT o_orderkey, min(o_orderkey) OVER g AS first_id, count(*) OVER g AS n FROM orders WINDOW g AS (PARTITION BY o_custkey, o_orderpriority)")
 def similar_episodes(spark, sf):
-    o = table(spark, sf, "orders")
-    left = o.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("a"))
-    right = o.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("b"))
-    return left.join(right, ["o_custkey", "o_orderpriority"]).where("a < b").select("a", "b")
+    return memory.similar_episodes(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey")
 
 
 @register("""WITH r AS (SELECT user_id, value > 50 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY user_id) AS n FROM events)
@@ -741,7 +746,7 @@ def kv_keys(spark, sf):
 
 @register("SELECT o_orderstatus AS outcome, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1")
 def outcome_distribution(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("outcome")).agg(F.count("*").alias("n"), rounded(F.avg("o_totalprice"), 2).alias("mean"))
+    return memory.outcomes(table(spark, sf, "orders"), "o_orderstatus", "o_totalprice").withColumn("mean", rounded(F.col("mean"), 2))
 
 
 # ---- truncation and levels ---------------------------------------------------------------------------------------
@@ -768,7 +773,7 @@ def truncation_severity(spark, sf):
 
 @register(f"WITH {_TREE} SELECT log_id, max(id) FILTER (span IS NOT NULL) AS last_complete, bool_or(type = 'purchase') AS ended FROM tree GROUP BY 1")
 def truncation_light(spark, sf):
-    return user_tree(spark, sf).groupBy("log_id").agg(F.max(F.when(F.col("duration").isNotNull(), F.col("id"))).alias("last_complete"), F.bool_or(F.col("type") == "purchase").alias("ended"))
+    return truncation.light(user_tree(spark, sf), _EXIT)
 
 
 _MAP = "(VALUES ('click', 'Code', 'FINE', 5), ('view', 'Code', 'DEBUG', 4), ('error', 'System', 'ERROR', 1), ('signup', 'Database', 'INFO', 3), ('purchase', 'Database', 'FINEST', 7)) AS m(type, category, level, level_rank)"
@@ -894,7 +899,8 @@ def infer_value_type(spark, sf):
 
 @register("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?i)th[ae]n|der')")
 def debug_grep(spark, sf):
-    return table(spark, sf, "conversations").where(F.col("text").rlike("(?i)th[ae]n|der")).select("conv_id", "turn")
+    c = table(spark, sf, "conversations").withColumn("type", F.lit("USER_DEBUG"))
+    return query.debug_messages(c, "th[ae]n|der", message="text").select("conv_id", "turn")
 
 
 _FACTS = {"click": "INPUT", "error": "FAULT", "view": "READ"}
@@ -908,14 +914,12 @@ def exception_dict(spark, sf):
 
 @register("SELECT page_id, name FROM pages, (VALUES ('german', '/de/'), ('anchor', '#top$'), ('second', 'page=2')) AS p(name, pattern) WHERE regexp_matches(url, pattern)")
 def error_pattern_match(spark, sf):
-    patterns = (("german", "/de/"), ("anchor", "#top$"), ("second", "page=2"))
-    hits = F.array_compact(F.array(*[F.when(F.col("url").rlike(p), n) for n, p in patterns]))
-    return table(spark, sf, "pages").select("page_id", F.explode(hits).alias("name"))
+    return memory.matching_patterns(table(spark, sf, "pages"), {"german": "/de/", "anchor": "#top$", "second": "page=2"}, F.col("url"), "page_id")
 
 
-@register("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+@register("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 50000.01 ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 def log_catalog_filter(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 50000").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25).select("o_orderkey")
+    return query.catalogue(table(spark, sf, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], 25, o_orderstatus="F", o_totalprice__min=50000.01).select("o_orderkey")
 
 
 # ---- streams -----------------------------------------------------------------------------------------------------
@@ -944,3 +948,6 @@ def stream_watch(spark, sf):
 def entry(spark: SparkSession, sf: str = "/root/testdata/sf0.001") -> DataFrame:
     """Health of every user's log: scan, score, summarize."""
     return health_score(spark, sf)
+
+
+from . import rule_queries  # noqa: E402, F401  (adds its queries to QUERIES and SQL)
