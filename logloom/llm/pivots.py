@@ -7,7 +7,7 @@ its pivots (under each, where `min_shared` is one), so only vectors that share t
 taken, in double precision, of the pairs with enough of them. A pair counts only in the list of its two smallest shared pivots. Lists
 of two pivots are about as many as neighbouring pivots, so they stay short when the table outgrows the number of pivots.
 
-Equal vectors are one node with a count, so copies are never compared. A list longer than `chunk` is dealt out as tiles of chunk against
+Equal vectors are one node with a count, so copies are never compared. Short lists share tasks; a list longer than `chunk` is dealt out as tiles of chunk against
 chunk, so no task ever holds more than two chunks; a tile returns link counts and links that span its components, never all pairs.
 Each length of vectors has pivots of its own; vectors of a length that the sample lacks are all in one list, compared exactly.
 
@@ -32,8 +32,10 @@ VECTORS_PER_PIVOT = 40
 MAX_PIVOTS = 1 << 13
 APART = 0.5
 CHUNK = 512
-#: Rows of a table of lists that are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Lists of at most so many vectors are taken together, about FILE_ROWS entries a group.
+SHORT, FILE_ROWS = 32, 8192
+#: Rows of a table of lists or components that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _choose(sample: list, most: int) -> dict[int, np.ndarray]:
@@ -52,8 +54,17 @@ def _choose(sample: list, most: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _stored(v: np.ndarray) -> bytes:
+    """Floats where they hold the components exactly, else doubles."""
+    short = v.astype(np.float32)
+    return short.tobytes() if (short == v).all() else v.tobytes()
+
+
 def _units(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+    if all(len(r) == 4 * dim for r in raw):
+        x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
+    else:
+        x = np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in raw], np.float64).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of large or tiny components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -73,6 +84,7 @@ def _describe(batches, pivots: dict[int, np.ndarray], depth: int, min_shared: in
         for at in range(0, b.num_rows, 2048):
             part = b.slice(at, 2048)
             vectors = [np.array(v, np.float64) for v in part.column(2).to_pylist()]
+            raw = [_stored(v) for v in vectors]
             near, lists = [None] * len(vectors), [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 rows = [i for i, v in enumerate(vectors) if len(v) == dim]
@@ -80,13 +92,13 @@ def _describe(batches, pivots: dict[int, np.ndarray], depth: int, min_shared: in
                     for i in rows:
                         near[i], lists[i] = [], [-1]
                     continue
-                found = _nearest(_units([vectors[i].tobytes() for i in rows], dim), pivots[dim], depth)
+                found = _nearest(_units([raw[i] for i in rows], dim), pivots[dim], depth)
                 up = np.sort(found, axis=1).astype(np.int64)
                 one = min(min_shared, up.shape[1]) < 2
                 keys = up if one else np.stack([up[:, i] << 32 | up[:, j] for i, j in combinations(range(up.shape[1]), 2)], axis=1)
                 for i, n, k in zip(rows, found.tolist(), keys.tolist()):
                     near[i], lists[i] = n, k
-            columns = [part.column(0), part.column(1), pa.array(map(len, vectors), pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(near, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int64()))]
+            columns = [part.column(0), part.column(1), pa.array(map(len, vectors), pa.int32()), pa.array(raw, pa.binary()), pa.array(near, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "m", "dim", "v", "pivots", "lists"])
 
 
@@ -141,19 +153,50 @@ def _tile(key: int, dim: int, same: bool, left: pa.Table, right: pa.Table, cosin
     if key >= 0:
         ok = [_owned(key, p[a[i : i + 50_000]], q[b[i : i + 50_000]], min_shared < 2) for i in range(0, len(a), 50_000)]
         a, b = (a[k], b[k]) if ok and len(k := np.concatenate(ok)) else (a, b)
-    every = ids if same else np.concatenate((ids, ids2))
-    links = np.bincount(a, m2[b], minlength=len(every)).astype(np.int64)
-    b = b if same else b + len(ids)
-    links += np.bincount(b, m[a], minlength=len(every)).astype(np.int64)
-    label = spanning(len(every), a, b)
-    counted, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(every)))
+    if same:
+        return _summary(ids, m, a, b)
+    return _summary(np.concatenate((ids, ids2)), np.concatenate((m, m2)), a, b + len(ids))
+
+
+def _summary(ids: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Link counts of nodes ids with m members each, and links that span their components, from links a-b of positions."""
+    links = (np.bincount(a, m[b], minlength=len(ids)) + np.bincount(b, m[a], minlength=len(ids))).astype(np.int64)
+    label = spanning(len(ids), a, b)
+    counted, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
     return pa.Table.from_arrays([
-        pa.array(np.concatenate((every[counted], every[moved])), pa.int64()),
-        pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(every[label[moved]], pa.int64())]),
+        pa.array(np.concatenate((ids[counted], ids[moved])), pa.int64()),
+        pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(ids[label[moved]], pa.int64())]),
         pa.array(np.concatenate((links[counted], np.zeros(len(moved), np.int64))), pa.int64()),
     ], schema=_TILE)
 
 
+def _short_lists(dim: int, group: pa.Table, cosine: float, min_shared: int) -> pa.Table:
+    """The links of many lists of one table: neighbours at every distance within a list, first by shared pivots, then by cosine."""
+    group = group.sort_by("list")
+    key, ids, m = (group.column(c).to_numpy() for c in ("list", "node", "m"))
+    p = np.array(group.column("pivots").to_pylist(), np.int32).reshape(len(key), -1)
+    least, one = min(min_shared, p.shape[1]), min(min_shared, p.shape[1]) < 2
+    found = []
+    for k in range(1, len(key)):
+        a = np.flatnonzero(key[k:] == key[:-k])
+        if not len(a):
+            break
+        for i in range(0, len(a), 50_000):
+            x = a[i : i + 50_000]
+            if key[0] >= 0:
+                same = (p[x][:, :, None] == p[x + k][:, None, :]).any(axis=2)
+                up = np.sort(np.where(same, p[x].astype(np.int64), _NONE), axis=1)
+                x = x[(same.sum(axis=1) >= least) & ((up[:, 0] if one else up[:, 0] << 32 | up[:, 1]) == key[x])]
+            found.append(np.stack((x, x + k), axis=1))
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    used, pairs = np.unique(pairs, return_inverse=True)
+    pairs = pairs.reshape(-1, 2)
+    x = _units(group.column("v").take(pa.array(used)).to_pylist(), dim)
+    ok = [np.einsum("ij,ij->i", x[q[:, 0]], x[q[:, 1]]) >= cosine for q in (pairs[i : i + 20_000] for i in range(0, len(pairs), 20_000))]
+    pairs = pairs[np.concatenate(ok)] if ok else pairs
+    return _summary(ids[used], m[used], pairs[:, 0], pairs[:, 1])
+
+
 def pivot_index(nodes: DataFrame, depth: int, min_shared: int, max_pivots: int, vectors_per_pivot: int) -> DataFrame:
     """(node, m, dim, v, pivots, lists) of nodes (node, m, embedding); v holds the components as doubles."""
     n = nodes.count()
@@ -168,23 +211,28 @@ def pivot_index(nodes: DataFrame, depth: int, min_shared: int, max_pivots: int,
 
 def links(index: DataFrame, cosine: float, min_shared: int, chunk: int) -> DataFrame:
     """(a, null, n): n links of a; (a, b, 0): spanning links. Counts of one node add up over rows."""
-    filed = index.select("node", "dim", F.explode("lists").alias("list"))
-    sizes = materialize(filed.groupBy("dim", "list").count().where("count > 1").select("dim", "list", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "pivot-lists")
-    # a list with one vector has no pair: vectors travel only to the others
+    filed = index.select("dim", F.explode("lists").alias("list"))
+    sizes = materialize(filed.groupBy("dim", "list").count().where(F.col("count") > SHORT).select("dim", "list", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "pivot-lists")
     few = sizes.count() <= BROADCAST_ROWS
-    dealt = index.select("node", "m", "dim", "v", "pivots", F.explode("lists").alias("list")).join(F.broadcast(sizes) if few else sizes, ["dim", "list"])
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "list"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = dealt.select("node", "m", "dim", "v", "pivots", "list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    files = filed.count() // FILE_ROWS + 1
+    dealt = index.select("node", "m", "dim", "v", "pivots", F.explode("lists").alias("list")).join(F.broadcast(sizes) if few else sizes, ["dim", "list"], "left")
+    long = F.col("parts").isNotNull()
+    dealt = dealt.withColumn("own", F.when(long, F.pmod(F.xxhash64("node", "list"), F.col("parts"))).otherwise(0).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    # short lists go by file, numbered under zero; long ones by list and tile
+    at = F.when(long, F.col("list")).otherwise(-2 - F.pmod(F.xxhash64("list"), F.lit(files)))
+    tiles = dealt.select("node", "m", "dim", "v", "pivots", "list", at.alias("at"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def run(key, group):
         dim, at, i, j = (k.as_py() for k in key)
+        if at < -1:
+            return _short_lists(dim, group, cosine, min_shared)
         own = group.column("own").to_numpy()
         left = group if i == j else group.filter(pa.array(own == i))
         right = group if i == j else group.filter(pa.array(own == j))
         return _tile(at, dim, i == j, left, right, cosine, min_shared)
 
-    return tiles.groupBy("dim", "list", "i", "j").applyInArrow(run, "a long, b long, n long")
+    return tiles.groupBy("dim", "at", "i", "j").applyInArrow(run, "a long, b long, n long")
 
 
 def embedding_components(embeddings: DataFrame, cosine: float = 0.95, depth: int = 6, min_shared: int = 2, max_pivots: int = MAX_PIVOTS, vectors_per_pivot: int = VECTORS_PER_PIVOT, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
