@@ -163,3 +163,23 @@ def similar_episodes(episodes: DataFrame, keys: list[str], id_col: str) -> DataF
     """(id, first_id, n): each episode's group of equal keys, by its first member and size: pairs are not spelled out."""
     groups = episodes.groupBy(*keys).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))
     return episodes.select(*keys, id_col).join(groups, keys).select(id_col, "first_id", "n")
+
+
+def recall(facts: DataFrame, matches: DataFrame, episodes: DataFrame, solutions: DataFrame, most: int = 10, least_uses: int = 2, least_rate: float = 0.5) -> DataFrame:
+    """(query_id, n_facts, n_matches, n_episodes, n_solutions, confidence) of every query that recalls something.
+
+    facts: (query_id, fact_id, by_code), facts found by keywords, of which `most` count, and all that an issue's code gives; matches, episodes and
+    solutions: (query_id, place, ...), of which `most` count; solutions need `least_uses` uses (success_count, failure_count) and a share of successes."""
+    words = facts.where("not by_code").select("query_id", "fact_id").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("fact_id"))).where(F.col("_r") <= most)
+    coded = facts.where("by_code").select("query_id", "fact_id").distinct()
+    n = {"n_facts": words.select("query_id", "fact_id").unionByName(coded).distinct().groupBy("query_id").count()}
+    uses = F.col("success_count") + F.col("failure_count")
+    good = solutions.where((uses >= least_uses) & (uses > 0) & (F.col("success_count") >= least_rate * uses))
+    for name, df in (("n_matches", matches), ("n_episodes", episodes), ("n_solutions", good)):
+        n[name] = df.groupBy("query_id").agg(F.least(F.count("*"), F.lit(most)).alias("count"))
+    out = None
+    for name, df in n.items():
+        part = df.withColumnRenamed("count", name)
+        out = part if out is None else out.join(part, "query_id", "full")
+    out = out.select("query_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in n])
+    return out.withColumn("confidence", F.least(F.lit(1.0), sum(F.col(c) for c in n) / 10))

@@ -31,6 +31,24 @@ KNOWN_VISIBILITY = {
 PLATFORM = ("System", "Schema", "Database", "ApexPages", "Test", "Auth", "Cache", "Canvas", "ConnectApi", "Dom", "Flow", "Http", "Messaging", "Reports", "Site", "UserInfo", "Limits", "Math", "JSON", "String", "List", "Map", "Set", "Trigger", "Batch")
 
 
+# fixed values: namespaces whose vendor a piece of code is attributed to
+CODE_VENDORS = {
+    "SBQQ": ("platform", "CPQ (Steelbrick)"),
+    "fflib_apex_mocks": ("Apex Mocks", "Testing Framework"),
+    "fferpcore": ("Certinia", "Financial Force Core"),
+    "c2g": ("Certinia", "Financial Management"),
+    "pse": ("Certinia", "Professional Services Automation"),
+}
+
+
+def code_attribution(namespace: Column) -> Column:
+    """struct(is_managed, can_modify, vendor, product): code without a namespace is the user's own."""
+    managed = F.coalesce(namespace != "", F.lit(False))
+    facts = F.create_map(*[x for k, v in CODE_VENDORS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("vendor"), F.lit(v[1]).alias("product")))])
+    fact = F.element_at(facts, namespace)
+    return F.struct(managed.alias("is_managed"), (~managed).alias("can_modify"), fact["vendor"].alias("vendor"), fact["product"].alias("product"))
+
+
 def namespace_prefix(name: Column) -> Column:
     return found(name, r"^([a-zA-Z0-9]+)__")
 

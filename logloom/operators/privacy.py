@@ -164,3 +164,27 @@ def pii_positions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pseudonym(text: Column) -> Column:
     """Eight hex digits of the text's 31-hash."""
     return F.lpad(F.lower(F.hex(F.abs(hash31(text)))), 8, "0")
+
+
+# fixed values: what written output never shows, in order
+OUTPUT_PATTERNS = (
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
+    r"\b[a-zA-Z0-9]{15}([a-zA-Z0-9]{3})?\b",
+    r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
+    r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b",
+    r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+    r"""(?i)\bsessionId[=:]\s*['"]?[\w-]+['"]?""",
+    r"""(?i)\b(access_?token|bearer|api_?key)[=:]\s*['"]?[\w-]+['"]?""",
+)
+
+
+def redact_output(df: DataFrame, columns: list[str] | None = None, own: tuple[str, ...] = ()) -> DataFrame:
+    """df with every match in its string columns (and in arrays of strings) replaced by [REDACTED]."""
+    def clean(c: Column) -> Column:
+        for pattern in (*OUTPUT_PATTERNS, *own):
+            c = F.regexp_replace(c, pattern, "[REDACTED]")
+        return c
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if columns is None or f.name in columns}
+    return df.withColumns({n: clean(F.col(n)) if k == "string" else F.transform(n, clean) for n, k in kinds.items() if k in ("string", "array<string>")})

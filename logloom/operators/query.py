@@ -178,3 +178,13 @@ def catalogue(logs: DataFrame, order: list[Column], limit: int | None = None, **
         logs = logs.where(c >= value if how == "min" else c <= value if how == "max" else F.contains(F.lower(c), F.lit(str(value).lower())) if how == "has" else c == value)
     out = logs.orderBy(*order)
     return out if limit is None else out.limit(limit)
+
+
+def command_query(events: DataFrame, type_part: str | None = None, namespace_part: str | None = None, offset: int = 0, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Events whose type and namespace hold the parts (letters in either case), a page of them in the order of ids, and (total, has_more)."""
+    if type_part:
+        events = events.where(F.contains(F.upper("type"), F.lit(type_part.upper())))
+    if namespace_part:
+        events = events.where(F.contains(F.lower("namespace"), F.lit(namespace_part.lower())))
+    total = events.agg(F.count("*").alias("total")).withColumn("has_more", F.col("total") > offset + limit)
+    return events.orderBy("id").offset(offset).limit(limit), total

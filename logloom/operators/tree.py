@@ -72,11 +72,15 @@ def ancestors(tree: DataFrame, of: Column) -> DataFrame:
 
 
 def subtree_duration(tree: DataFrame, entries=ENTRY_TYPES) -> DataFrame:
-    """(log_id, id, total): an entry's duration and those of all events under it."""
-    inner = with_ancestors(tree, F.col("type").isin(*entries)).join(tree.select("log_id", "id", "duration"), ["log_id", "id"])
-    under = inner.groupBy("log_id", F.col("ancestor_id").alias("id")).agg(F.sum("duration").alias("_under"))
-    own = tree.where(F.col("type").isin(*entries)).select("log_id", "id", "duration")
-    return own.join(under, ["log_id", "id"], "left").select("log_id", "id", (F.coalesce("duration", F.lit(0)) + F.coalesce("_under", F.lit(0))).alias("total"))
+    """(log_id, id, total): an entry's duration and those of all events under it.
+
+    What lies under an entry are the events up to its exit (or the log's end): a difference of two running sums, without a row per ancestor."""
+    log = Window.partitionBy("log_id")
+    run = F.sum(F.coalesce("duration", F.lit(0))).over(log.orderBy("id").rowsBetween(*_UP_TO_HERE))
+    rows = tree.select("log_id", "id", "type", "close_id", "duration", run.alias("_run"), F.sum(F.coalesce("duration", F.lit(0))).over(log).alias("_all"))
+    ends = rows.where(~F.col("type").isin(*entries)).select("log_id", F.col("id").alias("close_id"), F.col("_run").alias("_end"))
+    own = rows.where(F.col("type").isin(*entries)).join(ends, ["log_id", "close_id"], "left")
+    return own.select("log_id", "id", (F.coalesce("duration", F.lit(0)) + F.when(F.col("close_id").isNull(), F.col("_all")).otherwise(F.col("_end")) - F.col("_run")).alias("total"))
 
 
 def tree_depth(tree: DataFrame) -> DataFrame:
@@ -112,3 +116,29 @@ def execution_trace(events: DataFrame) -> DataFrame:
         some = events.where(F.col("type").isin(*types) & (F.col("source_line") > 0)).select("log_id", "id", F.col("source_line").alias("line"), "timestamp", F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
         out = some if out is None else out.unionByName(some)
     return out
+
+
+# fixed values: types of exits and of the entries that they close
+EXIT_OF = {
+    "METHOD_EXIT": "METHOD_ENTRY",
+    "CONSTRUCTOR_EXIT": "CONSTRUCTOR_ENTRY",
+    "CODE_UNIT_FINISHED": "CODE_UNIT_STARTED",
+    "SOQL_EXECUTE_END": "SOQL_EXECUTE_BEGIN",
+    "DML_END": "DML_BEGIN",
+    "EXECUTION_FINISHED": "EXECUTION_STARTED",
+    "FLOW_START_INTERVIEW_END": "FLOW_START_INTERVIEW_BEGIN",
+    "FLOW_ELEMENT_END": "FLOW_ELEMENT_BEGIN",
+    "SYSTEM_METHOD_EXIT": "SYSTEM_METHOD_ENTRY",
+    "SYSTEM_CONSTRUCTOR_EXIT": "SYSTEM_CONSTRUCTOR_ENTRY",
+    "SYSTEM_MODE_EXIT": "SYSTEM_MODE_ENTER",
+}
+
+
+def matching_entries(events: DataFrame) -> DataFrame:
+    """(log_id, id, entry_id) of every exit that an entry of its type matches: a log's first; methods also match by class and name."""
+    names = F.create_map(*[F.lit(x) for p in EXIT_OF.items() for x in p])
+    method = F.col("type").isin("METHOD_ENTRY", "METHOD_EXIT", "CONSTRUCTOR_ENTRY", "CONSTRUCTOR_EXIT")
+    who = F.when(method, F.struct("class_name", "method_name"))
+    entries = events.where(F.col("type").isin(*EXIT_OF.values())).groupBy("log_id", F.col("type").alias("_type"), who.alias("_who")).agg(F.min("id").alias("entry_id"))
+    exits = events.select("log_id", "id", F.element_at(names, F.col("type")).alias("_t"), who.alias("_w")).where("_t is not null").withColumnRenamed("log_id", "_log")
+    return exits.join(entries, (F.col("_log") == F.col("log_id")) & (F.col("_t") == F.col("_type")) & F.col("_w").eqNullSafe(F.col("_who"))).select("log_id", "id", "entry_id")

@@ -227,3 +227,38 @@ def level_adjustment(validation: DataFrame, key: str = "log_id") -> DataFrame:
 def light(tree: DataFrame, finish: tuple[str, ...] = ("EXECUTION_FINISHED",)) -> DataFrame:
     """(log_id, last_complete, ended): a log's last event with a duration, and whether an event that finishes it is there."""
     return tree.groupBy("log_id").agg(F.max(F.when(F.col("duration").isNotNull(), F.col("id"))).alias("last_complete"), F.bool_or(F.col("type").isin(*finish)).alias("ended"))
+
+
+def impact(cut: Column, severity: Column, lost: Column) -> Column:
+    """struct of what can still be relied on, from a cut log's severity and the array of kinds of information it lost."""
+    whole = ~cut | (severity == "NONE")
+    sure = {
+        "issues": (severity != "CRITICAL") & ~F.array_contains(lost, "EXCEPTION_DETAILS"), "performance": ~F.array_contains(lost, "PERFORMANCE_DATA"),
+        "limits": ~F.array_contains(lost, "FINAL_LIMITS"), "jobs": ~F.array_contains(lost, "ASYNC_CORRELATIONS"),
+    }
+    return F.struct(*[(whole | c).alias(n) for n, c in sure.items()])
+
+
+def recovery_strategies(cut: Column, severity: Column, kind: Column) -> Column:
+    """Names of the strategies that apply to a cut log, none to a whole one."""
+    names = (F.when(kind == "SIZE_LIMIT", "Reduce Debug Levels"), F.lit("Split Operation"), F.lit("Targeted Trace Flags"), F.when(severity.isin("CRITICAL", "SEVERE"), "Request Extended Logging"))
+    return F.when(cut & (severity != "NONE"), F.array_compact(F.array(*names))).otherwise(F.array().cast("array<string>"))
+
+
+# fixed values: levels by suspected issue; a later level of a category replaces an earlier one
+BASE_LEVELS = (("Validation", "NONE"), ("Visualforce", "NONE"), ("NBA", "NONE"), ("Wave", "NONE"))
+SUSPECT_LEVELS = {
+    "SOQL": (("Database", "FINEST"), ("Apex_code", "FINE"), ("Apex_profiling", "FINEST"), ("Workflow", "ERROR"), ("System", "INFO")),
+    "CPU": (("Apex_code", "FINE"), ("Apex_profiling", "FINEST"), ("Database", "FINE"), ("System", "DEBUG"), ("Workflow", "ERROR")),
+    "TRIGGER": (("Apex_code", "FINEST"), ("Database", "FINE"), ("Workflow", "FINER"), ("System", "INFO")),
+    "CALLOUT": (("Callout", "FINEST"), ("Apex_code", "FINE"), ("System", "DEBUG"), ("Database", "ERROR"), ("Workflow", "ERROR")),
+    "FLOW": (("Workflow", "FINEST"), ("Validation", "INFO"), ("Apex_code", "FINE"), ("Database", "FINE"), ("System", "INFO")),
+    "GENERAL": (("Apex_code", "FINE"), ("Database", "FINE"), ("Workflow", "INFO"), ("System", "INFO"), ("Callout", "INFO")),
+}
+
+
+def optimized_levels(suspects: DataFrame, key: str = "log_id", suspect: str = "suspect") -> DataFrame:
+    """(key, category, level) to log next time; an unknown suspect counts as GENERAL."""
+    rows = {s: F.array(*[F.struct(F.lit(c).alias("category"), F.lit(v).alias("level")) for c, v in {**dict(BASE_LEVELS), **dict(levels)}.items()]) for s, levels in SUSPECT_LEVELS.items()}
+    known = F.create_map(*[x for s, r in rows.items() for x in (F.lit(s), r)])
+    return suspects.select(key, F.explode(F.coalesce(F.element_at(known, F.col(suspect)), rows["GENERAL"])).alias("_l")).select(key, "_l.category", "_l.level")

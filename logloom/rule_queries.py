@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import correlation, detect, exceptions, namespaces, privacy, scoring, truncation
+from .operators import correlation, detect, exceptions, memory, namespaces, privacy, query, scoring, tree, truncation
 from .plans.analyze import parse_logs
 from .queries import register, rounded
 from .schema import DEBUG_LEVELS
@@ -356,3 +356,75 @@ SELECT log_id, id, job_type, CASE WHEN type = 'FUTURE_CALL' THEN class_name ELSE
 timestamp AS enqueued_at, line_number, (SELECT arg_min(regexp_extract(s.message, '\b(707[a-zA-Z0-9]{{12,15}})\b', 1), s.id) FROM n s WHERE s.log_id = n.log_id AND s.job = n.job AND s.type = 'USER_DEBUG' AND contains(s.message, '707')) AS job_id FROM n WHERE job_type IS NOT NULL""")
 def extracted_jobs(spark, sf):
     return correlation.extract_jobs(_MARKED.df(spark))
+
+
+_SHOWN = Inline("t", "id long, text string", [(1, "mail a.b@c.org now"), (2, "call 555-123-4567 or 5551234567"), (3, "id 001000000000001AAA and 001000000000001"), (4, "card 1234 5678 9012 3456"), (5, "ssn 123-45-6789"), (6, "host 10.0.0.1"), (7, "sessionId=abc-1 SESSIONID: 'x'"), (8, "api_key: \"k\" Bearer=zz access_token=1"), (9, "plain"), (10, None)])
+_SHOWN_SQL = "text"
+for _p, _f in (
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "g"), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "g"), (r"\b[a-zA-Z0-9]{15}([a-zA-Z0-9]{3})?\b", "g"), (r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "g"), (r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "g"),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "g"), (r"""\bsessionId[=:]\s*[''"]?[\w-]+[''"]?""", "gi"), (r"""\b(access_?token|bearer|api_?key)[=:]\s*[''"]?[\w-]+[''"]?""", "gi"),
+):
+    _SHOWN_SQL = f"regexp_replace({_SHOWN_SQL}, '{_p}', '[REDACTED]', '{_f}')"
+
+
+@register(f"WITH {_SHOWN.sql} SELECT id, {_SHOWN_SQL} AS text FROM t")
+def redact_written(spark, sf):
+    return privacy.redact_output(_SHOWN.df(spark))
+
+
+_SPACES = Inline("n", "namespace string", [("SBQQ",), ("pse",), ("other",), ("",), (None,)])
+
+
+@register(f"WITH {_SPACES.sql} SELECT namespace, coalesce(namespace <> '', false) AS is_managed, coalesce(namespace, '') = '' AS can_modify, CASE namespace WHEN 'SBQQ' THEN 'platform' WHEN 'pse' THEN 'Certinia' END AS vendor, CASE namespace WHEN 'SBQQ' THEN 'CPQ (Steelbrick)' WHEN 'pse' THEN 'Professional Services Automation' END AS product FROM n")
+def code_owner(spark, sf):
+    return _SPACES.df(spark).select("namespace", namespaces.code_attribution(F.col("namespace")).alias("a")).select("namespace", "a.*")
+
+
+_CLOSED = Inline("e", "log_id string, id long, type string, class_name string, method_name string", [
+    ("a", 1, "EXECUTION_STARTED", None, None), ("a", 2, "METHOD_ENTRY", "A", "f"), ("a", 3, "METHOD_ENTRY", "A", "g"), ("a", 4, "METHOD_EXIT", "A", "g"), ("a", 5, "METHOD_ENTRY", "A", "f"), ("a", 6, "METHOD_EXIT", "A", "f"), ("a", 7, "METHOD_EXIT", "B", "f"),
+    ("a", 8, "SOQL_EXECUTE_BEGIN", None, None), ("a", 9, "SOQL_EXECUTE_END", None, None), ("a", 10, "EXECUTION_FINISHED", None, None), ("b", 1, "DML_END", None, None), ("b", 2, "SYSTEM_MODE_ENTER", None, None), ("b", 3, "SYSTEM_MODE_EXIT", None, None), ("b", 4, "USER_DEBUG", None, None),
+])
+
+
+@register(f"""WITH {_CLOSED.sql}, k(x, n) AS (VALUES ('METHOD_EXIT', 'METHOD_ENTRY'), ('SOQL_EXECUTE_END', 'SOQL_EXECUTE_BEGIN'), ('DML_END', 'DML_BEGIN'), ('EXECUTION_FINISHED', 'EXECUTION_STARTED'), ('SYSTEM_MODE_EXIT', 'SYSTEM_MODE_ENTER'))
+SELECT o.log_id, o.id, min(i.id) AS entry_id FROM e o JOIN k ON k.x = o.type JOIN e i ON i.log_id = o.log_id AND i.type = k.n AND (o.type <> 'METHOD_EXIT' OR (i.class_name = o.class_name AND i.method_name = o.method_name)) GROUP BY 1, 2""")
+def entry_of_exit(spark, sf):
+    return tree.matching_entries(_CLOSED.df(spark))
+
+
+_CUTS = Inline("c", "log_id long, cut boolean, severity string, kind string, lost string", [(1, False, "NONE", "NONE", ""), (2, True, "CRITICAL", "SIZE_LIMIT", "EXCEPTION_DETAILS,FINAL_LIMITS"), (3, True, "MODERATE", "TIMEOUT", "PERFORMANCE_DATA"), (4, True, "SEVERE", "SIZE_LIMIT", "ASYNC_CORRELATIONS"), (5, True, "NONE", "UNKNOWN", "FINAL_LIMITS"), (6, True, "MINOR", "UNKNOWN", "")])
+
+
+@register(f"""WITH {_CUTS.sql} SELECT log_id, w OR (severity <> 'CRITICAL' AND NOT contains(lost, 'EXCEPTION_DETAILS')) AS issues, w OR NOT contains(lost, 'PERFORMANCE_DATA') AS performance, w OR NOT contains(lost, 'FINAL_LIMITS') AS limits, w OR NOT contains(lost, 'ASYNC_CORRELATIONS') AS jobs,
+CASE WHEN w THEN '' ELSE concat_ws(',', CASE WHEN kind = 'SIZE_LIMIT' THEN 'Reduce Debug Levels' END, 'Split Operation', 'Targeted Trace Flags', CASE WHEN severity IN ('CRITICAL', 'SEVERE') THEN 'Request Extended Logging' END) END AS strategies FROM (SELECT *, NOT cut OR severity = 'NONE' AS w FROM c)""")
+def truncation_impact(spark, sf):
+    c = _CUTS.df(spark).withColumn("lost", F.split("lost", ","))
+    return c.select("log_id", truncation.impact(F.col("cut"), F.col("severity"), F.col("lost")).alias("i"), F.array_join(truncation.recovery_strategies(F.col("cut"), F.col("severity"), F.col("kind")), ",").alias("strategies")).select("log_id", "i.*", "strategies")
+
+
+_SUSPECTS = Inline("s", "log_id long, suspect string", [(i, x) for i, x in enumerate(("SOQL", "CPU", "TRIGGER", "CALLOUT", "FLOW", "GENERAL", "odd"))])
+_BY_SUSPECT = "(VALUES " + ", ".join(f"('{s}', {n}, '{c}', '{v}')" for s, levels in truncation.SUSPECT_LEVELS.items() for n, (c, v) in enumerate((*truncation.BASE_LEVELS, *levels))) + ") AS v(s, n, category, level)"
+
+
+@register(f"WITH {_SUSPECTS.sql} SELECT log_id, category, arg_max(level, n) AS level FROM s JOIN {_BY_SUSPECT} ON v.s = CASE WHEN suspect IN (SELECT DISTINCT s FROM {_BY_SUSPECT}) THEN suspect ELSE 'GENERAL' END GROUP BY 1, 2")
+def levels_by_suspect(spark, sf):
+    return truncation.optimized_levels(_SUSPECTS.df(spark))
+
+
+@register(f"WITH {_TOKENS} SELECT id, type FROM ev WHERE log_id = 'a' AND contains(type, 'METHOD') ORDER BY id LIMIT 2 OFFSET 1")
+def command_page(spark, sf):
+    return query.command_query(_parsed(spark).where("log_id = 'a'"), "method", offset=1, limit=2)[0].select("id", "type")
+
+
+_HITS = Inline("h", "query_id long, fact_id long, by_code boolean", [(1, i, False) for i in range(12)] + [(1, 3, True), (1, 90, True), (2, 5, True)])
+_NEAR = Inline("m", "query_id long, place int", [(1, 1), (1, 2), (3, 1)])
+_EPISODES = Inline("ep", "query_id long, place int", [(2, 1), (2, 2)])
+_FIXES = Inline("so", "query_id long, place int, success_count long, failure_count long", [(1, 1, 3, 1), (1, 2, 1, 0), (1, 3, 1, 4), (4, 1, 0, 0)])
+
+
+@register(f"""WITH {_HITS.sql}, {_NEAR.sql}, {_EPISODES.sql}, {_FIXES.sql}, f AS (SELECT query_id, fact_id FROM (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY fact_id) AS r FROM (SELECT DISTINCT query_id, fact_id FROM h WHERE NOT by_code)) WHERE r <= 10 UNION SELECT query_id, fact_id FROM h WHERE by_code),
+a AS (SELECT query_id, count(*) AS n_facts, 0 AS n_matches, 0 AS n_episodes, 0 AS n_solutions FROM f GROUP BY 1 UNION ALL SELECT query_id, 0, least(10, count(*)), 0, 0 FROM m GROUP BY 1 UNION ALL SELECT query_id, 0, 0, least(10, count(*)), 0 FROM ep GROUP BY 1
+UNION ALL SELECT query_id, 0, 0, 0, least(10, count(*)) FROM so WHERE success_count + failure_count >= 2 AND success_count / (success_count + failure_count) >= 0.5 GROUP BY 1)
+SELECT query_id, sum(n_facts)::BIGINT AS n_facts, sum(n_matches)::BIGINT AS n_matches, sum(n_episodes)::BIGINT AS n_episodes, sum(n_solutions)::BIGINT AS n_solutions, round(least(1, sum(n_facts + n_matches + n_episodes + n_solutions) / 10.0), 4)::DOUBLE AS confidence FROM a GROUP BY 1""")
+def recall_confidence(spark, sf):
+    return memory.recall(_HITS.df(spark), _NEAR.df(spark), _EPISODES.df(spark), _FIXES.df(spark)).withColumn("confidence", rounded(F.col("confidence")))
