@@ -1,15 +1,15 @@
-"""Line dedup: repeated runs of lines, found by distributed prefix doubling over line ids.
-
-The lines of all documents form sequences of ids. Round 0 ranks single lines; each later round
-ranks windows of twice the length by the pair (rank of the first half, rank of the second half): prefix
-doubling, as for a suffix array. Ranks keep the lexicographic order (range partitioning), equal windows
-share a rank, and a rank's class is an interval of the suffix array with a longest common prefix of at least
-the window's length. Only windows whose class has two members stay in the table: others have no copy,
-so neither has anything longer that starts there. Rounds end at windows of `min_lines` lines
-(the last may overlap its halves); a maximal repeated run of at least that length is a chain of such windows. Every
-line of a window whose sequence also starts earlier (smaller id; in one document, earlier line) is
-deleted, so first copies stay whole. With `single_words`, later copies of single lines of more words are deleted too,
-whatever their neighbours are.
+"""Line dedup: repeated runs of lines, from a suffix array over line ids and its longest common prefixes.
+
+The lines of all documents form sequences of ids (128-bit hashes, which also order them). Prefix doubling: round 0 ranks
+single lines; each later round ranks runs of twice the length by the pair (rank of the first half, rank of the
+second half), sorted by range partitioning. A suffix's path is the list of its ranks, so paths sort like the suffixes and two paths that
+share c ranks share 2 ** (c - 1) lines at least. A suffix whose class has no second member is placed for good and leaves the rounds, which end
+when all are placed; lines without a copy, like a document's end, differ from everything. Sorted paths are the suffix array (of the suffixes
+that start with a repeated line; no other has a common prefix). Prefix lengths of neighbours follow from their paths: the highest
+power of two is in the shared ranks, the rest from the paths of the two places behind it, at most one look a binary digit. An interval of
+the array whose neighbours share `min_lines` lines holds all copies of a run; `repeated_runs` gives the maximal ones. Every line
+of a run that also starts earlier (smaller id; in one document, earlier line) is deleted, so first copies stay
+whole. With `single_words`, later copies of single lines of more words are deleted too, whatever their neighbours are.
 
 Classes are counted with partial aggregation and joined back with skew handling; a line in a third of
 all documents is one row of the class table. Texts are shuffled only if the answers are too many to broadcast.
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,38 +45,133 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rk").alias("a"), F.col("rk2").alias("b"), F.col("pos").alias("p"))
 
 
-def _ranked(classes: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Ranks in the order of `by`: range partitions are in order, and so are ids in and across them."""
-    return materialize(classes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), name)
+def _element(rank: Column) -> Column:
+    """A rank as eight bytes that sort like it, above all elements without a rank."""
+    return F.unhex(F.hex(rank + F.lit(-(1 << 63))))
 
 
-def _round(items: DataFrame, by: list[str], name: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Items with equal `by` get one rank; items without an equal are dropped. `later`: not the first of its class."""
-    classes = items.groupBy(*by).agg(F.count("*").alias("n"), F.min(_order()).alias("first")).where("n > 1")
-    ranked = _ranked(classes, by, f"{name}-classes").select(*by, "rank", "first")
-    return items.join(ranked, by).select("doc_id", *_ROW, "pos", "rank", (F.col("first") != _order()).alias("later"), *keep)
+def _ranked(classes: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Ranks in the order of `by`: range partitions are in order, and so are ids in and across them."""
+    classes = materialize(classes, f"{name}-classes")  # range bounds are sampled in a pass of their own
+    return materialize(classes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
 
 
-def repeated_windows(docs: DataFrame, min_lines: int, single_words: int | None = None) -> DataFrame:
-    """rk, rk2, pos of every window of min_lines lines whose sequence also starts earlier; -1 - pos of every line
-    of more than single_words words that also stands earlier."""
+def _line_classes(docs: DataFrame, single_words: int | None) -> DataFrame:
+    """Round 0: doc_id, rk, rk2, pos, rank, path, later, long of every line that stands twice or more."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # a line of so many words has twice as many characters, less one
     long = lambda x: F.lit(False) if single_words is None else F.when(F.length(x) > 2 * single_words, F.size(words(x)) > single_words).otherwise(False)
     hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), long(x).alias("long")))
     items = _key(docs).select("doc_id", *_ROW, F.posexplode(hashes)).select("doc_id", *_ROW, "pos", "col.h1", "col.h2", "col.long")
-    active = singles = materialize(_round(items, ["h1", "h2"], "lines-0", ("long",)).dropDuplicates([*_ROW, "pos"]), "lines-0")
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        right = active.select(*_ROW, (F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"))
-        pairs = active.select("doc_id", *_ROW, "pos", F.col("rank").alias("r1")).join(right, [*_ROW, "pos"])
-        length += step
-        active = materialize(_round(pairs, ["r1", "r2"], f"lines-{length}"), f"lines-{length}")
-    found = active.where("later").select(*_ROW, "pos")
+    classes = items.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n")
+    ranked = _ranked(classes, ["h1", "h2"], "lines-0")
+    found = items.join(ranked, ["h1", "h2"]).dropDuplicates([*_ROW, "pos"])
+    return materialize(found.select("doc_id", *_ROW, "pos", "rank", _element(F.col("rank")).alias("path"), (F.col("first") != _order()).alias("later"), "long"), "lines-0")
+
+
+def _suffix_paths(lines: DataFrame) -> DataFrame:
+    """doc_id, rk, rk2, pos, path of every suffix in `lines`; paths are unique and sort like the suffixes."""
+    active, placed, length = lines.select("doc_id", *_ROW, "pos", "rank", "path"), [], 1
+    columns = ["doc_id", *_ROW, "pos", "path"]
+    while not active.isEmpty():
+        known = active.select(*columns)
+        for part in placed:
+            known = known.unionByName(part)
+        behind = known.select(*_ROW, (F.col("pos") - length).alias("pos"), F.col("path").alias("half"))
+        pairs = materialize(active.join(behind, [*_ROW, "pos"], "left"), f"lines-pairs-{length}")
+        # without a second half a suffix is like no other; it sorts before those that go on
+        own = F.unhex(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64("doc_id", *_ROW, "pos"), 1)), 16, "0"))
+        ended = pairs.where("half is null").withColumn("path", F.concat("path", own)).select(*columns)
+        going = pairs.where("half is not null").withColumnRenamed("rank", "r1")
+        ranked = _ranked(going.groupBy("r1", "half").agg(F.count("*").alias("n")), ["r1", "half"], f"lines-{length}")
+        judged = materialize(going.join(ranked, ["r1", "half"]).withColumn("path", F.concat("path", _element(F.col("rank")))).select(*columns, "rank", "n"), f"lines-judged-{length}")
+        placed += [ended, judged.where("n = 1").select(*columns)]
+        active = judged.where("n > 1").drop("n")
+        length *= 2
+    out = active.select(*columns)
+    for part in placed:
+        out = out.unionByName(part)
+    return out
+
+
+def _shared(a: str, b: str, most: int) -> Column:
+    """Ranks that two paths share from their start, of `most` at most."""
+    out = F.lit(0)
+    for n in range(most, 0, -1):
+        both = (F.length(a) >= 8 * n) & (F.length(b) >= 8 * n) & (F.substring(a, 1, 8 * n) == F.substring(b, 1, 8 * n))
+        out = out + F.when(both, 1).otherwise(0)
+    return out
+
+
+def suffix_array(lines: DataFrame) -> DataFrame:
+    """sa (order), part, doc_id, rk, rk2, pos, lcp: lines that a suffix has in common with the one before it in the array."""
+    paths = materialize(_suffix_paths(lines), "lines-paths")
+    most = (paths.agg(F.max(F.length("path"))).first()[0] or 0) // 8
+    order = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("sa", F.monotonically_increasing_id())
+    order = materialize(order.withColumn("part", F.shiftright("sa", 33)), "lines-order")
+    # the last suffix of each part, one row a part, stands before the first of the next part that has one
+    lasts = order.groupBy("part").agg(F.max_by(F.struct(*_ROW, "pos", "path"), "sa").alias("before"))
+    carried = lasts.select(F.lead("part").over(Window.orderBy("part")).alias("part"), F.col("before").alias("carried"))
+    before = F.coalesce(F.lag(F.struct(*_ROW, "pos", "path")).over(Window.partitionBy("part").orderBy("sa")), "carried")
+    pairs = order.join(F.broadcast(carried), "part", "left").withColumn("before", before)
+    pairs = pairs.withColumn("shared", F.coalesce(_shared("path", "before.path", most), F.lit(0)))
+    lcp = F.when(F.col("shared") > 0, F.expr("shiftleft(1L, shared - 1)")).otherwise(F.lit(0).cast("long"))
+    pairs = materialize(pairs.select("sa", "part", "doc_id", *_ROW, "pos", *[F.col(f"before.{c}").alias(f"b_{c}") for c in [*_ROW, "pos"]], "shared", lcp.alias("lcp")), "lines-pairs")
+    # two ranks or more: the lines behind the shared power of two may agree as well
+    done, open_ = [pairs.where("shared < 2")], pairs.where("shared >= 2")
+    while most > 1 and not open_.isEmpty():
+        here = paths.select(*_ROW, F.col("pos").alias("at"), F.col("path").alias("pa"))
+        there = paths.select(*[F.col(c).alias(f"b_{c}") for c in _ROW], F.col("pos").alias("b_at"), F.col("path").alias("pb"))
+        looked = open_.withColumns({"at": (F.col("pos") + F.col("lcp")).cast("int"), "b_at": (F.col("b_pos") + F.col("lcp")).cast("int")})
+        looked = looked.join(here, [*_ROW, "at"], "left").join(there, ["b_rk", "b_rk2", "b_at"], "left")
+        looked = looked.withColumn("shared", F.coalesce(_shared("pa", "pb", most), F.lit(0)))
+        looked = materialize(looked.withColumn("lcp", F.col("lcp") + F.when(F.col("shared") > 0, F.expr("shiftleft(1L, shared - 1)")).otherwise(0)).select(*pairs.columns), "lines-lcp")
+        done.append(looked.where("shared < 2"))
+        open_, most = looked.where("shared >= 2"), most - 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("sa", "part", "doc_id", *_ROW, "pos", "lcp")
+
+
+def _intervals(array: DataFrame, least: int) -> DataFrame:
+    """array with interval: the sa at which the stretch of neighbours with lcp >= least starts."""
+    starts = F.when(F.col("lcp") < least, F.col("sa"))
+    by_part = array.groupBy("part").agg(F.max(starts).alias("last"))
+    carried = by_part.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    inside = F.max(starts).over(Window.partitionBy("part").orderBy("sa").rowsBetween(Window.unboundedPreceding, 0))
+    return array.join(F.broadcast(carried), "part", "left").withColumn("interval", F.coalesce(inside, "carried"))
+
+
+def _later(array: DataFrame, least: int) -> DataFrame:
+    """Suffixes whose first `least` lines also start earlier."""
+    marked = materialize(_intervals(array, least), "lines-intervals")
+    first = marked.groupBy("interval").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return marked.join(first, "interval").where(F.col("first") != _order())
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, start (lines with a word before it), n_lines of every maximal repeated run: some other place has the same lines, and no longer
+    repeated run of the document holds it. Rows with the same id and text give their runs once."""
+    array = materialize(suffix_array(_line_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None)), "lines-array")
+    # the longest run that starts at a suffix is shared with one of its neighbours in the array
+    heads = array.groupBy("part").agg(F.min_by("lcp", "sa").alias("head"))
+    carried = heads.select("part", F.lead("head").over(Window.orderBy("part")).alias("carried"))
+    after = F.coalesce(F.lead("lcp").over(Window.partitionBy("part").orderBy("sa")), "carried", F.lit(0))
+    longest = array.join(F.broadcast(carried), "part", "left").withColumn("n_lines", F.greatest("lcp", after))
+    reach = F.max(F.col("pos") + F.col("n_lines")).over(Window.partitionBy(*_ROW).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    runs = longest.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("pos") + F.col("n_lines") > F.col("reach")))
+    return runs.where(F.col("n_lines") >= min_lines).select("doc_id", F.col("pos").alias("start"), "n_lines")
+
+
+def repeated_windows(docs: DataFrame, min_lines: int, single_words: int | None = None) -> DataFrame:
+    """rk, rk2, pos of every place whose next min_lines lines also start earlier; -1 - pos of every line
+    of more than single_words words that also stands earlier."""
+    lines = _line_classes(docs, single_words)
+    found = _later(materialize(suffix_array(lines), "lines-array"), min_lines).select(*_ROW, "pos")
     if single_words is None:
         return found
-    return found.unionByName(singles.where("later and long").select(*_ROW, (-1 - F.col("pos")).alias("pos")))
+    return found.unionByName(lines.where("later and long").select(*_ROW, (-1 - F.col("pos")).alias("pos")))
 
 
 def _kept(text: bytes | None, starts, k: int):

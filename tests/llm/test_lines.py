@@ -52,6 +52,37 @@ def test_matches_brute_force(spark, k):
     assert all((r.n_runs > 0) == (r.n_removed > 0) and r.longest_run <= r.n_removed for r in got)
 
 
+def brute_runs(rows, least):
+    split = {}
+    for i, t in rows:
+        split[(i, t)] = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    suffixes = sorted((ls[s:], key, s) for key, ls in split.items() for s in range(len(ls)))
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    lcp = [0] + [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])] + [0]
+    longest = {(key, s): max(lcp[n], lcp[n + 1]) for n, (_, key, s) in enumerate(suffixes)}
+    out = []
+    for key, ls in split.items():
+        reach = 0
+        for s in range(len(ls)):
+            n = longest[key, s]
+            if n >= least and s + n > reach:
+                out.append((key[0], s, n))
+            reach = max(reach, s + n)
+    return Counter(out)
+
+
+@pytest.mark.parametrize("parts, least", [(1, 1), (5, 2)])
+def test_maximal_runs_match_brute_force(spark, parts, least):
+    rng = random.Random(parts)
+    rows = [(i, t) for i, t in make(parts + 20) if not t or len(t) < 2000]
+    for n in (2, 3, 7, 31, 64, 200):
+        run = "\n".join(f"run {n} line {j}" for j in range(n))
+        rows += [(1000 + 10 * n + c, f"a {c} {n}\n{run}\nb {rng.random()}") for c in range(3)]
+    df = spark.createDataFrame([(i, t, 7, "own", 1) for i, t in rows], SCHEMA).repartition(parts)
+    got = Counter((r.doc_id, r.start, r.n_lines) for r in lines.repeated_runs(df, least).collect())
+    assert got == brute_runs(rows, least)
+
+
 def test_texts_columns_and_shuffled_answers(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
     rows = make(9) + [(None, "own a\nown b"), (None, "own a\nown b"), (7, "own a\nown b"), (7, "own a\nown b")]
