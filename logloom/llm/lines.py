@@ -6,7 +6,8 @@ second half), sorted by range partitioning. A suffix's path is the list of its r
 share c ranks share 2 ** (c - 1) lines at least. A suffix whose class has no second member is placed for good and leaves the rounds, which end
 when all are placed; lines without a copy, like a document's end, differ from everything. Sorted paths are the suffix array (of the suffixes
 that start with a repeated line; no other has a common prefix). Prefix lengths of neighbours follow from their paths: the highest
-power of two is in the shared ranks, the rest from the paths of the two places behind it, at most one look a binary digit. An interval of
+power of two is in the shared ranks, the rest from the paths of the two places behind it, at most one look a binary digit
+(deleting needs no more than `min_lines`). An interval of
 the array whose neighbours share `min_lines` lines holds all copies of a run; `repeated_runs` gives the maximal ones. Every line
 of a run that also starts earlier (smaller id; in one document, earlier line) is deleted, so first copies stay
 whole. With `single_words`, later copies of single lines of more words are deleted too, whatever their neighbours are.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, materialize, words
+from .common import discard, give_back, materialize, words
 
 MIN_LINES = 2
 BROADCAST_BYTES = 48 << 20
@@ -52,7 +53,6 @@ def _element(rank: Column) -> Column:
 
 def _ranked(classes: DataFrame, by: list[str], name: str) -> DataFrame:
     """Ranks in the order of `by`: range partitions are in order, and so are ids in and across them."""
-    classes = materialize(classes, f"{name}-classes")  # range bounds are sampled in a pass of their own
     return materialize(classes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
 
 
@@ -70,27 +70,35 @@ def _line_classes(docs: DataFrame, single_words: int | None) -> DataFrame:
 
 
 def _suffix_paths(lines: DataFrame) -> DataFrame:
-    """doc_id, rk, rk2, pos, path of every suffix in `lines`; paths are unique and sort like the suffixes."""
-    active, placed, length = lines.select("doc_id", *_ROW, "pos", "rank", "path"), [], 1
+    """doc_id, rk, rk2, pos, path of every suffix in `lines`; paths are unique and sort like the suffixes.
+    A round reads documents that have an unplaced suffix, no others."""
     columns = ["doc_id", *_ROW, "pos", "path"]
-    while not active.isEmpty():
-        known = active.select(*columns)
-        for part in placed:
-            known = known.unionByName(part)
+    known, length = lines.select(*columns, "rank", F.lit(2).cast("long").alias("n")), 1
+    placed, scratch = [], []
+    while True:
+        active = known.where("n > 1")
+        if active.isEmpty():
+            break
         behind = known.select(*_ROW, (F.col("pos") - length).alias("pos"), F.col("path").alias("half"))
-        pairs = materialize(active.join(behind, [*_ROW, "pos"], "left"), f"lines-pairs-{length}")
+        pairs = materialize(active.drop("n").withColumnRenamed("rank", "r1").join(behind, [*_ROW, "pos"], "left"), "lines-pairs")
+        ranked = _ranked(pairs.where("half is not null").groupBy("r1", "half").agg(F.count("*").alias("n")), ["r1", "half"], "lines")
         # without a second half a suffix is like no other; it sorts before those that go on
         own = F.unhex(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64("doc_id", *_ROW, "pos"), 1)), 16, "0"))
-        ended = pairs.where("half is null").withColumn("path", F.concat("path", own)).select(*columns)
-        going = pairs.where("half is not null").withColumnRenamed("rank", "r1")
-        ranked = _ranked(going.groupBy("r1", "half").agg(F.count("*").alias("n")), ["r1", "half"], f"lines-{length}")
-        judged = materialize(going.join(ranked, ["r1", "half"]).withColumn("path", F.concat("path", _element(F.col("rank")))).select(*columns, "rank", "n"), f"lines-judged-{length}")
-        placed += [ended, judged.where("n = 1").select(*columns)]
-        active = judged.where("n > 1").drop("n")
+        path = F.concat("path", F.coalesce(_element(F.col("rank")), own))
+        judged = materialize(pairs.join(ranked, ["r1", "half"], "left").withColumns({"path": path, "n": F.coalesce("n", F.lit(1))}).select(*columns, "rank", "n"), "lines-judged")
+        open_docs = judged.where("n > 1").select(*_ROW).distinct()
+        before, known = known, materialize(known.where("n = 1").unionByName(judged).join(open_docs, _ROW, "left_semi"), "lines-known")
+        placed.append(judged.where("n = 1").select(*columns))
+        scratch.append(judged)
+        for used in (pairs, ranked, before):
+            discard(used)
         length *= 2
-    out = active.select(*columns)
+    out = lines.limit(0).select(*columns)
     for part in placed:
         out = out.unionByName(part)
+    out = materialize(out, "lines-paths")
+    for used in (known, *scratch):
+        discard(used)
     return out
 
 
@@ -103,9 +111,10 @@ def _shared(a: str, b: str, most: int) -> Column:
     return out
 
 
-def suffix_array(lines: DataFrame) -> DataFrame:
-    """sa (order), part, doc_id, rk, rk2, pos, lcp: lines that a suffix has in common with the one before it in the array."""
-    paths = materialize(_suffix_paths(lines), "lines-paths")
+def suffix_array(lines: DataFrame, enough: int | None = None) -> DataFrame:
+    """sa (order), part, doc_id, rk, rk2, pos, lcp: lines that a suffix has in common with the one before it in the array.
+    From `enough` lines on, lcp may stay at the power of two below: no further places are looked up."""
+    paths = _suffix_paths(lines)
     most = (paths.agg(F.max(F.length("path"))).first()[0] or 0) // 8
     order = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("sa", F.monotonically_increasing_id())
     order = materialize(order.withColumn("part", F.shiftright("sa", 33)), "lines-order")
@@ -118,7 +127,8 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     lcp = F.when(F.col("shared") > 0, F.expr("shiftleft(1L, shared - 1)")).otherwise(F.lit(0).cast("long"))
     pairs = materialize(pairs.select("sa", "part", "doc_id", *_ROW, "pos", *[F.col(f"before.{c}").alias(f"b_{c}") for c in [*_ROW, "pos"]], "shared", lcp.alias("lcp")), "lines-pairs")
     # two ranks or more: the lines behind the shared power of two may agree as well
-    done, open_ = [pairs.where("shared < 2")], pairs.where("shared >= 2")
+    more = F.col("shared") >= 2 if enough is None else (F.col("shared") >= 2) & (F.col("lcp") < enough)
+    done, open_ = [pairs.where(~more)], pairs.where(more)
     while most > 1 and not open_.isEmpty():
         here = paths.select(*_ROW, F.col("pos").alias("at"), F.col("path").alias("pa"))
         there = paths.select(*[F.col(c).alias(f"b_{c}") for c in _ROW], F.col("pos").alias("b_at"), F.col("path").alias("pb"))
@@ -126,8 +136,8 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         looked = looked.join(here, [*_ROW, "at"], "left").join(there, ["b_rk", "b_rk2", "b_at"], "left")
         looked = looked.withColumn("shared", F.coalesce(_shared("pa", "pb", most), F.lit(0)))
         looked = materialize(looked.withColumn("lcp", F.col("lcp") + F.when(F.col("shared") > 0, F.expr("shiftleft(1L, shared - 1)")).otherwise(0)).select(*pairs.columns), "lines-lcp")
-        done.append(looked.where("shared < 2"))
-        open_, most = looked.where("shared >= 2"), most - 1
+        done.append(looked.where(~more))
+        open_, most = looked.where(more), most - 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -168,7 +178,7 @@ def repeated_windows(docs: DataFrame, min_lines: int, single_words: int | None =
     """rk, rk2, pos of every place whose next min_lines lines also start earlier; -1 - pos of every line
     of more than single_words words that also stands earlier."""
     lines = _line_classes(docs, single_words)
-    found = _later(materialize(suffix_array(lines), "lines-array"), min_lines).select(*_ROW, "pos")
+    found = _later(materialize(suffix_array(lines, min_lines), "lines-array"), min_lines).select(*_ROW, "pos")
     if single_words is None:
         return found
     return found.unionByName(lines.where("later and long").select(*_ROW, (-1 - F.col("pos")).alias("pos")))
