@@ -15,6 +15,8 @@ from .quality import quality_rules
 from .revisits import header_lines, page_captures, resolve_revisits
 from .secrets import secret_spans
 from .simhash import simhash_components
+from .sortmeans import cluster_digest
+from .sortmeans import oracle as sortmeans_oracle
 from .substring import substring_dedup
 from .toxicity import toxicity_scores
 
@@ -148,9 +150,13 @@ FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN runs USING (doc_id) LEF
 """
 
 
+def op13_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digest(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity, "op13_sortmeans": op13_sortmeans}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": OP3_SQL, "op4_substring": OP4_SQL, "op8_lines": OP8_SQL}
+    return {"op3_revisits": OP3_SQL, "op4_substring": OP4_SQL, "op8_lines": OP8_SQL, "op13_sortmeans": sortmeans_oracle()}
