@@ -11,6 +11,7 @@ from .lines import line_runs
 from .mixing import domain_labels, mixing_rates
 from .packing import pack_documents
 from .pivots import embedding_components
+from .positive import quality_scores
 from .quality import quality_rules
 from .revisits import header_lines, page_captures, resolve_revisits
 from .secrets import secret_spans
@@ -150,12 +151,16 @@ FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN runs USING (doc_id) LEF
 """
 
 
+def op12_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_digest(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity, "op13_sortmeans": op13_sortmeans}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity, "op12_positive": op12_positive, "op13_sortmeans": op13_sortmeans}
 
 
 def oracle_sql() -> dict[str, str]:
