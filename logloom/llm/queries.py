@@ -15,6 +15,7 @@ from .positive import quality_scores
 from .quality import quality_rules
 from .revisits import header_lines, page_captures, resolve_revisits
 from .secrets import secret_spans
+from .sequenced import applied_changes
 from .simhash import simhash_components
 from .sortmeans import cluster_digest
 from .sortmeans import oracle as sortmeans_oracle
@@ -151,6 +152,10 @@ FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN runs USING (doc_id) LEF
 """
 
 
+def op11_sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applied_changes(table(spark, sf_dir, "client_changes"))
+
+
 def op12_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -160,7 +165,7 @@ def op13_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity, "op12_positive": op12_positive, "op13_sortmeans": op13_sortmeans}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_revisits": op3_revisits, "op4_substring": op4_substring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_pivots": op7_pivots, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity, "op11_sequenced": op11_sequenced, "op12_positive": op12_positive, "op13_sortmeans": op13_sortmeans}
 
 
 def oracle_sql() -> dict[str, str]:
