@@ -47,6 +47,13 @@ _FED = "change_id long, client_id long, n long, day long, at timestamp, op strin
 _OUT = "change_id long, client_id long, n long, day long, op string, status string, batch int, missed long, city string, balance double"
 _HEAD = "next long, city string, balance double, pages array<long>, days array<long>, timer long"
 _PAGE = "n array<long>, change array<long>, day array<long>, op array<string>, city array<string>, balance array<double>, batch array<int>"
+#: Many small state stores: nothing is allocated ahead, and a start needs the last version only.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 _Done = Row(*[c.split()[0] for c in _OUT.split(", ")])
 
 
@@ -219,10 +226,9 @@ def apply_sequenced(fed: DataFrame, batches: int = BATCHES, wait: int = WAIT) ->
     staged = spark.read.schema(fed.schema).parquet(f"{folder}/staged")
     columns = [c.split()[0] for c in _FED.split(", ")]
     at = lambda day: F.timestamp_seconds(F.col(day) * 86_400)
-    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in settings}
+    before = {k: spark.conf.get(k, None) for k in _STATE}
     try:
-        for k, v in settings.items():
+        for k, v in _STATE.items():
             spark.conf.set(k, v)
         for k in range(1, batches + 2):
             if k <= batches:
