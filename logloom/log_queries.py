@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import calls, summary, unified
-from .queries import events, register, rounded, table
+from .operators import calls, lanes, memory, privacy, summary, unified
+from .queries import _TREE, events, register, table, user_tree
 
 _CALLS = """RECURSIVE m AS (SELECT user_id AS log_id, event_id AS id, event_type = 'signup' AS opens, 'm' || (event_id % 4) AS name, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
   FROM events WHERE event_type IN ('signup', 'purchase')),
@@ -222,3 +222,76 @@ def stream_parse(spark, sf):
     number = F.least(F.lit(3), 1 + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int")
     out = sessions.run_in_batches(lines, number, 3, "ts", lambda s: sessions.stream_records(s, "20 days", 40))
     return out.withColumn("segments", F.array_join("segments", ","))
+
+
+_LANES = f"""WITH {_TREE}, r AS (SELECT log_id, id, close_id, type, 'T' || (id % 3) AS name, type = 'signup' AS st, type = 'purchase' AS en FROM tree),
+n AS (SELECT log_id, name, min(id) AS first, row_number() OVER (PARTITION BY log_id ORDER BY min(id)) AS lane FROM r WHERE st GROUP BY 1, 2),
+m0 AS (SELECT r.*, lane, coalesce(lag(st) OVER (PARTITION BY r.log_id, r.name ORDER BY id), false) AS was FROM r JOIN n ON n.log_id = r.log_id AND n.name = r.name WHERE (st OR en) AND (st OR id > first)),
+m AS (SELECT *, CASE WHEN st AND NOT was THEN 1 WHEN en AND was THEN -1 ELSE 0 END AS step FROM m0),
+shown AS (SELECT r.*, m.lane AS own, coalesce(m.step, 0) AS step, (SELECT arg_max(o.lane, o.id) FROM m o WHERE o.log_id = r.log_id AND o.st AND o.id < r.id AND (o.close_id IS NULL OR o.close_id >= r.id)) AS outer_ FROM r LEFT JOIN m ON m.log_id = r.log_id AND m.id = r.id WHERE NOT r.en OR m.id IS NOT NULL),
+p AS (SELECT log_id, id, coalesce(own, outer_, 0) AS lane, st AS is_start, en AS is_end, CAST(1 + sum(step) OVER (PARTITION BY log_id ORDER BY id ROWS UNBOUNDED PRECEDING) - CASE WHEN en THEN step ELSE 0 END AS BIGINT) AS n_open FROM shown),
+q AS (SELECT *, max(lane) OVER (PARTITION BY log_id) AS widest FROM p)"""
+
+
+def _lanes(spark, sf):
+    t = user_tree(spark, sf)
+    return lanes.lanes(t, F.when(F.col("type").isin("signup", "purchase"), F.concat(F.lit("T"), (F.col("id") % 3).cast("string"))), F.col("type") == "signup", F.col("type") == "purchase", F.lit(False))
+
+
+@register(f"{_LANES} SELECT log_id, id, CAST(lane AS INTEGER) AS lane, is_start, is_end, n_open FROM p")
+def trigger_lanes(spark, sf):
+    return _lanes(spark, sf).withColumn("lane", F.col("lane").cast("int"))
+
+
+@register(f"""{_LANES} SELECT log_id, id, array_to_string(list_transform(range(0, widest + 1), lambda i: CASE WHEN i = lane THEN CASE WHEN is_start THEN '◉' WHEN is_end THEN '◈' ELSE '●' END WHEN i < n_open THEN CASE WHEN i = lane - 1 AND is_start THEN '/' WHEN i = lane - 1 AND is_end THEN chr(92) ELSE '|' END ELSE ' ' END || ' '), '') || '-- e' || id AS line FROM q""")
+def lane_lines(spark, sf):
+    sign = lanes.row_sign(F.lit("METHOD_ENTRY"), F.lit(None).cast("long"), F.col("is_start"), F.col("is_end"))
+    return lanes.lane_lines(_lanes(spark, sf), sign, F.concat(F.lit("e"), F.col("id").cast("string")))
+
+
+_WRITES = """WITH w AS (SELECT CASE WHEN event_id = (SELECT max(event_id) // 4 FROM events) THEN 'CLEAR' WHEN event_type = 'purchase' THEN 'DELETE' ELSE 'SET' END AS op, user_id || ':' || (event_id % 3) AS key, props AS value, CASE WHEN value < 40 THEN value END AS expires_at, event_id AS o FROM events),
+v AS (SELECT * FROM w WHERE op <> 'CLEAR' AND o > (SELECT max(o) FROM w WHERE op = 'CLEAR')),
+d AS (SELECT key, max(o) AS d FROM v WHERE op = 'DELETE' GROUP BY 1),
+state AS (SELECT v.key, arg_max(struct_pack(value, expires_at), o) AS l, min(o) AS created_at, max(o) AS updated_at FROM v LEFT JOIN d USING (key) WHERE op = 'SET' AND (d IS NULL OR o > d) GROUP BY 1)"""
+
+
+def _writes(spark, sf):
+    e = table(spark, sf, "events")
+    clear = e.agg(F.floor(F.max("event_id") / 4).alias("_c"))  # one row
+    e = e.join(F.broadcast(clear))
+    op = F.when(F.col("event_id") == F.col("_c"), "CLEAR").when(F.col("event_type") == "purchase", "DELETE").otherwise("SET")
+    key = F.concat_ws(":", F.col("user_id"), F.col("event_id") % 3)
+    return memory.kv_writes(e, op, key, F.col("props"), F.when(F.col("value") < 40, F.col("value")), F.col("event_id"), F.col("event_id"))
+
+
+@register(f"{_WRITES} SELECT key, l.value AS value, l.expires_at AS expires_at, created_at, updated_at FROM state")
+def kv_state(spark, sf):
+    return memory.kv_state(_writes(spark, sf)).drop("order")
+
+
+@register(f"{_WRITES} SELECT key, l.value AS value, l.expires_at AS expires_at, created_at, updated_at FROM state WHERE l.expires_at IS NULL OR l.expires_at >= 20")
+def kv_compacted(spark, sf):
+    """The state that is read from the compacted log."""
+    return memory.kv_state(memory.kv_compact(_writes(spark, sf), F.lit(20.0))).drop("order")
+
+
+@register(f"{_WRITES} SELECT count(*) AS total_keys, count(*) FILTER (l.expires_at < 20) AS expired_keys, CAST(sum(strlen(key) + coalesce(strlen(l.value), 0)) AS BIGINT) AS bytes FROM state")
+def kv_stats(spark, sf):
+    return memory.kv_stats(memory.kv_state(_writes(spark, sf)), F.lit(20.0))
+
+
+_CLEAN = "text"
+for _p, _f in (
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "g"), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "g"), (r"\b[a-zA-Z0-9]{15}([a-zA-Z0-9]{3})?\b", "g"), (r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "g"), (r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "g"),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "g"), (r"""\bsessionId[=:]\s*[''"]?[\w-]+[''"]?""", "gi"), (r"""\b(access_?token|bearer|api_?key)[=:]\s*[''"]?[\w-]+[''"]?""", "gi"),
+):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '[REDACTED]', '{_f}')"
+
+
+@register(f"SELECT conv_id, turn, {_CLEAN} AS in_struct, role AS key, {_CLEAN} AS in_map, {_CLEAN} AS in_array, length(text) AS size FROM conversations")
+def redact_nested(spark, sf):
+    """Texts of conversations inside a struct, a map in it, and an array of structs, redacted where they are."""
+    c = table(spark, sf, "conversations")
+    made = c.select("conv_id", "turn", "role", F.struct(F.struct(F.col("text"), F.length("text").alias("size")).alias("said"), F.create_map("role", "text").alias("by"), F.array(F.struct(F.col("text").alias("t"))).alias("parts")).alias("whole"))
+    done = privacy.redact_output(made, ["whole"])
+    return done.select("conv_id", "turn", F.col("whole.said.text").alias("in_struct"), F.map_keys("whole.by")[0].alias("key"), F.element_at("whole.by", F.col("role")).alias("in_map"), F.col("whole.parts")[0]["t"].alias("in_array"), F.col("whole.said.size").cast("long").alias("size"))

@@ -127,6 +127,36 @@ def live(entries: DataFrame, now: Column) -> DataFrame:
     return entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+def kv_writes(rows: DataFrame, op: Column, key: Column, value: Column, expires_at: Column, at: Column, order: Column) -> DataFrame:
+    """A log of writes to a key-value store: op is SET, DELETE or CLEAR (of all keys); order is total."""
+    return rows.select(op.alias("op"), key.alias("key"), value.alias("value"), expires_at.alias("expires_at"), at.alias("created_at"), at.alias("updated_at"), order.alias("order"))
+
+
+def kv_state(writes: DataFrame) -> DataFrame:
+    """key, value, expires_at, created_at, updated_at, order of what is set, expired or not, after all writes: merge on read.
+
+    A key's last write decides; it was created by its first SET since its last DELETE, or the last CLEAR."""
+    cleared = writes.agg(F.max(F.when(F.col("op") == "CLEAR", F.col("order"))).alias("_cleared"))  # one row
+    since = writes.where("op <> 'CLEAR' and key is not null").join(F.broadcast(cleared), F.col("_cleared").isNull() | (F.col("order") > F.col("_cleared")))
+    ends = since.where("op = 'DELETE'").groupBy("key").agg(F.max("order").alias("_deleted"))
+    alive = since.where("op = 'SET'").join(ends, "key", "left").where("_deleted is null or `order` > _deleted")
+    last = F.max_by(F.struct("value", "expires_at", "updated_at", "order"), "order")
+    return alive.groupBy("key").agg(last.alias("_l"), F.min_by("created_at", "order").alias("created_at")).select("key", "_l.value", "_l.expires_at", "created_at", "_l.updated_at", "_l.order")
+
+
+def kv_compact(writes: DataFrame, now: Column | None = None) -> DataFrame:
+    """The shortest log with the same state: a SET for each key. With `now`, expired keys are cleaned up too."""
+    state = kv_state(writes)
+    kept = state if now is None else state.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
+    return kept.select(F.lit("SET").alias("op"), "key", "value", "expires_at", "created_at", "updated_at", "order")
+
+
+def kv_stats(state: DataFrame, now: Column) -> DataFrame:
+    """One row: total_keys, expired_keys, bytes (of keys and values)."""
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return state.agg(F.count("*").alias("total_keys"), F.count_if(F.col("expires_at") < now).alias("expired_keys"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+
+
 def keys_like(entries: DataFrame, glob: str, key: str = "key") -> DataFrame:
     """Keys that fit a pattern of * and ?."""
     like = glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")

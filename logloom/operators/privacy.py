@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import hash31
 from ..schema import SENSITIVITIES, ordinal
@@ -179,12 +181,39 @@ OUTPUT_PATTERNS = (
 )
 
 
+def deep(value: Column, kind: T.DataType, clean: Callable[[Column], Column]) -> Column:
+    """value with every string in it cleaned, at any depth of structs, arrays and maps; keys of maps, other types and nulls stay."""
+    if isinstance(kind, T.StringType):
+        return clean(value)
+    if isinstance(kind, T.ArrayType) and holds_text(kind):
+        return F.transform(value, lambda x: deep(x, kind.elementType, clean))
+    if isinstance(kind, T.MapType) and holds_text(kind):
+        return F.transform_values(value, lambda k, v: deep(v, kind.valueType, clean))
+    if isinstance(kind, T.StructType) and holds_text(kind):
+        return F.when(value.isNotNull(), F.struct(*[deep(value.getField(f.name), f.dataType, clean).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def holds_text(kind: T.DataType) -> bool:
+    """Whether a type has strings that `deep` would clean."""
+    if isinstance(kind, T.StructType):
+        return any(holds_text(f.dataType) for f in kind.fields)
+    return holds_text(kind.elementType) if isinstance(kind, T.ArrayType) else holds_text(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, T.StringType)
+
+
+def redact_deep(df: DataFrame, columns: list[str] | None = None, policy: Policy = MODERATE) -> DataFrame:
+    """df with every match of the policy replaced by its placeholder, in strings at any depth."""
+    chosen = [f for f in df.schema.fields if (columns is None or f.name in columns) and holds_text(f.dataType)]
+    return df.withColumns({f.name: deep(F.col(f.name), f.dataType, lambda c: redact(c, policy)) for f in chosen})
+
+
 def redact_output(df: DataFrame, columns: list[str] | None = None, own: tuple[str, ...] = ()) -> DataFrame:
-    """df with every match in its string columns (and in arrays of strings) replaced by [REDACTED]."""
+    """df with every match in its strings, at any depth, replaced by [REDACTED]; the schema stays."""
+
     def clean(c: Column) -> Column:
         for pattern in (*OUTPUT_PATTERNS, *own):
             c = F.regexp_replace(c, pattern, "[REDACTED]")
         return c
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if columns is None or f.name in columns}
-    return df.withColumns({n: clean(F.col(n)) if k == "string" else F.transform(n, clean) for n, k in kinds.items() if k in ("string", "array<string>")})
+    chosen = [f for f in df.schema.fields if (columns is None or f.name in columns) and holds_text(f.dataType)]
+    return df.withColumns({f.name: deep(F.col(f.name), f.dataType, clean) for f in chosen})

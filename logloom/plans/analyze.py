@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import detect, scoring, truncation
+from ..operators.calls import signature_calls
 from ..operators.events import log_stats, typed_events
 from ..operators.tree import call_tree
 from ..sources.logs import continuation_lines, headers, log_lines, tokens
@@ -48,10 +49,9 @@ def log_status(p: Parsed) -> DataFrame:
 def detect_issues(p: Parsed, detectors: tuple[str, ...] = detect.DETECTORS) -> DataFrame:
     """Issues of all logs with det_seq, their order of detection in the log."""
     details = continuation_lines(p.lines, p.events) if p.fixed else None
-    methods = call_tree(p.events.where(F.col("type").isin("METHOD_ENTRY", "METHOD_EXIT", "CONSTRUCTOR_ENTRY", "CONSTRUCTOR_EXIT")))
     runs = {
         "governor_limits": lambda: detect.governor_limit_issues(detect.limit_readings(p.events, details)),
-        "cpu_hotspots": lambda: detect.cpu_issues(detect.method_stats(detect.method_calls(methods))),
+        "cpu_hotspots": lambda: detect.cpu_issues(detect.method_stats(signature_calls(p.events))),
         "query_in_loop": lambda: detect.query_loop_issues(p.tree),
         "n_plus_one": lambda: detect.n_plus_one_issues(p.tree, p.fixed),
         "recursive_trigger": lambda: detect.recursion_issues(p.tree),

@@ -152,3 +152,80 @@ def test_stream_parse_equals_batch(spark):
     assert rows(got) == rows(want)
     assert want.where("record = 'event'").groupBy("log_id").count().agg(F.max("count")).first()[0] == 20
     assert {json.loads(r.said).get("header") for r in want.where("record = 'metadata'").collect()} == {None, "61.0 APEX_CODE,FINE;"}
+
+
+def test_lanes_by_a_walk(spark):
+    """Branches forked and merged in one pass over the rows, as a reader would draw them."""
+    from logloom.operators import lanes
+    from logloom.operators.tree import call_tree
+
+    rng, rows, want = random.Random(8), [], {}
+    for log in range(4):
+        stack, active, columns = [], {}, {}
+        for i in range(1, 120 if log else 2):
+            kind, name = rng.choice(["S", "S", "F", "M", "D"]), f"T{rng.randrange(4)}"
+            rows.append((log, i, i, kind, name))
+            around = next((columns[n] for k, n in reversed(stack) if k == "S"), 0)
+            if kind == "S":
+                columns.setdefault(name, len(columns) + 1)
+                active[name] = True
+                want[log, i] = (columns[name], True, False, 1 + sum(active.values()))
+            elif kind == "F" and name in columns:
+                want[log, i] = (columns[name], False, True, 1 + sum(active.values()))
+                active[name] = False
+            elif kind in "MD":
+                want[log, i] = (around, False, False, 1 + sum(active.values()))
+            if kind in "SM":
+                stack.append((kind, name))
+            elif kind == "F" and stack:
+                stack.pop()
+    df = spark.createDataFrame(rows, "log_id int, id long, timestamp long, type string, name string")
+    tree = call_tree(df, ("S", "M"), ("F",))
+    got = lanes.lanes(tree, F.when(F.col("type").isin("S", "F"), F.col("name")), F.col("type") == "S", F.col("type") == "F", F.col("type") == "F")
+    assert {(r.log_id, r.id): (r.lane, r.is_start, r.is_end, r.n_open) for r in got.collect()} == want
+    lines = {(r.log_id, r.id): r.line for r in lanes.lane_lines(got, F.lit("#"), F.lit("m")).collect()}
+    assert len(lines) == len(want) and all(v.index("#") == 2 * want[k][0] and v.endswith("-- m") for k, v in lines.items())
+
+
+def test_writes_to_a_store_one_by_one(spark):
+    from logloom.operators import memory
+
+    rng, rows, store, halves = random.Random(9), [], {}, []
+    for o in range(400):
+        op, key = rng.choices(["SET", "DELETE", "CLEAR"], [12, 4, 0.2])[0], f"k{rng.randrange(25)}"
+        value, expires = f"v{o}", rng.choice([None, float(rng.randrange(100))])
+        rows.append((op, key, value, expires, o))
+        if op == "CLEAR":
+            store.clear()
+        elif op == "DELETE":
+            store.pop(key, None)
+        else:
+            store[key] = (value, expires, store[key][2] if key in store else o, o)
+        if o == 200:
+            halves.append(dict(store))
+    df = spark.createDataFrame(rows, "op string, key string, value string, expires_at double, at long")
+    w = memory.kv_writes(df, *[F.col(c) for c in ("op", "key", "value", "expires_at", "at", "at")])
+    state = lambda d: {r.key: (r.value, r.expires_at, r.created_at, r.updated_at) for r in memory.kv_state(d).collect()}
+    assert state(w) == store and state(w.where("order <= 200")) == halves[0]
+    # what is written behind a compacted log is read like behind the whole one
+    assert state(memory.kv_compact(w.where("order <= 200")).unionByName(w.where("order > 200"))) == store
+    live = {k: v for k, v in store.items() if v[1] is None or v[1] >= 50}
+    assert state(memory.kv_compact(w, F.lit(50.0))) == live
+    stats = memory.kv_stats(memory.kv_state(w), F.lit(50.0)).first()
+    assert (stats.total_keys, stats.expired_keys) == (len(store), len(store) - len(live))
+    assert memory.kv_state(w.where("order < 0")).count() == 0 and memory.kv_stats(memory.kv_state(w.where("order < 0")), F.lit(1.0)).first().bytes == 0
+
+
+def test_redaction_at_any_depth(spark):
+    from logloom.operators import privacy
+
+    schema = "id long, n int, s string, deep struct<a:string,b:array<struct<c:string,d:map<string,array<string>>,e:double>>,f:date>, none array<int>"
+    mail = "x a.b@c.org y"
+    df = spark.createDataFrame([(1, 5, mail, (mail, [(mail, {mail: [mail, None]}, 1.5), None], None), [1]), (2, None, None, None, None)], schema)
+    out = privacy.redact_output(df)
+    assert out.schema == df.schema
+    first, second = out.orderBy("id").collect()
+    clean = "x [REDACTED] y"
+    assert first.deep.a == first.s == first.deep.b[0].c == clean and first.deep.b[0].d == {mail: [clean, None]} and first.deep.b[1] is None and first.none == [1]
+    assert second.deep is None and second.s is None
+    assert privacy.redact_deep(df, ["deep"]).orderBy("id").first().deep.b[0].c == "x [EMAIL] y" and privacy.redact_deep(df, ["deep"]).orderBy("id").first().s == mail
