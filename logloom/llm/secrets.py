@@ -7,7 +7,8 @@ threshold, in total and per character, is a span of the kind `random`. Base span
 would overlap a base span is not added.
 
 All of it is DataFrame expressions: a match is marked on both sides with a character that is not in the text, the text is
-split there, and positions (code points, end exclusive) are the running lengths of the pieces.
+split there, and positions (code points, end exclusive) are the running lengths of the pieces. Running sums go by runs of elements and
+overlaps are counted in sorted arrays, so the work on a text grows with its length and (but for sorting) with its matches.
 
 Defined cases: null text counts as empty; whole texts of any length are scanned; repeated rows are scanned as
 often as they come; an empty table gives no rows; extra columns are ignored; without documents
@@ -33,26 +34,57 @@ KINDS = ("assign", "access", "hex", "random")
 TOTAL, PER_CHARACTER = 12.0, 0.8
 SAMPLE_DOCUMENTS = 4000
 RANDOM_STRINGS = 6000
-_SPAN = "array<struct<s:int,k:int,e:int,t:string>>"
+_SPAN = "array<struct<s:int,k:int,e:int>>"
+#: Elements of a run in running sums.
+_RUN = 64
 
 
-def _spans(text: Column, pattern: str, kind: int, ok=None, with_text: bool = False) -> Column:
-    """(start, kind, end, text) of the leftmost non-overlapping matches that are ok."""
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array of lengths, in about _RUN times as many steps as it has elements: sums of runs of _RUN elements are
+    added up one after the other, and an element adds what its run holds up to it."""
+    n_runs = F.ceil(F.size(lengths) / _RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n_runs - 1), lambda i: F.aggregate(F.slice(lengths, i * _RUN + 1, F.lit(_RUN)), F.lit(0), lambda x, y: x + y))
+    before = lambda r: F.aggregate(r, F.array(F.lit(0)), lambda x, y: F.concat(x, F.array(F.element_at(x, -1) + y)))
+
+    def ends(b: Column) -> Column:
+        place = lambda i: (i / _RUN).cast("int")
+        return F.transform(lengths, lambda x, i: F.get(b, place(i)) + F.aggregate(F.slice(lengths, place(i) * _RUN + 1, i - place(i) * _RUN + 1), F.lit(0), lambda x, y: x + y))
+
+    return let(runs, lambda r: let(before(r), ends))
+
+
+def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
+    """(start, kind, end) of the leftmost non-overlapping matches that are ok."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
     none = F.array().cast(_SPAN)
 
-    def walk(p: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+    def placed(p: Column) -> Column:
+        # every second piece is a match
+        hit = lambda x, i: i % 2 == 1 if ok is None else F.when(i % 2 == 1, ok(x)).otherwise(False)
+
+        def spans(e: Column) -> Column:
+            span = lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("s"), F.lit(kind).alias("k"), F.get(e, i).alias("e"), hit(x, i).alias("ok"))
+            return F.transform(F.filter(F.transform(p, span), lambda x: x["ok"]), lambda x: F.struct(x["s"], x["k"], x["e"]))
+
+        return F.when(F.size(p) == 1, none).otherwise(let(F.transform(p, lambda x: F.length(x)), lambda n: let(_ends(n), spans)))
+
+    return let(pieces, placed)
+
 
-        def step(a: Column, x: Column) -> Column:
-            end = a["at"] + F.length(x)
-            hit = a["inside"] if ok is None else a["inside"] & ok(x)
-            span = F.struct(a["at"].alias("s"), F.lit(kind).alias("k"), end.alias("e"), (x if with_text else F.lit("")).alias("t"))
-            return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(hit, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+def _below(values: Column, bounds: Column, strictly: bool) -> Column:
+    """For each bound, in order, how many values are below it (or at it, unless strictly): places in one sorted array of both."""
+    first, then = (bounds, values) if strictly else (values, bounds)
+    both = F.sort_array(F.concat(F.transform(first, lambda x: F.struct(x.alias("at"), F.lit(0).alias("then"))), F.transform(then, lambda x: F.struct(x.alias("at"), F.lit(1).alias("then")))))
+    asked = 0 if strictly else 1
+    places = F.transform(F.filter(F.transform(both, lambda x, i: F.struct(x["then"].alias("then"), i.alias("i"))), lambda x: x["then"] == asked), lambda x: x["i"])
+    return F.transform(places, lambda x, i: x - i)
 
-        return F.when(F.size(p) == 1, none).otherwise(F.aggregate(p, start, step, lambda a: a["out"]))
 
-    return let(pieces, walk)
+def _free(more: Column, base: Column) -> Column:
+    """The spans of `more` (in order, none over another) that overlap no span of base: as many base spans start before one's end as end by its start."""
+    field = lambda spans, name: F.transform(spans, lambda x: x[name])
+    started, ended = _below(field(base, "s"), field(more, "e"), True), _below(field(base, "e"), field(more, "s"), False)
+    return let(started, lambda a: let(ended, lambda b: F.filter(more, lambda m, i: F.get(a, i) == F.get(b, i))))
 
 
 def base_spans(text: Column) -> Column:
@@ -141,7 +173,7 @@ def secret_spans(docs: DataFrame, samples: DataFrame | None = None, total: float
 
     found = src.select("doc_id", base_spans(F.col("text")).alias("base"), _spans(F.col("text"), CANDIDATE, 3, random).alias("more"))
     flat = found.select("doc_id", "base", F.flatten("base").alias("all"), "more")
-    free = F.filter("more", lambda m: ~F.exists("all", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+    free = _free(F.col("more"), F.col("all"))
     names = F.array(*map(F.lit, KINDS))
     joined = lambda spans: F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     out = flat.select("doc_id", "base", "all", free.alias("added"))

@@ -59,3 +59,28 @@ def test_random_strings_are_added_and_identifiers_are_not(spark):
 
 def test_empty(spark):
     assert secrets.secret_spans(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_free_spans_against_every_pair(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(12), []
+    for i in range(60):
+        at, more = 0, []
+        for _ in range(rng.randint(0, 200) if i else 0):
+            a = at + rng.randint(0, 4)
+            at = a + rng.randint(1, 6)
+            more.append((a, 3, at))
+        base = [(a, rng.randrange(3), a + rng.randint(1, 9)) for a in (rng.randrange(500) for _ in range(rng.randint(0, 40)))]
+        rows.append((i, more, base))
+    kind = "array<struct<s:int,k:int,e:int>>"
+    df = spark.createDataFrame(rows, f"i int, more {kind}, base {kind}").repartition(2).select("i", secrets._free(F.col("more"), F.col("base")).alias("free"))
+    want = {i: [m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)] for i, more, base in rows}
+    assert {r.i: [tuple(x) for x in r.free] for r in df.collect()} == want
+
+
+def test_a_text_full_of_matches(spark):
+    text = " ".join(f"é token=abcdefgh{i % 10} AKIAABCDEFGHIJKLMN" for i in range(20_000))
+    r = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    line = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute(text))
+    assert (r.n_assign, r.n_access) == (20_000, 20_000) and r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
