@@ -11,7 +11,7 @@ MAX_FILE_BYTES = 50 << 20
 
 
 def read_logs(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(log_id, content, size): one row a file, named like the file without its ending; larger files are left out."""
+    """(log_id, content, size): one row a file, named like the file without its ending; larger files are left out here and listed by `skipped_files`."""
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -19,6 +19,15 @@ def read_logs(spark: SparkSession, path: str, glob: str | None = None, max_bytes
     return df.where(F.col("size") <= max_bytes).select(F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1).alias("log_id"), "content", "size")
 
 
+def skipped_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(log_id, size, status TOO_LARGE) of the files that `read_logs` leaves out; their content isn't read."""
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    big = reader.load(path).where(F.col("length") > max_bytes)
+    return big.select(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*?)(\.[^.]*)?$", 1).alias("log_id"), F.col("length").alias("size"), F.lit("TOO_LARGE").alias("status"))
+
+
 def log_lines(logs: DataFrame) -> DataFrame:
     """(log_id, line_number from 1, value)."""
     return logs.select("log_id", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "value")).select("log_id", (F.col("pos") + 1).alias("line_number"), "value")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from logloom.sources.logs import read_logs
+from logloom.sources.logs import read_logs, skipped_files
 from logloom.streaming import logs as S
 
 LOG = "60.0 APEX_CODE,FINE\n09:00:00.1 (100)|EXECUTION_STARTED\n09:00:00.2 (200)|METHOD_ENTRY|[1]|A.f\n09:00:00.3 (300)|METHOD_EXIT|[1]|A.f\n"
@@ -15,6 +15,8 @@ def test_files_stream_as_tokens(spark, tmp_path):
     assert got == [(f"l{i}", n, t) for i in range(3) for n, t in ((2, "EXECUTION_STARTED"), (3, "METHOD_ENTRY"), (4, "METHOD_EXIT"))]
     assert sorted(r.log_id for r in read_logs(spark, str(tmp_path), "*.log").collect()) == ["l0", "l1", "l2"]
     assert read_logs(spark, str(tmp_path), max_bytes=10).count() == 0
+    assert sorted(map(tuple, skipped_files(spark, str(tmp_path), "*.log", max_bytes=10).collect())) == [(f"l{i}", len(LOG), "TOO_LARGE") for i in range(3)]
+    assert skipped_files(spark, str(tmp_path)).count() == 0
 
 
 def test_watch_counts_and_depths(spark, tmp_path):
