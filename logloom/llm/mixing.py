@@ -6,7 +6,8 @@ domain, sum(r * tokens * posterior), match the targets: projected-gradient least
 aggregate over all documents, without Python: the residual of each domain gives a gradient, gradients add up, and a document's rate is one
 less its part of their sum, projected on the bound (a lazy projection). So a rate is a function of the document's posterior and
 as many numbers as there are domains, and a pass carries no other state. Gradients are taken per token: documents alike in
-posterior get the same rate, whatever their length. See `solve` for steps; targets that can't be met get the least-squares fit, and a warning with the shares reached.
+posterior get the same rate, whatever their length. The step along the summed gradient is scaled by the inverse of the merit's second derivative (a
+Newton step on the sum), shortened until the merit falls; where that doesn't help, it is the plain gradient step. Targets that can't be met get the least-squares fit, and a warning with the shares reached.
 
 Defined cases: null, empty and blank texts have no tokens, a posterior from the classifier's bias alone and the
 rate that goes with it; repeated rows count as often as they come; null ids are mixed like others; null labels
