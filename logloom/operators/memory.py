@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash31, jaccard, keywords, normalize_error, query_object
-
-# fixed values: weights of the parts of a similarity
-WEIGHTS = {"issue_type": 0.25, "error": 0.15, "objects": 0.15, "namespaces": 0.10, "methods": 0.15, "queries": 0.10, "limits": 0.10}
+from ..functions.text import hash31, keywords, normalize_error, query_object
+from .similar import WEIGHTS, find_similar, signature_similarity, similarity, top_per_key  # noqa: F401
 
 
 def keyword_search(entries: DataFrame, query_words: list[str], id_col: str, text: Column) -> DataFrame:
@@ -34,55 +32,6 @@ def method_pattern(name: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), ".")
 
 
-def similarity(parts: list[tuple[float, Column, Column | None]]) -> Column:
-    """Weighted mean of (weight, score, whether it counts)."""
-    top = bottom = F.lit(0.0)
-    for weight, score, counts in parts:
-        w = F.lit(weight) if counts is None else F.when(counts, weight).otherwise(0.0)
-        top, bottom = top + w * score, bottom + w
-    return F.when(bottom > 0, top / bottom).otherwise(0.0)
-
-
-def signature_similarity(a: str, b: str) -> Column:
-    """Of two signature structs (issue_type, error_signature, objects, namespaces, methods, queries, limits)."""
-    f = lambda side, name: F.col(f"{side}.{name}")
-    both_errors = f(a, "error_signature").isNotNull() & f(b, "error_signature").isNotNull()
-    sets = [(WEIGHTS[n], jaccard(f(a, n), f(b, n)), None) for n in ("objects", "namespaces", "methods", "queries", "limits")]
-    return similarity([(WEIGHTS["issue_type"], F.when(f(a, "issue_type") == f(b, "issue_type"), 1.0).otherwise(0.0), None), (WEIGHTS["error"], F.when(f(a, "error_signature") == f(b, "error_signature"), 1.0).otherwise(0.0), both_errors), *sets])
-
-
-#: Queries without a candidate that are held against all entries at once.
-BLOCK = 10_000
-
-
-def candidates(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, entry_id) with the same issue type or a shared object: equality joins. A query that shares neither with any entry gets
-    every entry: such queries go to the entries in blocks of BLOCK."""
-    same = queries.select("query_id", F.col("signature.issue_type").alias("k")).join(entries.select("entry_id", F.col("signature.issue_type").alias("k")), "k").select("query_id", "entry_id")
-    objects = lambda df, i: df.select(i, F.explode("signature.objects").alias("k")).select(i, F.lower("k").alias("k"))
-    shared = objects(queries, "query_id").join(objects(entries, "entry_id"), "k").select("query_id", "entry_id")
-    found_ = same.unionByName(shared).distinct()
-    types, names = entries.select(F.col("signature.issue_type").alias("k")).distinct(), objects(entries, "entry_id").select("k").distinct()
-    met = queries.select("query_id", F.col("signature.issue_type").alias("k")).join(types, "k", "left_semi").unionByName(objects(queries, "query_id").join(names, "k", "left_semi").select("query_id", "k"))
-    lone = queries.select("query_id").join(met.select("query_id"), "query_id", "left_anti")
-    n = lone.count()
-    for block in range(-(-n // BLOCK)):
-        part = lone.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
-        found_ = found_.unionByName(entries.select("entry_id").join(F.broadcast(part)).select("query_id", "entry_id"))
-    return found_
-
-
-def find_similar(queries: DataFrame, entries: DataFrame, least: float = 0.3, top: int = 10) -> DataFrame:
-    """(query_id, entry_id, score, place): the entries most like each query."""
-    pairs = candidates(queries, entries).join(queries.select("query_id", F.col("signature").alias("q")), "query_id").join(entries.select("entry_id", F.col("signature").alias("e")), "entry_id")
-    scored = pairs.select("query_id", "entry_id", F.round(signature_similarity("q", "e"), 6).alias("score")).where(F.col("score") >= least)
-    return top_per_key(scored, ["query_id"], [F.desc("score"), F.col("entry_id")], top)
-
-
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
-
-
 def ema(outcomes: DataFrame, key: str, order: str, outcome: Column, keep: float = 0.7, start: float = 0.5) -> DataFrame:
     """(key, n, success_rate): outcomes in order, each moving the rate by 1 - keep."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), outcome.cast("double").alias("y"))))
