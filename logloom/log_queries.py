@@ -295,3 +295,59 @@ def redact_nested(spark, sf):
     made = c.select("conv_id", "turn", "role", F.struct(F.struct(F.col("text"), F.length("text").alias("size")).alias("said"), F.create_map("role", "text").alias("by"), F.array(F.struct(F.col("text").alias("t"))).alias("parts")).alias("whole"))
     done = privacy.redact_output(made, ["whole"])
     return done.select("conv_id", "turn", F.col("whole.said.text").alias("in_struct"), F.map_keys("whole.by")[0].alias("key"), F.element_at("whole.by", F.col("role")).alias("in_map"), F.col("whole.parts")[0]["t"].alias("in_array"), F.col("whole.said.size").cast("long").alias("size"))
+
+
+_EPISODES = """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS owner, event_id AS id, epoch_us(ts) AS t, CASE event_type WHEN 'signup' THEN 'complete' WHEN 'purchase' THEN 'solution' WHEN 'view' THEN 'note' ELSE 'issue' END AS kind,
+  CASE event_type WHEN 'purchase' THEN 'S' || (event_id % 7) ELSE event_type || (event_id % 3) END AS said, ['RESOLVED', 'PARTIALLY_RESOLVED', 'ESCALATED', 'UNKNOWN'][1 + event_id % 4] AS outcome, value FROM events),
+s AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= 36 * 3600000000 OR lag(kind) OVER w = 'complete' THEN 1 ELSE 0 END AS opens FROM f WINDOW w AS (PARTITION BY owner ORDER BY t, id)),
+e AS (SELECT *, sum(opens) OVER (PARTITION BY owner ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS n FROM s),
+v AS (SELECT owner, n, kind, said, min((t, id)) AS first FROM e WHERE kind IN ('issue', 'solution') GROUP BY ALL),
+l AS (SELECT owner, n, string_agg(said, ',' ORDER BY first) FILTER (kind = 'issue') AS issues, string_agg(said, ',' ORDER BY first) FILTER (kind = 'solution') AS solutions FROM v GROUP BY ALL),
+ep AS (SELECT owner, arg_min(id, (t, id)) AS episode_id, min(t) // 1000 AS started_ms, max(t) // 1000 AS last_ms, max(t // 1000) FILTER (kind = 'complete') AS ended_ms, coalesce(any_value(issues), '') AS issues, coalesce(any_value(solutions), '') AS solutions,
+  coalesce(any_value(outcome) FILTER (kind = 'complete'), 'UNKNOWN') AS outcome, any_value(value > 50) FILTER (kind = 'complete') AS helpful, CAST(any_value(floor(value / 20)) FILTER (kind = 'complete') AS BIGINT) AS rating FROM e LEFT JOIN l USING (owner, n) GROUP BY owner, n)"""
+
+
+def _facts(spark, sf):
+    """Users debug: clicks and errors are issues, purchases solutions, views only notes, a signup completes."""
+    e, t, i = table(spark, sf, "events"), F.col("event_type"), F.col("event_id")
+    kind = F.when(t == "signup", "complete").when(t == "purchase", "solution").when(t == "view", "note").otherwise("issue")
+    said = F.when(t == "purchase", F.concat(F.lit("S"), (i % 7).cast("string"))).otherwise(F.concat(t, (i % 3).cast("string")))
+    outcome = F.get(F.array(*map(F.lit, ("RESOLVED", "PARTIALLY_RESOLVED", "ESCALATED", "NO_SUCH"))), (i % 4).cast("int"))
+    return e.select(F.col("user_id").alias("owner"), F.col("ts").cast("timestamp").alias("ts"), i.alias("id"), kind.alias("kind"), said.alias("value"), outcome.alias("outcome"), (F.col("value") > 50).alias("helpful"), F.floor(F.col("value") / 20).alias("rating"))
+
+
+def _flat(done):
+    return done.withColumns({c: F.array_join(c, ",") for c in ("issues", "solutions")})
+
+
+@register(f"{_EPISODES} SELECT * FROM ep")
+def episode_sessions(spark, sf):
+    from .streaming import episodes
+
+    return _flat(episodes.episodes(_facts(spark, sf), "36 hours"))
+
+
+@register(f"{_EPISODES} SELECT * FROM ep")
+def stream_episodes(spark, sf):
+    """The same from a stream that is started anew for each of four arrivals."""
+    from .streaming import episodes, sessions
+
+    number = F.least(F.lit(4), 1 + F.floor((F.dayofmonth("ts") - 1) / 8)).cast("int")
+    return _flat(sessions.run_in_batches(_facts(spark, sf), number, 4, "ts", lambda s: episodes.stream_episodes(s, "36 hours")))
+
+
+@register(f"{_EPISODES} SELECT unnest(string_split(solutions, ',')) AS solution_id, count(*) FILTER (outcome = 'RESOLVED') AS success_count, count(*) FILTER (outcome <> 'RESOLVED') AS failure_count, max(ended_ms) AS last_used_ms FROM ep WHERE outcome IN ('RESOLVED', 'PARTIALLY_RESOLVED') AND solutions <> '' GROUP BY 1")
+def episode_solutions(spark, sf):
+    from .streaming import episodes
+
+    return episodes.solution_outcomes(episodes.episodes(_facts(spark, sf), "36 hours"))
+
+
+@register(f"{_EPISODES}, n AS (SELECT epoch_ms(TIMESTAMP '2024-01-30') AS now) SELECT (SELECT count(*) FILTER (o_custkey * 1000000000 < now) FROM orders, n) AS expired_keys, count(*) FILTER (started_ms < now - 20 * 86400000) AS old_episodes, greatest(0, count(*) FILTER (started_ms >= now - 20 * 86400000) - 100) AS extra_episodes FROM ep, n")
+def memory_maintenance(spark, sf):
+    """What a clean-up would take: orders stand for keys that expire at a time of their customer's."""
+    from .streaming import episodes
+
+    keys = table(spark, sf, "orders").select((F.col("o_custkey") * 1000000000).alias("expires_at"))
+    now = F.unix_millis(F.lit("2024-01-30").cast("timestamp"))
+    return episodes.maintenance(episodes.episodes(_facts(spark, sf), "36 hours"), keys, now, 20, 100)
