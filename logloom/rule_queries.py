@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import correlation, detect, exceptions, memory, namespaces, privacy, query, scoring, tree, truncation
 from .plans.analyze import parse_logs
-from .queries import register, rounded
+from .queries import register, rounded, table
 from .schema import DEBUG_LEVELS
 
 
@@ -20,6 +20,20 @@ class Inline:
     def df(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, self.ddl).coalesce(1)
 
+    def dealt(self, spark, sf) -> DataFrame:
+        """Each event with one of the rows, by its id; `{i}` in a text is the id."""
+        case = F.broadcast(spark.createDataFrame([(n, *r) for n, r in enumerate(self.rows)], f"_case int, {self.ddl}"))
+        e = table(spark, sf, "events").select("event_id", (F.col("event_id") % len(self.rows)).cast("int").alias("_case")).join(case, "_case").drop("_case")
+        texts = {n: F.replace(F.col(n), F.lit("{i}"), F.col("event_id").cast("string")) for n, k in (c.split() for c in self.ddl.split(", ")) if k == "string"}
+        return e.withColumns(texts) if texts else e
+
+    @property
+    def dealt_sql(self) -> str:
+        columns = [c.split() for c in self.ddl.split(", ")]
+        picked = ", ".join(f"replace(c.{n}, '{{i}}', CAST(event_id AS VARCHAR)) AS {n}" if k == "string" else f"c.{n}" for n, k in columns)
+        cases = Inline("_r", f"_case int, {self.ddl}", [(n, *r) for n, r in enumerate(self.rows)]).sql
+        return f"{cases}, {self.name} AS (SELECT event_id, {picked} FROM events JOIN _r c ON c._case = event_id % {len(self.rows)})"
+
     @property
     def sql(self) -> str:
         kinds = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -36,85 +50,85 @@ class Inline:
 # ---- names, texts, queries ----------------------------------------------------------------------------------------
 
 _NAMES = Inline("f", "name string", [(n,) for n in (
-    "Password__c", "clientSecret", "SSN", "social security", "creditCard", "Card_Number", "CCN", "apiKey", "access_token", "bearer", "session_id", "SessionToken", "token", "user_email", "E-Mail", "mobile",
-    "CellPhone", "fax", "MailingStreet", "zip", "client_ip", "ip_address", "birthDate", "DOB", "date_of_birth", "FirstName", "username", "AccountId", "record_id", "Amount", "card", "",
+    "Password{i}__c", "clientSecret", "SSN", "social security", "creditCard", "Card_Number", "CCN", "apiKey", "access_token", "bearer", "session_id", "SessionToken", "token", "user{i}_email", "E-Mail", "mobile",
+    "CellPhone", "fax", "Mailing{i}Street", "zip", "client_ip", "ip_address", "birthDate", "DOB", "date_of_birth", "FirstName", "username", "Account{i}Id", "record_id", "Amount{i}", "card", "",
 )])
 
 
-@register(rf"""WITH {_NAMES.sql}, r AS (SELECT * FROM (VALUES (1, 'password|passwd|pwd|secret', 'CRITICAL', 'Password field'), (2, 'ssn|social.?security', 'CRITICAL', 'SSN field'), (3, 'credit.?card|card.?number|ccn', 'CRITICAL', 'Credit card field'),
+@register(rf"""WITH {_NAMES.dealt_sql}, r AS (SELECT * FROM (VALUES (1, 'password|passwd|pwd|secret', 'CRITICAL', 'Password field'), (2, 'ssn|social.?security', 'CRITICAL', 'SSN field'), (3, 'credit.?card|card.?number|ccn', 'CRITICAL', 'Credit card field'),
 (4, 'api.?key|access.?token|bearer', 'CRITICAL', 'API key/token field'), (5, 'session.?id|session.?token', 'CRITICAL', 'Session field'), (6, 'email|e-mail', 'HIGH', 'Email field'), (7, 'phone|mobile|cell|fax', 'HIGH', 'Phone field'),
 (8, 'address|street|city|zip|postal', 'HIGH', 'Address field'), (9, 'birth.?date|dob|date.?of.?birth', 'HIGH', 'Date of birth field'), (10, 'name|first.?name|last.?name|full.?name', 'MEDIUM', 'Name field'), (11, 'user.?name|username', 'MEDIUM', 'Username field'),
 (12, 'ip.?address|client.?ip', 'MEDIUM', 'IP address field'), (13, 'id$|_id$|Id$', 'LOW', 'ID field')) AS v(n, p, level, reason))
-SELECT name, coalesce(arg_min(level, n), 'NONE') AS sensitivity, coalesce(arg_min(reason, n), 'No sensitive pattern detected in name') AS reason FROM f LEFT JOIN r ON regexp_matches(name, '(?i)' || p) GROUP BY 1""")
+SELECT event_id, any_value(name) AS name, coalesce(arg_min(level, n), 'NONE') AS sensitivity, coalesce(arg_min(reason, n), 'No sensitive pattern detected in name') AS reason FROM f LEFT JOIN r ON regexp_matches(name, '(?i)' || p) GROUP BY 1""")
 def field_rules(spark, sf):
     c = F.col("name")
-    return _NAMES.df(spark).select("name", privacy.field_sensitivity(c).alias("sensitivity"), privacy.field_reason(c).alias("reason"))
+    return _NAMES.dealt(spark, sf).select("event_id", "name", privacy.field_sensitivity(c).alias("sensitivity"), privacy.field_reason(c).alias("reason"))
 
 
-_FIELDS = Inline("f", "name string, value string", [("email", "none"), ("note", "mail a@b.co"), ("Amount", "12"), ("password", "mail a@b.co"), ("ownerId", "123-45-6789"), ("city", "10.0.0.1"), ("x", "10.0.0.1")])
+_FIELDS = Inline("f", "name string, value string", [("email", "none"), ("note{i}", "mail a{i}@b.co"), ("Amount{i}", "12"), ("password", "mail a@b.co"), ("ownerId", "123-45-6789"), ("city", "10.0.0.1"), ("x", "10.0.0.1")])
 
 
-@register(rf"""WITH {_FIELDS.sql}, a AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)password') THEN 4 WHEN regexp_matches(name, '(?i)email|city') THEN 3 WHEN regexp_matches(name, '(?i)id$') THEN 1 ELSE 0 END AS i,
+@register(rf"""WITH {_FIELDS.dealt_sql}, a AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)password') THEN 4 WHEN regexp_matches(name, '(?i)email|city') THEN 3 WHEN regexp_matches(name, '(?i)id$') THEN 1 ELSE 0 END AS i,
 CASE WHEN regexp_matches(value, '\b\d{{3}}[-\s]\d{{2}}[-\s]\d{{4}}\b') THEN 4 WHEN regexp_matches(value, '\w@\w+\.\w\w') THEN 3 WHEN regexp_matches(value, '\b(\d{{1,3}}\.){{3}}\d{{1,3}}\b') THEN 2 ELSE 0 END AS v FROM f), l AS (SELECT ['NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'] AS n)
-SELECT name, value, n[i + 1] AS inferred, n[v + 1] AS actual, n[greatest(i, v) + 1] AS combined FROM a, l""")
+SELECT event_id, name, value, n[i + 1] AS inferred, n[v + 1] AS actual, n[greatest(i, v) + 1] AS combined FROM a, l""")
 def classify_fields(spark, sf):
-    return _FIELDS.df(spark).select("name", "value", privacy.classify_field(F.col("name"), F.col("value")).alias("c")).select("name", "value", "c.*")
+    return _FIELDS.dealt(spark, sf).select("event_id", "name", "value", privacy.classify_field(F.col("name"), F.col("value")).alias("c")).select("event_id", "name", "value", "c.*")
 
 
 _TEXTS = Inline("t", "text string", [(x,) for x in ("a@b.com", "a@b", "see x.co", "555-123-4567", "5551234567", "123 456", "1234 5678", "12345678", "api key", "apikey", "a token", "my Secret", "nothing", "", "12-34", "PASSWORD")])
 
 
-@register(rf"WITH {_TEXTS.sql} SELECT text, (contains(text, '@') AND regexp_matches(text, '\.\w{{2,}}')) OR regexp_matches(text, '\d{{3}}[-.\s]?\d{{3}}[-.\s]?\d{{4}}') OR regexp_matches(text, '\d{{4}}[-\s]?\d{{4}}') OR regexp_matches(text, '(?i)password|secret|token|api.?key') AS likely FROM t")
+@register(rf"WITH t AS (SELECT doc_id, text FROM documents) SELECT doc_id, (contains(text, '@') AND regexp_matches(text, '\.\w{{2,}}')) OR regexp_matches(text, '\d{{3}}[-.\s]?\d{{3}}[-.\s]?\d{{4}}') OR regexp_matches(text, '\d{{4}}[-\s]?\d{{4}}') OR regexp_matches(text, '(?i)password|secret|token|api.?key') AS likely FROM t")
 def likely_pii_branches(spark, sf):
-    return _TEXTS.df(spark).select("text", privacy.likely_pii(F.col("text")).alias("likely"))
+    return table(spark, sf, "documents").select("doc_id", privacy.likely_pii(F.col("text")).alias("likely"))
 
 
 _STATEMENTS = Inline("s", "q string", [(x,) for x in (
-    "SELECT Id FROM Account", "SELECT Id FROM Account LIMIT 5", "SELECT Id FROM Account WHERE Name = 'x'", "SELECT Id FROM A WHERE City LIKE '%x'", "SELECT Id FROM A WHERE City LIKE 'x%y'", "SELECT Id FROM A WHERE City != 'x'",
-    "SELECT Id FROM A WHERE Id NOT IN :ids", "SELECT Id FROM A WHERE City = 'x' OR Zip = '1'", "SELECT Id FROM A WHERE CreatedDate > TODAY", "SELECT Id FROM A WHERE OwnerId = :me", "SELECT Id FROM A WHERE Id IN :ids", "SELECT Id FROM A WHERE X__c = :y",
+    "SELECT Id FROM Account", "SELECT Id FROM Account LIMIT 5", "SELECT Id FROM Account WHERE Name = 'x'", "SELECT Id FROM A WHERE City LIKE '%{i}'", "SELECT Id FROM A WHERE City LIKE 'x%y'", "SELECT Id FROM A WHERE City != 'x'",
+    "SELECT Id FROM A WHERE Id NOT IN :ids", "SELECT Id FROM A WHERE City = 'x' OR Zip = '1'", "SELECT Id FROM A WHERE CreatedDate > TODAY", "SELECT Id FROM A WHERE OwnerId = :me", "SELECT Id FROM A WHERE Id IN :ids", "SELECT Id FROM A WHERE X{i}__c = :y",
     "SELECT Id FROM A WHERE City = 'x' ORDER BY Name", "SELECT a, b, c, d, e FROM A WHERE Id = :x", "SELECT * FROM A", "SELECT a, b, c, d, e FROM A", "SELECT Id FROM A WHERE City LIKE '%x' AND Zip != '1'", "SELECT Id, (SELECT Id FROM B WHERE X != 1) FROM A",
     "SELECT Id FROM A WHERE CreatedById = :x", "SELECT Id FROM A WHERE City <> 'x' OR Zip LIKE '%1'", "", "WHERE",
 )])
 
 
-@register(rf"""WITH {_STATEMENTS.sql}, u AS (SELECT q, upper(q) AS u, trim(regexp_extract(upper(q), 'WHERE\s+(.+?)(ORDER BY|GROUP BY|LIMIT|$)', 1)) AS w FROM s WHERE q <> ''),
-x AS (SELECT q, CASE WHEN NOT contains(u, 'WHERE') THEN 0.3 ELSE 0 END
+@register(rf"""WITH {_STATEMENTS.dealt_sql}, u AS (SELECT event_id, upper(q) AS u, trim(regexp_extract(upper(q), 'WHERE\s+(.+?)(ORDER BY|GROUP BY|LIMIT|$)', 1)) AS w FROM s WHERE q <> ''),
+x AS (SELECT event_id, CASE WHEN NOT contains(u, 'WHERE') THEN 0.3 ELSE 0 END
  + CASE WHEN w <> '' THEN CASE WHEN regexp_matches(w, '%\w|LIKE\s+''%') THEN 0.25 ELSE 0 END + CASE WHEN regexp_matches(w, 'NOT\s+IN|!=|<>') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(w, '\sOR\s') THEN 0.1 ELSE 0 END
  + CASE WHEN regexp_matches(w, '\b(ID|NAME|OWNERID|CREATEDBYID|LASTMODIFIEDBYID|RECORDTYPEID)\s*=|\b(CREATEDDATE|LASTMODIFIEDDATE|SYSTEMMODSTAMP)\s*[<>=]|\bIN\s*:|\b\w+__C\s*=\s*:') THEN 0 ELSE 0.2 END ELSE 0 END
  + CASE WHEN regexp_matches(u, 'SELECT\s+\*|SELECT.*,.*,.*,.*,') THEN 0.1 ELSE 0 END + CASE WHEN NOT contains(u, 'LIMIT') AND NOT contains(u, 'WHERE') THEN 0.2 ELSE 0 END AS total FROM u)
-SELECT q, coalesce(round(total, 4), 0)::DOUBLE AS total, least(0.85, coalesce(round(total, 4), 0))::DOUBLE AS score, CASE WHEN total >= 0.4 THEN 'HIGH' WHEN total >= 0.25 THEN 'MEDIUM' WHEN total > 0 THEN 'LOW' END AS severity FROM s LEFT JOIN x USING (q)""")
+SELECT event_id, q, coalesce(round(total, 4), 0)::DOUBLE AS total, least(0.85, coalesce(round(total, 4), 0))::DOUBLE AS score, CASE WHEN total >= 0.4 THEN 'HIGH' WHEN total >= 0.25 THEN 'MEDIUM' WHEN total > 0 THEN 'LOW' END AS severity FROM s LEFT JOIN x USING (event_id)""")
 def heuristic_branches(spark, sf):
     q = F.col("q")
     total = detect.heuristic_total(q)
-    return _STATEMENTS.df(spark).select("q", F.coalesce(total, F.lit(0.0)).alias("total"), detect.query_heuristics(q).alias("score"), detect.heuristic_severity(total).alias("severity"))
+    return _STATEMENTS.dealt(spark, sf).select("event_id", "q", F.coalesce(total, F.lit(0.0)).alias("total"), detect.query_heuristics(q).alias("score"), detect.heuristic_severity(total).alias("severity"))
 
 
-_TRIGGERS = Inline("n", "name string", [(x,) for x in ("AccountTrigger", "Account_Trigger", "SBQQ__QuoteTrigger", "CaseBeforeInsert", "Case_AfterUpdate", "LeadHandler", "OpportunityTriggerHandler", "contact_trigger", "Trigger", "a b Trigger")])
+_TRIGGERS = Inline("n", "name string", [(x,) for x in ("Account{i}Trigger", "Account{i}_Trigger", "SBQQ__QuoteTrigger", "Case{i}BeforeInsert", "Case_AfterUpdate", "LeadHandler", "OpportunityTriggerHandler", "contact_trigger", "Trigger", "a b Trigger")])
 
 
-@register(rf"""WITH {_TRIGGERS.sql} SELECT name, coalesce(nullif(regexp_extract(name, '(?i)^(\w+?)_?Trigger$', 1), ''), nullif(regexp_extract(name, '(?i)^(\w+?)_?Before', 1), ''), nullif(regexp_extract(name, '(?i)^(\w+?)_?After', 1), ''), name) AS object FROM n""")
+@register(rf"""WITH {_TRIGGERS.dealt_sql} SELECT event_id, name, coalesce(nullif(regexp_extract(name, '(?i)^(\w+?)_?Trigger$', 1), ''), nullif(regexp_extract(name, '(?i)^(\w+?)_?Before', 1), ''), nullif(regexp_extract(name, '(?i)^(\w+?)_?After', 1), ''), name) AS object FROM n""")
 def trigger_objects(spark, sf):
-    return _TRIGGERS.df(spark).select("name", detect.trigger_object(F.col("name")).alias("object"))
+    return _TRIGGERS.dealt(spark, sf).select("event_id", "name", detect.trigger_object(F.col("name")).alias("object"))
 
 
 # ---- exceptions ---------------------------------------------------------------------------------------------------
 
-_TYPES = Inline("t", "kind string", [(x,) for x in (*exceptions.EXCEPTIONS, "DmlException", "ns.QueryException", "MyCalloutException", "Unknown", "", "System.Other", "System.LimitException2")])
+_TYPES = Inline("t", "kind string", [(x,) for x in (*exceptions.EXCEPTIONS, "DmlException", "ns{i}.QueryException", "My{i}CalloutException", "Unknown", "", "System.Other", "System.LimitException2")])
 _FACTS = "(VALUES " + ", ".join(f"({i}, '{k}', '{v[0]}', '{v[2]}')" for i, (k, v) in enumerate(exceptions.EXCEPTIONS.items())) + ") AS x(n, k, category, cause)"
 
 
-@register(rf"""WITH {_TYPES.sql}, f AS (SELECT * FROM {_FACTS}) SELECT kind, coalesce((SELECT category FROM f WHERE k = kind), (SELECT arg_min(category, n) FROM f WHERE ends_with(kind, split_part(k, '.', 2))), 'UNKNOWN') AS category, true AS can_fix,
+@register(rf"""WITH {_TYPES.dealt_sql}, f AS (SELECT * FROM {_FACTS}) SELECT event_id, kind, coalesce((SELECT category FROM f WHERE k = kind), (SELECT arg_min(category, n) FROM f WHERE ends_with(kind, split_part(k, '.', 2))), 'UNKNOWN') AS category, true AS can_fix,
 coalesce((SELECT cause FROM f WHERE k = kind), (SELECT arg_min(cause, n) FROM f WHERE ends_with(kind, split_part(k, '.', 2))), 'Unknown exception type') AS cause FROM t""")
 def exception_facts(spark, sf):
-    return _TYPES.df(spark).select("kind", exceptions.exception_info(F.col("kind")).alias("i")).select("kind", "i.*")
+    return _TYPES.dealt(spark, sf).select("event_id", "kind", exceptions.exception_info(F.col("kind")).alias("i")).select("event_id", "kind", "i.*")
 
 
-_TRACES = Inline("t", "id long, lines string", [(1, "  Class.A.b: line 3, column 1\nAnonymousBlock: line 1\nTrigger.T: line 2"), (2, "at x.y.z\nattic\nline 12\nLINE x\nLine 4 "), (3, ""), (4, "Class.\nTrigger.")])
+_TRACES = Inline("t", "id long, lines string", [(1, "  Class.A{i}.b: line {i}, column 1\nAnonymousBlock: line 1\nTrigger.T: line 2"), (2, "at x.y.z\nattic\nline 12\nLINE x\nLine 4 "), (3, ""), (4, "Class.\nTrigger.")])
 
 
-@register(r"WITH " + _TRACES.sql + r""" SELECT id, array_to_string(list_filter(list_transform(string_split(lines, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^(Class|Trigger)\.\w+|^at\s+|(?i:^line\s+\d+)')), '|') AS frames FROM t""")
+@register(r"WITH " + _TRACES.dealt_sql + r""" SELECT event_id, id, array_to_string(list_filter(list_transform(string_split(lines, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^(Class|Trigger)\.\w+|^at\s+|(?i:^line\s+\d+)')), '|') AS frames FROM t""")
 def stack_frames(spark, sf):
-    return _TRACES.df(spark).select("id", F.array_join(exceptions.stack_frames(F.split("lines", "\n")), "|").alias("frames"))
+    return _TRACES.dealt(spark, sf).select("event_id", "id", F.array_join(exceptions.stack_frames(F.split("lines", "\n")), "|").alias("frames"))
 
 
 # ---- jobs and logs ------------------------------------------------------------------------------------------------
@@ -262,46 +276,52 @@ _JUDGED = Inline("x", "log_id long, score double, parsed long, failed long, tota
 ])
 
 
-@register(f"""WITH {_JUDGED.sql}, p AS (SELECT log_id, greatest(0, least(1, score * CASE WHEN parsed / total >= 0.95 THEN 1 WHEN parsed / total >= 0.9 THEN 0.9 ELSE 0.7 END * CASE WHEN failed > 0 THEN greatest(0.5, 1 - 2 * failed / total) ELSE 1 END * CASE WHEN n_types < 3 THEN 0.8 ELSE 1 END)) AS a,
+@register(f"""WITH {_JUDGED.dealt_sql}, p AS (SELECT event_id, log_id, greatest(0, least(1, score * CASE WHEN parsed / total >= 0.95 THEN 1 WHEN parsed / total >= 0.9 THEN 0.9 ELSE 0.7 END * CASE WHEN failed > 0 THEN greatest(0.5, 1 - 2 * failed / total) ELSE 1 END * CASE WHEN n_types < 3 THEN 0.8 ELSE 1 END)) AS a,
 CASE WHEN issue_mean IS NULL OR issue_mean >= 0.8 THEN 1 WHEN issue_mean >= 0.6 THEN 0.9 ELSE 0.7 END * CASE WHEN events < 10 THEN 0.6 WHEN events < 100 THEN 0.9 ELSE 1 END AS b,
 CASE WHEN issues = 0 THEN 1 ELSE CASE WHEN unknown > 0 THEN greatest(0.5, 1 - unknown / issues * 0.5) ELSE 1 END * CASE WHEN attr_mean >= 0.8 THEN 1 WHEN attr_mean >= 0.6 THEN 0.9 ELSE 0.7 END END AS c,
 CASE WHEN cut THEN CASE kind WHEN 'SIZE_LIMIT' THEN 0.5 WHEN 'TIMEOUT' THEN 0.6 ELSE 0.7 END * CASE WHEN lost > 0 THEN greatest(0.3, 1 - round(lost / (total + lost) * 100) / 100 * 0.7) ELSE 1 END ELSE 1 END * CASE WHEN started AND NOT finished THEN 0.7 ELSE 1 END AS d FROM x)
-SELECT log_id, round(a, 6)::DOUBLE AS parsing, round(b, 6)::DOUBLE AS detection, round(c, 6)::DOUBLE AS attribution, round(d, 6)::DOUBLE AS completeness, round(0.25 * a + 0.3 * b + 0.2 * c + 0.25 * d, 6)::DOUBLE AS overall FROM p""")
+SELECT event_id, log_id, round(a, 6)::DOUBLE AS parsing, round(b, 6)::DOUBLE AS detection, round(c, 6)::DOUBLE AS attribution, round(d, 6)::DOUBLE AS completeness, round(0.25 * a + 0.3 * b + 0.2 * c + 0.25 * d, 6)::DOUBLE AS overall FROM p""")
 def confidence_parts(spark, sf):
     c = F.col
     parts = {
         "parsing": scoring.parsing_confidence(c("score"), c("parsed"), c("failed"), c("total"), c("n_types")), "detection": scoring.detection_confidence(c("issue_mean"), c("events")),
         "attribution": scoring.attributed_confidence(c("issues"), c("unknown"), c("attr_mean")), "completeness": scoring.completeness_confidence(c("cut"), c("kind"), c("lost"), c("total"), c("started"), c("finished")),
     }
-    out = _JUDGED.df(spark).select("log_id", *[v.alias(k) for k, v in parts.items()]).withColumn("overall", scoring.overall_confidence(*map(c, parts)))
-    return out.select("log_id", *[rounded(c(k), 6).alias(k) for k in (*parts, "overall")])
+    out = _JUDGED.dealt(spark, sf).select("event_id", "log_id", *[v.alias(k) for k, v in parts.items()]).withColumn("overall", scoring.overall_confidence(*map(c, parts)))
+    return out.select("event_id", "log_id", *[rounded(c(k), 6).alias(k) for k in (*parts, "overall")])
 
 
 # ---- parsed logs --------------------------------------------------------------------------------------------------
 
-_LINES = {
-    "a": (
-        "64.0 APEX_CODE,FINE;DB,INFO", "09:00:00.0 (1000)|EXECUTION_STARTED", "09:00:00.0 (2000)|CODE_UNIT_STARTED|[EXTERNAL]|01q000000000001|OrderTrigger on Order trigger event BeforeInsert",
-        "09:00:00.0 (3000)|METHOD_ENTRY|[12]|01p000000000001|OrderService.run(List<Id>)", "09:00:00.0 (4000)|SOQL_EXECUTE_BEGIN|[14]|Aggregations:2|SELECT Id, (SELECT Id FROM Lines) FROM Order WHERE Id IN :ids", "09:00:00.0 (5000)|SOQL_EXECUTE_END|[14]|Rows:17",
-        "09:00:00.0 (5500)|SOQL_EXECUTE_EXPLAIN|[14]|Index on Order : [Id], cardinality: 5, sobjectCardinality: 9, relativeCost 0.5", "09:00:00.0 (6000)|DML_BEGIN|[20]|Op:Update|Type:Order|Rows:3", "09:00:00.0 (7000)|DML_END|[20]",
-        "09:00:00.0 (7100)|VARIABLE_ASSIGNMENT|[21]|total|42|0x12", "09:00:00.0 (7200)|VARIABLE_ASSIGNMENT|[22]|name|\"x\"", "09:00:00.0 (7300)|STATEMENT_EXECUTE|[23]", "09:00:00.0 (7400)|USER_DEBUG|[24]|DEBUG|total is|42", "09:00:00.0 (7500)|HEAP_ALLOCATE|[25]|Bytes:128",
-        "09:00:00.0 (7600)|SYSTEM_METHOD_ENTRY|[26]|List.size()", "09:00:00.0 (7700)|SYSTEM_MODE_ENTER|true", "09:00:00.0 (7800)|VALIDATION_RULE|03d000000000001|Needs_Name", "09:00:00.0 (7900)|VALIDATION_FORMULA|ISBLANK(Name)|Name=x",
-        "09:00:00.0 (8000)|EXCEPTION_THROWN|[30]|System.DmlException: Insert failed", "09:00:00.0 (8100)|FATAL_ERROR|System.NullPointerException: Attempt to use null", "09:00:00.0 (8200)|METHOD_EXIT|[12]|01p000000000001|OrderService.run(List<Id>)", "09:00:00.0 (8300)|CODE_UNIT_FINISHED|OrderTrigger on Order trigger event BeforeInsert",
-        "09:00:00.0 (8400)|EXECUTION_FINISHED",
-    ),
-    "b": (
-        "09:00:00.0 (100)|ENTERING_MANAGED_PKG|abc", "09:00:00.0 (200)|LIMIT_USAGE_FOR_NS|abc|Number of SOQL queries: 5 out of 100", "09:00:00.0 (300)|FLOW_VALUE_ASSIGNMENT|i1|myVar|12", "09:00:00.0 (400)|FLOW_RULE_DETAIL|i1|true|Rule_One", "09:00:00.0 (500)|WF_EMAIL_SENT|a|b",
-        "09:00:00.0 (600)|QUEUEABLE_JOB|MyJob", "09:00:00.0 (700)|NOT_A_TYPE|x", "no event", "09:00:00.0 (800)|DML_BEGIN|[3]|Op:Merge|Type:Lead|Rows:2", "09:00:00.0 (900)|CODE_UNIT_STARTED|[EXTERNAL]|Validation:Lead:new", "09:00:00.0 (950)|USER_INFO|x",
-    ),
-}
-_RAW = Inline("raw", "log_id string, content string", [(k, "\n".join(v)) for k, v in _LINES.items()])
-_TOKENS = rf"""{_RAW.sql}, ln AS (SELECT log_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM raw),
-tk AS (SELECT log_id, n, CAST(regexp_extract(line, '\((\d+)\)', 1) AS BIGINT) AS t, string_split(line, '|') AS s FROM ln WHERE regexp_matches(line, '^\d\d:.*\(\d+\)\|') AND NOT contains(line, 'NOT_A_TYPE')),
+#: Lines of a log; an event of the events table is one of them, by its id, with its id, its value in whole numbers and its user put in.
+_LINES = (
+    "EXECUTION_STARTED", "CODE_UNIT_STARTED|[EXTERNAL]|01q000000000001|Order{u}Trigger on Order{v} trigger event BeforeInsert", "METHOD_ENTRY|[{v}]|01p000000000001|Service{u}.run{i}(List<Id>)",
+    "SOQL_EXECUTE_BEGIN|[{v}]|Aggregations:{v}|SELECT Id, (SELECT Id FROM Lines) FROM Order{u} WHERE N > {i}", "SOQL_EXECUTE_END|[{v}]|Rows:{i}", "SOQL_EXECUTE_EXPLAIN|[14]|Index on Order : [Id], cardinality: 5, sobjectCardinality: 9, relativeCost 0.5",
+    "DML_BEGIN|[{v}]|Op:Update|Type:Order{u}|Rows:{v}", "DML_END|[{v}]", "VARIABLE_ASSIGNMENT|[{v}]|total{u}|{i}|0x{v}", "VARIABLE_ASSIGNMENT|[EXTERNAL]|name|\"x{i}\"", "STATEMENT_EXECUTE|[{v}]", "USER_DEBUG|[{v}]|DEBUG|total is|{i}", "HEAP_ALLOCATE|[{v}]|Bytes:{i}",
+    "SYSTEM_METHOD_ENTRY|[{v}]|List{u}.size()", "SYSTEM_MODE_ENTER|true", "VALIDATION_RULE|03d000000000001|Needs_{i}", "VALIDATION_FORMULA|ISBLANK(F{u})|Name=x{i}", "EXCEPTION_THROWN|[{v}]|System.DmlException: Insert {i} failed", "FATAL_ERROR|System.NullPointerException: Attempt {i}",
+    "METHOD_EXIT|[{v}]|01p000000000001|Service{u}.run{i}(List<Id>)", "CODE_UNIT_FINISHED|Order{u}Trigger on Order{v} trigger event BeforeInsert", "EXECUTION_FINISHED", "ENTERING_MANAGED_PKG|abc{u}", "LIMIT_USAGE_FOR_NS|abc{u}|Number of SOQL queries: {v} out of 100",
+    "FLOW_VALUE_ASSIGNMENT|i{u}|myVar|{v}", "FLOW_RULE_DETAIL|i{u}|true|Rule_{v}", "WF_EMAIL_SENT|a{i}|b", "QUEUEABLE_JOB|Job{i}", "NOT_A_TYPE|x", "DML_BEGIN|[{v}]|Op:Merge|Type:Lead{u}|Rows:{i}", "CODE_UNIT_STARTED|[EXTERNAL]|Validation:Lead{v}:new", "USER_INFO|x",
+)
+_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _LINES) + "]"
+_TOKENS = rf"""ln AS (SELECT CAST(user_id AS VARCHAR) AS log_id, event_id AS n, '09:00:00.0 (' || event_id * 1000 || ')|' || replace(replace(replace(({_LIST})[1 + event_id % {len(_LINES)}], '{{i}}', CAST(event_id AS VARCHAR)), '{{v}}', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)), '{{u}}', CAST(user_id AS VARCHAR)) AS line FROM events),
+tk AS (SELECT log_id, n, n * 1000 AS t, string_split(line, '|') AS s FROM ln WHERE NOT contains(line, 'NOT_A_TYPE')),
 ev AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY n) AS id, s[2] AS type, t, s[3:] AS g FROM tk)"""
 
 
-def _parsed(spark) -> DataFrame:
-    return parse_logs(_RAW.df(spark), written=False).events
+def _raw(spark, sf) -> DataFrame:
+    """A log for each user of the events table: a header, a line of no event, and a line for each event."""
+    i, u, v = (c.cast("string") for c in (F.col("event_id"), F.col("user_id"), F.floor("value").cast("long")))
+    line = F.get(F.array(*map(F.lit, _LINES)), (F.col("event_id") % len(_LINES)).cast("int"))
+    for name, value in (("{i}", i), ("{v}", v), ("{u}", u)):
+        line = F.replace(line, F.lit(name), value)
+    line = F.concat(F.lit("09:00:00.0 ("), (F.col("event_id") * 1000).cast("string"), F.lit(")|"), line)
+    lines = table(spark, sf, "events").groupBy(u.alias("log_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return lines.select("log_id", F.concat(F.lit("64.0 APEX_CODE,FINE;DB,INFO\nno event\n"), body).alias("content"))
+
+
+def _parsed(spark, sf) -> DataFrame:
+    return parse_logs(_raw(spark, sf), written=False).events
 
 
 def _handler(name: str, types: str, columns: dict[str, str]) -> None:
@@ -310,7 +330,7 @@ def _handler(name: str, types: str, columns: dict[str, str]) -> None:
     picked = ", ".join(f"CAST({sql} AS {kinds.get(c, 'VARCHAR')}) AS {c}" for c, sql in columns.items())
 
     def run(spark, sf):
-        return _parsed(spark).where(f"type in ({types})").select("log_id", "id", "type", "timestamp", *columns)
+        return _parsed(spark, sf).where(f"type in ({types})").select("log_id", "id", "type", "timestamp", *columns)
 
     run.__name__ = name
     register(f"WITH {_TOKENS} SELECT log_id, id, type, t AS timestamp, {picked} FROM ev WHERE type IN ({types})")(run)
@@ -336,12 +356,12 @@ _handler("parsed_jobs", "'QUEUEABLE_JOB'", {"class_name": "g[1]"})
 
 @register(f"WITH {_TOKENS} SELECT log_id, type, count(*) AS n, min(id) AS first_id FROM ev GROUP BY 1, 2")
 def parsed_types(spark, sf):
-    return _parsed(spark).groupBy("log_id", "type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return _parsed(spark, sf).groupBy("log_id", "type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@register(f"WITH {_TOKENS} SELECT log_id, count(*) AS n_jobs, true AS has_jobs FROM ev WHERE type = 'QUEUEABLE_JOB' GROUP BY 1 UNION ALL SELECT 'a', 0, false")
+@register(f"WITH {_TOKENS} SELECT log_id, count(*) FILTER (type = 'QUEUEABLE_JOB') AS n_jobs, count(*) FILTER (type = 'QUEUEABLE_JOB') > 0 AS has_jobs FROM ev GROUP BY 1")
 def async_job_counts(spark, sf):
-    return correlation.count_jobs(_parsed(spark))
+    return correlation.count_jobs(_parsed(spark, sf))
 
 
 _MARKED = Inline("m", "log_id string, id long, type string, class_name string, method_name string, message string, timestamp long, line_number long", [
@@ -367,17 +387,17 @@ for _p, _f in (
     _SHOWN_SQL = f"regexp_replace({_SHOWN_SQL}, '{_p}', '[REDACTED]', '{_f}')"
 
 
-@register(f"WITH {_SHOWN.sql} SELECT id, {_SHOWN_SQL} AS text FROM t")
+@register(f"SELECT conv_id, turn, {_SHOWN_SQL} AS text FROM conversations")
 def redact_written(spark, sf):
-    return privacy.redact_output(_SHOWN.df(spark))
+    return privacy.redact_output(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
 
 
-_SPACES = Inline("n", "namespace string", [("SBQQ",), ("pse",), ("other",), ("",), (None,)])
+_SPACES = Inline("n", "namespace string", [("SBQQ",), ("pse",), ("other{i}",), ("",), (None,)])
 
 
-@register(f"WITH {_SPACES.sql} SELECT namespace, coalesce(namespace <> '', false) AS is_managed, coalesce(namespace, '') = '' AS can_modify, CASE namespace WHEN 'SBQQ' THEN 'platform' WHEN 'pse' THEN 'Certinia' END AS vendor, CASE namespace WHEN 'SBQQ' THEN 'CPQ (Steelbrick)' WHEN 'pse' THEN 'Professional Services Automation' END AS product FROM n")
+@register(f"WITH {_SPACES.dealt_sql} SELECT event_id, namespace, coalesce(namespace <> '', false) AS is_managed, coalesce(namespace, '') = '' AS can_modify, CASE namespace WHEN 'SBQQ' THEN 'platform' WHEN 'pse' THEN 'Certinia' END AS vendor, CASE namespace WHEN 'SBQQ' THEN 'CPQ (Steelbrick)' WHEN 'pse' THEN 'Professional Services Automation' END AS product FROM n")
 def code_owner(spark, sf):
-    return _SPACES.df(spark).select("namespace", namespaces.code_attribution(F.col("namespace")).alias("a")).select("namespace", "a.*")
+    return _SPACES.dealt(spark, sf).select("event_id", "namespace", namespaces.code_attribution(F.col("namespace")).alias("a")).select("event_id", "namespace", "a.*")
 
 
 _CLOSED = Inline("e", "log_id string, id long, type string, class_name string, method_name string", [
@@ -411,9 +431,9 @@ def levels_by_suspect(spark, sf):
     return truncation.optimized_levels(_SUSPECTS.df(spark))
 
 
-@register(f"WITH {_TOKENS} SELECT id, type FROM ev WHERE log_id = 'a' AND contains(type, 'METHOD') ORDER BY id LIMIT 2 OFFSET 1")
+@register(f"WITH {_TOKENS} SELECT id, type FROM ev WHERE log_id = '1' AND contains(type, 'METHOD') ORDER BY id LIMIT 2 OFFSET 1")
 def command_page(spark, sf):
-    return query.command_query(_parsed(spark).where("log_id = 'a'"), "method", offset=1, limit=2)[0].select("id", "type")
+    return query.command_query(_parsed(spark, sf).where("log_id = '1'"), "method", offset=1, limit=2)[0].select("id", "type")
 
 
 _HITS = Inline("h", "query_id long, fact_id long, by_code boolean", [(1, i, False) for i in range(12)] + [(1, 3, True), (1, 90, True), (2, 5, True)])
