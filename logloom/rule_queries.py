@@ -34,6 +34,26 @@ class Inline:
         cases = Inline("_r", f"_case int, {self.ddl}", [(n, *r) for n, r in enumerate(self.rows)]).sql
         return f"{cases}, {self.name} AS (SELECT event_id, {picked} FROM events JOIN _r c ON c._case = event_id % {len(self.rows)})"
 
+    def _places(self, log: str) -> dict[str, str]:
+        """The columns that say where a row is: its log, and its place there by the event's id."""
+        return {n: log if n == "log_id" else "event_id" for n in (c.split()[0] for c in self.ddl.split(", ")) if n in ("log_id", "id", "det_seq", "timestamp", "line_number")}
+
+    def logged(self, spark, sf, log: str = "user_id") -> DataFrame:
+        """`dealt`, as rows of logs: a log for each user, or for each event."""
+        names = [c.split()[0] for c in self.ddl.split(", ")]
+        kinds = dict(c.split() for c in self.ddl.split(", "))
+        e = self.dealt(spark, sf)
+        if log != "event_id":
+            e = e.join(table(spark, sf, "events").select("event_id", log), "event_id")
+        places = self._places(log)
+        return e.select(*[F.col(places.get(n, n)).cast(kinds[n]).alias(n) for n in names])
+
+    def logged_sql(self, log: str = "user_id") -> str:
+        places, kinds = self._places(log), dict(c.split() for c in self.ddl.split(", "))
+        picked = ", ".join(f"CAST({places[n]} AS {'VARCHAR' if k == 'string' else 'BIGINT'}) AS {n}" if n in places else f"replace(c.{n}, '{{i}}', CAST(event_id AS VARCHAR)) AS {n}" if k == "string" else f"c.{n}" for n, k in kinds.items())
+        cases = Inline("_r", f"_case int, {', '.join(f'{n} {k}' for n, k in kinds.items())}", [(n, *r) for n, r in enumerate(self.rows)]).sql
+        return f"{cases}, {self.name} AS (SELECT {picked} FROM events JOIN _r c ON c._case = event_id % {len(self.rows)})"
+
     @property
     def sql(self) -> str:
         kinds = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -190,9 +210,9 @@ def candidate_scores(spark, sf):
 _EXTRACTED = Inline("t", "log_id long, jobs long, unknown long, without_id long, events long", [(1, 0, 0, 0, 10), (2, 2, 1, 2, 100), (3, 4, 4, 4, 49), (4, 1, 0, 0, 50), (5, 3, 0, 1, 5)])
 
 
-@register(f"WITH {_EXTRACTED.sql} SELECT log_id, round(greatest(0, least(1, 1 - 0.3 * unknown / greatest(jobs, 1) - 0.2 * without_id / greatest(jobs, 1) - CASE WHEN events < 50 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS confidence FROM t")
+@register(f"WITH {_EXTRACTED.logged_sql('event_id')} SELECT log_id, round(greatest(0, least(1, 1 - 0.3 * unknown / greatest(jobs, 1) - 0.2 * without_id / greatest(jobs, 1) - CASE WHEN events < 50 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS confidence FROM t")
 def extraction_confidence(spark, sf):
-    return _EXTRACTED.df(spark).select("log_id", rounded(correlation.extraction_confidence(*map(F.col, ("jobs", "unknown", "without_id", "events"))), 6).alias("confidence"))
+    return _EXTRACTED.logged(spark, sf, "event_id").select("log_id", rounded(correlation.extraction_confidence(*map(F.col, ("jobs", "unknown", "without_id", "events"))), 6).alias("confidence"))
 
 
 # ---- packages -----------------------------------------------------------------------------------------------------
@@ -250,10 +270,10 @@ _WANTED = Inline("i", "log_id long, det_seq long, type string", [(1, 1, "SOQL_IN
 _VOTES = "(VALUES " + ", ".join(f"('{t}', {n}, '{p}')" for t, ps in truncation.ISSUE_PRESETS.items() for n, p in enumerate(ps)) + ") AS v(t, n, preset)"
 
 
-@register(f"""WITH {_WANTED.sql}, v AS (SELECT * FROM {_VOTES}), a AS (SELECT log_id, det_seq, coalesce(v.n, 0) AS n, coalesce(v.preset, 'ai_optimized') AS preset FROM i LEFT JOIN v ON v.t = lower(i.type)),
+@register(f"""WITH {_WANTED.logged_sql()}, v AS (SELECT * FROM {_VOTES}), a AS (SELECT log_id, det_seq, coalesce(v.n, 0) AS n, coalesce(v.preset, 'ai_optimized') AS preset FROM i LEFT JOIN v ON v.t = lower(i.type)),
 c AS (SELECT log_id, preset, count(*) AS votes, min((det_seq, n)) AS f FROM a GROUP BY 1, 2) SELECT log_id, preset, votes FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY votes DESC, f) AS r FROM c) WHERE r = 1""")
 def preset_votes(spark, sf):
-    return truncation.best_preset(_WANTED.df(spark))
+    return truncation.best_preset(_WANTED.logged(spark, sf))
 
 
 _SEEN = Inline("e", "log_id long, type string", [(1, "METHOD_ENTRY"), (1, "SOQL_EXECUTE_BEGIN"), (2, "LIMIT_USAGE"), (3, "METHOD_ENTRY"), (3, "SOQL_EXECUTE_BEGIN"), (3, "SOQL_EXECUTE_EXPLAIN"), (3, "CODE_UNIT_STARTED"), (3, "LIMIT_USAGE"), (4, "METHOD_EXIT")])
@@ -370,12 +390,12 @@ _MARKED = Inline("m", "log_id string, id long, type string, class_name string, m
 ])
 
 
-@register(rf"""WITH {_MARKED.sql}, k AS (SELECT *, CASE WHEN type = 'FUTURE_CALL' THEN 'FUTURE' WHEN type = 'METHOD_ENTRY' THEN CASE WHEN class_name || '.' || method_name ILIKE '%System.enqueueJob%' THEN 'QUEUEABLE' WHEN class_name || '.' || method_name ILIKE '%Database.executeBatch%' THEN 'BATCH' WHEN class_name || '.' || method_name ILIKE '%System.schedule%' THEN 'SCHEDULABLE' END END AS job_type FROM m),
+@register(rf"""WITH {_MARKED.logged_sql()}, k AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY id) AS r, CASE WHEN type = 'FUTURE_CALL' THEN 'FUTURE' WHEN type = 'METHOD_ENTRY' THEN CASE WHEN class_name || '.' || method_name ILIKE '%System.enqueueJob%' THEN 'QUEUEABLE' WHEN class_name || '.' || method_name ILIKE '%Database.executeBatch%' THEN 'BATCH' WHEN class_name || '.' || method_name ILIKE '%System.schedule%' THEN 'SCHEDULABLE' END END AS job_type FROM m),
 n AS (SELECT *, count(job_type) OVER (PARTITION BY log_id ORDER BY id) AS job FROM k)
-SELECT log_id, id, job_type, CASE WHEN type = 'FUTURE_CALL' THEN class_name ELSE coalesce((SELECT arg_min(c.class_name, c.id) FROM m c WHERE c.log_id = n.log_id AND c.type IN ('CONSTRUCTOR_ENTRY', 'METHOD_ENTRY') AND regexp_matches(c.class_name, '(?i)job|queueable|batch|schedul|async|future')), 'Unknown') END AS class_name,
+SELECT log_id, id, job_type, CASE WHEN type = 'FUTURE_CALL' THEN class_name ELSE coalesce((SELECT arg_min(c.class_name, c.id) FROM k c WHERE c.log_id = n.log_id AND c.r BETWEEN n.r - 10 AND n.r + 9 AND c.type IN ('CONSTRUCTOR_ENTRY', 'METHOD_ENTRY') AND regexp_matches(c.class_name, '(?i)job|queueable|batch|schedul|async|future')), 'Unknown') END AS class_name,
 timestamp AS enqueued_at, line_number, (SELECT arg_min(regexp_extract(s.message, '\b(707[a-zA-Z0-9]{{12,15}})\b', 1), s.id) FROM n s WHERE s.log_id = n.log_id AND s.job = n.job AND s.type = 'USER_DEBUG' AND contains(s.message, '707')) AS job_id FROM n WHERE job_type IS NOT NULL""")
 def extracted_jobs(spark, sf):
-    return correlation.extract_jobs(_MARKED.df(spark))
+    return correlation.extract_jobs(_MARKED.logged(spark, sf))
 
 
 _SHOWN = Inline("t", "id long, text string", [(1, "mail a.b@c.org now"), (2, "call 555-123-4567 or 5551234567"), (3, "id 001000000000001AAA and 001000000000001"), (4, "card 1234 5678 9012 3456"), (5, "ssn 123-45-6789"), (6, "host 10.0.0.1"), (7, "sessionId=abc-1 SESSIONID: 'x'"), (8, "api_key: \"k\" Bearer=zz access_token=1"), (9, "plain"), (10, None)])
@@ -406,19 +426,19 @@ _CLOSED = Inline("e", "log_id string, id long, type string, class_name string, m
 ])
 
 
-@register(f"""WITH {_CLOSED.sql}, k(x, n) AS (VALUES ('METHOD_EXIT', 'METHOD_ENTRY'), ('SOQL_EXECUTE_END', 'SOQL_EXECUTE_BEGIN'), ('DML_END', 'DML_BEGIN'), ('EXECUTION_FINISHED', 'EXECUTION_STARTED'), ('SYSTEM_MODE_EXIT', 'SYSTEM_MODE_ENTER'))
+@register(f"""WITH {_CLOSED.logged_sql()}, k(x, n) AS (VALUES ('METHOD_EXIT', 'METHOD_ENTRY'), ('SOQL_EXECUTE_END', 'SOQL_EXECUTE_BEGIN'), ('DML_END', 'DML_BEGIN'), ('EXECUTION_FINISHED', 'EXECUTION_STARTED'), ('SYSTEM_MODE_EXIT', 'SYSTEM_MODE_ENTER'))
 SELECT o.log_id, o.id, min(i.id) AS entry_id FROM e o JOIN k ON k.x = o.type JOIN e i ON i.log_id = o.log_id AND i.type = k.n AND (o.type <> 'METHOD_EXIT' OR (i.class_name = o.class_name AND i.method_name = o.method_name)) GROUP BY 1, 2""")
 def entry_of_exit(spark, sf):
-    return tree.matching_entries(_CLOSED.df(spark))
+    return tree.matching_entries(_CLOSED.logged(spark, sf))
 
 
 _CUTS = Inline("c", "log_id long, cut boolean, severity string, kind string, lost string", [(1, False, "NONE", "NONE", ""), (2, True, "CRITICAL", "SIZE_LIMIT", "EXCEPTION_DETAILS,FINAL_LIMITS"), (3, True, "MODERATE", "TIMEOUT", "PERFORMANCE_DATA"), (4, True, "SEVERE", "SIZE_LIMIT", "ASYNC_CORRELATIONS"), (5, True, "NONE", "UNKNOWN", "FINAL_LIMITS"), (6, True, "MINOR", "UNKNOWN", "")])
 
 
-@register(f"""WITH {_CUTS.sql} SELECT log_id, w OR (severity <> 'CRITICAL' AND NOT contains(lost, 'EXCEPTION_DETAILS')) AS issues, w OR NOT contains(lost, 'PERFORMANCE_DATA') AS performance, w OR NOT contains(lost, 'FINAL_LIMITS') AS limits, w OR NOT contains(lost, 'ASYNC_CORRELATIONS') AS jobs,
+@register(f"""WITH {_CUTS.logged_sql('event_id')} SELECT log_id, w OR (severity <> 'CRITICAL' AND NOT contains(lost, 'EXCEPTION_DETAILS')) AS issues, w OR NOT contains(lost, 'PERFORMANCE_DATA') AS performance, w OR NOT contains(lost, 'FINAL_LIMITS') AS limits, w OR NOT contains(lost, 'ASYNC_CORRELATIONS') AS jobs,
 CASE WHEN w THEN '' ELSE concat_ws(',', CASE WHEN kind = 'SIZE_LIMIT' THEN 'Reduce Debug Levels' END, 'Split Operation', 'Targeted Trace Flags', CASE WHEN severity IN ('CRITICAL', 'SEVERE') THEN 'Request Extended Logging' END) END AS strategies FROM (SELECT *, NOT cut OR severity = 'NONE' AS w FROM c)""")
 def truncation_impact(spark, sf):
-    c = _CUTS.df(spark).withColumn("lost", F.split("lost", ","))
+    c = _CUTS.logged(spark, sf, "event_id").withColumn("lost", F.split("lost", ","))
     return c.select("log_id", truncation.impact(F.col("cut"), F.col("severity"), F.col("lost")).alias("i"), F.array_join(truncation.recovery_strategies(F.col("cut"), F.col("severity"), F.col("kind")), ",").alias("strategies")).select("log_id", "i.*", "strategies")
 
 
@@ -426,9 +446,9 @@ _SUSPECTS = Inline("s", "log_id long, suspect string", [(i, x) for i, x in enume
 _BY_SUSPECT = "(VALUES " + ", ".join(f"('{s}', {n}, '{c}', '{v}')" for s, levels in truncation.SUSPECT_LEVELS.items() for n, (c, v) in enumerate((*truncation.BASE_LEVELS, *levels))) + ") AS v(s, n, category, level)"
 
 
-@register(f"WITH {_SUSPECTS.sql} SELECT log_id, category, arg_max(level, n) AS level FROM s JOIN {_BY_SUSPECT} ON v.s = CASE WHEN suspect IN (SELECT DISTINCT s FROM {_BY_SUSPECT}) THEN suspect ELSE 'GENERAL' END GROUP BY 1, 2")
+@register(f"WITH {_SUSPECTS.logged_sql('event_id')} SELECT log_id, category, arg_max(level, n) AS level FROM s JOIN {_BY_SUSPECT} ON v.s = CASE WHEN suspect IN (SELECT DISTINCT s FROM {_BY_SUSPECT}) THEN suspect ELSE 'GENERAL' END GROUP BY 1, 2")
 def levels_by_suspect(spark, sf):
-    return truncation.optimized_levels(_SUSPECTS.df(spark))
+    return truncation.optimized_levels(_SUSPECTS.logged(spark, sf, "event_id"))
 
 
 @register(f"WITH {_TOKENS} SELECT id, type FROM ev WHERE log_id = '1' AND contains(type, 'METHOD') ORDER BY id LIMIT 2 OFFSET 1")
