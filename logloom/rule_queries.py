@@ -1,4 +1,6 @@
-"""Rules and projections on small inline tables that reach each of their branches, with the same result in SQL."""
+"""Rules and projections over the given tables, dealt so that each of their branches is reached, with the same result in SQL.
+
+An event takes one of a rule's cases by its id (`Inline.dealt`, `Inline.logged`); a log is a user's events. Eight queries still read the cases alone."""
 
 from __future__ import annotations
 
@@ -156,9 +158,9 @@ def stack_frames(spark, sf):
 _STAMPS = Inline("t", "log_id string, id long, k string, ts long", [("a", 1, "x", 0), ("a", 2, "x", 800), ("a", 3, "x", 1600), ("a", 4, "y", 900), ("a", 5, "x", 2500), ("a", 6, "x", 2600), ("b", 1, "x", 5), ("b", 2, "x", 1004), ("b", 3, "x", 1005), ("b", 4, "x", 1005)])
 
 
-@register(f"WITH RECURSIVE {_STAMPS.sql}, kept AS (SELECT log_id, k, min((ts, id)) AS x FROM t GROUP BY 1, 2 UNION ALL SELECT t.log_id, t.k, min((t.ts, t.id)) FROM kept JOIN t ON t.log_id = kept.log_id AND t.k = kept.k AND t.ts - kept.x[1] >= 1000 GROUP BY 1, 2) SELECT log_id, x[2] AS id FROM kept")
+@register(f"WITH RECURSIVE {_STAMPS.logged_sql()}, kept AS (SELECT log_id, k, min((ts, id)) AS x FROM t GROUP BY 1, 2 UNION ALL SELECT t.log_id, t.k, min((t.ts, t.id)) FROM kept JOIN t ON t.log_id = kept.log_id AND t.k = kept.k AND t.ts - kept.x[1] >= 1000 GROUP BY 1, 2) SELECT log_id, x[2] AS id FROM kept")
 def jobs_dedupe(spark, sf):
-    return correlation.dedupe_near(_STAMPS.df(spark), ["log_id", "k"], "ts", 1000).select("log_id", "id")
+    return correlation.dedupe_near(_STAMPS.logged(spark, sf), ["log_id", "k"], "ts", 1000).select("log_id", "id")
 
 
 _JOBS = Inline("j", "job_key long, class_name string, method_name string, job_type string, job_id string, enqueued_ms long", [
@@ -250,7 +252,7 @@ _CALLS = Inline("c", "id long, namespace string, method_name string, frame strin
 ])
 
 
-@register(r"WITH " + _CALLS.sql + r""", n AS (SELECT DISTINCT namespace, method_name AS m FROM c WHERE method_name <> ''),
+@register(r"WITH " + _CALLS.logged_sql() + r""", n AS (SELECT DISTINCT namespace, method_name AS m FROM c WHERE method_name <> ''),
 o AS (SELECT *, lower(m) NOT IN ('execute', 'run', 'invoke', 'handle', 'process') AND (regexp_matches(m, '(?i)^([a-z]|[a-z][0-9a-z]+|__[a-z]+|[a-z]+_\d+)$') OR regexp_matches(m, '^(a{3,}|b{3,})$') OR (length(m) <= 2 AND lower(m) NOT IN ('do', 'go', 'is', 'on'))) AS odd,
  regexp_matches(m, '^[a-z][a-zA-Z0-9]*$|^(get|set|handle|process|create|update|delete|validate|calculate)[A-Z]|^(on|handle|before|after)[A-Z]|^test[A-Z]') OR (length(m) BETWEEN 5 AND 50 AND regexp_matches(m, '^[a-z][a-zA-Z0-9_]*$')) AS clear FROM n),
 k AS (SELECT namespace, count(m) AS n, count(*) FILTER (odd) AS obfuscated, count(*) FILTER (NOT odd AND clear) AS readable FROM (SELECT DISTINCT namespace FROM c) LEFT JOIN o USING (namespace) GROUP BY 1),
@@ -260,7 +262,7 @@ p AS (SELECT k.*, CASE WHEN obfuscated * 2 > n THEN 0.8 ELSE 0 END + CASE WHEN k
 SELECT namespace, obfuscated, readable, CASE WHEN namespace = 'SBQQ' THEN 'PRIVATE' WHEN namespace = 'sflabs' THEN 'PUBLIC' WHEN pr > pu AND pr > 0.5 THEN 'PRIVATE' WHEN pu > pr AND pu > 0.5 THEN 'PUBLIC' ELSE 'UNKNOWN' END AS visibility,
 round(CASE WHEN namespace IN ('SBQQ', 'sflabs') THEN 0.95 WHEN pr > pu AND pr > 0.5 THEN least(0.9, 0.5 + pr) WHEN pu > pr AND pu > 0.5 THEN least(0.9, 0.5 + pu) ELSE 0.5 END, 4)::DOUBLE AS confidence FROM p""")
 def visibility_branches(spark, sf):
-    calls = _CALLS.df(spark).withColumn("stack", F.when(F.col("frame").isNotNull(), F.array("frame")))
+    calls = _CALLS.logged(spark, sf).withColumn("stack", F.when(F.col("frame").isNotNull(), F.array("frame")))
     return namespaces.visibility(calls, stack="stack").select("namespace", "obfuscated", "readable", "visibility", "confidence")
 
 
