@@ -351,3 +351,23 @@ def memory_maintenance(spark, sf):
     keys = table(spark, sf, "orders").select((F.col("o_custkey") * 1000000000).alias("expires_at"))
     now = F.unix_millis(F.lit("2024-01-30").cast("timestamp"))
     return episodes.maintenance(episodes.episodes(_facts(spark, sf), "36 hours"), keys, now, 20, 100)
+
+
+@register(r"""WITH w AS (SELECT p_partkey AS id, p_brand AS code, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '\W+'), lambda x: length(x) > 2))) AS word FROM part),
+hit AS (SELECT DISTINCT q.id AS query_id, f.id AS fact_id, q.code AS code, f.code AS other FROM w q JOIN w f USING (word) WHERE q.id % 20 = 0),
+said AS (SELECT query_id, count(*) FILTER (code <> other) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fact_id) AS r FROM hit) WHERE r <= 10 GROUP BY 1),
+brands AS (SELECT p_brand AS code, count(*) AS n FROM part GROUP BY 1), ep AS (SELECT 'Brand#' || (o_custkey % 30) AS code, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+so AS (SELECT 'Brand#' || (s % 30) AS code, count(*) AS n FROM (SELECT l_suppkey AS s, count(*) FILTER (l_returnflag = 'N') AS good, count(*) AS uses FROM lineitem GROUP BY 1) WHERE uses >= 2 AND good >= 0.5 * uses GROUP BY 1),
+a AS (SELECT p_partkey AS query_id, b.n + coalesce(said.n, 0) AS n_facts, least(10, b.n) AS n_matches, least(10, coalesce(ep.n, 0)) AS n_episodes, least(10, coalesce(so.n, 0)) AS n_solutions
+  FROM part JOIN brands b ON b.code = p_brand LEFT JOIN said ON said.query_id = p_partkey LEFT JOIN ep ON ep.code = p_brand LEFT JOIN so ON so.code = p_brand WHERE p_partkey % 20 = 0)
+SELECT *, least(1, (n_facts + n_matches + n_episodes + n_solutions) / 10.0)::DOUBLE AS confidence FROM a""")
+def recall(spark, sf):
+    """Every twentieth part asks by its name, brand and type what parts, orders and suppliers remember."""
+    none = F.array().cast("array<string>")
+    sig = F.struct(F.col("p_brand").alias("issue_type"), F.col("p_type").alias("error_signature"), *[none.alias(c) for c in ("objects", "namespaces", "methods", "queries", "limits")])
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_brand").alias("code"), sig.alias("signature"))
+    brand = lambda c: F.concat(F.lit("Brand#"), (c % 30).cast("string"))
+    done = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.array(brand(F.col("o_custkey"))).alias("issues"))
+    fixes = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("success_count"), F.count_if(F.col("l_returnflag") != "N").alias("failure_count")).withColumn("issue_type", brand(F.col("l_suppkey")))
+    asks = p.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return memory.recall_for(asks, p.withColumnRenamed("id", "fact_id").drop("signature"), p.select(F.col("id").alias("entry_id"), "signature"), done, fixes)

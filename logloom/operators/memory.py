@@ -162,3 +162,30 @@ def recall(facts: DataFrame, matches: DataFrame, episodes: DataFrame, solutions:
         out = part if out is None else out.join(part, "query_id", "full")
     out = out.select("query_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in n])
     return out.withColumn("confidence", F.least(F.lit(1.0), sum(F.col(c) for c in n) / 10))
+
+
+def recall_for(requests: DataFrame, facts: DataFrame, entries: DataFrame, episodes: DataFrame, solutions: DataFrame, most: int = 10, least_uses: int = 2, least_rate: float = 0.5) -> DataFrame:
+    """(query_id, n_facts, n_matches, n_episodes, n_solutions, confidence) of every request, each part found in what is remembered.
+
+    requests: (query_id, text, code, signature), facts: (fact_id, text, code), entries: (entry_id, signature), episodes: (issues), solutions: (issue_type,
+    success_count, failure_count). A word's facts are cut to its `most` smallest ids, among which a request's `most` smallest are; what a code gives is
+    counted once for each code, so no request meets all that is remembered. Requests with a null code recall by words and signature alone."""
+    words = facts.select("fact_id", F.col("code").alias("_of"), F.explode(keywords(F.col("text"))).alias("_w"))
+    words = top_per_key(words, ["_w"], [F.col("fact_id")], most).drop("place")
+    asked = requests.select("query_id", "code", F.explode(keywords(F.col("text"))).alias("_w")).join(words, "_w").select("query_id", "code", "fact_id", "_of").distinct()
+    said = top_per_key(asked, ["query_id"], [F.col("fact_id")], most).where(~F.col("_of").eqNullSafe(F.col("code")) | F.col("code").isNull()).groupBy("query_id").agg(F.count("*").alias("_said"))
+    near = find_similar(requests.select("query_id", "signature"), entries, 0.3, most).groupBy("query_id").agg(F.count("*").alias("n_matches"))
+    uses = F.col("success_count") + F.col("failure_count")
+    good = solutions.where((uses >= least_uses) & (uses > 0) & (F.col("success_count") >= least_rate * uses))
+    codes = facts.select("code", F.lit("_coded").alias("_what")).unionByName(episodes.select(F.explode(F.array_distinct("issues")).alias("code"), F.lit("n_episodes").alias("_what"))).unionByName(good.select(F.col("issue_type").alias("code"), F.lit("n_solutions").alias("_what")))
+    counted = codes.groupBy("code").agg(*[F.count_if(F.col("_what") == c).alias(c) for c in ("_coded", "n_episodes", "n_solutions")])
+    # the codes asked for most are dealt without moving their requests
+    often = requests.groupBy("code").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "code").limit(1000).select("code")
+    some = requests.select("query_id", "code")
+    known = counted.join(F.broadcast(often), "code", "left_semi")
+    both = some.join(F.broadcast(often), "code", "left_semi").join(F.broadcast(known), "code").unionByName(some.join(F.broadcast(often), "code", "left_anti").join(counted, "code"))
+    out = some.select("query_id").join(both.drop("code"), "query_id", "left").join(said, "query_id", "left").join(near, "query_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    few = lambda c: F.least(n(F.col(c)), F.lit(most)).cast("long").alias(c)
+    out = out.select("query_id", (n(F.col("_coded")) + n(F.col("_said"))).alias("n_facts"), few("n_matches"), few("n_episodes"), few("n_solutions"))
+    return out.withColumn("confidence", F.least(F.lit(1.0), (F.col("n_facts") + F.col("n_matches") + F.col("n_episodes") + F.col("n_solutions")) / 10))
