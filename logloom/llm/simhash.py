@@ -5,7 +5,9 @@ all pairs of fingerprints that differ in at most four bits: a fingerprint is fil
 choice of blocks that four differing bits can leave intact, so each such pair shares a file. Within a
 file each member's Hamming distances to the reference fingerprints are computed once (the
 pivot table); a pair whose distances to any reference differ by more than the threshold cannot
-link (triangle inequality) and is discarded, survivors are verified bit by bit.
+link (triangle inequality) and is discarded, survivors are verified bit by bit. Members of a file
+that is too large for one pivot table are filed again by further intact blocks of the bits
+that its key leaves open, until every file fits; files are counted before they are dealt.
 
 Defined cases: null or blank text has fingerprint zero, linked like any other; a text
 with fewer words than a shingle is one shingle; exact copies share a fingerprint and are compared
@@ -24,14 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import give_back, materialize, tasks_for
 from .components import connected_components
 
 SEED = 42
 PIVOTS = 24
-#: Files with more members than this are not compared member by member but through
-#: common neighbours at half the distance (`_ball_links`), exactly and in linear space.
-MAX_FILE = 8192
+#: Members of a file with more members than this are dealt to files of longer keys: the bound of a pivot table's size.
+MAX_FILE = 2048
+#: Keys of overfull files up to this number are broadcast; more are joined by shuffle.
+HOT_KEYS = 1_000_000
 _SHIFT_RUN = 12
 
 
@@ -124,14 +127,22 @@ def blocks_for(n: int, distance: int) -> tuple[int, int]:
     return m, m - distance
 
 
-def _file_keys(blocks: int, intact: int):
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    for number, chosen in enumerate(combinations(range(blocks), intact)):
-        mask = 0
-        for c in chosen:
-            for bit in range(edges[c], edges[c + 1]):
-                mask |= 1 << bit
-        yield number, mask - (1 << 64) if mask >> 63 else mask
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def file_masks(blocks: int, intact: int, kept: int = 0) -> list[int]:
+    """Masks of the bits that a file's members agree in: those of `kept`, and every choice of `intact` among `blocks` blocks of the others."""
+    free = [bit for bit in range(64) if not kept >> bit & 1]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << bit for bit in free[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [kept | sum(chosen) for chosen in combinations(parts, intact)]
+
+
+def longer_masks(kept: int, distance: int) -> list[int]:
+    """Masks with more bits than `kept`, one of which any two members within `distance` that agree in `kept` agree in."""
+    blocks = min(64 - kept.bit_count(), distance + 2)
+    return file_masks(blocks, blocks - distance, kept)
 
 
 def _links_of_run(fp: np.ndarray, table: np.ndarray, limit: int):
@@ -186,83 +197,70 @@ def _links_of_sorted(key: np.ndarray, fp: np.ndarray, limit: int):
 
 
 def _verify_files(batches, limit: int):
-    """Sorted (key, fp) in; links (a, b) out, or (a, null) for a member of an overfull file."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Sorted (key, fp) in, links (a, b) out; a file is held as a whole, its size is bounded by the filing."""
 
-    def out(a, b=None):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], schema=schema)
+    def out(key, fp):
+        for a, b in _links_of_sorted(key, fp.view(np.uint64), limit):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a], pa.int64()), pa.array(fp[b], pa.int64())], names=["a", "b"])
 
-    def links(key, fp):
-        u = fp.view(np.uint64)
-        for a, b in _links_of_sorted(key, u, limit):
-            yield out(fp[a], fp[b])
-
-    hold_k, hold_f, overfull = np.empty(0, np.int64), np.empty(0, np.int64), None
+    hold_k, hold_f = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if overfull is not None:
-            n = int(np.searchsorted(key, overfull, side="right"))
-            if n:
-                yield out(fp[:n])
-            if n == len(key):
-                continue
-            key, fp, overfull = key[n:], fp[n:], None
-        key, fp = np.concatenate((hold_k, key)), np.concatenate((hold_f, fp))
+        key, fp = np.concatenate((hold_k, batch.column(0).to_numpy())), np.concatenate((hold_f, batch.column(1).to_numpy()))
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1], side="left"))  # the last file may go on
-        hold_k, hold_f, key, fp = key[cut:], fp[cut:], key[:cut], fp[:cut]
-        yield from _split_overfull(key, fp, links, out)
-        if len(hold_k) > MAX_FILE:
-            yield out(hold_f)
-            overfull, hold_k, hold_f = hold_k[0], hold_k[:0], hold_f[:0]
-    yield from _split_overfull(hold_k, hold_f, links, out)
+        yield from out(key[:cut], fp[:cut])
+        hold_k, hold_f = key[cut:], fp[cut:]
+    yield from out(hold_k, hold_f)
 
 
-def _split_overfull(key, fp, links, out):
-    if not len(key):
-        return
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((first, [len(key)])))
-    big = np.repeat(size > MAX_FILE, size)
-    if big.any():
-        yield out(fp[big])
-        key, fp = key[~big], fp[~big]
-    yield from links(key, fp)
-
-
-def _ball_links(members: DataFrame, limit: int) -> DataFrame:
-    """Links among members of overfull files: two fingerprints within `limit` bits have a common point
-    within limit/2 (rounded up) of one and the rest of the other. Each member is written under all points
-    of its ball; those that share a point are within 2 * (limit // 2) and are tied to the
-    point's smallest member. For an odd limit the outer shell only asks inner balls."""
-    half = limit // 2
-    masks = [0] + [sum(1 << i for i in c) for r in range(1, half + 1) for c in combinations(range(64), r)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    balls = members.select(F.col("a").alias("fp")).distinct().select("fp", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
-    least = balls.groupBy("z").agg(F.min("fp").alias("b"))
-    if limit % 2 == 0:
-        return balls.join(least, "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    shell = F.array(*[F.lit((1 << i) - ((1 << 64) if i == 63 else 0)) for i in range(64)])
-    asks = balls.select("fp", F.explode(shell).alias("m"), "z").select("fp", F.col("z").bitwiseXOR(F.col("m")).alias("z"))
-    return balls.unionByName(asks).join(least, "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+def _filed(members: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, mask, fp): every member under each of the masks."""
+    each = members.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    return each.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
+
+
+def _filed_again(members: DataFrame, distance: int) -> DataFrame:
+    """(key, mask, fp) of members (mask, fp) of overfull files, under every longer mask; files of the same members are one."""
+
+    def run(batches):
+        for b in batches:
+            mask, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for m in np.unique(mask):
+                longer = np.array([_signed(x) for x in longer_masks(int(m) & ((1 << 64) - 1), distance)], np.int64)
+                mine = fp[mask == m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(longer, len(mine))), pa.array(np.tile(mine, len(longer)))], names=["mask", "fp"])
+
+    longer = members.select("mask", "fp").distinct().mapInArrow(run, "mask long, fp long").distinct()
+    return longer.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
+
+
+def _verified(filed: DataFrame, distance: int, name: str) -> DataFrame:
+    # what a file costs is not what it weighs: small tasks aren't joined
+    dealt = filed.select("key", "fp").repartition(tasks_for(filed.sparkSession), "key").sortWithinPartitions("key", "fp")
+    return materialize(dealt.mapInArrow(lambda it: _verify_files(it, distance), "a long, b long").distinct(), name)
 
 
 def links(distinct_fps: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most
-    `distance` bits; not every linked pair is a row, but every linked pair is connected."""
-    spark = distinct_fps.sparkSession
-    n = distinct_fps.count()
-    blocks, intact = blocks_for(n, distance)
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask))).alias("k")) for number, mask in _file_keys(blocks, intact)])
-    filed = distinct_fps.select(F.explode(keys).alias("x"), "fp").select(F.col("x.k").alias("key"), "fp")
-    filed = filed.repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(filed.mapInArrow(lambda it: _verify_files(it, distance), "a long, b long").distinct(), "simhash-links")
-    direct = found.where("b is not null")
-    hot = found.where("b is null")
-    if hot.isEmpty():
-        return direct
-    return direct.unionByName(materialize(_ball_links(hot, distance), "simhash-hot"))
+    `distance` bits; not every linked pair is a row, but every linked pair is connected.
+
+    A file is counted by a pre-aggregated pass before it is dealt, so an overfull one never goes through a task: its members move on under longer
+    keys, beyond all bits that they agree in. Bits left open shrink with every level, and a file with r open bits has at most 2^r members, so levels end."""
+    most = max(MAX_FILE, 1 << (distance + 1))
+    filed = _filed(distinct_fps, file_masks(*blocks_for(distinct_fps.count(), distance)))
+    found = None
+    while True:
+        common = F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp")))
+        overfull = materialize(filed.groupBy("key").agg(F.count("*").alias("n"), common.alias("common")).where(F.col("n") > most).select("key", "common"), "simhash-overfull")
+        n_over = overfull.count()
+        over = F.broadcast(overfull) if n_over <= HOT_KEYS else overfull
+        part = _verified(filed.join(over, "key", "left_anti") if n_over else filed, distance, "simhash-links")
+        found = part if found is None else found.unionByName(part)
+        if not n_over:
+            return found
+        again = _filed_again(filed.join(over, "key").select(F.col("common").alias("mask"), "fp"), distance)
+        filed = materialize(again, "simhash-filed")
 
 
 def _placed(docs: DataFrame, distance: int, shingle: int, lower: bool, id_col: str, text_col: str) -> DataFrame:

@@ -81,18 +81,67 @@ def test_links_complete(spark):
     _check_links(spark, _planted(random.Random(5), 600, 6), 4)
 
 
-def test_overfull_files_go_through_balls(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MAX_FILE", 5)
+def test_overfull_files_are_filed_again(spark, monkeypatch):
     rng = random.Random(8)
-    members = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, None) for x in _planted(rng, 80, 5)], "a long, b long")
-    fps = sorted({r.a for r in members.collect()})
-    lab = {r.node: r.component for r in connected_components(simhash._ball_links(members, 4)).collect()}
-    want = brute_components([x & ((1 << 64) - 1) for x in fps], 4)
-    pairs = {(lab.get(x, x), w) for x, w in zip(fps, want)}
-    assert len(pairs) == len({p for p, _ in pairs}) == len({w for _, w in pairs})
-
-
-def test_runs_and_overfull_detection():
+    monkeypatch.setattr(simhash, "MAX_FILE", 40)
+    _check_links(spark, _planted(rng, 500, 5), 4)
+    # one file takes everything at the first level, and most at the second
+    shared = rng.getrandbits(44) << 20
+    _check_links(spark, sorted({shared | rng.getrandbits(20) for _ in range(700)}), 4)
+
+
+def test_longer_masks_keep_every_pair():
+    rng = random.Random(2)
+    for distance in (1, 3, 4):
+        kept = simhash.file_masks(*simhash.blocks_for(1000, distance))[0]
+        while 64 - kept.bit_count() > distance:
+            longer = simhash.longer_masks(kept, distance)
+            assert all(m & kept == kept and m.bit_count() > kept.bit_count() for m in longer)
+            free = [b for b in range(64) if not kept >> b & 1]
+            for _ in range(50):
+                off = sum(1 << b for b in rng.sample(free, distance))
+                assert any(not m & off for m in longer)
+            kept = rng.choice(longer)
+
+
+def _of_hot_file(n, rng):
+    """n fingerprints that agree in 40 bits: clusters of four around far centres, so most of the file doesn't link."""
+    shared, out = rng.getrandbits(40) << 24, set()
+    while len(out) < n:
+        x = shared | rng.getrandbits(24)
+        out |= {x, x ^ 1 << rng.randrange(24), x ^ 3 << rng.randrange(23)}
+    return np.array(sorted(out)[:n], np.uint64)
+
+
+def _brute_labels(fps, limit):
+    """Components by comparing each with all, a row at a time."""
+    label = np.arange(len(fps))
+    todo = np.ones(len(fps), bool)
+    for start in range(len(fps)):
+        if not todo[start]:
+            continue
+        todo[start], stack = False, [start]
+        while stack:
+            x = stack.pop()
+            near = np.flatnonzero(todo & (np.bitwise_count(fps ^ fps[x]) <= limit))
+            todo[near], label[near] = False, start
+            stack.extend(near.tolist())
+    return label
+
+
+def test_file_of_twenty_thousand(spark):
+    """Past the production bound: 20,000 members of one file, compared with brute force."""
+    rng = random.Random(11)
+    fps = np.concatenate((_of_hot_file(20_000, rng), np.array([rng.getrandbits(64) for _ in range(500)], np.uint64)))
+    fps = np.unique(fps)
+    want = _brute_labels(fps, 4)
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    lab = {r.node: r.component for r in connected_components(simhash.links(rows)).collect()}
+    pairs = {(lab.get(int(x), int(x)), int(w)) for x, w in zip(fps.view(np.int64), want)}
+    assert len(pairs) == len({p for p, _ in pairs}) == len(set(want.tolist()))
+
+
+def test_files_over_batches():
     import pyarrow as pa
 
     rng = np.random.default_rng(0)
