@@ -151,16 +151,16 @@ def presets(spark) -> DataFrame:
     return spark.createDataFrame([(p, c, v, S.DEBUG_LEVELS.index(v)) for p, levels in PRESETS.items() for c, v in zip(PRESET_CATEGORIES, levels)], "preset string, category string, level string, level_rank int")
 
 
-def merge_presets(rows: DataFrame) -> DataFrame:
-    """The highest level of each category over some presets."""
-    return rows.groupBy("category").agg(F.max_by("level", "level_rank").alias("level"), F.max("level_rank").alias("level_rank"))
+def merge_presets(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The highest level of each category over some presets; with keys, over those of each."""
+    return rows.groupBy(*keys, "category").agg(F.max_by("level", "level_rank").alias("level"), F.max("level_rank").alias("level_rank"))
 
 
-def preset_size(rows: DataFrame) -> DataFrame:
-    """(preset, points, size): weighted levels as a share of the most there can be."""
+def preset_size(rows: DataFrame, key: str = "preset") -> DataFrame:
+    """(key, points, size): weighted levels as a share of the most there can be."""
     weight = F.when(F.col("category") == "Apex_code", 3).when(F.col("category").isin("Database", "Apex_profiling"), 2).otherwise(1)
     points = F.sum(F.col("level_rank") * weight) / 98 * 100
-    return rows.groupBy("preset").agg(points.alias("points")).withColumn("size", F.when(F.col("points") < 30, "small").when(F.col("points") < 60, "medium").otherwise("large"))
+    return rows.groupBy(key).agg(points.alias("points")).withColumn("size", F.when(F.col("points") < 30, "small").when(F.col("points") < 60, "medium").otherwise("large"))
 
 
 # fixed values: presets that help with each type of issue, the best first

@@ -814,14 +814,24 @@ def reliability_score(spark, sf):
 _PRESET_ROWS = "(VALUES " + ", ".join(f"('{p}', '{c}', '{v}', {['NONE', 'ERROR', 'WARN', 'INFO', 'DEBUG', 'FINE', 'FINER', 'FINEST'].index(v)})" for p, levels in truncation.PRESETS.items() for c, v in zip(truncation.PRESET_CATEGORIES, levels)) + ") AS pr(preset, category, level, r)"
 
 
-@register(f"SELECT category, arg_max(level, r) AS level, max(r) AS level_rank FROM {_PRESET_ROWS} WHERE preset IN ('triggers', 'callouts') GROUP BY 1")
+#: Two events next to each other are a log; each asks for the preset that its id picks, in the order of names.
+_ASKED = f"p AS (SELECT *, dense_rank() OVER (ORDER BY preset) - 1 AS nr FROM {_PRESET_ROWS}), w AS (SELECT event_id // 2 AS log_id, category, arg_max(level, r) AS level, max(r) AS level_rank FROM events JOIN p ON nr = (event_id * 7 + user_id) % 11 GROUP BY 1, 2)"
+
+
+def _asked(spark, sf):
+    names = F.array(*map(F.lit, sorted(truncation.PRESETS)))
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 2).alias("log_id"), F.element_at(names, ((F.col("event_id") * 7 + F.col("user_id")) % 11 + 1).cast("int")).alias("preset"))
+    return truncation.merge_presets(e.join(F.broadcast(truncation.presets(spark)), "preset"), ("log_id",))
+
+
+@register(f"WITH {_ASKED} SELECT log_id, category, level, level_rank FROM w")
 def preset_merge(spark, sf):
-    return truncation.merge_presets(truncation.presets(spark).where("preset in ('triggers', 'callouts')"))
+    return _asked(spark, sf)
 
 
-@register(f"""SELECT preset, round(p, 4)::DOUBLE AS points, CASE WHEN p < 30 THEN 'small' WHEN p < 60 THEN 'medium' ELSE 'large' END AS size FROM (SELECT preset, sum(r * CASE WHEN category = 'Apex_code' THEN 3 WHEN category IN ('Database', 'Apex_profiling') THEN 2 ELSE 1 END) / 98.0 * 100 AS p FROM {_PRESET_ROWS} GROUP BY 1)""")
+@register(f"""WITH {_ASKED} SELECT log_id, round(p, 4)::DOUBLE AS points, CASE WHEN p < 30 THEN 'small' WHEN p < 60 THEN 'medium' ELSE 'large' END AS size FROM (SELECT log_id, sum(level_rank * CASE WHEN category = 'Apex_code' THEN 3 WHEN category IN ('Database', 'Apex_profiling') THEN 2 ELSE 1 END) / 98.0 * 100 AS p FROM w GROUP BY 1)""")
 def preset_size(spark, sf):
-    return truncation.preset_size(truncation.presets(spark)).withColumn("points", rounded(F.col("points")))
+    return truncation.preset_size(_asked(spark, sf), "log_id").withColumn("points", rounded(F.col("points")))
 
 
 # ---- scans, projections, rendering -------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Rules and projections over the given tables, dealt so that each of their branches is reached, with the same result in SQL.
 
-An event takes one of a rule's cases by its id (`Inline.dealt`, `Inline.logged`); a log is a user's events. Eight queries still read the cases alone."""
+An event takes one of a rule's cases by its id (`Inline.dealt`, `Inline.logged`); a log is a user's events. Rules over several tables get them from groups of consecutive
+events, each with its own times and names (`Inline.grouped`)."""
 
 from __future__ import annotations
 
@@ -56,6 +57,22 @@ class Inline:
         cases = Inline("_r", f"_case int, {', '.join(f'{n} {k}' for n, k in kinds.items())}", [(n, *r) for n, r in enumerate(self.rows)]).sql
         return f"{cases}, {self.name} AS (SELECT {picked} FROM events JOIN _r c ON c._case = event_id % {len(self.rows)})"
 
+    def grouped(self, spark, sf, size: int, first: int = 0) -> DataFrame:
+        """`size` consecutive events are a group (column grp): those at the places from `first` on are its rows, in order; `{i}` in a text is the group.
+        event_id and the event's value in whole numbers (v) come along."""
+        case = F.broadcast(spark.createDataFrame([(n + first, *r) for n, r in enumerate(self.rows)], f"_case int, {self.ddl}"))
+        e = table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / size).alias("grp"), (F.col("event_id") % size).cast("int").alias("_case"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("v"))
+        texts = {n: F.replace(F.col(n), F.lit("{i}"), F.col("grp").cast("string")) for n, k in (c.split() for c in self.ddl.split(", ")) if k == "string"}
+        out = e.join(case, "_case").drop("_case")
+        return out.withColumns(texts) if texts else out
+
+    def grouped_sql(self, size: int, first: int = 0) -> str:
+        """`grouped`, as common table expressions."""
+        columns = [c.split() for c in self.ddl.split(", ")]
+        picked = ", ".join(f"replace(c.{n}, '{{i}}', CAST(event_id // {size} AS VARCHAR)) AS {n}" if k == "string" else f"c.{n}" for n, k in columns)
+        cases = Inline(f"_{self.name}", f"_case int, {self.ddl}", [(n + first, *r) for n, r in enumerate(self.rows)]).sql
+        return f"{cases}, {self.name} AS (SELECT event_id, event_id // {size} AS grp, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v, {picked} FROM events JOIN _{self.name} c ON c._case = event_id % {size})"
+
     @property
     def sql(self) -> str:
         kinds = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -164,35 +181,48 @@ def jobs_dedupe(spark, sf):
 
 
 _JOBS = Inline("j", "job_key long, class_name string, method_name string, job_type string, job_id string, enqueued_ms long", [
-    (1, "ns.MyJob", "", "QUEUEABLE", "707A", 100000), (2, "Unknown", "", "BATCH", None, 100000), (3, "Nightly", "run", "FUTURE", None, 200000), (4, "Lost", "", "QUEUEABLE", "707Z", 5000000), (5, "ByRecord", "", "BATCH", None, 300000),
+    (1, "ns.MyJob", "", "QUEUEABLE", "707A{i}", 100000), (2, "Unknown", "", "BATCH", None, 100000), (3, "Nightly", "run", "FUTURE", None, 200000), (4, "Lost", "", "QUEUEABLE", "707Z{i}", 5000000), (5, "ByRecord{i}", "", "BATCH", None, 300000),
 ])
 _LOGS = Inline("l", "child_id string, operation string, start_ms long", [
     ("c1", "MyJob.execute", 103000), ("c2", "ns/MyJob", 130000), ("c3", "other", 104000), ("c4", "batch start()", 110000), ("c5", "/apex/Nightly.run", 195000), ("c6", "NIGHTLY", 259999), ("c7", "Nightly", 260001), ("c8", "x", 301000), ("c9", "ns.myjob", 95000), ("c10", "ns.myjob", 94999), ("c11", None, 302000),
 ])
-_RECORDS = Inline("r", "record_id string, record_class string, created_ms long, completed_ms long, kind string", [("707A", "ns.MyJob", 100500, 140000, "Queueable"), ("707R", "byrecord", 299000, None, "BatchApex"), ("707S", "byrecord", 250000, 251000, "BatchApex")])
+_RECORDS = Inline("r", "record_id string, record_class string, created_ms long, completed_ms long, kind string", [("707A{i}", "ns.MyJob", 100500, 140000, "Queueable"), ("707R{i}", "byrecord{i}", 299000, None, "BatchApex"), ("707S{i}", "byrecord{i}", 250000, 251000, "BatchApex")])
+
+#: Sixteen events are five jobs and eleven logs, three of them records too; times move with the group and the event's value.
+_JOB_TABLES = f"""{_JOBS.grouped_sql(16).replace(' j AS (', ' j0 AS (')}, {_LOGS.grouped_sql(16, 5).replace(' l AS (', ' l0 AS (')}, {_RECORDS.grouped_sql(16).replace(' r AS (', ' r0 AS (')},
+j AS (SELECT grp, event_id AS job_key, class_name, method_name, job_type, job_id, enqueued_ms + 7000 * grp + v AS enqueued_ms FROM j0), l AS (SELECT grp, CAST(event_id AS VARCHAR) AS child_id, operation, start_ms + 7000 * grp + v AS start_ms FROM l0),
+r AS (SELECT record_id, record_class, created_ms + 7000 * grp + v AS created_ms, completed_ms + 7000 * grp + v AS completed_ms, kind FROM r0)"""
+
+
+def _job_tables(spark, sf):
+    moved = lambda c: (F.col(c) + 7000 * F.col("grp") + F.col("v")).alias(c)
+    jobs = _JOBS.grouped(spark, sf, 16).select("grp", F.col("event_id").alias("job_key"), "class_name", "method_name", "job_type", "job_id", moved("enqueued_ms"))
+    logs = _LOGS.grouped(spark, sf, 16, 5).select("grp", F.col("event_id").cast("string").alias("child_id"), "operation", moved("start_ms"))
+    return jobs, logs, _RECORDS.grouped(spark, sf, 16).select("record_id", "record_class", moved("created_ms"), moved("completed_ms"), "kind")
 
 
-@register(rf"""WITH {_JOBS.sql}, {_LOGS.sql}, {_RECORDS.sql}, jr AS (SELECT j.*, coalesce(i.record_id, c.x.record_id) AS rid, coalesce(i.created_ms, c.x.created_ms) AS created, CASE WHEN i.record_id IS NOT NULL THEN coalesce(i.completed_ms, i.created_ms + 3600000) ELSE coalesce(c.x.completed_ms, c.x.created_ms + 3600000) END AS done
+@register(rf"""WITH {_JOB_TABLES}, jr AS (SELECT j.*, coalesce(i.record_id, c.x.record_id) AS rid, coalesce(i.created_ms, c.x.created_ms) AS created, CASE WHEN i.record_id IS NOT NULL THEN coalesce(i.completed_ms, i.created_ms + 3600000) ELSE coalesce(c.x.completed_ms, c.x.created_ms + 3600000) END AS done
   FROM j LEFT JOIN r i ON i.record_id = j.job_id LEFT JOIN (SELECT lower(record_class) AS k, arg_max(r, created_ms) AS x FROM r GROUP BY 1) c ON c.k = lower(j.class_name)),
 m AS (SELECT job_key, child_id, start_ms - enqueued_ms AS gap, class_name <> 'Unknown' AND (contains(lower(coalesce(operation, '')), lower(class_name)) OR contains(lower(coalesce(operation, '')), replace(lower(class_name), '.', '/'))) AS named,
-  coalesce(start_ms BETWEEN created - 5000 AND done + 5000, false) AS running, coalesce(job_id = rid, false) AS same FROM jr JOIN l ON start_ms BETWEEN enqueued_ms - 5000 AND enqueued_ms + 60000),
+  coalesce(start_ms BETWEEN created - 5000 AND done + 5000, false) AS running, coalesce(job_id = rid, false) AS same FROM jr JOIN l ON l.grp = jr.grp AND start_ms BETWEEN enqueued_ms - 5000 AND enqueued_ms + 60000),
 s AS (SELECT *, greatest(0.3, 1 - abs(gap) / 60000.0)::DOUBLE AS t, named::INT + 1 + same::INT AS n FROM m WHERE named OR running),
 c AS (SELECT job_key, child_id, n, same, greatest(0, least(1, (CASE WHEN named THEN 0.7 * 0.7 ELSE 0 END + t * 0.6 + CASE WHEN same THEN 0.95 * 0.95 ELSE 0 END) / (CASE WHEN named THEN 0.7 ELSE 0 END + 0.6 + CASE WHEN same THEN 0.95 ELSE 0 END) + least(0.1, 0.03 * (n - 1)) - CASE WHEN n = 1 THEN 0.15 ELSE 0 END)) AS confidence FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY job_key ORDER BY confidence DESC, n DESC, same DESC, child_id) AS place FROM c WHERE confidence >= 0.5)
 SELECT job_key, child_id, round(confidence, 6)::DOUBLE AS confidence, place::INTEGER AS place FROM k WHERE place <= 10 UNION ALL SELECT job_key, NULL, 0.3, 1 FROM j WHERE job_key NOT IN (SELECT job_key FROM k)""")
 def correlate_logs(spark, sf):
-    out = correlation.correlate(_JOBS.df(spark), _LOGS.df(spark), records=_RECORDS.df(spark))
+    jobs, logs, records = _job_tables(spark, sf)
+    out = correlation.correlate(jobs, logs, records=records, keys=("grp",))
     return out.select("job_key", "child_id", rounded(F.col("confidence"), 6).alias("confidence"), "place")
 
 
-@register(rf"""WITH {_JOBS.sql}, {_LOGS.sql}, p AS (SELECT *, start_ms - enqueued_ms AS gap FROM j, l) SELECT job_key, child_id FROM p WHERE gap BETWEEN -5000 AND 3600000 AND ((class_name <> 'Unknown' AND contains(lower(coalesce(operation, '')), lower(class_name))) OR (gap >= 0 AND gap < 60000))""")
+@register(rf"""WITH {_JOB_TABLES}, p AS (SELECT *, start_ms - enqueued_ms AS gap FROM j JOIN l USING (grp)) SELECT job_key, child_id FROM p WHERE gap BETWEEN -5000 AND 3600000 AND ((class_name <> 'Unknown' AND contains(lower(coalesce(operation, '')), lower(class_name))) OR (gap >= 0 AND gap < 60000))""")
 def likely_children(spark, sf):
-    logs = _LOGS.df(spark).withColumn("operation", F.coalesce("operation", F.lit("")))
-    pairs = correlation.interval_join(_JOBS.df(spark).withColumn("_k", F.lit(1)), logs.withColumn("_k", F.lit(1)), ["_k"], "enqueued_ms", "start_ms", 5000, 3_600_000)
+    jobs, logs, _ = _job_tables(spark, sf)
+    pairs = correlation.interval_join(jobs, logs.withColumn("operation", F.coalesce("operation", F.lit(""))), ["grp"], "enqueued_ms", "start_ms", 5000, 3_600_000)
     return pairs.where(correlation.likely_child(F.col("enqueued_ms"), F.col("start_ms"), F.col("class_name"), F.col("operation"))).select("job_key", "child_id")
 
 
-@register(rf"""WITH {_JOBS.sql}, {_LOGS.sql}, {_RECORDS.sql}, p AS (SELECT j.*, l.*, r.*, lower(coalesce(operation, '')) AS op, start_ms - enqueued_ms AS gap, start_ms - created_ms AS since FROM j JOIN l ON true LEFT JOIN r ON r.record_id = j.job_id OR (j.job_key = 5 AND r.record_id = '707R') WHERE abs(start_ms - enqueued_ms) < 200000),
+@register(rf"""WITH {_JOB_TABLES}, p AS (SELECT j.* EXCLUDE (grp), l.* EXCLUDE (grp), r.*, lower(coalesce(operation, '')) AS op, start_ms - enqueued_ms AS gap, start_ms - created_ms AS since FROM j JOIN l ON l.grp = j.grp AND abs(start_ms - enqueued_ms) < 200000 LEFT JOIN r ON r.record_id = coalesce(j.job_id, CASE WHEN j.class_name LIKE 'ByRecord%' THEN '707R' || j.grp END)),
 q AS (SELECT job_key, child_id, CASE WHEN job_id = record_id THEN 'JOB_ID:0.95' END AS a,
  CASE WHEN class_name = 'Unknown' THEN NULL WHEN contains(op, lower(class_name)) THEN 'CLASS_NAME:0.8' WHEN contains(op, regexp_extract(lower(class_name), '[^.]*$')) THEN 'CLASS_NAME:0.65' WHEN lower(record_class) = lower(class_name) THEN 'CLASS_NAME:0.85' END AS b,
  CASE WHEN gap < -5000 THEN NULL WHEN gap < 10000 THEN 'TIMING:0.8' WHEN gap < 30000 THEN 'TIMING:0.6' WHEN gap <= 60000 THEN 'TIMING:0.4' WHEN since BETWEEN -5000 AND 120000 THEN CASE WHEN since < 30000 THEN 'TIMING:0.7' ELSE 'TIMING:0.5' END END AS c,
@@ -200,9 +230,10 @@ q AS (SELECT job_key, child_id, CASE WHEN job_id = record_id THEN 'JOB_ID:0.95'
  CASE WHEN job_type = 'BATCH' AND kind IN ('BatchApex', 'BatchApexWorker') AND regexp_matches(op, 'batch|start\(\)|execute\(\)|finish\(\)') THEN 'BATCH:0.75' END AS e FROM p)
 SELECT job_key, child_id, concat_ws(',', a, b, c, d, e) AS evidence FROM q""")
 def candidate_scores(spark, sf):
-    j, lg, r = _JOBS.df(spark), _LOGS.df(spark), _RECORDS.df(spark)
-    pairs = j.withColumn("_k", F.lit(1)).join(lg.withColumn("_k", F.lit(1)), "_k").where(F.abs(F.col("start_ms") - F.col("enqueued_ms")) < 200000)
-    pairs = pairs.withColumn("_r", F.coalesce("job_id", F.when(F.col("job_key") == 5, "707R"))).join(r, F.col("_r") == F.col("record_id"), "left")
+    jobs, logs, records = _job_tables(spark, sf)
+    pairs = correlation.interval_join(jobs, logs, ["grp"], "enqueued_ms", "start_ms", 199_999, 199_999)
+    of = F.coalesce("job_id", F.when(F.col("class_name").startswith("ByRecord"), F.concat(F.lit("707R"), F.col("grp").cast("string"))))
+    pairs = pairs.withColumn("_r", of).join(records, F.col("_r") == F.col("record_id"), "left")
     job = {c: F.col(c) for c in ("class_name", "method_name", "job_type", "job_id", "enqueued_ms")}
     record = {"id": F.col("record_id"), "class_name": F.col("record_class"), "created_ms": F.col("created_ms"), "kind": F.col("kind")}
     found = correlation.score_candidate(job, {"operation": F.col("operation"), "start_ms": F.col("start_ms")}, record)
@@ -224,11 +255,13 @@ _PLACED = Inline("e", "log_id string, id long, type string, namespace string, cl
     ("a", 40, "METHOD_ENTRY", None, "Plain", "calculateAll", None), ("b", 1, "METHOD_ENTRY", None, "Plain", "calculateAll", None), ("b", 2, "METHOD_ENTRY", "zz", "Plain", "calculateAll", None), ("b", 3, "USER_DEBUG", None, None, None, None),
 ])
 _FOUND = Inline("i", "log_id string, det_seq long, id long, code_snippet string", [("a", 1, 1, None), ("a", 2, 3, None), ("a", 3, 4, None), ("a", 4, 20, None), ("a", 5, 40, "Abc__Thing.run failed"), ("a", 6, 40, "Apex script unhandled x in abcd. y"), ("b", 1, 1, None), ("b", 2, 2, None), ("b", 3, 3, None), ("b", 3, 2, None)])
+#: Ten events are the nine events of two logs and the ten events of their issues.
+_BRANCHES = f"{_PLACED.grouped_sql(10).replace(' e AS (', ' e0 AS (')}, {_FOUND.grouped_sql(10).replace(' i AS (', ' i0 AS (')}, e AS (SELECT log_id || grp AS log_id, * EXCLUDE (event_id, grp, v, log_id) FROM e0), i AS (SELECT log_id || grp AS log_id, * EXCLUDE (event_id, grp, v, log_id) FROM i0)"
 
 
-@register(rf"""WITH {_PLACED.sql}, {_FOUND.sql}, shown AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY id) AS n,
+@register(rf"""WITH {_BRANCHES}, shown AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY id) AS n,
   -- the package that each event runs in: entered by a marker, left by an exit that shows none of its own
-  CASE WHEN log_id = 'a' AND id IN (2, 3) THEN 'abc' END AS ctx FROM e),
+  CASE WHEN log_id LIKE 'a%' AND id IN (2, 3) THEN 'abc' END AS ctx FROM e),
 crossed AS (SELECT log_id, id FROM (SELECT *, lag(ctx) OVER (PARTITION BY log_id ORDER BY id) AS before FROM shown) WHERE n > 1 AND ctx IS DISTINCT FROM before),
 x AS (SELECT i.log_id, i.det_seq, i.code_snippet, e.* EXCLUDE (log_id) FROM i JOIN e USING (log_id, id)),
 ns AS (SELECT log_id, det_seq, namespace, count(*) FILTER (type = 'ENTERING_MANAGED_PKG') * 0.9 + CASE WHEN coalesce(min(id) FILTER (type <> 'ENTERING_MANAGED_PKG'), 999) < coalesce(min(id) FILTER (type = 'ENTERING_MANAGED_PKG'), 999) THEN 0.8 ELSE 0 END AS w FROM x WHERE namespace <> '' GROUP BY 1, 2, 3),
@@ -241,8 +274,9 @@ s AS (SELECT log_id, det_seq, coalesce(mk.w, 0) + m + h + t AS managed, CASE WHE
 SELECT log_id, det_seq, round(managed, 4)::DOUBLE AS managed, round(usr, 4)::DOUBLE AS usr, round(boundary, 4)::DOUBLE AS boundary, CASE WHEN boundary > 0.5 AND usr > 0 AND managed > 0 THEN 'BOUNDARY' WHEN managed > usr AND managed > 0.3 THEN 'MANAGED_PACKAGE' WHEN usr > managed THEN 'USER_CODE' ELSE 'UNKNOWN' END AS attribution,
 round(CASE WHEN boundary > 0.5 AND usr > 0 AND managed > 0 THEN least(0.9, boundary) WHEN managed > usr AND managed > 0.3 THEN least(0.9, 0.5 + managed) WHEN usr > managed THEN least(0.9, 0.5 + usr) ELSE 0.5 END, 4)::DOUBLE AS confidence FROM s""")
 def attribute_branches(spark, sf):
-    issues = _FOUND.df(spark).groupBy("log_id", "det_seq").agg(F.collect_list("id").alias("event_ids"), F.max("code_snippet").alias("code_snippet"))
-    out = namespaces.attribute_issues(issues, _PLACED.df(spark))
+    placed, named = (t.grouped(spark, sf, 10).withColumn("log_id", F.concat("log_id", F.col("grp").cast("string"))).drop("event_id", "grp", "v") for t in (_PLACED, _FOUND))
+    issues = named.groupBy("log_id", "det_seq").agg(F.collect_list("id").alias("event_ids"), F.max("code_snippet").alias("code_snippet"))
+    out = namespaces.attribute_issues(issues, placed)
     return out.select("log_id", "det_seq", *[rounded(F.col(a)).alias(b) for a, b in (("managed", "managed"), ("user", "usr"), ("boundary", "boundary"))], "attribution", rounded(F.col("attribution_confidence")).alias("confidence"))
 
 
@@ -280,16 +314,19 @@ def preset_votes(spark, sf):
 
 _SEEN = Inline("e", "log_id long, type string", [(1, "METHOD_ENTRY"), (1, "SOQL_EXECUTE_BEGIN"), (2, "LIMIT_USAGE"), (3, "METHOD_ENTRY"), (3, "SOQL_EXECUTE_BEGIN"), (3, "SOQL_EXECUTE_EXPLAIN"), (3, "CODE_UNIT_STARTED"), (3, "LIMIT_USAGE"), (4, "METHOD_EXIT")])
 _HAVE = Inline("h", "log_id long, category string, level_rank int", [(1, "Apex_code", 5), (1, "Database", 3), (3, "Apex_code", 7), (3, "Apex_profiling", 7), (3, "Database", 7), (3, "System", 7), (3, "Workflow", 7), (4, "Apex_code", 1), (4, "System", 2)])
+#: Nine events are the events and the levels of four logs.
+_LEVELS = f"{_SEEN.grouped_sql(9).replace(' e AS (', ' e0 AS (')}, {_HAVE.grouped_sql(9).replace(' h AS (', ' h0 AS (')}, e AS (SELECT grp * 10 + log_id AS log_id, type FROM e0), h AS (SELECT grp * 10 + log_id AS log_id, category, level_rank FROM h0)"
 _NEEDS = "(VALUES " + ", ".join(f"('{d}', '{c}', {DEBUG_LEVELS.index(v)})" for d, (req, _) in truncation.DETECTOR_NEEDS.items() for c, v in req.items()) + ") AS q(detector, category, r)"
 _NEEDED = "(VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in truncation.detector_needs()) + ") AS t(detector, type)"
 
 
-@register(f"""WITH {_SEEN.sql}, {_HAVE.sql}, q AS (SELECT * FROM {_NEEDS}), t AS (SELECT * FROM {_NEEDED}), l AS (SELECT DISTINCT log_id FROM e),
+@register(f"""WITH {_LEVELS}, q AS (SELECT * FROM {_NEEDS}), t AS (SELECT * FROM {_NEEDED}), l AS (SELECT DISTINCT log_id FROM e),
 d AS (SELECT l.log_id, q.detector, q.category, q.r, h.level_rank, EXISTS (SELECT 1 FROM e JOIN t USING (type) WHERE e.log_id = l.log_id AND t.detector = q.detector) AS any_there FROM l, q LEFT JOIN h ON h.log_id = l.log_id AND h.category = q.category),
 w AS (SELECT log_id, detector, count(*) FILTER (CASE WHEN level_rank IS NULL THEN NOT any_there ELSE level_rank < r END)::INTEGER AS n_warnings, (NOT bool_or(any_there))::INTEGER AS n_errors FROM d GROUP BY 1, 2)
 SELECT *, round(0.1 * n_warnings + 0.2 * n_errors, 4)::DOUBLE AS penalty FROM w WHERE n_warnings + n_errors > 0""")
 def level_validation(spark, sf):
-    return truncation.validate_levels(_HAVE.df(spark), _SEEN.df(spark)).select("log_id", "detector", "n_warnings", "n_errors", rounded(F.col("penalty")).alias("penalty"))
+    have, seen = (t.grouped(spark, sf, 9).withColumn("log_id", F.col("grp") * 10 + F.col("log_id")) for t in (_HAVE, _SEEN))
+    return truncation.validate_levels(have, seen).select("log_id", "detector", "n_warnings", "n_errors", rounded(F.col("penalty")).alias("penalty"))
 
 
 _JUDGED = Inline("x", "log_id long, score double, parsed long, failed long, total long, n_types long, issue_mean double, events long, issues long, unknown long, attr_mean double, cut boolean, kind string, lost long, started boolean, finished boolean", [
@@ -462,11 +499,14 @@ _HITS = Inline("h", "query_id long, fact_id long, by_code boolean", [(1, i, Fals
 _NEAR = Inline("m", "query_id long, place int", [(1, 1), (1, 2), (3, 1)])
 _EPISODES = Inline("ep", "query_id long, place int", [(2, 1), (2, 2)])
 _FIXES = Inline("so", "query_id long, place int, success_count long, failure_count long", [(1, 1, 3, 1), (1, 2, 1, 0), (1, 3, 1, 4), (4, 1, 0, 0)])
+#: Sixteen events are what four requests find.
+_RECALLED = ", ".join(f"{t.grouped_sql(16).replace(f' {t.name} AS (', f' {t.name}0 AS (')}, {t.name} AS (SELECT grp * 10 + query_id AS query_id, * EXCLUDE (event_id, grp, v, query_id) FROM {t.name}0)" for t in (_HITS, _NEAR, _EPISODES, _FIXES))
 
 
-@register(f"""WITH {_HITS.sql}, {_NEAR.sql}, {_EPISODES.sql}, {_FIXES.sql}, f AS (SELECT query_id, fact_id FROM (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY fact_id) AS r FROM (SELECT DISTINCT query_id, fact_id FROM h WHERE NOT by_code)) WHERE r <= 10 UNION SELECT query_id, fact_id FROM h WHERE by_code),
+@register(f"""WITH {_RECALLED}, f AS (SELECT query_id, fact_id FROM (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY fact_id) AS r FROM (SELECT DISTINCT query_id, fact_id FROM h WHERE NOT by_code)) WHERE r <= 10 UNION SELECT query_id, fact_id FROM h WHERE by_code),
 a AS (SELECT query_id, count(*) AS n_facts, 0 AS n_matches, 0 AS n_episodes, 0 AS n_solutions FROM f GROUP BY 1 UNION ALL SELECT query_id, 0, least(10, count(*)), 0, 0 FROM m GROUP BY 1 UNION ALL SELECT query_id, 0, 0, least(10, count(*)), 0 FROM ep GROUP BY 1
 UNION ALL SELECT query_id, 0, 0, 0, least(10, count(*)) FROM so WHERE success_count + failure_count >= 2 AND success_count / (success_count + failure_count) >= 0.5 GROUP BY 1)
 SELECT query_id, sum(n_facts)::BIGINT AS n_facts, sum(n_matches)::BIGINT AS n_matches, sum(n_episodes)::BIGINT AS n_episodes, sum(n_solutions)::BIGINT AS n_solutions, round(least(1, sum(n_facts + n_matches + n_episodes + n_solutions) / 10.0), 4)::DOUBLE AS confidence FROM a GROUP BY 1""")
 def recall_confidence(spark, sf):
-    return memory.recall(_HITS.df(spark), _NEAR.df(spark), _EPISODES.df(spark), _FIXES.df(spark)).withColumn("confidence", rounded(F.col("confidence")))
+    found = (t.grouped(spark, sf, 16).withColumn("query_id", F.col("grp") * 10 + F.col("query_id")).drop("event_id", "grp", "v") for t in (_HITS, _NEAR, _EPISODES, _FIXES))
+    return memory.recall(*found).withColumn("confidence", rounded(F.col("confidence")))
