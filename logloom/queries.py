@@ -960,4 +960,4 @@ def entry(spark: SparkSession, sf: str = "/root/testdata/sf0.001") -> DataFrame:
     return health_score(spark, sf)
 
 
-from . import log_queries, rule_queries  # noqa: E402, F401  (add their queries to QUERIES and SQL)
+from . import level_queries, log_queries, rule_queries  # noqa: E402, F401  (add their queries to QUERIES and SQL)
