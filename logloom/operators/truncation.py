@@ -130,12 +130,12 @@ def missing_types(events: DataFrame, needs: list[tuple[str, str]], key: str = "l
 
 
 def capabilities(levels: DataFrame, key: str = "log_id") -> DataFrame:
-    """Per log and capability: available (all levels), partial (one level short) or missing, and its score."""
+    """Per log and capability: FULL (all levels are there), PARTIAL (one is there or one step short) or NONE; a category without a level is none."""
     have = levels.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("category", "level_rank"))).alias("have"))
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.struct(F.lit(c).alias("c"), F.lit(S.DEBUG_LEVELS.index(v)).alias("r")) for c, v in req.items()]).alias("req")) for n, req in CAPABILITIES.items()])
     each = have.select(key, "have", F.explode(rows).alias("x"))
-    short = F.array_max(F.transform("x.req", lambda r: r["r"] - F.coalesce(F.element_at("have", r["c"]), F.lit(0))))
-    return each.select(key, F.col("x.name").alias("capability"), F.when(short <= 0, "FULL").when(short == 1, "PARTIAL").otherwise("NONE").alias("status"))
+    short = F.transform("x.req", lambda r: r["r"] - F.coalesce(F.element_at("have", r["c"]), F.lit(-len(S.DEBUG_LEVELS))))
+    return each.select(key, F.col("x.name").alias("capability"), F.when(F.array_max(short) <= 0, "FULL").when(F.array_min(short) <= 1, "PARTIAL").otherwise("NONE").alias("status"))
 
 
 def capability_score(caps: DataFrame, key: str = "log_id") -> DataFrame:

@@ -794,11 +794,11 @@ def missing_event_types(spark, sf):
     return truncation.missing_types(events(spark, sf).where("duration > 80"), needs)
 
 
-_HAVE = f"lv AS (SELECT user_id AS log_id, coalesce(max(level_rank) FILTER (category = 'Code'), 0) AS code, coalesce(max(level_rank) FILTER (category = 'System'), 0) AS sys, coalesce(max(level_rank) FILTER (category = 'Database'), 0) AS db FROM events JOIN {_MAP} ON m.type = event_type GROUP BY 1)"
-_SHORTS = ["greatest(1 - code, 3 - sys)", "3 - db", "3 - db", "5 - db", "greatest(5 - code, 5)", "4 - code", "6 - code", "7 - code", "6 - sys", "3", "3", "3"]
+_HAVE = f"lv AS (SELECT user_id AS log_id, coalesce(max(level_rank) FILTER (category = 'Code'), -8) AS code, coalesce(max(level_rank) FILTER (category = 'System'), -8) AS sys, coalesce(max(level_rank) FILTER (category = 'Database'), -8) AS db FROM events JOIN {_MAP} ON m.type = event_type GROUP BY 1)"
+_SHORTS = [("1 - code", "3 - sys"), ("3 - db",), ("3 - db",), ("5 - db",), ("5 - code", "13"), ("4 - code",), ("6 - code",), ("7 - code",), ("6 - sys",), ("11",), ("11",), ("11",)]
 
 
-@register(f"WITH {_HAVE} SELECT log_id, round(({' + '.join(f'CASE WHEN {s} <= 0 THEN 100 WHEN {s} = 1 THEN 50 ELSE 0 END' for s in _SHORTS)}) / 12.0, 4)::DOUBLE AS capability_score FROM lv")
+@register(f"WITH {_HAVE} SELECT log_id, round(({' + '.join(f'CASE WHEN greatest({", ".join(s)}) <= 0 THEN 100 WHEN least({", ".join(s)}) <= 1 THEN 50 ELSE 0 END' for s in _SHORTS)}) / 12.0, 4)::DOUBLE AS capability_score FROM lv")
 def capability_score(spark, sf):
     m = _mapping(spark).withColumn("category", F.when(F.col("category") == "Code", "Apex_code").otherwise(F.col("category")))
     caps = truncation.capabilities(truncation.infer_levels(events(spark, sf), m))
