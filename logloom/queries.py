@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.numbers import exact_sum, half_up
 from .operators import correlation, detect, memory, namespaces, privacy, query, render, scoring, tree, truncation
 from .operators.events import code_unit, value_type
 from .schema import SEVERITIES
@@ -54,12 +55,12 @@ def user_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(c: Column, places: int = 4) -> Column:
-    return F.round(c.cast("double"), places)
+    return half_up(c, places)
 
 
 def nudged(c: Column, places: int = 4) -> Column:
     """Rounded after a nudge upwards, for values that often lie halfway."""
-    return F.round(c.cast("double") + 1e-9, places)
+    return half_up(c.cast("double") + 1e-9, places)
 
 
 # ---- query engine ------------------------------------------------------------------------------------------------
@@ -280,7 +281,7 @@ def expensive_methods(spark, sf):
 @register("""SELECT log_id, round(ms, 2) AS ms, CASE WHEN ms / 50 >= 90 THEN 'CRITICAL' WHEN ms / 50 >= 70 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(least(0.95, 0.5 + ms / 50 / 200), 4) AS confidence
 FROM (SELECT user_id AS log_id, sum(value) AS ms FROM events GROUP BY 1) WHERE ms > 1000""")
 def cpu_timeout_risk(spark, sf):
-    t = events(spark, sf).groupBy("log_id").agg(F.sum("duration").alias("ms")).where("ms > 1000")
+    t = events(spark, sf).groupBy("log_id").agg(exact_sum(F.col("duration")).alias("ms")).where("ms > 1000")
     pct = F.col("ms") / 50
     return t.select("log_id", rounded(F.col("ms"), 2).alias("ms"), detect.ladder(pct, (90, "CRITICAL"), (70, "HIGH"), other="MEDIUM").alias("severity"), rounded(F.least(F.lit(0.95), 0.5 + pct / 200)).alias("confidence"))
 
