@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.numbers import exact_sum, exact_sum_over
 from ..functions.text import found, normalize_query, query_object, trim_all
 from .tree import with_ancestors
 
@@ -146,12 +147,15 @@ def method_calls(tree: DataFrame) -> DataFrame:
 
 def method_stats(calls: DataFrame, keys: tuple[str, ...] = ("log_id",)) -> DataFrame:
     """Per method: calls, inclusive and exclusive totals, largest and average, with the first call's id."""
-    return calls.groupBy(*keys, "method").agg(F.count("*").alias("n_calls"), F.sum("inclusive").alias("inclusive"), F.sum("exclusive").alias("exclusive"), F.max("inclusive").alias("longest"), (F.sum("inclusive") / F.count("*")).alias("average"), F.min("id").alias("first_id"), F.sort_array(F.collect_list("id")).alias("event_ids"))
+    # sums of doubles that depend on the order of rows would tip averages and ranks that lie on a bound
+    whole, own = (exact_sum(F.col(c)) if dict(calls.dtypes)[c] == "double" else F.sum(c) for c in ("inclusive", "exclusive"))
+    return calls.groupBy(*keys, "method").agg(F.count("*").alias("n_calls"), whole.alias("inclusive"), own.alias("exclusive"), F.max("inclusive").alias("longest"), (whole / F.count("*")).alias("average"), F.min("id").alias("first_id"), F.sort_array(F.collect_list("id")).alias("event_ids"))
 
 
 def cpu_hotspots(stats: DataFrame, unit: float = 1e6, least_total: float = 50, least_pct: float = 5, least_own: float = 50, top: int = 5, key: str = "log_id") -> DataFrame:
     """The methods with most time of their own: at most `top`, with their share of the log's time."""
-    total = F.sum("exclusive").over(Window.partitionBy(key)) / unit
+    w = Window.partitionBy(key)
+    total = (exact_sum_over(F.col("exclusive"), w) if dict(stats.dtypes)["exclusive"] == "double" else F.sum("exclusive").over(w)) / unit
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("exclusive"), "first_id"))
     out = stats.withColumns({"total_ms": total, "own_ms": F.col("exclusive") / unit, "place": place})
     out = out.withColumn("pct", F.when(F.col("total_ms") > 0, 100 * F.col("own_ms") / F.col("total_ms")).otherwise(0.0))

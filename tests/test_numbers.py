@@ -31,3 +31,12 @@ def test_timeout_risk_at_a_half(spark, tmp_path):
     sf = _events(spark, tmp_path, [(1, "view", v) for v in (3000.0, *[0.1] * 5, 1.0)] + [(2, "view", 3728.5)])
     got = {r.log_id: (r.ms, r.severity, r.confidence) for r in QUERIES["cpu_timeout_risk"](spark, sf).collect()}
     assert got == {1: (3001.5, "MEDIUM", 0.8002), 2: (3728.5, "HIGH", 0.8728)}
+
+
+#: Their sum is 350; added up in this order as doubles it is 350.00000000000006.
+TIPPING = [18.51, 21.44, 89.41, 97.86, 29.18, 37.1, 56.5]
+
+
+def test_an_average_on_the_bound_is_not_expensive(spark, tmp_path):
+    sf = _events(spark, tmp_path, [(1, "signup", 500.0), (1, "purchase", 400.0), *[(1, "view", v) for v in TIPPING], (1, "error", 51.0)])
+    assert {tuple(r) for r in QUERIES["expensive_methods"](spark, sf).collect()} == {(1, "error")}
