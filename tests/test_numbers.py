@@ -40,3 +40,9 @@ TIPPING = [18.51, 21.44, 89.41, 97.86, 29.18, 37.1, 56.5]
 def test_an_average_on_the_bound_is_not_expensive(spark, tmp_path):
     sf = _events(spark, tmp_path, [(1, "signup", 500.0), (1, "purchase", 400.0), *[(1, "view", v) for v in TIPPING], (1, "error", 51.0)])
     assert {tuple(r) for r in QUERIES["expensive_methods"](spark, sf).collect()} == {(1, "error")}
+
+
+def test_hotspots_with_equal_totals_go_by_their_first_call(spark, tmp_path):
+    sf = _events(spark, tmp_path, [(1, "click", 350.0), *[(1, "view", v) for v in TIPPING], (1, "error", 100.0)])
+    got = {(r.method, r.place): (r.own_ms, r.pct) for r in QUERIES["cpu_hotspots"](spark, sf).collect()}
+    assert got == {("click", 1): (350.0, 43.75), ("view", 2): (350.0, 43.75)}
