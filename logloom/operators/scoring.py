@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import exact_sum, half_up
 from ..schema import SEVERITIES, severity_rank
 
 WEIGHTS = {"CRITICAL": 25.0, "HIGH": 15.0, "MEDIUM": 8.0, "LOW": 3.0, "INFO": 0.0}
@@ -20,7 +21,7 @@ def health_score(issues: DataFrame, key: str = "log_id", kind: str = "type", sev
     k = F.row_number().over(Window.partitionBy(key, kind).orderBy(order)) - 1
     weights = F.create_map(*[F.lit(x) for p in WEIGHTS.items() for x in p])
     cost = F.coalesce(F.element_at(weights, F.col(severity)), F.lit(0.0)) * F.col(confidence) * F.pow(F.lit(0.7), k)
-    return issues.select(key, cost.alias("_c")).groupBy(key).agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.sum(F.round("_c", 9))))).cast("long").alias("health"))
+    return issues.select(key, cost.alias("_c")).groupBy(key).agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - exact_sum(half_up(F.col("_c"), 9))))).cast("long").alias("health"))
 
 
 def prioritize(issues: DataFrame, key: str = "log_id", severity: str = "severity", fixable: str = "can_modify", confidence: str = "confidence", impact: Column | None = None, order: str = "det_seq") -> DataFrame:

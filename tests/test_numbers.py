@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from logloom.functions.numbers import exact_sum, half_up
+from logloom.operators import scoring
 from logloom.queries import QUERIES
 
 
@@ -46,3 +47,11 @@ def test_hotspots_with_equal_totals_go_by_their_first_call(spark, tmp_path):
     sf = _events(spark, tmp_path, [(1, "click", 350.0), *[(1, "view", v) for v in TIPPING], (1, "error", 100.0)])
     got = {(r.method, r.place): (r.own_ms, r.pct) for r in QUERIES["cpu_hotspots"](spark, sf).collect()}
     assert got == {("click", 1): (350.0, 43.75), ("view", 2): (350.0, 43.75)}
+
+
+def test_health_at_a_half(spark):
+    issues = [("CRITICAL", 0.58), ("HIGH", 0.81), ("LOW", 0.82), ("HIGH", 0.73), ("LOW", 0.7), ("CRITICAL", 0.55), ("LOW", 0.53)]  # cost 57.5
+    orders = [issues, issues[::-1], sorted(issues), sorted(issues, key=lambda i: i[1])]
+    rows = [(log, n, f"t{n}", s, c) for log, some in enumerate(orders) for n, (s, c) in enumerate(some)]
+    df = spark.createDataFrame(rows, "log_id int, det_seq int, type string, severity string, confidence double").coalesce(1)
+    assert {r.log_id: r.health for r in scoring.health_score(df).collect()} == dict.fromkeys(range(4), 43)
