@@ -58,10 +58,15 @@ def is_continuation(line: Column) -> Column:
     return tokenize_line(line).isNull() & ~line.rlike(r"^\d+\.\d+\s+[A-Z_,;]+") & (trim_all(line) != "")
 
 
+def ascii_words(pattern: str) -> str:
+    """pattern with \\b standing between ASCII letters, digits and _ on one side alone, as \\w has them; Java's own takes other letters for parts of words up to version 18."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def normalize_query(query: Column) -> Column:
     """Literals become ?, white space one space, letters upper case."""
     out = F.regexp_replace(query, r"'[^']*'", "'?'")
-    out = F.regexp_replace(out, r"\b[0-9]+\b", "?")
+    out = F.regexp_replace(out, ascii_words(r"\b[0-9]+\b"), "?")
     return F.upper(F.trim(F.regexp_replace(out, r"\s+", " ")))
 
 
@@ -71,7 +76,7 @@ def query_object(query: Column) -> Column:
 
 def normalize_error(text: Column) -> Column:
     """Record ids become ID, other digit runs N."""
-    return F.regexp_replace(F.regexp_replace(text, r"\b[a-zA-Z0-9]{15,18}\b", "ID"), r"[0-9]+", "N")
+    return F.regexp_replace(F.regexp_replace(text, ascii_words(r"\b[a-zA-Z0-9]{15,18}\b"), "ID"), r"[0-9]+", "N")
 
 
 def hash31(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import found
+from ..functions.text import ascii_words, found
 
 BEFORE_MS, WINDOW_MS, LEAST, MOST = 5_000, 60_000, 0.5, 10
 # fixed values: weight of each kind of evidence
@@ -28,7 +28,7 @@ def extract_jobs(events: DataFrame, w_rows: int = 10) -> DataFrame:
     around = Window.partitionBy("log_id").orderBy("id").rowsBetween(-w_rows, w_rows - 1)
     is_class = F.col("type").isin("CONSTRUCTOR_ENTRY", "METHOD_ENTRY") & F.col("class_name").rlike(r"(?i)(job|queueable|batch|schedul|async|future)")
     nearby = F.first(F.when(is_class, F.col("class_name")), ignorenulls=True).over(around)
-    said = F.when(F.col("type") == "USER_DEBUG", found(F.col("message"), r"\b(707[a-zA-Z0-9]{12,15})\b"))
+    said = F.when(F.col("type") == "USER_DEBUG", found(F.col("message"), ascii_words(r"\b(707[a-zA-Z0-9]{12,15})\b")))
     marked = events.withColumns({"job_type": F.when(started, kind), "job_class": F.coalesce(F.when(F.col("type").isin("ASYNC_JOB_ENQUEUED", "QUEUEABLE_JOB", "FUTURE_CALL", "BATCH_APEX_START"), F.col("class_name")), nearby, F.lit("Unknown")), "said": said})
     after = Window.partitionBy("log_id", "_job").orderBy("id")
     number = F.sum(F.when(F.col("job_type").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("log_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))

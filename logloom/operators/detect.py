@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.numbers import exact_sum, exact_sum_over
-from ..functions.text import found, normalize_query, query_object, trim_all
+from ..functions.text import ascii_words, found, normalize_query, query_object, trim_all
 from .tree import with_ancestors
 
 ISSUE = ("log_id", "detector", "type", "category", "severity", "title", "confidence", "namespace", "can_modify", "occurrences", "limit_pct", "event_ids")
@@ -313,7 +313,7 @@ def _heuristics(query: Column) -> list[tuple[Column, float]]:
     where = q.contains("WHERE")
     clause = F.trim(F.regexp_extract(q, r"WHERE\s+(.+?)(?:ORDER BY|GROUP BY|LIMIT|\z)", 1))
     filters = where & (clause != "")
-    indexed = clause.rlike("|".join(f"(?:{p})" for p in INDEXED_FIELDS))
+    indexed = clause.rlike(ascii_words("|".join(f"(?:{p})" for p in INDEXED_FIELDS)))
     return [
         (~where, 0.3),
         (filters & clause.rlike(r"%\w|LIKE\s+'%"), 0.25),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import hash31
+from ..functions.text import ascii_words, hash31
 from ..schema import SENSITIVITIES, ordinal
 
 # fixed values: kind -> (sensitivity, placeholder, pattern, cheap test that must hold before the pattern is tried)
@@ -25,6 +25,7 @@ PATTERNS = {
     "api_key": ("CRITICAL", "API_KEY", r"""(?i)\b(?:api[_-]?key|apikey|access[_-]?token|bearer)[=:\s]+['"]?[\w-]{20,}['"]?""", r"(?i)api|key|bearer|access"),
     "password": ("CRITICAL", "PASSWORD", r"""(?i)\b(?:password|passwd|pwd|secret)[=:\s]+['"]?[^\s'"]{4,}['"]?""", r"(?i)password|passwd|pwd|secret"),
 }
+PATTERNS = {name: (level, mark, ascii_words(pattern), guard) for name, (level, mark, pattern, guard) in PATTERNS.items()}
 # fixed values: field names (letters in either case) by sensitivity and what they tell, the first that fits decides
 FIELD_RULES = (
     (r"password|passwd|pwd|secret", "CRITICAL", "Password field"),
@@ -131,7 +132,7 @@ def redact_numbered(policy: Policy = MODERATE):
     """An Arrow function of texts: the last match of a pattern gets [X], those before it [X_1], [X_2] ... from the left's far end."""
     import re
 
-    chosen = [(mark, re.compile(pattern.replace("[A-Z|a-z]", "[A-Za-z|]"))) for mark, pattern, _ in policy.chosen()]
+    chosen = [(mark, re.compile(pattern.replace("[A-Z|a-z]", "[A-Za-z|]"), re.ASCII)) for mark, pattern, _ in policy.chosen()]
 
     def one(text):
         if text is None:
@@ -153,7 +154,7 @@ def pii_positions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, start, end) of every match, in code points."""
     import re
 
-    compiled = [(name, re.compile(p[2])) for name, p in PATTERNS.items()]
+    compiled = [(name, re.compile(p[2], re.ASCII)) for name, p in PATTERNS.items()]
 
     def run(frames):
         for f in frames:
@@ -180,6 +181,8 @@ OUTPUT_PATTERNS = (
     r"""(?i)\b(access_?token|bearer|api_?key)[=:]\s*['"]?[\w-]+['"]?""",
 )
 
+OUTPUT_PATTERNS = tuple(map(ascii_words, OUTPUT_PATTERNS))
+
 
 def deep(value: Column, kind: T.DataType, clean: Callable[[Column], Column]) -> Column:
     """value with every string in it cleaned, at any depth of structs, arrays and maps; keys of maps, other types and nulls stay."""

@@ -216,3 +216,13 @@ def test_unfixed_profile(spark):
 def test_detectors_take_empty_input(spark):
     p = parse_logs(spark.createDataFrame([], "log_id string, content string"))
     assert analyze(p)[0].count() == 0 and detect.DETECTORS and scoring.WEIGHTS
+
+
+def test_word_bounds_are_ascii(spark):
+    rows = [(1, "x ñabcdefghijklmno, ä555-123-4567ß"), (2, "xñabcdefghijklmnop"), (3, "é1.2.3.4 a.b@c.deü")]
+    df = spark.createDataFrame(rows, "id int, text string").select("id", "text", F.struct("text").alias("s"))
+    want = {1: "x ñ[REDACTED], ä[REDACTED]ß", 2: "xñabcdefghijklmnop", 3: "é[REDACTED] [REDACTED]ü"}
+    assert {r.id: (r.text, r.s.text) for r in privacy.redact_output(df).collect()} == {k: (v, v) for k, v in want.items()}
+    assert [r.t for r in df.orderBy("id").select(privacy.redact(F.col("text")).alias("t")).collect()] == ["x ñabcdefghijklmno, ä[PHONE]ß", rows[1][1], "é[IP] [EMAIL]ü"]
+    assert [(r.id, r.kind) for r in privacy.pii_positions(df, "id", "text").orderBy("id", "kind").collect()] == [("1", "phone"), ("1", "record_id"), ("3", "email"), ("3", "ip_address")]
+    assert [r.t for r in spark.createDataFrame([("é12é 3",), ("ñabcdefghijklmno",)], "q string").select(T.normalize_query(F.col("q")).alias("t")).collect()][0] == "É?É ?"
