@@ -950,10 +950,10 @@ def stream_summary(spark, sf):
 
 @register("SELECT event_id FROM events")
 def stream_watch(spark, sf):
-    from .streaming.logs import run_to_memory, watch
+    from .streaming.logs import run_to_files, watch
 
     s = _event_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return run_to_memory(watch(s, "ts", "event_id", "60 days"), "stream_watch").select("event_id")
+    return run_to_files(watch(s, "ts", "event_id", "60 days"), "stream_watch").select("event_id")
 
 
 def entry(spark: SparkSession, sf: str = "/root/testdata/sf0.001") -> DataFrame:

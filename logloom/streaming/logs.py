@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.logs import log_lines, tokens
+from ..sources.tables import shared_dir
+
+#: State of many keys on the executors' disks, not in their memory.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def stream_logs(spark: SparkSession, path: str, glob: str = "*.log", files_per_trigger: int = 1000) -> DataFrame:
@@ -55,8 +61,23 @@ def call_depths(events: DataFrame, idle: str | None = "1 hour") -> DataFrame:
     return events.select("log_id", "id", "step").groupBy("log_id").applyInPandasWithState(run, "log_id string, id long, depth int", "depth int", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Everything there is, once, written by the executors to the shared folder: no row passes through the driver."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    try:
+        for k, v in _STATE.items():
+            spark.conf.set(k, v)
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything there is, once, as a table in memory."""
+    """Everything there is, once, as a table in the driver's memory: for results of few rows."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)

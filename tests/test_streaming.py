@@ -29,3 +29,15 @@ def test_watch_counts_and_depths(spark, tmp_path):
     assert {r.log_id: r.n for r in counts.collect()} == {"a": 4, "b": 2}
     depths = S.run_to_memory(S.call_depths(stream().where("not (log_id = 'a' and id = 3)"), idle=None), "depths_test")
     assert {(r.log_id, r.id): r.depth for r in depths.collect()} == {("a", 1): 0, ("a", 2): 1, ("b", 1): 0, ("b", 2): 0}
+
+
+def test_watch_holds_nothing_in_the_driver(spark, tmp_path):
+    from logloom.queries import QUERIES
+
+    rows = spark.range(500).select((F.col("id") % 400).alias("event_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("x").alias("event_type"))
+    rows.write.parquet(f"{tmp_path}/all")
+    spark.read.parquet(f"{tmp_path}/all").coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = QUERIES["stream_watch"](spark, str(tmp_path))
+    assert sorted(r.event_id for r in got.collect()) == list(range(400))
+    assert got.inputFiles() and not spark.catalog.tableExists("stream_watch")
