@@ -67,6 +67,13 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: s
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
+def left_join_dealt(left: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """A left join on the string column `key` of both sides. Rows of the left without a key match nothing; they are dealt out by `by`, where the null would take all of them to one task."""
+    dealt = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.xxhash64(*by).cast("string")))
+    found = left.withColumn("_dealt", dealt).join(right.where(F.col(key).isNotNull()).withColumnRenamed(key, "_dealt"), "_dealt", "left")
+    return found.drop("_dealt")
+
+
 def timing_confidence(gap_ms: Column, window: int = WINDOW_MS) -> Column:
     return F.greatest(F.lit(0.3), 1 - F.abs(gap_ms) / window)
 
@@ -103,7 +110,8 @@ def with_records(jobs: DataFrame, records: DataFrame | None) -> DataFrame:
     whole = F.struct("record_id", "created_ms", "completed_ms")
     by_id = r.groupBy(F.col("record_id").alias("job_id")).agg(F.max_by(whole, "created_ms").alias("_i"))
     by_class = r.groupBy(F.lower("record_class").alias("_class")).agg(F.max_by(whole, F.struct("created_ms", "record_id")).alias("_c"))
-    out = jobs.join(by_id, "job_id", "left").withColumn("_class", F.lower("class_name")).join(by_class, "_class", "left").withColumn("_r", F.coalesce("_i", "_c"))
+    named = left_join_dealt(jobs, by_id, "job_id", jobs.columns).withColumn("_class", F.lower("class_name"))
+    out = named.join(by_class, "_class", "left").withColumn("_r", F.coalesce("_i", "_c"))
     return out.select(*jobs.columns, "_r.record_id", "_r.created_ms", "_r.completed_ms")
 
 

@@ -233,7 +233,7 @@ def candidate_scores(spark, sf):
     jobs, logs, records = _job_tables(spark, sf)
     pairs = correlation.interval_join(jobs, logs, ["grp"], "enqueued_ms", "start_ms", 199_999, 199_999)
     of = F.coalesce("job_id", F.when(F.col("class_name").startswith("ByRecord"), F.concat(F.lit("707R"), F.col("grp").cast("string"))))
-    pairs = pairs.withColumn("_r", of).join(records, F.col("_r") == F.col("record_id"), "left")
+    pairs = correlation.left_join_dealt(pairs.withColumn("_r", of), records.withColumn("_r", F.col("record_id")), "_r", ["job_key", "child_id"])
     job = {c: F.col(c) for c in ("class_name", "method_name", "job_type", "job_id", "enqueued_ms")}
     record = {"id": F.col("record_id"), "class_name": F.col("record_class"), "created_ms": F.col("created_ms"), "kind": F.col("kind")}
     found = correlation.score_candidate(job, {"operation": F.col("operation"), "start_ms": F.col("start_ms")}, record)
