@@ -42,10 +42,14 @@ def progress_bar(share: Column, width: int = 20) -> Column:
     return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), width - full))
 
 
-def problem_context(issues: DataFrame, events: DataFrame, top: int = 5) -> DataFrame:
-    """(log_id, det_seq, timeline): an issue's first events, one after another."""
-    ids = issues.select("log_id", "det_seq", F.explode("event_ids").alias("id"))
-    e = ids.join(events.select("log_id", "id", "type", "line_number"), ["log_id", "id"])
+def problem_context(issues: DataFrame, events: DataFrame, top: int = 5, parts: int | None = None) -> DataFrame:
+    """(log_id, det_seq, timeline): an issue's first events, one after another. `parts`: into how many tasks to deal the events, where a session's number of them doesn't follow the input."""
+    ids, rows = issues.select("log_id", "det_seq", F.explode("event_ids").alias("id")), events.select("log_id", "id", "type", "line_number")
+    if parts:
+        ids, rows = ids.repartition(parts, "log_id", "id"), rows.repartition(parts, "log_id", "id")
+    e = ids.join(rows, ["log_id", "id"])
+    if parts:
+        e = e.repartition(parts, "log_id", "det_seq")
     place = F.row_number().over(Window.partitionBy("log_id", "det_seq").orderBy("id"))
     first = e.withColumn("place", place).where(F.col("place") <= top)
     rows = F.sort_array(F.collect_list(F.struct("id", F.concat_ws(" ", "type", F.concat(F.lit("@"), "line_number")).alias("t"))))

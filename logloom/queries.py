@@ -17,6 +17,9 @@ from .operators import correlation, detect, memory, namespaces, privacy, query,
 from .operators.events import code_unit, value_type
 from .schema import SEVERITIES
 
+#: Rows that a task of a query over all lines sorts, about.
+ROWS_A_TASK = 500_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -883,11 +886,13 @@ def tree_lines(spark, sf):
 @register("""WITH u AS (SELECT o_custkey AS log_id, l_orderkey AS det_seq, l_linenumber AS id, min(l_returnflag) AS type, min(l_suppkey) AS line_number FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3)
 SELECT log_id, det_seq, string_agg(type || ' @' || line_number, ' -> ' ORDER BY id) AS timeline FROM (SELECT *, row_number() OVER (PARTITION BY log_id, det_seq ORDER BY id) AS rn FROM u) WHERE rn <= 5 GROUP BY 1, 2""")
 def problem_context(spark, sf):
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem")
+    parts = 1 + lines.count() // ROWS_A_TASK
+    li = lines.repartition(parts, "l_orderkey").join(table(spark, sf, "orders").repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     e = li.groupBy(F.col("o_custkey").alias("log_id"), F.col("o_orderkey").alias("det_seq"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("type"), F.min("l_suppkey").alias("line_number"))
     ids = e.withColumn("id", F.col("det_seq") * 10 + F.col("n"))
     issues = ids.groupBy("log_id", "det_seq").agg(F.sort_array(F.collect_list("id")).alias("event_ids"))
-    return render.problem_context(issues, ids)
+    return render.problem_context(issues, ids, parts=parts)
 
 
 _UNITS = "CASE doc_id % 5 WHEN 0 THEN 'T' || doc_id || ' on ' || source WHEN 1 THEN 'Validation:' || source WHEN 2 THEN 'Workflow:' || source WHEN 3 THEN 'Flow:' || source ELSE source END"

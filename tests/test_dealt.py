@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from logloom.operators import correlation
+from logloom.operators import correlation, render
 
 
 def test_rows_without_a_key_are_dealt_out(spark):
@@ -17,3 +17,13 @@ def test_rows_without_a_key_are_dealt_out(spark):
     assert {r.id: r.v for r in out if r.v is not None} == {0: 1, 1: 2} and len(out) == 4000 and {r.id for r in out if r.k is None} == set(range(3, 4000))
     sizes = [sum(r.p == p for r in out) for p in range(8)]
     assert max(sizes) < 1000  # a join on the null itself has all in one
+
+
+def test_events_of_problems_are_dealt_into_parts(spark):
+    issues = spark.createDataFrame([(1, d, [d * 10 + i for i in range(8)]) for d in range(50)], "log_id int, det_seq int, event_ids array<int>")
+    events = spark.createDataFrame([(1, d * 10 + i, "T", i) for d in range(50) for i in range(1, 9)], "log_id int, id int, type string, line_number int")
+    want = {d: " -> ".join(f"T @{i}" for i in range(1, 6)) for d in range(50)}
+    for parts in (None, 13):
+        out = render.problem_context(issues, events, parts=parts)
+        assert {r.det_seq: r.timeline for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() == 13
