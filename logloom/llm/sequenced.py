@@ -98,7 +98,7 @@ class _Held:
             if len(self.cache) >= CACHED:
                 self._write(*self.cache.popitem(last=False))
             found = self.state.getValue((number,)) if number in self.day else None
-            self.cache[number] = {n: rest for n, *rest in zip(found[0], found[2], found[1], *found[3:])} if found else {}
+            self.cache[number] = {n: tuple(rest) for n, *rest in zip(found[0], found[2], found[1], *found[3:])} if found else {}
         return self.cache[number]
 
     def _write(self, number: int, page: dict) -> None:
