@@ -10,13 +10,12 @@ episode's first and last time and its distinct issues and solutions.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import with_state
+
 OUTCOMES = ("RESOLVED", "PARTIALLY_RESOLVED", "WORKAROUND_APPLIED", "ESCALATED", "ABANDONED", "UNKNOWN")
 _EPISODE = "owner string, episode_id long, started_ms long, last_ms long, ended_ms long, issues array<string>, solutions array<string>, outcome string, helpful boolean, rating long"
 _NAMES = [c.split()[0] for c in _EPISODE.split(", ")]
@@ -67,39 +66,32 @@ def stream_episodes(rows: DataFrame, idle: str) -> DataFrame:
     """episodes of a stream with a watermark on ts: a row when an episode is completed or has been silent for `idle`."""
     gap = _micros(idle)
 
-    def written(owner: str, s: dict, done: tuple | None = None) -> tuple:
-        ended, outcome, helpful, rating = done or (None, "UNKNOWN", None, None)
-        return (owner, s["id"], s["first"] // 1000, s["last"] // 1000, ended, s["issue"], s["solution"], outcome, helpful, rating)
-
-    def run(key, frames: Iterator[pd.DataFrame], state):
-        out, s = [], json.loads(state.get[0]) if state.exists else None
-        if state.hasTimedOut:
-            out.append(written(key[0], s))
-            state.remove()
-        else:
-            new = pd.concat(list(frames)).sort_values(["ts", "id"])
-            at = new["ts"].to_numpy("datetime64[us]").astype("int64")
-            for t, i, kind, value, outcome, helpful, rating in zip(at.tolist(), new["id"], new["kind"], new["value"], new["outcome"], new["helpful"], new["rating"]):
-                if key[0] is None or pd.isna(i):
-                    continue  # the row that ends a stream, or no fact
-                if s is not None and t - s["last"] >= gap:
-                    out.append(written(key[0], s))
-                    s = None
-                s = s or {"id": int(i), "first": t, "last": t, "issue": [], "solution": []}
-                s["last"] = t
-                if kind in ("issue", "solution") and value is not None and value not in s[kind]:
-                    s[kind].append(value)
-                if kind == "complete":
-                    out.append(written(key[0], s, (t // 1000, outcome, None if helpful is None or pd.isna(helpful) else bool(helpful), None if pd.isna(rating) else int(rating))))
-                    s = None
-            if s is not None:
-                state.update((json.dumps(s),))
-                state.setTimeoutTimestamp(max((s["last"] + gap) // 1000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=_NAMES).astype({"ended_ms": "Int64", "rating": "Int64", "helpful": "boolean"})
-
-    return facts(rows).where("ts is not null").groupBy("owner").applyInPandasWithState(run, _EPISODE, "s string", "append", "EventTimeTimeout")
+    def end(owner: str, s: dict, out: list, done: tuple = (None, "UNKNOWN", None, None)) -> None:
+        ended, outcome, helpful, rating = done
+        out.append((owner, s["id"], s["first"] // 1000, s["last"] // 1000, ended, s["issue"], s["solution"], outcome, helpful, rating))
+
+    def take(held: dict, rows: pd.DataFrame, out: list) -> set:
+        new, rows = set(), rows[rows["known"]].sort_values(["at", "id"])
+        for owner, t, i, kind, value, outcome, helpful, rating in zip(*(rows[c].tolist() for c in ("owner", "at", "id", "kind", "value", "outcome", "helpful", "rating"))):
+            s = held.get(owner)
+            if s is not None and t - s["last"] >= gap:
+                end(owner, s, out)
+                s = None
+            if s is None:
+                s = held[owner] = {"id": i, "first": t, "last": t, "issue": [], "solution": []}
+            new.add(owner)
+            s["last"] = t
+            s["until"] = (t + gap) // 1000
+            if kind in ("issue", "solution") and value is not None and value not in s[kind]:
+                s[kind].append(value)
+            if kind == "complete":
+                end(owner, held.pop(owner), out, (t // 1000, outcome, None if pd.isna(helpful) else bool(helpful), None if pd.isna(rating) else int(rating)))
+        return new
+
+    # the row that ends a stream has no owner
+    known = F.col("owner").isNotNull() & F.col("id").isNotNull()
+    found = facts(rows).where("ts is not null").withColumns({"at": F.unix_micros("ts"), "known": known, "id": F.coalesce("id", F.lit(0).cast("long"))})
+    return with_state(found, "owner", _EPISODE, take, end)
 
 
 def solution_outcomes(done: DataFrame) -> DataFrame:

@@ -60,6 +60,19 @@ def test_stream_equals_batch(spark):
     assert shown(got) == shown(episodes.episodes(df, "1 hour"))
 
 
+def test_episodes_of_many_owners_are_held_in_few_groups(spark, tmp_path):
+    n = 3 * sessions.GROUPS
+    kind = F.when(F.col("id") % 7 == 0, "complete").when(F.col("id") % 2 == 0, "issue").otherwise("solution")
+    df = spark.range(3 * n).select((F.col("id") % n).cast("string").alias("owner"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), "id", kind.alias("kind"), F.col("id").cast("string").alias("value"), F.lit("RESOLVED").alias("outcome"), F.lit(True).alias("helpful"), F.lit(4).alias("rating"))
+    got = sessions.run_in_batches(df, F.when(F.col("id") < n, 1).otherwise(2), 2, "ts", lambda s: episodes.stream_episodes(s, "20 minutes"))
+    assert shown(got) == shown(episodes.episodes(df, "20 minutes"))
+    df.write.parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withWatermark("ts", "0 seconds")
+    q = episodes.stream_episodes(arriving, "20 minutes").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= sessions.GROUPS
+
+
 def test_stored_solutions_are_tried_found_and_judged(spark):
     sig = f"struct<issue_type:string,error_signature:string,{','.join(f'{n}:array<string>' for n in similar.LISTS)}>"
     asked = [("o", "2024-01-01 10:00:00", 7, "SOQL_IN_LOOP", "Lift the query", ["one"], (None, "e", ["Case"], [], [], [], []))]
