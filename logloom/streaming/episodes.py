@@ -85,12 +85,12 @@ def stream_episodes(rows: DataFrame, idle: str) -> DataFrame:
             if kind in ("issue", "solution") and value is not None and value not in s[kind]:
                 s[kind].append(value)
             if kind == "complete":
-                end(owner, held.pop(owner), out, (t // 1000, outcome, None if pd.isna(helpful) else bool(helpful), None if pd.isna(rating) else int(rating)))
+                end(owner, held.pop(owner), out, (t // 1000, outcome, None if pd.isna(helpful) else bool(helpful), None if rating is None else int(rating)))
         return new
 
-    # the row that ends a stream has no owner
+    # the row that ends a stream has no owner; longs beside nulls would pass through doubles
     known = F.col("owner").isNotNull() & F.col("id").isNotNull()
-    found = facts(rows).where("ts is not null").withColumns({"at": F.unix_micros("ts"), "known": known, "id": F.coalesce("id", F.lit(0).cast("long"))})
+    found = facts(rows).where("ts is not null").withColumns({"at": F.unix_micros("ts"), "known": known, "id": F.coalesce("id", F.lit(0).cast("long")), "rating": F.col("rating").cast("string")})
     return with_state(found, "owner", _EPISODE, take, end)
 
 

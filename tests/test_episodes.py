@@ -63,7 +63,7 @@ def test_stream_equals_batch(spark):
 def test_episodes_of_many_owners_are_held_in_few_groups(spark, tmp_path):
     n = 3 * sessions.GROUPS
     kind = F.when(F.col("id") % 7 == 0, "complete").when(F.col("id") % 2 == 0, "issue").otherwise("solution")
-    df = spark.range(3 * n).select((F.col("id") % n).cast("string").alias("owner"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), "id", kind.alias("kind"), F.col("id").cast("string").alias("value"), F.lit("RESOLVED").alias("outcome"), F.lit(True).alias("helpful"), F.lit(4).alias("rating"))
+    df = spark.range(3 * n).select((F.col("id") % n).cast("string").alias("owner"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), "id", kind.alias("kind"), F.col("id").cast("string").alias("value"), F.lit("RESOLVED").alias("outcome"), F.lit(True).alias("helpful"), F.when(F.col("id") % 5 > 0, F.lit(2**53 + 1)).alias("rating"))
     got = sessions.run_in_batches(df, F.when(F.col("id") < n, 1).otherwise(2), 2, "ts", lambda s: episodes.stream_episodes(s, "20 minutes"))
     assert shown(got) == shown(episodes.episodes(df, "20 minutes"))
     df.write.parquet(f"{tmp_path}/in")
