@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from logloom.llm import nearcopies
 
 from .test_simhash import brute_components, brute_fp
@@ -73,3 +74,55 @@ def test_rows_with_one_id(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
     got = nearcopies.keep_one_near_copy(df)
     assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, a), (5, b), (4, b + " pink"), (None, a)], key=str)
+
+
+def _node_rows(fps):
+    return [(i, 50, *(int(x) for x in fp.view(np.int64))) for i, fp in enumerate(fps)]
+
+
+def _flipped(rng, fp, rate):
+    bits = np.packbits(rng.random((nearcopies.WORDS, 64)) < rate, axis=1).view(np.uint64).ravel()
+    return fp ^ bits
+
+
+def _components(fps):
+    root = np.arange(len(fps))
+    near = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(int) for w in range(nearcopies.WORDS)) <= nearcopies.RADIUS
+    while (root != (new := np.array([root[near[i]].min() for i in range(len(fps))]))).any():
+        root = new
+    return root.tolist()
+
+
+def test_fingerprint_files_link_what_all_pairs_link(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    fps = list(rng.integers(0, 2**64, (300, nearcopies.WORDS), dtype=np.uint64))
+    fps += [_flipped(rng, fp, 0.15) for fp in fps[:200]]
+    fps += [_flipped(rng, fps[250], 0.08) for _ in range(200)]  # a group that fills files of every table
+    fps = np.array([fps[i] for i in rng.permutation(len(fps))])
+    want = _components(fps)
+    nodes = spark.createDataFrame(_node_rows(fps), "node long, size long, " + ", ".join(f"{f} long" for f in nearcopies.FP)).repartition(3)
+    for file, most in ((64, 8192), (16, 32), (4096, 8192), (4096, 32)):
+        monkeypatch.setattr(nearcopies, "FILE", file)
+        monkeypatch.setattr(nearcopies, "MAX_FILE", most)
+        labels = {r.node: r.component for r in nearcopies.connected_components(nearcopies.links(nodes)).collect()}
+        assert [labels.get(i, i) for i in range(len(fps))] == want, (file, most)
+
+
+def test_pairs_at_080_share_a_file():
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    pairs = []
+    for size in [9, 14, 18, 45, 90, 360] * 500:  # of equal sizes, 8 of 9 shared: 0.8
+        both, rest = fresh(size * 8 // 9), size - size * 8 // 9
+        pairs.append((np.concatenate((both, fresh(rest))), np.concatenate((both, fresh(rest)))))
+    short = [(s[:4], s) for s in (fresh(5) for _ in range(3000))]
+    for sets, rate in ((pairs, nearcopies.differing(0.8)[1]), (short, nearcopies.differing(0.8)[0])):
+        a, b = (np.stack(nearcopies.fingerprint_words(list(side))) for side in zip(*sets))
+        apart = sum(np.bitwise_count(a ^ b).astype(int))
+        assert (apart <= nearcopies.RADIUS).all() and abs(apart.mean() / nearcopies.BITS - rate) < 0.03
+        for bits in (2, 6):
+            masks = np.array(nearcopies.block_masks(bits, nearcopies.tables_for(bits, rate)), np.int64).view(np.uint64)
+            met = np.zeros(len(sets), bool)
+            for m in masks:
+                met |= (((a ^ b) & m[:, None]) == 0).all(axis=0)
+            assert (~met).sum() <= 2
