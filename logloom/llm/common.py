@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, materialize, shared_dir  # noqa: F401
+from ..sources.tables import discard, materialize, scratch, shared_dir  # noqa: F401
 
 #: White space of the contracts: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

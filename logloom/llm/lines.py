@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, give_back, materialize, words
+from .common import discard, give_back, materialize, scratch, words
 
 MIN_LINES = 2
 BROADCAST_BYTES = 48 << 20
@@ -215,8 +215,9 @@ def _with_windows(docs: DataFrame, min_lines: int, single_words: int | None = No
     """row (a struct of the columns of docs but text), text, and `starts`: where later copies start in it."""
     rest = [F.col(c) for c in docs.columns if c != "text"]
     src = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated_windows(src.select("doc_id", "text"), min_lines, single_words)
-    per_row = materialize(found.groupBy(*_ROW).agg(F.collect_list("pos").alias("starts")), "lines-starts")
+    with scratch() as keep:
+        found = repeated_windows(src.select("doc_id", "text"), min_lines, single_words)
+        per_row = keep(materialize(found.groupBy(*_ROW).agg(F.collect_list("pos").alias("starts")), "lines-starts"))
     size = per_row.agg(F.sum(F.size("starts") * 4 + 48)).first()[0] or 0
     out = _key(src).join(F.broadcast(per_row) if size <= BROADCAST_BYTES else per_row, _ROW, "left")
     return out.select("row", "text", "starts")

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import discard, give_back, materialize
 from .texthash import Joined, release, text_batches
 
 BUCKETS = 1 << 12
 SAMPLE = 1000
+#: Documents of the sample that are in doubles at once.
+BLOCK = 256
 PASSES = 80
 TOLERANCE = 1e-5
 #: Weights, one after another, of staying near a rate of one against the squared misfit.
@@ -53,7 +55,8 @@ def _shares(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         doc = np.repeat(np.arange(len(some)), size) + at
         np.add.at(x, (doc, (j.word_hashes() % np.uint64(buckets)).astype(np.int64)), 1)
         n[at : at + len(some)] = size
-    return x / np.maximum(n, 1)[:, None].astype(np.float32), n
+    x /= np.maximum(n, 1)[:, None].astype(np.float32)
+    return x, n
 
 
 def train(rows: list[tuple[str | None, int]], domains: int, buckets: int = BUCKETS, steps: int = 200) -> np.ndarray:
@@ -66,10 +69,14 @@ def train(rows: list[tuple[str | None, int]], domains: int, buckets: int = BUCKE
     weight = (1 / np.maximum(y.sum(0), 1))[[d for _, d in rows]][:, None]
     scale, m = 30.0, np.zeros_like(w)
     for _ in range(steps):
-        z = scale * (x @ w[:-1]) + w[-1]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p = (p / p.sum(1, keepdims=True) - y) * weight
-        g = np.vstack((scale * (x.T @ p), p.sum(0))) + 1e-4 * w
+        g = 1e-4 * w
+        for at in range(0, len(x), BLOCK):  # in doubles only a block at a time: the driver holds this
+            part = x[at : at + BLOCK].astype(np.float64)
+            z = scale * (part @ w[:-1]) + w[-1]
+            p = np.exp(z - z.max(1, keepdims=True))
+            p = (p / p.sum(1, keepdims=True) - y[at : at + BLOCK]) * weight[at : at + BLOCK]
+            g[:-1] += scale * (part.T @ p)
+            g[-1] += p.sum(0)
         m = 0.9 * m + g
         w -= 0.3 * m
     w[:-1] *= scale
@@ -237,10 +244,12 @@ def classifier(docs: DataFrame, labels: DataFrame, names: list[str], sample: int
     # rows with the same id are one sample, so what is collected stays bounded
     found = by_id.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     rows = [(r.text, names.index(r.domain)) for r in found.collect()]
-    weights = train(sorted(rows, key=lambda r: (r[1], r[0] or "")), len(names))
+    weights, taught = train(sorted(rows, key=lambda r: (r[1], r[0] or "")), len(names)), bool(rows)
+    del rows
+    give_back()
     # the sample has as many documents of each domain; posteriors are for the shares that all labels have
     count = {r.domain: r["count"] for r in labels.where(F.col("domain").isin(*names)).groupBy("domain").count().collect()}
-    if rows:
+    if taught:
         share = np.array([count.get(d, 0) + 0.5 for d in names])
         weights[-1] += np.log(share / share.sum())
     return weights
@@ -267,8 +276,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """docs with each row repeated as often as its rate says (rows of rate zero go); columns stay."""
     names = sorted(targets)
-    n, p, copies, copy = (_own(docs.columns, x) for x in ("_n", "_p", "_copies", "_copy"))
-    table = materialize(posteriors(docs, classifier(docs, labels, names, sample), n, p), "mixing-posteriors")
-    shift = _fitted(table.select(F.col(n).alias("n_tokens"), F.col(p).alias("p")), names, targets, budget, least).shift
-    counted = table.withColumn(copies, _copies(_rate(shift, least, F.col(p)), F.col("doc_id").cast("long"))).where(F.col(copies) > 0)
+    n, p, copies, copy, stay = (_own(docs.columns, x) for x in ("_n", "_p", "_copies", "_copy", "_stay"))
+    scored = posteriors(docs, classifier(docs, labels, names, sample), n, p)
+    # the fit needs no text: what is written is a few numbers a row, and texts are scored again when they are repeated
+    table = materialize(scored.select(F.col(n).alias("n_tokens"), F.col(p).alias("p")), "mixing-posteriors")
+    shift = _fitted(table, names, targets, budget, least).shift
+    discard(table)
+    # a number that isn't deterministic keeps the filter above the scores: pushed below them, it would score once more
+    counted = scored.withColumns({copies: _copies(_rate(shift, least, F.col(p)), F.col("doc_id").cast("long")), stay: F.monotonically_increasing_id()})
+    counted = counted.where((F.col(copies) > 0) & (F.col(stay) >= 0))
     return counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)

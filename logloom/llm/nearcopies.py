@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, materialize, tasks_for
+from .common import discard, give_back, materialize, scratch, tasks_for
 from .components import connected_components
 from .pivots import spanning
 from .simhash import HOT_KEYS, _doc_hashes, _majority, keep_firsts, text_hash
@@ -237,8 +237,8 @@ def links(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     return found.unionByName(more)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
-    """(node, hashes) of the nodes asked for, made again from their texts."""
+def _sets(docs: DataFrame, roles: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
+    """(node, band, parts, near, hashes) of the nodes asked for (node, band, parts, near), made again from their texts."""
 
     def run(batches):
         for b in batches:
@@ -247,13 +247,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, k: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
         give_back()
 
-    held = sketches.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    held = sketches.join(roles.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = materialize(held.select("doc_id").distinct(), "near-ids")
     named = ids.where("doc_id is not null")
     texts = docs.join(_small(named), "doc_id", "left_semi")
     if not ids.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.where("doc_id is null"))
-    found = texts.mapInArrow(run, "node long, hashes binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    found = texts.mapInArrow(run, "node long, hashes binary").join(roles, "node").groupBy("node", "band", "parts", "near").agg(F.min("hashes").alias("hashes"))
     out = materialize(found, "near-sets")
     discard(ids)
     return out
@@ -269,23 +269,29 @@ def _apart(other: str) -> Column:
     return sum((F.bit_count(F.col(f).bitwiseXOR(F.col(other + f))) for f in FP[1:]), F.bit_count(F.col(FP[0]).bitwiseXOR(F.col(other + FP[0])))) > RADIUS
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _verified(sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of groups' smallest members with what is near them, verified. A set is shuffled once: a group's members are dealt to its
+    parts of about TILE_ROWS, and its smallest goes to each of them, in front."""
+
     def run(batches):
+        head = x = None
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = 0
-                if min(len(x), len(y)) >= least * max(len(x), len(y)):
+            a, c, ok = b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(b.num_rows, bool)
+            for i, y in enumerate(b.column(2)):
+                y = np.frombuffer(y.as_py(), np.uint64)
+                if a[i] == c[i]:
+                    head, x = a[i], y
+                elif a[i] == head and min(len(x), len(y)) >= least * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    ok[i] = both >= least * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
         give_back()
 
-    size = sets.agg(F.sum(F.length("hashes") + 32)).first()[0] or 0
-    s = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    part = F.when(F.col("node") == F.col("band"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    dealt = sets.where("near").select(F.col("band").alias("a"), F.col("node").alias("b"), "hashes", F.explode(part).alias("part"))
+    dealt = dealt.repartition(tasks_for(sets.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+    return materialize(dealt.select("a", "b", "hashes").mapInArrow(run, "a long, b long"), "near-links")
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray], near: np.ndarray) -> np.ndarray:
@@ -375,17 +381,18 @@ def _placed(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     groups = materialize(connected_components(links(nodes, least)).withColumnRenamed("component", "band"), "near-groups")
     heads = nodes.select(F.col("node").alias("band"), *[F.col(f).alias(f"a_{f}") for f in FP])
     shared = materialize(nodes.select("node", *FP).join(groups, "node").join(heads, "band"), "near-shared")
-    sets = _sets(src, groups.select("node"), sketches.select("doc_id", "node"), shingle)
-    stars = shared.where((F.col("band") != F.col("node")) & ~_apart("a_")).select(F.col("band").alias("a"), F.col("node").alias("b"))
-    found = _verified(stars, sets, least)
+    parts = groups.groupBy("band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts"))
+    roles = materialize(shared.withColumn("near", ~_apart("a_")).join(parts, "band").select("node", "band", "parts", "near"), "near-roles")
+    sets = _sets(src, roles, sketches.select("doc_id", "node"), shingle)
+    found = _verified(sets, least)
     first = materialize(connected_components(found), "near-first")
     split = _open(shared.select("band", "node", *FP), first)
     weight = F.greatest(F.length("hashes") + 64, F.lit(TILE_BYTES // TILE_ROWS))
-    more = _tiled(split.join(sets, "node").withColumn("bytes", weight), TILE_BYTES, ["node", "c", *FP, "hashes"], lambda left, right, same: _tile(left, right, same, least))
+    more = _tiled(split.join(sets.select("node", "hashes"), "node").withColumn("bytes", weight), TILE_BYTES, ["node", "c", *FP, "hashes"], lambda left, right, same: _tile(left, right, same, least))
     labels = connected_components(found.unionByName(more)).withColumnRenamed("node", "n")
     classes = sketches.groupBy("node").agg(F.min("doc_id").alias("rep"))
     placed = materialize(classes.join(labels, F.col("node") == F.col("n"), "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "near-placed")
-    for t in (nodes, groups, shared, sets, first, split, more):
+    for t in (nodes, groups, shared, roles, sets, found, first, split, more):
         discard(t)
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     return sketches.select("doc_id", "h", "node").join(placed.join(smallest, "component").select("node", "component", "component_id"), "node").drop("node")
@@ -398,4 +405,8 @@ def near_components(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Da
 
 def keep_one_near_copy(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row of each group of near copies: that of the smallest id; rows with a null id stay, columns too."""
-    return keep_firsts(docs, materialize(_placed(docs, least, shingle).select("doc_id", "h", "component"), "near-rows"))
+    with scratch() as keep:
+        rows = keep(materialize(_placed(docs, least, shingle).select("doc_id", "h", "component"), "near-rows"))
+    out = keep_firsts(docs, rows)
+    discard(rows)
+    return out

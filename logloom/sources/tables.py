@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written inside the innermost `scratch`.
+_MADE: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one is made only where none is set, as in tests."""
@@ -30,6 +36,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    made = _MADE.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -40,3 +49,26 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized inside are deleted at its end, but for those given to the function that it yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    outer = _MADE.get()
+    token = _MADE.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for t in made:
+            if not any(t is k for k in kept):
+                discard(t)
+            elif outer is not None:
+                outer.append(t)

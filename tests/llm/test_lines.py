@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -105,3 +106,12 @@ def test_long_single_lines_go_in_the_pipeline(spark, tmp_path):
     rows = [(i, f"own {i}\n{long}\nown too {i}\n{edge}\nend {i}", 1, "", 1) for i in range(6)] + [(9, f" {edge} \nq", 1, "", 1), (10, f" {edge} \nr", 1, "", 1)]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
     assert got == {r[0]: r[1].replace(f"\n{long}", "") if 0 < r[0] < 9 else r[1] for r in rows}
+
+
+def test_dedup_leaves_only_what_its_result_reads(spark, monkeypatch):
+    tables, real = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda t, name: tables.append((name, real(t, name))) or tables[-1][1])
+    df = spark.createDataFrame([(i, "one two\nthree four\nfive six", 0) for i in range(20)], "doc_id long, text string, n_chars long")
+    out = lines.dedup_lines(df)
+    assert [n for n, t in tables if os.path.exists(t._scratch_path.removeprefix("file:"))] == ["lines-starts"]
+    assert sorted(r.n_chars for r in out.collect()) == [0] * 19 + [27]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -127,3 +128,22 @@ def test_resample_with_clashing_names(spark):
     df = df.toDF("doc_id", "text", "_n", "_p", "_copies", "_score")
     out = mixing.resample(df, lab, {"good": 0.8, "poor": 0.1, "toxic": 0.1})
     assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows)
+
+
+def test_no_text_is_written_and_each_row_is_scored_once_at_the_end(spark, monkeypatch):
+    rows, labels = corpus()
+    df, lab = frames(spark, rows, labels)
+    written, real = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda t, name: written.append(t.columns) or real(t, name))
+    out = mixing.resample(df, lab, {"good": 0.8, "poor": 0.1, "toxic": 0.1}, 1.3, 1.0)
+    assert written and not any("text" in c for c in written)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {r[0] for r in rows}
+
+
+def test_training_holds_the_sample_in_doubles_by_blocks():
+    rows = [(f"w{i} w{i % 7}", i % 3) for i in range(2000)]
+    tracemalloc.start()
+    mixing.train(rows, 3, steps=2)
+    assert tracemalloc.get_traced_memory()[1] < len(rows) * mixing.BUCKETS * 8
+    tracemalloc.stop()

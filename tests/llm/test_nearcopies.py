@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline
@@ -126,3 +127,20 @@ def test_pairs_at_080_share_a_file():
             for m in masks:
                 met |= (((a ^ b) & m[:, None]) == 0).all(axis=0)
             assert (~met).sum() <= 2
+
+
+def test_parts_of_a_group_see_its_smallest_and_nothing_else_stays(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choices([f"w{i}" for i in range(500)], k=120) for _ in range(4)]
+    texts = []
+    for i in range(120):
+        t = list(base[i % 4])
+        t[rng.randrange(len(t))] = f"x{i}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    tables, real = [], nearcopies.materialize
+    monkeypatch.setattr(nearcopies, "materialize", lambda t, name: tables.append(real(t, name)) or tables[-1])
+    monkeypatch.setattr(nearcopies, "TILE_ROWS", 3)
+    out = nearcopies.keep_one_near_copy(df)
+    assert {r.doc_id for r in out.collect()} == set(brute(texts))
+    assert tables and not [t for t in tables if os.path.exists(t._scratch_path.removeprefix("file:"))]
